@@ -123,22 +123,23 @@ def scan(
 
 
 def ordered_text(
-    df: DataFrame, keys: list[str], order: str, text: str, name: str, block: int = BLOCK
+    df: DataFrame, keys: list[str], order: str, text: str, name: str, *,
+    separator: str = "\n", block: int = BLOCK,
 ) -> DataFrame:
-    """Join the non-empty ``text`` values of each key with line breaks, in ``order``.
+    """Join the non-empty ``text`` values of each key with ``separator``, in ``order``.
 
     Parts are joined per block first, so the rows of a big key are sorted in many tasks and
     only finished parts meet in the last one. Keys without text give an empty string.
     """
+    def joined(value: str, along: str) -> Column:
+        between = separator.replace("\n", "\\n")
+        return F.expr(f"listagg({value}, '{between}') WITHIN GROUP (ORDER BY `{along}`)")
+
     parts = (
         df.withColumn("_block", F.expr(f"`{order}` div {block}"))
         .groupBy(*keys, "_block")
-        .agg(F.expr(
-            f"listagg(nullif(`{text}`, ''), '\\n') WITHIN GROUP (ORDER BY `{order}`)"
-        ).alias("_text"))
+        .agg(joined(f"nullif(`{text}`, '')", order).alias("_text"))
     )
     return parts.groupBy(*keys).agg(
-        F.coalesce(
-            F.expr("listagg(_text, '\\n') WITHIN GROUP (ORDER BY _block)"), F.lit("")
-        ).alias(name)
+        F.coalesce(joined("_text", "_block"), F.lit("")).alias(name)
     )

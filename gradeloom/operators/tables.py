@@ -12,11 +12,10 @@ from .ordered import join_on, scan, with_row_number
 
 def promote_headers(raw: DataFrame) -> DataFrame:
     """Row 0 of each page becomes the ``header`` of the cells below it."""
-    heads = raw.filter(F.col("row_no") == 0).select(
-        "file_id", "page_no", "col_no", F.col("cell").alias("header")
-    )
+    place = ["file_id", "page_no", "col_no"]
+    heads = raw.filter(F.col("row_no") == 0).select(*place, F.col("cell").alias("header"))
     body = raw.filter(F.col("row_no") > 0)
-    return body.join(heads, ["file_id", "page_no", "col_no"]).select(
+    return body.join(heads, place).select(
         "file_id", "page_no", "row_no", "col_no", "header", "cell"
     )
 
