@@ -103,6 +103,15 @@ def metadata_map(raw: Column) -> Column:
     return F.coalesce(F.from_json(raw, "map<string,string>"), empty)
 
 
+def existing_paths(artifacts: DataFrame) -> DataFrame:
+    """Every listed file and the folders above it, once each."""
+    parts = F.split("path", "/")
+    upper = F.transform(
+        F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/")
+    )
+    return artifacts.select(F.explode(upper).alias("path")).distinct()
+
+
 def artifact_flags(jobs: DataFrame, artifacts: DataFrame) -> DataFrame:
     """Which retained paths of a job exist: ``(job_id, has_debug_path, has_failed_source,
     has_failure_log)``. Jobs without any path on disk have no row."""
@@ -118,7 +127,7 @@ def artifact_flags(jobs: DataFrame, artifacts: DataFrame) -> DataFrame:
             F.struct(F.lit(k).alias("kind"), p.alias("path")) for k, p in kinds.items()
         ])).alias("c"),
     ).select("job_id", "c.kind", "c.path").filter(F.col("path") != "")
-    present = named.join(artifacts.select("path").distinct(), ["path"], "left_semi")
+    present = named.join(existing_paths(artifacts), ["path"], "left_semi")
     return present.groupBy("job_id").agg(*[F.bool_or(F.col("kind") == k).alias(k) for k in kinds])
 
 

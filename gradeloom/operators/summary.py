@@ -37,7 +37,8 @@ def final_columns(headers: DataFrame) -> DataFrame:
 
 def final_summary(cells: DataFrame) -> DataFrame:
     """Long summary of sheet cells ``(file_id, row_no, student, header, grade_num, grade_text)``."""
-    kept = cells.join(final_columns(cells), ["file_id", "header"])
+    grades = cells.select("file_id", "row_no", "student", "header", "grade_num", "grade_text")
+    kept = grades.join(final_columns(cells), ["file_id", "header"])
     num, text, header = F.col("grade_num"), F.col("grade_text"), F.col("header")
     return kept.select(
         "file_id", "row_no", "student", "mp", "header", "type_a", "grade_num", "grade_text",
