@@ -72,20 +72,35 @@ def _folding() -> tuple[str, str, dict[str, str]]:
     return "".join(single_from + deleted), "".join(single_to), several
 
 
+def _ranges(chars) -> str:
+    """A regular-expression class of these characters, neighbours joined to ranges."""
+    points, parts = sorted(map(ord, chars)), []
+    for point in points:
+        if parts and parts[-1][1] == point - 1:
+            parts[-1][1] = point
+        else:
+            parts.append([point, point])
+    return "[" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in parts) + "]"
+
+
 def spanish_key(value: Column) -> Column:
     """Sort key that ignores case and accents but puts ``ñ`` after ``n``."""
     matching, replacement, several = _folding()
     text = F.coalesce(value, F.lit(""))
     common = {c: several[c] for c in ("ñ", "Ñ", "ß")}
     rare = {c: s for c, s in several.items() if c not in common}
+    full = text
     for char, letters in common.items():
-        text = F.replace(text, F.lit(char), F.lit(letters))
+        full = F.replace(full, F.lit(char), F.lit(letters))
     table = F.from_json(F.lit(json.dumps(rare)), "map<string,string>")
     spelled = F.array_join(
-        F.transform(F.split(text, ""), lambda c: F.coalesce(F.element_at(table, c), c)), ""
+        F.transform(F.split(full, ""), lambda c: F.coalesce(F.element_at(table, c), c)), ""
+    )
+    full = F.when(full.rlike(_ranges(rare)), spelled).otherwise(full)
+    # Most text is plain ASCII, where folding is lower case.
+    return F.when(text.rlike(r"[^\x00-\x7f]"), F.translate(full, matching, replacement)).otherwise(
+        F.lower(text)
     )
-    has_rare = text.rlike("[" + "".join(sorted(rare)) + "]")
-    return F.translate(F.when(has_rare, spelled).otherwise(text), matching, replacement)
 
 
 def file_name(path: Column) -> Column:

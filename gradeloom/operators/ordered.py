@@ -21,7 +21,6 @@ from ..session import cut
 #: Values of the order column per block. The order column is unique within a key, so this
 #: is also the most rows one window has to hold.
 BLOCK = 1 << 16
-_IN_PARTITION = (1 << 33) - 1  # low bits of monotonically_increasing_id
 
 
 def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -39,8 +38,11 @@ def with_row_number(
     The sorted rows are checkpointed: range boundaries come from a sample, so the counts
     and the rows must see the same partitions.
     """
+    # Order expressions become columns first: a sort would work them out per comparison.
+    by = {f"_o{n}": c for n, c in enumerate(order)}
     placed = cut(
-        df.orderBy(*keys, *order).withColumn("_id", F.monotonically_increasing_id())
+        df.withColumns(by).orderBy(*keys, *by)
+        .withColumn("_id", F.monotonically_increasing_id()).drop(*by)
     ).withColumn("_part", F.shiftright("_id", 33))
     spans = placed.groupBy(*keys, "_part").agg(
         F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n")

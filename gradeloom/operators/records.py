@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import grades as G
 from ..functions.text import clean_entry, single_line, spanish_key
+from ..session import cut
 from .ordered import BLOCK, with_row_number
 
 # A line break inside an entry where no code/grade pair and no detached RA/EM suffix can
@@ -33,8 +34,8 @@ def entry_pieces(fragments: DataFrame, block: int = BLOCK) -> DataFrame:
             F.expr("listagg(text, '\\n') WITHIN GROUP (ORDER BY row_idx)").alias("_text"),
         )
     )
-    cut = blocks.withColumn("_pieces", F.split("_text", _BOUNDARY))
-    pieces = cut.select(
+    split = blocks.withColumn("_pieces", F.split("_text", _BOUNDARY))
+    pieces = split.select(
         *keys, "first_row", "_block",
         F.size("_pieces").alias("_n"),
         F.posexplode("_pieces").alias("_i", "entry"),
@@ -169,9 +170,17 @@ def split_duplicates(records: DataFrame, keys: list[str]) -> tuple[DataFrame, Da
 
 
 def files_without_duplicates(records: DataFrame) -> DataFrame:
-    """Records of the files in which every ``(student, code)`` is unique."""
-    _, repeated = split_duplicates(records, ["file_id", "student", "code"])
-    return records.join(repeated.select("file_id").distinct(), ["file_id"], "left_anti")
+    """Records of the files in which every ``(student, code)`` is unique.
+
+    The records are grouped once and written, since every step of a sheet reads them.
+    """
+    key = ["file_id", "student", "code"]
+    rest = [c for c in records.columns if c not in key]
+    grouped = cut(records.groupBy(*key).agg(
+        F.count(F.lit(1)).alias("_copies"), F.first(F.struct(*rest)).alias("_row")
+    ))
+    bad = grouped.filter(F.col("_copies") > 1).select("file_id").distinct()
+    return grouped.join(bad, ["file_id"], "left_anti").select(*key, "_row.*")
 
 
 def wide_grades(records: DataFrame, codes: list[str], ids: list[str]) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from ..operators import layout, pending, records as rec, summary, tables
+from ..session import cut
 from ..sources.catalog import bundled_names
 
 
@@ -32,6 +33,7 @@ def detailed_sheet(records: DataFrame, type_a: DataFrame | None = None) -> DataF
 def pending_summary(records: DataFrame, names: DataFrame | None = None) -> DataFrame:
     """Outcomes still owed, one text per student."""
     names = bundled_names(records.sparkSession) if names is None else names
+    records = cut(records)  # read twice: for the order and for the outcomes
     return pending.pending_summary(records, rec.student_order(records), names)
 
 

@@ -8,6 +8,7 @@ from ..operators.outcomes import classify_files
 from ..operators.tables import promote_headers
 from ..plans.reports import extract_records
 from ..schemas import RAW_CELLS
+from ..session import cut
 
 
 def ingest_reports(
@@ -26,7 +27,7 @@ def ingest_reports(
     def process(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
         try:
-            records = extract_records(batch)
+            records = cut(extract_records(batch))
             outcomes = classify_files(
                 batch.select("file_id").distinct(), promote_headers(batch), records
             )
