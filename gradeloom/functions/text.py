@@ -32,9 +32,11 @@ def single_line(value: Column) -> Column:
 def clean_entry(value: Column) -> Column:
     """Collapse white space, then glue a lone RA/EM to the code before it."""
     flat = strip(F.regexp_replace(value, rf"(?U){BLANK}+", " "))
-    return F.regexp_replace(
+    glued = F.regexp_replace(
         flat, rf"(?U)([A-Za-z0-9_]+){BLANK}+(RA|EM)(?={BLANK}*\(\d+\))", "$1$2"
     )
+    # The cheap test spares most entries the slower replacement.
+    return F.when(flat.rlike(rf"(?U){BLANK}(?:RA|EM){BLANK}*\("), glued).otherwise(flat)
 
 
 def remove_blanks(value: Column) -> Column:

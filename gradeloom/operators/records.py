@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import grades as G
-from ..functions.text import clean_entry, single_line, spanish_key
+from ..functions.text import clean_entry, single_line, spanish_key, strip
 from ..session import cut
 from .ordered import BLOCK, with_row_number
 
@@ -58,15 +58,20 @@ def entry_pieces(fragments: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def _pairs(entry: Column, kind: str, number: int) -> Column:
-    pattern = F.lit(G.PATTERNS[kind])
-    return F.zip_with(
-        F.regexp_extract_all(entry, pattern, F.lit(1)),
-        F.regexp_extract_all(entry, pattern, F.lit(2)),
-        lambda code, raw: F.struct(
+    """Matches of one kind. A match reads ``code (n) - grade`` with one bracket and one dash."""
+    found = F.transform(
+        F.regexp_extract_all(entry, F.lit(G.PATTERNS[kind]), F.lit(0)),
+        lambda match: F.struct(
             F.lit(kind).alias("kind"), F.lit(number).alias("kind_no"),
-            code.alias("code"), raw.alias("raw"),
+            G.clean_code(F.substring_index(match, "(", 1)).alias("code"),
+            strip(F.substring_index(match, "-", -1)).alias("raw"),
         ),
     )
+    if kind == "MP":
+        return found
+    # RA and EM codes end in these letters, so most text needs one of the two patterns.
+    nothing = F.array().cast("array<struct<kind:string,kind_no:int,code:string,raw:string>>")
+    return F.when(F.contains(F.upper(entry), F.lit(kind)), found).otherwise(nothing)
 
 
 def extract_records(entries: DataFrame, ids: list[str], entry: str = "entry") -> DataFrame:
@@ -88,7 +93,7 @@ def extract_records(entries: DataFrame, ids: list[str], entry: str = "entry") ->
     )
     return pairs.select(
         *ids,
-        G.clean_code(F.col("_pair.code")).alias("code"),
+        F.col("_pair.code").alias("code"),
         F.col("_pair.kind").alias("kind"),
         G.grade_num(F.col("_pair.raw")).alias("grade_num"),
         G.grade_text(F.col("_pair.raw")).alias("grade_text"),

@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .jobs import artifact_flags, error_jobs, reference_time
 from .ordered import scan, with_row_number
 
@@ -50,7 +51,7 @@ def retention_plan(
     First all older than ``days``. Then, while the rest of the folder is above
     ``max_bytes``, the oldest failed job that is left; bytes of other jobs count too.
     """
-    waiting = error_jobs_with_artifacts(jobs, artifacts)
+    waiting = cut(error_jobs_with_artifacts(jobs, artifacts))  # read three times below
     limit = F.lit(now - dt.timedelta(days=max(days, 0)))
     is_old = F.lit(days >= 0) & F.coalesce(F.col("since") < limit, F.lit(False))
     columns = ["job_id", "since", "size_bytes"]

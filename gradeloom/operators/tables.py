@@ -10,12 +10,19 @@ from ..functions.text import is_blank, single_line, strip
 from .ordered import join_on, scan, with_row_number
 
 
+_COLUMN = ["file_id", "page_no", "col_no"]
+
+
+def _split_headers(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Header cells (row 0 of each page) and the cells below them."""
+    heads = raw.filter(F.col("row_no") == 0).select(*_COLUMN, F.col("cell").alias("header"))
+    return heads, raw.filter(F.col("row_no") > 0)
+
+
 def promote_headers(raw: DataFrame) -> DataFrame:
     """Row 0 of each page becomes the ``header`` of the cells below it."""
-    place = ["file_id", "page_no", "col_no"]
-    heads = raw.filter(F.col("row_no") == 0).select(*place, F.col("cell").alias("header"))
-    body = raw.filter(F.col("row_no") > 0)
-    return body.join(heads, place).select(
+    heads, body = _split_headers(raw)
+    return body.join(heads, _COLUMN).select(
         "file_id", "page_no", "row_no", "col_no", "header", "cell"
     )
 
@@ -44,9 +51,9 @@ def file_headers(cells: DataFrame, keyword: str = G.NAME_KEYWORD) -> DataFrame:
 
     Column order is that of the union of the page tables: first page, then position.
     """
-    seen = cells.groupBy("file_id", "header").agg(
-        F.min(F.struct("page_no", "col_no")).alias("seen")
-    )
+    # One number for (page, column) keeps this a hash aggregate.
+    place = F.col("page_no").cast("long") * (1 << 31) + F.col("col_no")
+    seen = cells.groupBy("file_id", "header").agg(F.min(place).alias("seen"))
     ordered = seen.groupBy("file_id").agg(
         F.sort_array(F.collect_list(F.struct("seen", "header"))).getField("header").alias("headers")
     )
@@ -57,33 +64,45 @@ def file_headers(cells: DataFrame, keyword: str = G.NAME_KEYWORD) -> DataFrame:
     )
 
 
-def table_rows(cells: DataFrame, keyword: str = G.NAME_KEYWORD) -> DataFrame:
+def column_roles(heads: DataFrame, keyword: str = G.NAME_KEYWORD) -> DataFrame:
+    """Header cells with what their column is for, so that cells need one join only.
+
+    Adds ``col_index`` (place among the file's headers), ``is_name``, ``is_leading`` (left
+    of the name) and ``has_leading`` (the file has such columns). Headers are cleaned and
+    irrelevant ones left out; files without a name column are left out too, see the
+    outcome checks.
+    """
+    kept = drop_columns(normalize_headers(heads))
+    files = file_headers(kept, keyword).filter(F.col("name_header").isNotNull())
+    return join_on(kept, files, ["file_id"]).select(
+        "file_id", "page_no", "col_no", "header",
+        F.array_position("headers", F.col("header")).cast("int").alias("col_index"),
+        (F.col("header") == F.col("name_header")).alias("is_name"),
+        F.array_contains("leading", F.col("header")).alias("is_leading"),
+        (F.size("leading") > 0).alias("has_leading"),
+    )
+
+
+def table_rows(
+    raw: DataFrame, keyword: str = G.NAME_KEYWORD, pattern: str | None = None
+) -> DataFrame:
     """One row per table row, numbered from 0 in page order per file (``row_idx``).
 
     ``printed_name`` is the name cell, ``leading_blank`` tells whether all cells left of it
-    are blank (null when there are none), ``parts`` holds the other non-blank cells, trimmed.
-    Files without a name column are left out; see the outcome checks.
+    are blank (null when there are none). ``parts`` holds the other non-blank cells,
+    trimmed; with ``pattern``, those of the columns whose header matches it.
     """
+    heads, body = _split_headers(raw)
+    cells = body.join(column_roles(heads, keyword), _COLUMN)
+    filled = ~is_blank(F.col("cell"))
+    wanted = F.lit(True) if pattern is None else F.col("header").rlike(pattern)
+    part = F.struct(F.col("col_index").alias("col_no"), "header", strip(F.col("cell")).alias("text"))
     rows = cells.groupBy("file_id", "page_no", "row_no").agg(
-        F.sort_array(F.collect_list(F.struct("col_no", "header", "cell"))).alias("cells")
-    )
-    heads = file_headers(cells, keyword).filter(F.col("name_header").isNotNull())
-    is_name = lambda c: c["header"] == F.col("name_header")
-    filled = F.filter("cells", lambda c: ~is_blank(c["cell"]))
-    rows = join_on(rows, heads, ["file_id"]).select(
-        "file_id", "page_no", "row_no",
-        F.get(F.filter("cells", is_name), 0)["cell"].alias("printed_name"),
+        F.max(F.when(F.col("is_name"), F.col("cell"))).alias("printed_name"),
         F.when(
-            F.size("leading") > 0,
-            ~F.exists(filled, lambda c: F.array_contains("leading", c["header"])),
+            F.bool_or("has_leading"), ~F.bool_or(F.col("is_leading") & filled)
         ).alias("leading_blank"),
-        F.transform(
-            F.filter(filled, lambda c: ~is_name(c)),
-            lambda c: F.struct(
-                F.array_position("headers", c["header"]).cast("int").alias("col_no"),
-                c["header"].alias("header"), strip(c["cell"]).alias("text"),
-            ),
-        ).alias("parts"),
+        F.collect_list(F.when(~F.col("is_name") & filled & wanted, part)).alias("parts"),
     )
     numbered = with_row_number(rows, ["file_id"], [F.col("page_no"), F.col("row_no")], "row_idx")
     return numbered.select(
@@ -139,14 +158,15 @@ def glue_names(
 
 
 def student_rows(
-    cells: DataFrame, keyword: str = G.NAME_KEYWORD, strict_reference: bool = False
+    raw: DataFrame, keyword: str = G.NAME_KEYWORD, strict_reference: bool = False,
+    pattern: str | None = None,
 ) -> DataFrame:
     """Table rows with the student each belongs to; rows before the first name are dropped.
 
     With the name in the first column there are no leading cells. Then no piece is glued,
     unless ``strict_reference`` asks for the vacuous reading that takes them as blank.
     """
-    rows = table_rows(cells, keyword)
+    rows = table_rows(raw, keyword, pattern)
     blank = F.coalesce("leading_blank", F.lit(strict_reference))
     glued = glue_names(rows, ["file_id"], "row_idx", "printed_name", blank, "_whole")
     start = F.when(

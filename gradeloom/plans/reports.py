@@ -4,20 +4,30 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from ..functions.grades import CODE_HEADER
 from ..operators import layout, pending, records as rec, summary, tables
+from ..operators.ordered import ordered_text
 from ..session import cut
 from ..sources.catalog import bundled_names
 
 
-def report_fragments(raw_cells: DataFrame, strict_reference: bool = False) -> DataFrame:
+def report_fragments(
+    raw_cells: DataFrame, strict_reference: bool = False, pattern: str | None = None
+) -> DataFrame:
     """Raw page cells to trimmed text fragments with the student each belongs to."""
-    cells = tables.drop_columns(tables.normalize_headers(tables.promote_headers(raw_cells)))
-    return tables.fragments(tables.student_rows(cells, strict_reference=strict_reference))
+    rows = tables.student_rows(raw_cells, strict_reference=strict_reference, pattern=pattern)
+    return tables.fragments(rows)
+
+
+def merged_rows(raw_cells: DataFrame, strict_reference: bool = False) -> DataFrame:
+    """All columns of each student as one text: ``(file_id, student, col_no, header, entry)``."""
+    parts = report_fragments(raw_cells, strict_reference)
+    return ordered_text(parts, ["file_id", "student", "col_no", "header"], "row_idx", "text", "entry")
 
 
 def extract_records(raw_cells: DataFrame, strict_reference: bool = False) -> DataFrame:
     """Raw page cells to grade records of every report."""
-    codes = tables.select_columns(report_fragments(raw_cells, strict_reference))
+    codes = report_fragments(raw_cells, strict_reference, CODE_HEADER)
     pieces = rec.entry_pieces(codes)
     return rec.tidy_names(rec.extract_records(pieces, ["file_id", "student"]))
 
