@@ -23,6 +23,11 @@ from ..session import cut
 BLOCK = 1 << 16
 
 
+def block_of(order: str, block: int | None = None) -> Column:
+    """Number of the block a row falls in."""
+    return F.expr(f"`{order}` div {block or BLOCK}")
+
+
 def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Equi join that also matches null keys; keeps the left key columns."""
     renamed = right.withColumnsRenamed({k: f"__{k}" for k in keys})
@@ -72,7 +77,7 @@ def scan(
     total: dict[str, Column] | None = None,
     previous: dict[str, Column] | None = None,
     following: dict[str, Column] | None = None,
-    block: int = BLOCK,
+    block: int | None = None,
 ) -> DataFrame:
     """Running values along ``order``, an integer column unique within ``keys``.
 
@@ -82,7 +87,7 @@ def scan(
     """
     last, before, total = last or {}, before or {}, total or {}
     previous, following = previous or {}, following or {}
-    rows = df.withColumn("_block", F.expr(f"`{order}` div {block}"))
+    rows = df.withColumn("_block", block_of(order, block))
     group = [*keys, "_block"]
     at = F.col(order)
 
@@ -126,7 +131,7 @@ def scan(
 
 def ordered_text(
     df: DataFrame, keys: list[str], order: str, text: str, name: str, *,
-    separator: str = "\n", block: int = BLOCK,
+    separator: str = "\n", block: int | None = None,
 ) -> DataFrame:
     """Join the non-empty ``text`` values of each key with ``separator``, in ``order``.
 
@@ -138,7 +143,7 @@ def ordered_text(
         return F.expr(f"listagg({value}, '{between}') WITHIN GROUP (ORDER BY `{along}`)")
 
     parts = (
-        df.withColumn("_block", F.expr(f"`{order}` div {block}"))
+        df.withColumn("_block", block_of(order, block))
         .groupBy(*keys, "_block")
         .agg(joined(f"nullif(`{text}`, '')", order).alias("_text"))
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import grades as G
 from ..functions.text import single_line
-from .ordered import BLOCK, join_on, ordered_text
+from .ordered import block_of, join_on, ordered_text
 from .records import split_duplicates
 
 # Low-level error texts per reason, and the public text for each.
@@ -98,7 +98,7 @@ def first_failed_names(files: DataFrame, order: str = "id", limit: int = 3) -> D
     def firsts(rows: Column) -> Column:
         return F.slice(F.sort_array(rows), 1, limit)
 
-    blocks = failed.groupBy("job_id", F.expr(f"`{order}` div {BLOCK}").alias("_block")).agg(
+    blocks = failed.groupBy("job_id", block_of(order).alias("_block")).agg(
         F.count(F.lit(1)).alias("_n"),
         firsts(F.collect_list(F.struct(order, "source_name"))).alias("_first"),
     )

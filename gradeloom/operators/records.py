@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import grades as G
 from ..functions.text import clean_entry, single_line, spanish_key, strip
 from ..session import cut
-from .ordered import BLOCK, with_row_number
+from .ordered import block_of, with_row_number
 
 # A line break inside an entry where no code/grade pair and no detached RA/EM suffix can
 # reach across: the text before it ends in ``- <token without _>``. A pair holds one dash
@@ -17,7 +17,7 @@ _BOUNDARY = r"(?U)(?<=-\s{0,8}[^\s_-]{1,8})\n(?!(?:RA|EM)(?:\s|\(|$))"
 _PART = 1 << 20  # entry pieces per block stay below this
 
 
-def entry_pieces(fragments: DataFrame, block: int = BLOCK) -> DataFrame:
+def entry_pieces(fragments: DataFrame, block: int | None = None) -> DataFrame:
     """Entry text per student and column, cut at boundaries that no grade spans.
 
     Taken together the pieces of a student hold the same grades as the whole text. They
@@ -27,7 +27,7 @@ def entry_pieces(fragments: DataFrame, block: int = BLOCK) -> DataFrame:
     """
     keys = ["file_id", "student", "col_no"]
     blocks = (
-        fragments.withColumn("_block", F.expr(f"row_idx div {block}"))
+        fragments.withColumn("_block", block_of("row_idx", block))
         .groupBy(*keys, "_block")
         .agg(
             F.min("first_row").alias("first_row"),
