@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import grades as G
 from ..functions.text import blank_literal_na
-from .ordered import join_on
+from .joins import lookup
 from .records import modules, placement_modules
 
 FIRST_GRADE_COLUMN = 3  # after ``#`` and the student
@@ -89,8 +89,8 @@ def sheet_rows(records: DataFrame, layout: DataFrame, order: DataFrame) -> DataF
             "col_pos", "mp", "slot", "header", "source_code"
         ))).alias("_columns")
     )
-    rows = join_on(
-        by_student.join(order, ["file_id", "student"]), columns, ["file_id"]
+    rows = lookup(
+        by_student.join(order, ["file_id", "student"]), columns, ["file_id"], "student"
     )
     cells = F.transform(
         "_columns",

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import file_name, is_blank, stem, suffix
-from .ordered import join_on, scan, with_row_number
+from .joins import lookup
+from .ordered import scan, with_row_number
 
 # Rejection texts, accepted suffixes and the name of a batch upload.
 NO_FILES = "Cal carregar almenys un fitxer PDF o ZIP."
@@ -90,7 +91,7 @@ def unique_names(df: DataFrame, key: str, pos: str, name: str, out: str = "uniqu
     kept, skips = _decide_literals(numbered, pos)
     rows = numbered
     for part in (kept, skips):
-        rows = join_on(rows, part, ["_key", "_name"], "left")
+        rows = lookup(rows, part, ["_key", "_name"], pos, "left")
     # Repeat number: the first row of a name is a repeat only if the name was taken before.
     repeat = F.col("_n") - F.when(F.coalesce("_kept", F.lit(True)), 1).otherwise(0)
     passed = F.coalesce(
@@ -124,7 +125,7 @@ def _decide_literals(numbered: DataFrame, pos: str) -> tuple[DataFrame, DataFram
     # Rows of the parent seen before the literal, counted along ``pos``.
     parents = literals.select("_key", "_name").distinct()
     events = (
-        numbered.join(parents, ["_key", "_name"], "left_semi")
+        lookup(numbered, parents, ["_key", "_name"], pos, "left_semi")
         .select("_key", "_name", F.col(pos).alias("_at"), F.lit(None).cast("string").alias("_literal"),
                 F.lit(None).cast("long").alias("_k"))
         .unionByName(literals.withColumnRenamed("_first", "_at"))

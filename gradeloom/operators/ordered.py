@@ -11,12 +11,11 @@ third of all rows, so the functions here cut each key into bounded stretches:
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
+from .joins import join_on
 
 #: Values of the order column per block. The order column is unique within a key, so this
 #: is also the most rows one window has to hold.
@@ -28,13 +27,6 @@ def block_of(order: str, block: int | None = None) -> Column:
     return F.expr(f"`{order}` div {block or BLOCK}")
 
 
-def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """Equi join that also matches null keys; keeps the left key columns."""
-    renamed = right.withColumnsRenamed({k: f"__{k}" for k in keys})
-    match = reduce(lambda a, b: a & b, [left[k].eqNullSafe(renamed[f"__{k}"]) for k in keys])
-    return left.join(renamed, match, how).drop(*[f"__{k}" for k in keys])
-
-
 def with_row_number(
     df: DataFrame, keys: list[str], order: list[Column], name: str = "row_no"
 ) -> DataFrame:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import grades as G
 from ..functions.text import single_line
-from .ordered import block_of, join_on, ordered_text
+from .joins import join_on, lookup
+from .ordered import block_of, ordered_text
 from .records import split_duplicates
 
 # Low-level error texts per reason, and the public text for each.
@@ -149,7 +150,7 @@ def incident_texts(
     """
     failed = files.filter(F.col("status") == "error")
     debug = jobs.select("job_id", "debug_path")
-    lines = join_on(failed, debug, ["job_id"]).withColumn("_line", F.concat(
+    lines = lookup(failed, debug, ["job_id"], order).withColumn("_line", F.concat(
         F.lit("- Fitxer: "), "source_name",
         F.lit("\n  Error principal: "), public_error(F.col("error_message"), system),
         F.lit("\n  Debug path: "), F.coalesce("debug_path", F.lit("None")),

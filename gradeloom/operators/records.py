@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import grades as G
 from ..functions.text import clean_entry, single_line, spanish_key, strip
 from ..session import cut
+from .joins import lookup
 from .ordered import block_of, with_row_number
 
 # A line break inside an entry where no code/grade pair and no detached RA/EM suffix can
@@ -185,7 +186,9 @@ def files_without_duplicates(records: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("_copies"), F.first(F.struct(*rest)).alias("_row")
     ))
     bad = grouped.filter(F.col("_copies") > 1).select("file_id").distinct()
-    return grouped.join(bad, ["file_id"], "left_anti").select(*key, "_row.*")
+    return lookup(grouped, bad, ["file_id"], "student", "left_anti", written=True).select(
+        *key, "_row.*"
+    )
 
 
 def wide_grades(records: DataFrame, codes: list[str], ids: list[str]) -> DataFrame:

@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import grades as G
-from .ordered import join_on
+from .joins import lookup
 
 
 def cut_at_blank_row(cells: DataFrame, sheet: str, row: str, value: str) -> DataFrame:
     """Keep the rows above the first row of a sheet in which every cell is null."""
     filled = cells.groupBy(sheet, row).agg(F.count(value).alias("_n"))
     ends = filled.filter(F.col("_n") == 0).groupBy(sheet).agg(F.min(row).alias("_end"))
-    return join_on(cells, ends, [sheet], "left").filter(
+    return lookup(cells, ends, [sheet], row, "left").filter(
         F.col("_end").isNull() | (F.col(row) < F.col("_end"))
     ).drop("_end")
 
@@ -38,7 +38,7 @@ def final_columns(headers: DataFrame) -> DataFrame:
 def final_summary(cells: DataFrame) -> DataFrame:
     """Long summary of sheet cells ``(file_id, row_no, student, header, grade_num, grade_text)``."""
     grades = cells.select("file_id", "row_no", "student", "header", "grade_num", "grade_text")
-    kept = grades.join(final_columns(cells), ["file_id", "header"])
+    kept = lookup(grades, final_columns(cells), ["file_id", "header"], "row_no")
     num, text, header = F.col("grade_num"), F.col("grade_text"), F.col("header")
     return kept.select(
         "file_id", "row_no", "student", "mp", "header", "type_a", "grade_num", "grade_text",

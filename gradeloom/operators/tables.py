@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import grades as G
 from ..functions.text import is_blank, single_line, strip
-from .ordered import join_on, scan, with_row_number
+from .joins import join_on
+from .ordered import scan, with_row_number
 
 
 _COLUMN = ["file_id", "page_no", "col_no"]

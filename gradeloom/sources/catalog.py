@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import CATALOG_JSON
@@ -97,9 +97,9 @@ def first_names(catalog: DataFrame) -> DataFrame:
 
 
 def bundled_names(spark: SparkSession) -> DataFrame:
-    """The bundled catalogue as ``(mp_code, mp_name)``: 32 rows."""
+    """The bundled catalogue as ``(mp_code, mp_name)``: 32 rows, so it is broadcast."""
     texts = spark.range(1).select(F.lit(CATALOG_TEXT).alias("text"))
-    return first_names(parse_catalog(texts))
+    return F.broadcast(first_names(parse_catalog(texts)))
 
 
 def with_module_label(df: DataFrame, names: DataFrame, code: str = "mp") -> DataFrame:
