@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import file_name, is_blank, stem, suffix
+from ..session import cut
 from .joins import lookup
 from .ordered import scan, with_row_number
 
@@ -84,14 +85,13 @@ def unique_names(df: DataFrame, key: str, pos: str, name: str, out: str = "uniqu
     k-th number, so the work splits by name: repeats are numbered per name, and a literal
     ``stem-k`` that meets repeats of ``stem`` either came first (its number is skipped) or
     finds its name taken. That is decided once per literal, from the count of repeats
-    before it, parent names first. Names end in a suffix or at least not in a dot.
+    before it, parent names first. Names end in a suffix or at least not in a dot. The
+    numbered literals of one name and key (``a-1``, ``a-2``, ... next to ``a``) are held in
+    one row; everything else about a name may be of any size.
     """
     rows = df.select("*", F.col(key).alias("_key"), F.col(name).alias("_name"))
     numbered = with_row_number(rows, ["_key", "_name"], [F.col(pos)], "_n")
-    kept, skips = _decide_literals(numbered, pos)
-    rows = numbered
-    for part in (kept, skips):
-        rows = lookup(rows, part, ["_key", "_name"], pos, "left")
+    rows = lookup(numbered, _contested_names(numbered, pos), ["_key", "_name"], pos, "left")
     # Repeat number: the first row of a name is a repeat only if the name was taken before.
     repeat = F.col("_n") - F.when(F.coalesce("_kept", F.lit(True)), 1).otherwise(0)
     passed = F.coalesce(
@@ -106,10 +106,11 @@ def unique_names(df: DataFrame, key: str, pos: str, name: str, out: str = "uniqu
     ).drop("_key", "_name", "_n", "_kept", "_skips", "_repeat")
 
 
-def _decide_literals(numbered: DataFrame, pos: str) -> tuple[DataFrame, DataFrame]:
-    """``_kept`` per literal with a parent name, and ``_skips`` per parent name.
+def _contested_names(numbered: DataFrame, pos: str) -> DataFrame:
+    """One row per name that meets another one: ``(_key, _name, _kept, _skips)``.
 
-    ``_skips`` holds, for each kept literal, the repeat number from which it is passed.
+    ``_kept`` tells whether a literal with a parent name keeps it. ``_skips`` of a parent
+    holds, for each kept literal, the repeat number from which its number is passed.
     """
     tail = r"^(?s)(.*)-([1-9][0-9]*)$"
     names = numbered.groupBy("_key", "_name").agg(
@@ -134,15 +135,17 @@ def _decide_literals(numbered: DataFrame, pos: str) -> tuple[DataFrame, DataFram
         events, ["_key", "_name"], "_at",
         total={"_seen": F.col("_literal").isNull().cast("long")},
     ).filter(F.col("_literal").isNotNull()).drop("_at")
-    families = counted.groupBy("_key", "_name").agg(
+    families = cut(counted.groupBy("_key", "_name").agg(
         F.sort_array(F.collect_list(F.struct("_k", "_seen", "_literal"))).alias("_children")
-    )
+    ))
     depth = families.select(
         F.max(F.length(F.regexp_extract(stem(F.col("_name")), r"((?:-[1-9][0-9]*)*)$", 1)))
     ).first()[0]
 
     empty = F.array().cast("array<struct<literal:string,kept:boolean,skip:bigint>>")
-    is_literal = literals.select("_key", F.col("_literal").alias("_name"))
+    is_literal = families.select("_key", F.explode("_children").alias("_c")).select(
+        "_key", F.col("_c._literal").alias("_name")
+    )
     known = families.join(is_literal, ["_key", "_name"], "left_anti").withColumn(
         "_own", F.lit(1).cast("long")
     )
@@ -175,10 +178,13 @@ def _decide_literals(numbered: DataFrame, pos: str) -> tuple[DataFrame, DataFram
     for more in decided[1:]:
         done = done.unionByName(more)
     kept = done.select("_key", F.explode("_done").alias("_d")).select(
-        "_key", F.col("_d.literal").alias("_name"), F.col("_d.kept").alias("_kept")
+        "_key", F.col("_d.literal").alias("_name"), F.col("_d.kept").alias("_kept"),
+        F.lit(None).cast("array<bigint>").alias("_skips"),
     )
     skips = done.select(
-        "_key", "_name",
+        "_key", "_name", F.lit(None).cast("boolean").alias("_kept"),
         F.transform(F.filter("_done", lambda d: d["kept"]), lambda d: d["skip"]).alias("_skips"),
     )
-    return kept, skips
+    return kept.unionByName(skips).groupBy("_key", "_name").agg(
+        F.bool_or("_kept").alias("_kept"), F.any_value("_skips", True).alias("_skips")
+    )
