@@ -11,7 +11,7 @@ from .joins import lookup
 from .records import modules, placement_modules
 
 FIRST_GRADE_COLUMN = 3  # after ``#`` and the student
-_CENTRE, _EMPRESA, _MP = 1, 2, 3  # place after a module's outcome columns (slot 0)
+CENTRE, EMPRESA, MODULE = 1, 2, 3  # place after a module's outcome columns (slot 0)
 
 
 def module_conflicts(records: DataFrame) -> DataFrame:
@@ -52,15 +52,15 @@ def sheet_layout(records: DataFrame, type_a: DataFrame | None = None) -> DataFra
         .join(sources, ["file_id", "mp"], "left")
     )
     centre = F.struct(
-        F.lit(_CENTRE).alias("slot"), F.concat("mp", F.lit(" CENTRE")).alias("header"),
+        F.lit(CENTRE).alias("slot"), F.concat("mp", F.lit(" CENTRE")).alias("header"),
         F.lit(None).cast("string").alias("source_code"),
     )
     empresa = F.struct(
-        F.lit(_EMPRESA).alias("slot"), F.concat("mp", F.lit(" EMPRESA")).alias("header"),
+        F.lit(EMPRESA).alias("slot"), F.concat("mp", F.lit(" EMPRESA")).alias("header"),
         F.col("em_code").alias("source_code"),
     )
     final = F.struct(
-        F.lit(_MP).alias("slot"), F.col("mp").alias("header"),
+        F.lit(MODULE).alias("slot"), F.col("mp").alias("header"),
         F.col("mp_code").alias("source_code"),
     )
     slots = F.when(F.col("type_a"), F.array(centre, empresa, final)).otherwise(F.array(final))

@@ -89,7 +89,8 @@ def unique_names(df: DataFrame, key: str, pos: str, name: str, out: str = "uniqu
     numbered literals of one name and key (``a-1``, ``a-2``, ... next to ``a``) are held in
     one row; everything else about a name may be of any size.
     """
-    rows = df.select("*", F.col(key).alias("_key"), F.col(name).alias("_name"))
+    # In a struct a null key is a value like any other.
+    rows = df.select("*", F.struct(F.col(key)).alias("_key"), F.col(name).alias("_name"))
     numbered = with_row_number(rows, ["_key", "_name"], [F.col(pos)], "_n")
     rows = lookup(numbered, _contested_names(numbered, pos), ["_key", "_name"], pos, "left")
     # Repeat number: the first row of a name is a repeat only if the name was taken before.

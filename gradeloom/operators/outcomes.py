@@ -36,6 +36,12 @@ BATCH_HEAD = "Ha fallat la conversio completa d'un lot."
 SINGLE_HEAD = "Ha fallat la conversio d'un fitxer."
 CONVERTED_ONE, CONVERTED_MANY = "fitxer convertit correctament", "fitxers convertits correctament"
 FAILED_ONE, FAILED_MANY = "fitxer amb error", "fitxers amb error"
+JOB_LINE, TYPE_LINE, FILE_LINE = "Job ID: ", "Tipus de peticio: ", "Fitxer: "
+RESULT_LINE, ERROR_LINE, DEBUG_LINE = "Resultat: ", "Error principal: ", "Debug path: "
+FAILED_HEAD = "Fitxers amb error:\n"
+PARTIAL_SUBJECT = "Partial conversion failure for "
+SINGLE_SUBJECT = "Conversion failed for "
+BATCH_SUBJECT = "Batch conversion failed for "
 
 
 def public_error(error: Column, system: str = "") -> Column:
@@ -151,38 +157,38 @@ def incident_texts(
     failed = files.filter(F.col("status") == "error")
     debug = jobs.select("job_id", "debug_path")
     lines = lookup(failed, debug, ["job_id"], order).withColumn("_line", F.concat(
-        F.lit("- Fitxer: "), "source_name",
-        F.lit("\n  Error principal: "), public_error(F.col("error_message"), system),
-        F.lit("\n  Debug path: "), F.coalesce("debug_path", F.lit("None")),
+        F.lit(f"- {FILE_LINE}"), "source_name",
+        F.lit(f"\n  {ERROR_LINE}"), public_error(F.col("error_message"), system),
+        F.lit(f"\n  {DEBUG_LINE}"), F.coalesce("debug_path", F.lit("None")),
     ))
     blocks = ordered_text(lines, ["job_id"], order, "_line", "_blocks", separator="\n\n")
     told = jobs.join(batch_outcomes(files, order).drop("status", "error_message"), ["job_id"])
     told = told.join(blocks, ["job_id"], "left").filter(F.col("n_failed") > 0)
     head = F.concat(
-        F.lit("\n\nJob ID: "), "job_id", F.lit("\nTipus de peticio: "), "request_type", F.lit("\n")
+        F.lit(f"\n\n{JOB_LINE}"), "job_id", F.lit(f"\n{TYPE_LINE}"), "request_type", F.lit("\n")
     )
     failed_label = _count_label(F.col("n_failed"), FAILED_ONE, FAILED_MANY)
-    details = F.concat(F.lit("Fitxers amb error:\n"), "_blocks", F.lit("\n"))
-    main = F.concat(F.lit("Error principal: "), F.coalesce("error_message", F.lit("None")), F.lit("\n"))
+    details = F.concat(F.lit(FAILED_HEAD), "_blocks", F.lit("\n"))
+    main = F.concat(F.lit(ERROR_LINE), F.coalesce("error_message", F.lit("None")), F.lit("\n"))
     single = F.concat(
-        F.lit(SINGLE_HEAD), head, F.lit("Fitxer: "), "source_name", F.lit("\n"), main,
-        F.lit("Debug path: "), F.coalesce("debug_path", F.lit("None")), F.lit("\n"),
+        F.lit(SINGLE_HEAD), head, F.lit(FILE_LINE), "source_name", F.lit("\n"), main,
+        F.lit(DEBUG_LINE), F.coalesce("debug_path", F.lit("None")), F.lit("\n"),
     )
     partial = F.concat(
-        F.lit(PARTIAL_HEAD), head, F.lit("Resultat: "),
+        F.lit(PARTIAL_HEAD), head, F.lit(RESULT_LINE),
         _count_label(F.col("n_success"), CONVERTED_ONE, CONVERTED_MANY),
         F.lit(" i "), failed_label, F.lit(".\n"), details,
     )
     whole = F.concat(
-        F.lit(BATCH_HEAD), head, F.lit(f"Resultat: 0 {CONVERTED_MANY} i "), failed_label,
+        F.lit(BATCH_HEAD), head, F.lit(f"{RESULT_LINE}0 {CONVERTED_MANY} i "), failed_label,
         F.lit(".\n"), main, details,
     )
     is_partial = F.col("outcome") == "partial"
     is_single = F.col("request_type") == "pdf"
     subject = (
-        F.when(is_partial, "Partial conversion failure for ")
-        .when(is_single, "Conversion failed for ")
-        .otherwise("Batch conversion failed for ")
+        F.when(is_partial, PARTIAL_SUBJECT)
+        .when(is_single, SINGLE_SUBJECT)
+        .otherwise(BATCH_SUBJECT)
     )
     return told.select(
         "job_id",

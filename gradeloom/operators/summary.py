@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import grades as G
 from .joins import lookup
+from .layout import CENTRE, MODULE, sheet_cells
 
 
 def cut_at_blank_row(cells: DataFrame, sheet: str, row: str, value: str) -> DataFrame:
@@ -35,12 +36,29 @@ def final_columns(headers: DataFrame) -> DataFrame:
     )
 
 
+def final_summary_of_rows(rows: DataFrame) -> DataFrame:
+    """Long summary of detailed sheet rows.
+
+    A row holds every column of its sheet, so its final columns are picked in place.
+    """
+    def is_final(cell: Column) -> Column:
+        has_centre = F.exists("cells", lambda c: (c["slot"] == CENTRE) & (c["mp"] == cell["mp"]))
+        return (cell["slot"] == CENTRE) | ((cell["slot"] == MODULE) & ~has_centre)
+
+    finals = sheet_cells(rows.withColumn("cells", F.filter("cells", is_final)))
+    return _checked(finals.withColumn("type_a", F.col("slot") == CENTRE))
+
+
 def final_summary(cells: DataFrame) -> DataFrame:
     """Long summary of sheet cells ``(file_id, row_no, student, header, grade_num, grade_text)``."""
     grades = cells.select("file_id", "row_no", "student", "header", "grade_num", "grade_text")
     kept = lookup(grades, final_columns(cells), ["file_id", "header"], "row_no")
+    return _checked(kept)
+
+
+def _checked(finals: DataFrame) -> DataFrame:
     num, text, header = F.col("grade_num"), F.col("grade_text"), F.col("header")
-    return kept.select(
+    return finals.select(
         "file_id", "row_no", "student", "mp", "header", "type_a", "grade_num", "grade_text",
         G.rounded_display(num, text, header).alias("shown"),
         G.summary_status(num, text, header).alias("status"),

@@ -454,15 +454,18 @@ def review_status(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def _edited_cells(spark: SparkSession, folder: str) -> DataFrame:
+def _edited_rows(spark: SparkSession, folder: str) -> DataFrame:
     """Detailed sheets in which staff filled the CENTRE columns."""
-    cells = layout.sheet_cells(reports.detailed_sheet(D.grade_records(spark, folder)))
-    centre = F.col("slot") == 1
     mark = (F.col("row_no") * 7 % 110).cast("double") / 10
-    return cells.withColumns({
-        "grade_num": F.when(centre, mark).otherwise(F.col("grade_num")),
-        "grade_text": F.when(~centre, F.col("grade_text")),
-    })
+
+    def fill(cell):
+        centre = cell["slot"] == layout.CENTRE
+        return cell.withField(
+            "grade_num", F.when(centre, mark).otherwise(cell["grade_num"])
+        ).withField("grade_text", F.when(~centre, cell["grade_text"]))
+
+    rows = reports.detailed_sheet(D.grade_records(spark, folder))
+    return rows.withColumn("cells", F.transform("cells", fill))
 
 
 _FINAL_SQL = f"""{_SHEET_SQL}, final AS (
@@ -481,13 +484,13 @@ _FINAL_SQL = f"""{_SHEET_SQL}, final AS (
 @query(f"{_FINAL_SQL} SELECT * FROM final")
 def final_summary(spark: SparkSession, folder: str) -> DataFrame:
     """Final column of each module with display, status and range check."""
-    return summary.final_summary(_edited_cells(spark, folder))
+    return reports.final_grade_summary(_edited_rows(spark, folder))
 
 
 @query(f"{_FINAL_SQL} SELECT file_id, header, status, count(*) AS n FROM final GROUP BY ALL")
 def summary_status(spark: SparkSession, folder: str) -> DataFrame:
-    """Review status of the final columns, counted."""
-    final = summary.final_summary(_edited_cells(spark, folder))
+    """Review status of the final columns, counted; from sheets in long form."""
+    final = summary.final_summary(layout.sheet_cells(_edited_rows(spark, folder)))
     return final.groupBy("file_id", "header", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -495,7 +498,7 @@ def summary_status(spark: SparkSession, folder: str) -> DataFrame:
 FROM final WHERE out_of_range""")
 def range_violations(spark: SparkSession, folder: str) -> DataFrame:
     """Final grades outside the accepted range."""
-    final = summary.final_summary(_edited_cells(spark, folder))
+    final = reports.final_grade_summary(_edited_rows(spark, folder))
     return final.filter("out_of_range").select(
         "file_id", "row_no", "student", "header", "grade_num", "grade_text"
     )

@@ -49,4 +49,4 @@ def pending_summary(records: DataFrame, names: DataFrame | None = None) -> DataF
 
 def final_grade_summary(sheet_rows: DataFrame) -> DataFrame:
     """Final column of every module, with status and range check."""
-    return summary.final_summary(layout.sheet_cells(sheet_rows))
+    return summary.final_summary_of_rows(sheet_rows)
