@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import grades as G
 from ..functions.text import blank_literal_na
+from ..session import cut
 from .joins import lookup
 from .records import modules, placement_modules
 
@@ -31,11 +32,12 @@ def sheet_layout(records: DataFrame, type_a: DataFrame | None = None) -> DataFra
     ``source_code`` names the records that fill the column: none for CENTRE, the last
     placement code for EMPRESA. The window below holds the columns of one sheet.
     """
-    type_a = placement_modules(records) if type_a is None else type_a
-    by_code = records.select("file_id", "code").distinct().select(
+    codes = cut(records.select("file_id", "code", "kind").distinct())  # read four times
+    type_a = placement_modules(codes) if type_a is None else type_a
+    by_code = codes.select("file_id", "code").distinct().select(
         "*", G.column_kind(F.col("code")).alias("kind"), G.module_of(F.col("code")).alias("mp")
     )
-    listed = modules(records)
+    listed = modules(codes)
     outcomes = by_code.join(listed, ["file_id", "mp"], "left_semi").filter(
         F.col("kind") == "RA"
     ).select(
