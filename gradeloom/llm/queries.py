@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, sharding
+from . import fingerprints, mixing, sharding
 from .common import table
 
 
@@ -12,9 +12,13 @@ def op2_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).drop("source", "repeats")
 
 
-QUERIES = {"op2_shards": op2_shards, "op10_mix": op10_mix}
+QUERIES = {"op2_shards": op2_shards, "op3_fingerprints": op3_fingerprints, "op10_mix": op10_mix}
 ORACLE = {"op10_mix": mixing.ORACLE}
