@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, mixing, sharding
+from . import bpe, fingerprints, mixing, sharding
 from .common import table
 
 
@@ -16,9 +17,14 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return bpe.round_trip(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+
+
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).drop("source", "repeats")
 
 
-QUERIES = {"op2_shards": op2_shards, "op3_fingerprints": op3_fingerprints, "op10_mix": op10_mix}
+QUERIES = {"op2_shards": op2_shards, "op3_fingerprints": op3_fingerprints, "op6_bpe": op6_bpe, "op10_mix": op10_mix}
 ORACLE = {"op10_mix": mixing.ORACLE}
