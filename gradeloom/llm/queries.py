@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, mixing, sharding
+from . import bpe, fingerprints, mixing, pii, sharding
 from .common import table
 
 
@@ -22,9 +22,13 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(table(spark, sf_dir, "documents"))
+
+
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).drop("source", "repeats")
 
 
-QUERIES = {"op2_shards": op2_shards, "op3_fingerprints": op3_fingerprints, "op6_bpe": op6_bpe, "op10_mix": op10_mix}
+QUERIES = {"op2_shards": op2_shards, "op3_fingerprints": op3_fingerprints, "op6_bpe": op6_bpe, "op7_pii": op7_pii, "op10_mix": op10_mix}
 ORACLE = {"op10_mix": mixing.ORACLE}
