@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, mixing, pii, sharding
+from . import bpe, fingerprints, mixing, pii, sharding, topk
 from .common import table
 
 
@@ -17,6 +17,11 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, vectors.filter("vec_id % 20 = 0"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return bpe.round_trip(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
@@ -30,5 +35,5 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).drop("source", "repeats")
 
 
-QUERIES = {"op2_shards": op2_shards, "op3_fingerprints": op3_fingerprints, "op6_bpe": op6_bpe, "op7_pii": op7_pii, "op10_mix": op10_mix}
-ORACLE = {"op10_mix": mixing.ORACLE}
+QUERIES = {"op2_shards": op2_shards, "op3_fingerprints": op3_fingerprints, "op5_topk": op5_topk, "op6_bpe": op6_bpe, "op7_pii": op7_pii, "op10_mix": op10_mix}
+ORACLE = {"op5_topk": topk.ORACLE, "op10_mix": mixing.ORACLE}
