@@ -5,10 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, mixing, pii, sharding, topk
+from . import bpe, fingerprints, html_text, mixing, pii, sharding, topk
 from .common import table
 
 
+def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op2_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -35,5 +39,5 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).drop("source", "repeats")
 
 
-QUERIES = {"op2_shards": op2_shards, "op3_fingerprints": op3_fingerprints, "op5_topk": op5_topk, "op6_bpe": op6_bpe, "op7_pii": op7_pii, "op10_mix": op10_mix}
+QUERIES = {"op1_main_text": op1_main_text, "op2_shards": op2_shards, "op3_fingerprints": op3_fingerprints, "op5_topk": op5_topk, "op6_bpe": op6_bpe, "op7_pii": op7_pii, "op10_mix": op10_mix}
 ORACLE = {"op5_topk": topk.ORACLE, "op10_mix": mixing.ORACLE}
