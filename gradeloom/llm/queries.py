@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, html_text, langid, mixing, pii, sharding, topk
+from . import bpe, fingerprints, html_text, langid, lm_score, mixing, pii, sharding, topk
 from .common import table
 
 
@@ -35,6 +35,10 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(table(spark, sf_dir, "documents"))
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_languages(table(spark, sf_dir, "documents"))
 
@@ -43,5 +47,5 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).drop("source", "repeats")
 
 
-QUERIES = {"op1_main_text": op1_main_text, "op2_shards": op2_shards, "op3_fingerprints": op3_fingerprints, "op5_topk": op5_topk, "op6_bpe": op6_bpe, "op7_pii": op7_pii, "op9_language": op9_language, "op10_mix": op10_mix}
+QUERIES = {"op1_main_text": op1_main_text, "op2_shards": op2_shards, "op3_fingerprints": op3_fingerprints, "op5_topk": op5_topk, "op6_bpe": op6_bpe, "op7_pii": op7_pii, "op8_lm_score": op8_lm_score, "op9_language": op9_language, "op10_mix": op10_mix}
 ORACLE = {"op5_topk": topk.ORACLE, "op10_mix": mixing.ORACLE}
