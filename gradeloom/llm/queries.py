@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, html_text, langid, lm_score, mixing, pii, sharding, topk
+from . import bpe, fingerprints, html_text, langid, lm_score, mixing, ngram_join, pii, sharding, topk
 from .common import table
 
 
@@ -21,6 +21,10 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return topk.top_k(vectors, vectors.filter("vec_id % 20 = 0"))
@@ -47,5 +51,5 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).drop("source", "repeats")
 
 
-QUERIES = {"op1_main_text": op1_main_text, "op2_shards": op2_shards, "op3_fingerprints": op3_fingerprints, "op5_topk": op5_topk, "op6_bpe": op6_bpe, "op7_pii": op7_pii, "op8_lm_score": op8_lm_score, "op9_language": op9_language, "op10_mix": op10_mix}
-ORACLE = {"op5_topk": topk.ORACLE, "op10_mix": mixing.ORACLE}
+QUERIES = {"op1_main_text": op1_main_text, "op2_shards": op2_shards, "op3_fingerprints": op3_fingerprints, "op4_ngram_join": op4_ngram_join, "op5_topk": op5_topk, "op6_bpe": op6_bpe, "op7_pii": op7_pii, "op8_lm_score": op8_lm_score, "op9_language": op9_language, "op10_mix": op10_mix}
+ORACLE = {"op4_ngram_join": ngram_join.ORACLE, "op5_topk": topk.ORACLE, "op10_mix": mixing.ORACLE}
