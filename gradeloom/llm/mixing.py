@@ -9,22 +9,25 @@ sources finds the water level instead of a loop.
 A source's target is then read as whole repetitions of all its documents plus a rest. The
 rest is a seeded sample: documents in the order of a hash, up to the document that brings
 the sum nearest to the target. The order is never sorted as a whole: hash cells (4,096 a
-source) are summed, and only the documents of one cell are put in order at a time, so a
-source with a third of all rows is spread over 4,096 groups.
+source) are summed, and only the documents of the one cell in which the sum passes the
+target are put in order. What comes out is one hash per source up to which documents are
+taken once more, so reading the mix moves no text.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.joins import lookup
+from ..operators.joins import join_on, lookup
 from ..session import cut
 from .common import WORD
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 SEED = "mix-1"
+#: Hex digits of a hash that name its cell: 4,096 cells a source.
+CELL_DIGITS = 3
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -58,27 +61,28 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOC
     )
 
 
-def mix_sources(
-    docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED
-) -> DataFrame:
-    """How often the mix reads each document.
+def _drawn(seed: str) -> Column:
+    """A seeded hash of the id in hex; its order is the order of the sample."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
 
-    ``docs`` needs ``doc_id, text, source``; other columns are ignored. Returns ``doc_id,
-    source, size, source_size, target, repeats, taken`` with one row per input row.
 
-    A null text has size 0; a null source is a source of its own, last in order. Repeated
-    rows count each; among rows with one ``doc_id`` the rest of a source goes to any of
-    them. An empty table gives an empty result, a source without words the target 0.
-    """
-    drawn = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    rows = cut(
+def _sized(docs: DataFrame, seed: str) -> DataFrame:
+    """``doc_id, source, size, drawn, cell``, written once: texts are read and counted one time."""
+    return cut(
         docs.select(
             "doc_id",
             "source",
             F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-            drawn.alias("drawn"),
-        ).withColumn("cell", F.substring("drawn", 1, 3))
+            _drawn(seed).alias("drawn"),
+        ).withColumn("cell", F.substring("drawn", 1, CELL_DIGITS))
     )
+
+
+def _plan(rows: DataFrame, weights, max_epochs: int) -> DataFrame:
+    """``source, source_size, target, whole, last_drawn``: one row per source.
+
+    A document is read ``whole`` times, and once more if its hash is at most ``last_drawn``.
+    """
     cells = rows.groupBy("source", "cell").agg(F.sum("size").alias("cell_size"))
     targets = source_targets(
         cells.groupBy("source").agg(F.sum("cell_size").alias("source_size")), weights, max_epochs
@@ -87,36 +91,58 @@ def mix_sources(
     plan = targets.withColumn("whole", F.coalesce(whole, F.lit(0)).cast("int")).withColumn(
         "rest", F.col("target") - F.col("whole") * F.col("source_size")
     )
-    # The cell in which the running sum of a source passes its rest; one row per source.
+    # The cell in which the running sum of a source passes its rest.
     along = Window.partitionBy("source").orderBy("cell")
-    passing = (
-        cells.withColumn("after", F.sum("cell_size").over(along))
-        .withColumnRenamed("source", "_source")
-        .join(plan.select("source", "rest"), F.col("_source").eqNullSafe(F.col("source")))
+    passing = cut(
+        join_on(cells.withColumn("after", F.sum("cell_size").over(along)), plan, ["source"])
         .filter(F.col("after") > F.col("rest"))
         .groupBy("source")
         .agg(
-            F.min("cell").alias("cut_cell"),
-            F.min_by(F.col("after") - F.col("cell_size"), "cell").alias("cut_before"),
+            F.min("cell").alias("cell"),
+            F.min_by(F.col("after") - F.col("cell_size"), "cell").alias("before"),
+            F.first("rest").alias("rest"),
         )
     )
-    plan = (
-        plan.join(passing.withColumnRenamed("source", "_source"),
-                  F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
-    )
+    # Inside that cell: a document is taken if that brings the sum nearer to the rest. All
+    # before it are then taken too, so the last one's hash tells which are.
     inside = (
-        Window.partitionBy("source", "cell").orderBy("drawn", "doc_id", "size")
+        Window.partitionBy("source").orderBy("drawn", "doc_id", "size")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    so_far = F.col("cut_before") + F.coalesce(F.sum("size").over(inside), F.lit(0))
-    extra = (
-        F.when(F.col("cut_cell").isNull() | (F.col("cell") > F.col("cut_cell")), 0)
-        .when(F.col("cell") < F.col("cut_cell"), 1)
-        .otherwise((so_far + F.col("size") / 2 <= F.col("rest")).cast("int"))
+    last = (
+        lookup(rows, passing, ["source", "cell"], "drawn", written=True)
+        .withColumn("so_far", F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
+        .filter(F.col("so_far") + F.col("size") / 2 <= F.col("rest"))
+        .groupBy("source").agg(F.max("drawn").alias("last"))
+    )
+    passing = join_on(passing, last, ["source"], "left").select(
+        "source", F.coalesce("last", "cell").alias("last_drawn")
+    )
+    return join_on(plan, passing, ["source"], "left").select(
+        "source", "source_size", "target", "whole", "last_drawn"
     )
+
+
+def _repeats() -> Column:
+    return F.col("whole") + F.coalesce((F.col("drawn") <= F.col("last_drawn")).cast("int"), F.lit(0))
+
+
+def mix_sources(
+    docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED
+) -> DataFrame:
+    """How often the mix reads each document.
+
+    ``docs`` needs ``doc_id, text, source``; other columns are ignored. Returns ``doc_id,
+    source, size, source_size, target, repeats, taken`` with one row per input row.
+
+    A null text has size 0; a null source is a source of its own, last in order. Rows with
+    one ``doc_id`` in a source are repeated alike. An empty table gives an empty result, a
+    source without words the target 0.
+    """
+    rows = _sized(docs, seed)
     return (
-        lookup(rows, plan, ["source"], "drawn")
-        .withColumn("repeats", F.col("whole") + extra)
+        lookup(rows, _plan(rows, weights, max_epochs), ["source"], "drawn")
+        .withColumn("repeats", _repeats())
         .select(
             "doc_id", "source", "size", "source_size", "target", "repeats",
             (F.col("repeats") * F.col("size")).alias("taken"),
@@ -124,6 +150,18 @@ def mix_sources(
     )
 
 
+def mix_documents(
+    docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED
+) -> DataFrame:
+    """The mix itself: every row of ``docs`` as often as :func:`mix_sources` says, all columns."""
+    plan = _plan(_sized(docs, seed), weights, max_epochs)
+    rows = docs.select(F.struct("*").alias("row"), "source", _drawn(seed).alias("drawn"))
+    return (
+        lookup(rows, plan, ["source"], "drawn")
+        .select(F.explode(F.array_repeat("row", _repeats())).alias("row")).select("row.*")
+    )
+
+
 ORACLE = f"""WITH sized AS (
  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '{WORD}')), 0) AS BIGINT) AS size,
   md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS drawn FROM documents),

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .common import partitions
+from .common import WORD, partitions
 from .graph import components
 from .packed import CHUNK_CHARS, Numbered, expand, squeeze
 
@@ -400,19 +400,8 @@ def _with_root(members: DataFrame, roots: DataFrame) -> DataFrame:
     ).drop("node", "_root")
 
 
-def link_documents(docs: DataFrame, buckets: int | None = None) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` of every document.
-
-    ``docs`` needs ``doc_id`` and ``text``; other columns are ignored. Two documents link if
-    their sets of distinct 4-word shingles have a Jaccard similarity of at least 0.85; a text
-    of one to three words is one shingle. ``component_id`` is the smallest id that links
-    reach, the own one included.
-
-    A text that is null, empty or without words has an empty set and links with nothing; its
-    component is its own id. Repeated rows and equal texts are in one component. Null ids
-    count as no id: they take the component's smallest other id, or null. An empty table
-    gives an empty result.
-    """
+def _labelled(docs: DataFrame, buckets: int | None) -> DataFrame:
+    """``doc_id, text_key, n, set_id, root``; sets with one root are connected."""
     spark = docs.sparkSession
     buckets = buckets or max(LEAST_BUCKETS, partitions(spark))
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("text_key", F.xxhash64("text"))
@@ -470,7 +459,23 @@ def link_documents(docs: DataFrame, buckets: int | None = None) -> DataFrame:
         links = links.unionByName(cut(_links(pairs, sets)))
         roots = components(links)
 
-    labelled = _with_root(documents, roots)
+    return _with_root(documents, roots)
+
+
+def link_documents(docs: DataFrame, buckets: int | None = None) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` of every document.
+
+    ``docs`` needs ``doc_id`` and ``text``; other columns are ignored. Two documents link if
+    their sets of distinct 4-word shingles have a Jaccard similarity of at least 0.85; a text
+    of one to three words is one shingle. ``component_id`` is the smallest id that links
+    reach, the own one included.
+
+    A text that is null, empty or without words has an empty set and links with nothing; its
+    component is its own id. Repeated rows and equal texts are in one component. Null ids
+    count as no id: they take the component's smallest other id, or null. An empty table
+    gives an empty result.
+    """
+    labelled = _labelled(docs, buckets)
     least = labelled.filter("n > 0").groupBy(F.col("root").alias("_root")).agg(F.min("doc_id").alias("least"))
     return labelled.join(least, F.col("root") == F.col("_root"), "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
@@ -478,6 +483,26 @@ def link_documents(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     )
 
 
+def keep_one(docs: DataFrame, buckets: int | None = None) -> DataFrame:
+    """One row of each group of linked documents, with all columns: the one with the smallest id.
+
+    Null ids come last. Of repeated rows one stays. Texts without words link with nothing and
+    all stay.
+    """
+    boxed = docs.select(
+        F.struct("*").alias("row"), "doc_id", F.xxhash64(F.col("text").cast("string")).alias("text_key"),
+        F.coalesce(F.col("text").cast("string").rlike(WORD), F.lit(False)).alias("words"),
+    )
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("text_key").alias("key"))
+    kept = _labelled(docs, buckets).filter("n > 0").groupBy("root").agg(F.min(order).alias("one")).select(
+        F.col("one.id").alias("_id"), F.col("one.key").alias("_key")
+    )
+    one = boxed.filter("words").join(
+        kept, (F.col("text_key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi"
+    ).dropDuplicates(["text_key", "doc_id"])
+    return one.select("row.*").unionByName(boxed.filter("not words").select("row.*"))
+
+
 ORACLE = r"""WITH RECURSIVE w AS (
  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
   '[^\x20\x09-\x0D]+') AS words FROM documents),

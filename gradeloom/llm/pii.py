@@ -21,8 +21,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.joins import lookup
 from ..session import cut
-from .common import GAP, fresh, sha
+from .common import GAP, sha
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -244,7 +245,6 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     of different kinds may overlap; a learnt one touches no base span. An empty table gives
     an empty result. Null ids stay null.
     """
-    learnt = learnt_spans(docs.select("text")).withColumnRenamed("text_key", "_key")
     base = docs.select(
         "doc_id", sha("text").alias("text_key"),
         _plain(base_spans(F.coalesce("text", F.lit("")))).alias("base"),
@@ -254,7 +254,8 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
         return F.size(F.filter("base", lambda s: s["rank"] == rank)).cast("long").alias(f"n_{kind}")
 
     counts = [count(rank, kind) for rank, kind in enumerate(KINDS)]
-    return base.join(learnt, F.col("text_key") == F.col("_key"), "left").select(
+    # Copies of one text may be a third of all rows: see lookup.
+    return lookup(base, learnt_spans(docs.select("text")), ["text_key"], "doc_id", "left").select(
         "doc_id", *counts, F.sha2(spans_text(F.col("base")), 256).alias("base_sha256"),
         spans_text(every).alias("spans"),
     )
@@ -263,20 +264,20 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
 def mask_personal_data(docs: DataFrame) -> DataFrame:
     """All rows and columns of ``docs``, with each span of ``text`` replaced by ``[KIND]``.
 
-    Overlapping spans are masked as one, named after the first. Null texts stay null.
+    ``docs`` needs ``doc_id, text``. Overlapping spans are masked as one, named after the first. Null texts stay null.
     Columns other than ``text`` pass unchanged, whatever their names.
     """
-    key, other, base, learnt = fresh(docs, "_key", "_other", "_spans", "_learnt")
-    extra = learnt_spans(docs.select("text")).select(F.col("text_key").alias(other), F.col("learnt").alias(learnt))
     none = F.array().cast("array<struct<start:int,rank:int,end:int>>")
-    rows = docs.withColumn(key, sha("text")).join(extra, F.col(key) == F.col(other), "left")
-    rows = rows.withColumn(base, F.sort_array(F.concat(
-        _plain(base_spans(F.coalesce("text", F.lit("")))), F.coalesce(F.col(learnt), none)
-    )))
+    rows = docs.select(F.struct("*").alias("row"), "text", sha("text").alias("text_key"), "doc_id")
+    rows = lookup(rows, learnt_spans(docs.select("text")), ["text_key"], "doc_id", "left").withColumn(
+        "spans", F.sort_array(F.concat(
+            _plain(base_spans(F.coalesce("text", F.lit("")))), F.coalesce("learnt", none)
+        ))
+    )
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     masked = F.aggregate(
-        F.col(base), start,
+        F.col("spans"), start,
         lambda acc, s: F.when(s["start"] >= acc["at"], F.struct(
             s["end"].alias("at"),
             F.concat(acc["out"], F.substring("text", acc["at"] + 1, s["start"] - acc["at"]),
@@ -284,5 +285,5 @@ def mask_personal_data(docs: DataFrame) -> DataFrame:
         )).otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))),
         lambda acc: F.concat(acc["out"], F.substring("text", acc["at"] + 1, F.length("text"))),
     )
-    text = F.when(F.size(base) > 0, masked).otherwise(F.col("text"))
-    return rows.withColumn("text", text).select(*[F.col(f"`{c}`") for c in docs.columns])
+    text = F.when(F.size("spans") > 0, masked).otherwise(F.col("text"))
+    return rows.select(F.col("row").withField("text", text).alias("row")).select("row.*")
