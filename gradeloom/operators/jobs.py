@@ -104,14 +104,14 @@ def metadata_map(raw: Column) -> Column:
 
 
 def existing_paths(artifacts: DataFrame) -> DataFrame:
-    """Every listed file and the folders above it, for a semi join (some more than once)."""
+    """Every listed file and the folders above it, once each, for a semi join."""
     files = artifacts.select("path")
     folders = files.select(F.regexp_extract("path", "^(.*)/", 1).alias("folder")).distinct()
     parts = F.split("folder", "/")
     upper = F.transform(
         F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/")
     )
-    return files.unionByName(folders.select(F.explode(upper).alias("path")))
+    return files.distinct().unionByName(folders.select(F.explode(upper).alias("path")).distinct())
 
 
 def artifact_flags(jobs: DataFrame, artifacts: DataFrame) -> DataFrame:

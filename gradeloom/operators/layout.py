@@ -16,8 +16,11 @@ CENTRE, EMPRESA, MODULE = 1, 2, 3  # place after a module's outcome columns (slo
 
 
 def module_conflicts(records: DataFrame) -> DataFrame:
-    """Modules whose grade comes under more than one code, so that columns would collide."""
-    codes = records.filter(F.col("kind") == "MP").groupBy(
+    """Modules whose grade comes under more than one code, so that columns would collide.
+
+    A code is a module's by its suffix, as in the sheet, whatever its record was found as.
+    """
+    codes = records.filter(G.column_kind(F.col("code")) == "MP").groupBy(
         "file_id", G.module_of(F.col("code")).alias("mp")
     ).agg(F.countDistinct("code").cast("int").alias("n_codes"))
     return codes.filter(F.col("n_codes") > 1)
@@ -32,8 +35,9 @@ def sheet_layout(records: DataFrame, type_a: DataFrame | None = None) -> DataFra
     ``source_code`` names the records that fill the column: none for CENTRE, the last
     placement code for EMPRESA. The window below holds the columns of one sheet.
     """
+    if type_a is None:
+        type_a = placement_modules(records)
     codes = cut(records.select("file_id", "code", "kind").distinct())  # read four times
-    type_a = placement_modules(codes) if type_a is None else type_a
     by_code = codes.select("file_id", "code").distinct().select(
         "*", G.column_kind(F.col("code")).alias("kind"), G.module_of(F.col("code")).alias("mp")
     )

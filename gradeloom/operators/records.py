@@ -15,7 +15,6 @@ from .ordered import block_of, with_row_number
 # reach across: the text before it ends in ``- <token without _>``. A pair holds one dash
 # with nothing but the grade after it, and a code needs its ``_`` next to its first token.
 _BOUNDARY = r"(?U)(?<=-\s{0,8}[^\s_-]{1,8})\n(?!(?:RA|EM)(?:\s|\(|$))"
-_PART = 1 << 20  # entry pieces per block stay below this
 
 
 def entry_pieces(fragments: DataFrame, block: int | None = None) -> DataFrame:
@@ -40,7 +39,7 @@ def entry_pieces(fragments: DataFrame, block: int | None = None) -> DataFrame:
         *keys, "first_row", "_block",
         F.size("_pieces").alias("_n"),
         F.posexplode("_pieces").alias("_i", "entry"),
-    ).withColumn("part", F.col("_block") * _PART + F.col("_i"))
+    ).withColumn("part", F.struct(F.col("_block").alias("block"), F.col("_i").alias("piece")))
     is_edge = (F.col("_i") == 0) | (F.col("_i") == F.col("_n") - 1)
 
     # Edges: the last piece of a block continues in the first piece of the next one.
@@ -52,7 +51,7 @@ def entry_pieces(fragments: DataFrame, block: int | None = None) -> DataFrame:
     joined = edges.groupBy(*keys, "_chain").agg(
         F.min("first_row").alias("first_row"),
         F.min("part").alias("part"),
-        F.expr("listagg(entry, '\\n') WITHIN GROUP (ORDER BY part)").alias("entry"),
+        F.expr("array_join(transform(array_sort(collect_list(struct(part, entry))), x -> x.entry), '\\n')").alias("entry"),
     )
     columns = [*keys, "first_row", "part", "entry"]
     return pieces.filter(~is_edge).select(*columns).unionByName(joined.select(*columns))
@@ -79,7 +78,8 @@ def extract_records(entries: DataFrame, ids: list[str], entry: str = "entry") ->
     """All code/grade pairs of each entry: RA, then EM, then MP.
 
     ``entries`` may carry ``col_no``, ``first_row`` and ``part``, which order the result.
-    A code without a grade gives an empty text grade.
+    A code without a grade gives an empty text grade. ``capital_em`` tells whether the
+    entry's text holds a capital ``EM``, which :func:`placement_modules` asks for.
     """
     found = F.concat(*[_pairs(F.col("_entry"), k, n) for n, k in enumerate(G.PATTERNS)])
     have = set(entries.columns)
@@ -87,9 +87,14 @@ def extract_records(entries: DataFrame, ids: list[str], entry: str = "entry") ->
     def place(name: str, kind: str) -> Column:
         return (F.col(name) if name in have else F.lit(0)).cast(kind).alias(name)
 
+    part = F.col("part") if "part" in have else F.struct(
+        F.lit(0).cast("long").alias("block"), F.lit(0).alias("piece")
+    ).alias("part")
+
     pairs = entries.withColumn("_entry", clean_entry(F.col(entry))).select(
         *ids,
-        place("col_no", "int"), place("first_row", "long"), place("part", "long"),
+        place("col_no", "int"), place("first_row", "long"), part,
+        F.contains("_entry", F.lit("EM")).alias("capital_em"),
         F.posexplode(found).alias("nth", "_pair"),
     )
     return pairs.select(
@@ -98,6 +103,7 @@ def extract_records(entries: DataFrame, ids: list[str], entry: str = "entry") ->
         F.col("_pair.kind").alias("kind"),
         G.grade_num(F.col("_pair.raw")).alias("grade_num"),
         G.grade_text(F.col("_pair.raw")).alias("grade_text"),
+        "capital_em",
         F.struct(
             F.col("_pair.kind_no").alias("kind_no"), "col_no", "first_row", "part", "nth"
         ).alias("pos"),
@@ -141,11 +147,20 @@ def modules_with_em(entries: DataFrame, modules: DataFrame) -> DataFrame:
 
 
 def placement_modules(records: DataFrame) -> DataFrame:
-    """Type A modules, from records that are already extracted."""
-    em = records.filter(F.col("kind") == "EM").select(
-        "file_id", G.module_of(F.col("code")).alias("mp")
-    )
-    return em.distinct().join(modules(records), ["file_id", "mp"], "left_semi")
+    """Type A modules, from records that are already extracted.
+
+    A student's placement codes count only if the student's text holds a capital ``EM``.
+    ``capital_em`` tells so where the records carry it; else the codes themselves do.
+    """
+    em = records.filter(F.col("kind") == "EM")
+    keys = [c for c in ("file_id", "student") if c in records.columns]
+    shown = F.contains("code", F.lit("EM"))
+    if "capital_em" in records.columns:
+        gate = records.filter(F.coalesce("capital_em", shown)).select(*keys).distinct()
+    else:
+        gate = em.filter(shown).select(*keys).distinct()
+    placed = em.join(gate, keys, "left_semi").select("file_id", G.module_of(F.col("code")).alias("mp"))
+    return placed.distinct().join(modules(records), ["file_id", "mp"], "left_semi")
 
 
 def tidy_names(records: DataFrame) -> DataFrame:
@@ -192,8 +207,11 @@ def files_without_duplicates(records: DataFrame) -> DataFrame:
 
 
 def wide_grades(records: DataFrame, codes: list[str], ids: list[str]) -> DataFrame:
-    """Student by code table of displayed grades; run :func:`split_duplicates` first."""
-    shown = records.filter(F.col("code").isin(codes)).select(
+    """Student by code table of displayed grades; run :func:`split_duplicates` first.
+
+    Every student has a row, also one without any of the ``codes``.
+    """
+    shown = records.select(
         *ids, "code", G.display(F.col("grade_num"), F.col("grade_text")).alias("_shown")
     )
     return shown.groupBy(*ids).pivot("code", codes).agg(F.first("_shown")).na.fill("", codes)

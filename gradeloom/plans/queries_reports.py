@@ -242,12 +242,11 @@ def group_codes(spark: SparkSession, folder: str) -> DataFrame:
 
 # --- records ---------------------------------------------------------------------------
 
-@query(f"""WITH {D.GRADES_SQL} SELECT file_id, student, code,
- CASE WHEN kind = 'MP' THEN code || ' (1) - ' || grade_raw ELSE code || ' (1) - ' || grade_raw END AS entry
-FROM grades WHERE grade_raw <> ''""")
+@query(f"""WITH {D.GRADES_SQL} SELECT file_id, student, code, rtrim(code || ' (1) - ' || grade_raw) AS entry
+FROM grades""")
 def clean_entries(spark: SparkSession, folder: str) -> DataFrame:
     """Entries torn apart by the page layout, put together again."""
-    rows = D.grades(spark, folder).filter(F.col("grade_raw") != "")
+    rows = D.grades(spark, folder)
     torn = F.concat(
         F.lit("  "), F.regexp_replace("code", "(RA|EM)$", "  \n $1"),
         F.lit(" \t(1)  - "), "grade_raw", F.lit("\n"),
@@ -389,15 +388,19 @@ def spanish_keys(spark: SparkSession, folder: str) -> DataFrame:
     return words.select("student", spanish_key(F.col("student")).alias("sort_key"), "n")
 
 
-_PIVOT_CODES = [f"0647_CF00_0{n}RA" for n in range(1, 7)] + ["0647_CF00_07EM", "0647_CF00"]
+# Every code the derived grades can hold: six modules with seven outcomes and a module grade.
+_PIVOT_CODES = [
+    code for mp in range(6) for stem in [f"0{647 + mp}_CF0{mp % 3}"]
+    for code in [f"{stem}_0{n}{'EM' if n == 7 and mp % 2 == 0 else 'RA'}" for n in range(1, 8)] + [stem]
+]
 
 
 @query(f"WITH {D.GRADES_SQL} SELECT file_id, student, " + ", ".join(
     f"""coalesce(max(CASE WHEN code = '{c}' THEN coalesce(CAST(CAST(grade_num AS INTEGER) AS VARCHAR), grade_text) END), '') AS "{c}\""""
     for c in _PIVOT_CODES
-) + f" FROM records WHERE code IN ({', '.join(repr(c) for c in _PIVOT_CODES)}) GROUP BY file_id, student")
+) + " FROM records GROUP BY file_id, student")
 def wide_pivot(spark: SparkSession, folder: str) -> DataFrame:
-    """Student by code table of one module."""
+    """Student by code table of all modules."""
     return rec.wide_grades(D.grade_records(spark, folder), _PIVOT_CODES, ["file_id", "student"])
 
 

@@ -20,7 +20,9 @@ CELLS = _struct(file_id=_S, page_no=_I, row_no=_L, col_no=_I, header=_S, cell=_S
 PAGE_TEXT = _struct(file_id=_S, text=_S)
 
 #: One grade per student and code. ``pos`` is the extraction order.
-POSITION = _struct(kind_no=_I, col_no=_I, first_row=_L, part=_L, nth=_I)
+POSITION = _struct(
+    kind_no=_I, col_no=_I, first_row=_L, part=_struct(block=_L, piece=_I), nth=_I
+)
 RECORDS = _struct(
     file_id=_S, student=_S, code=_S, kind=_S, grade_num=_D, grade_text=_S, pos=POSITION
 )

@@ -128,7 +128,8 @@ def grade_records(spark: SparkSession, folder: str) -> DataFrame:
         G.grade_text(raw).alias("grade_text"),
         F.struct(
             kind_no.alias("kind_no"), F.lit(0).alias("col_no"),
-            F.col("student_id").alias("first_row"), F.lit(0).cast("long").alias("part"),
+            F.col("student_id").alias("first_row"),
+            F.struct(F.lit(0).cast("long").alias("block"), F.lit(0).alias("piece")).alias("part"),
             F.lit(0).alias("nth"),
         ).alias("pos"),
     )

@@ -27,7 +27,9 @@ def jobs(spark: SparkSession, folder: str) -> DataFrame:
         F.element_at(kinds, (k % 3 + 1).cast("int")).alias("request_type"),
         F.floor("o_totalprice").alias("source_size_bytes"),
         F.when(failed, "error").when(done, "success").otherwise("processing").alias("status"),
-        F.when(failed & (k % 4 != 1), base).alias("debug_path"),
+        # Some jobs name a folder that no longer exists.
+        F.when(failed & (k % 4 != 1), F.when(k % 5 == 3, F.concat(F.lit("/moved"), base)).otherwise(base))
+        .alias("debug_path"),
         metadata.alias("metadata_json"),
         F.when(k % 5 != 0, "processing").alias("stage"),
         F.when(k % 5 > 1, F.concat(F.lit("pas "), (k % 9).cast("string"))).alias("progress_message"),
@@ -44,7 +46,8 @@ JOBS_SQL = """jobs AS (
   (['pdf', 'zip', 'pdf_batch'])[CAST(o_orderkey % 3 + 1 AS INTEGER)] AS request_type,
   CAST(floor(o_totalprice) AS BIGINT) AS source_size_bytes,
   CASE o_orderstatus WHEN 'O' THEN 'error' WHEN 'F' THEN 'success' ELSE 'processing' END AS status,
-  CASE WHEN o_orderstatus = 'O' AND o_orderkey % 4 <> 1 THEN '/failed/job-' || CAST(o_orderkey AS VARCHAR) END AS debug_path,
+  CASE WHEN o_orderstatus = 'O' AND o_orderkey % 4 <> 1
+   THEN CASE WHEN o_orderkey % 5 = 3 THEN '/moved' ELSE '' END || '/failed/job-' || CAST(o_orderkey AS VARCHAR) END AS debug_path,
   CASE WHEN o_orderkey % 5 <> 0 THEN 'processing' END AS stage,
   CASE WHEN o_orderkey % 5 > 1 THEN 'pas ' || CAST(o_orderkey % 9 AS VARCHAR) END AS progress_message,
   CASE WHEN o_orderkey % 11 <> 10 THEN CAST(o_orderkey % 11 AS INTEGER) END AS progress_current,
@@ -56,14 +59,13 @@ JOBS_SQL = """jobs AS (
 
 
 def artifacts(spark: SparkSession, folder: str) -> DataFrame:
-    """Retained files: some line items of some orders (``schemas.ARTIFACTS``)."""
+    """Retained files: one per line item, in the folder of its order (``schemas.ARTIFACTS``)."""
     name = (
         F.when(F.col("l_linenumber") == 1, "source.pdf").when(F.col("l_linenumber") == 2, "failure.log")
         .otherwise(F.concat(F.lit("output/"), F.col("l_partkey").cast("string"), F.lit(".xlsx")))
     )
     job = F.concat(F.lit("job-"), F.col("l_orderkey").cast("string"))
-    kept = table(spark, folder, "lineitem").filter(F.col("l_shipdate") < "1999-01-01")
-    return kept.select(
+    return table(spark, folder, "lineitem").select(
         job.alias("job_id"), F.concat(F.lit("/failed/"), job, F.lit("/"), name).alias("path"),
         F.floor("l_extendedprice").alias("size_bytes"),
     )
@@ -72,9 +74,9 @@ def artifacts(spark: SparkSession, folder: str) -> DataFrame:
 ARTIFACTS_SQL = """artifacts AS (
  SELECT l_orderkey AS id, 'job-' || CAST(l_orderkey AS VARCHAR) AS job_id, l_linenumber AS n,
         CAST(floor(l_extendedprice) AS BIGINT) AS size_bytes
- FROM lineitem WHERE l_shipdate < TIMESTAMP '1999-01-01'),
+ FROM lineitem),
 flags AS (
- SELECT j.job_id, j.debug_path IS NOT NULL AND bool_or(a.n IS NOT NULL) AS has_debug_path,
+ SELECT j.job_id, coalesce(j.debug_path LIKE '/failed/%', FALSE) AND bool_or(a.n IS NOT NULL) AS has_debug_path,
   j.id % 6 = 0 AND bool_or(coalesce(a.n = 1, FALSE)) AS has_failed_source,
   j.id % 6 = 0 AND bool_or(coalesce(a.n = 2, FALSE)) AS has_failure_log
  FROM jobs j LEFT JOIN artifacts a ON a.id = j.id GROUP BY j.job_id, j.id, j.debug_path),

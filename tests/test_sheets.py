@@ -12,13 +12,16 @@ RECORD = (
     "grade_text string, pos long"
 )
 CASE = {
-    "Alice Example": {"MP01_CF01_1RA": 7, "MP01_CF01_2RA": "PDT", "MP01_CF01_1EM": 8.5,
-                      "MP01_CF01": 8, "MP02_CF02_1RA": "NA", "MP02_CF02": 4},
-    "Bob Example": {"MP01_CF01_1RA": 5, "MP01_CF01_2RA": 6, "MP01_CF01_1EM": 7.25,
-                    "MP01_CF01": 6, "MP02_CF02_1RA": 9, "MP02_CF02": 9},
+    "Ferrer Puig, Oriol": {"0901_VV02_01RA": 6, "0901_VV02_02RA": "EP", "0901_VV02_03EM": 9.5,
+                           "0901_VV02": 7, "0944_VV03_01RA": "NA", "0944_VV03": 3},
+    "Zamora Gil, Núria": {"0901_VV02_01RA": 8, "0901_VV02_02RA": 5, "0901_VV02_03EM": 5.75,
+                          "0901_VV02": 9, "0944_VV03_01RA": 10, "0944_VV03": 10},
 }
 
 
+CASE_NAMES = list(CASE)
+
+
 def make(spark, case, file_id="f"):
     data = []
     for student, grades in case.items():
@@ -32,13 +35,12 @@ def make(spark, case, file_id="f"):
 def test_detailed_sheet(spark):
     rows = reports.detailed_sheet(make(spark, CASE))
     cells = layout.sheet_cells(rows).orderBy("row_no", "col_pos").collect()
-    heads = [c.header for c in cells if c.row_no == 1]
-    assert heads == ["MP01_CF01_1RA", "MP01_CF01_2RA", "MP01 CENTRE", "MP01 EMPRESA", "MP01",
-                     "MP02_CF02_1RA", "MP02"]
-    assert [c.col_pos for c in cells if c.row_no == 1] == list(range(3, 10))
-    alice = {c.header: c.value for c in cells if c.student == "Alice Example"}
-    assert alice == {"MP01_CF01_1RA": "7", "MP01_CF01_2RA": "PDT", "MP01 CENTRE": "",
-                     "MP01 EMPRESA": "8.5", "MP01": "8", "MP02_CF02_1RA": "", "MP02": "4"}
+    heads = ["0901_VV02_01RA", "0901_VV02_02RA", "0901 CENTRE", "0901 EMPRESA", "0901", "0944_VV03_01RA", "0944"]
+    for row_no in (1, 2):
+        assert [(c.col_pos, c.header) for c in cells if c.row_no == row_no] == list(enumerate(heads, 3))
+    shown = {(c.student[:6], c.header): c.value for c in cells}
+    assert [shown["Ferrer", h] for h in heads] == ["6", "EP", "", "9.5", "7", "", "3"]
+    assert [shown["Zamora", h] for h in heads] == ["8", "5", "", "5.75", "9", "10", "10"]
 
 
 def test_modules_without_outcomes_leave_the_sheet_and_last_placement_wins(spark, rows):
@@ -59,6 +61,17 @@ def test_reports_with_duplicates_are_left_out_others_stay(spark, rows):
     assert rows(sheet.select("file_id").distinct()) == [("good",)]
 
 
+def test_a_lower_case_placement_code_needs_a_capital_one_nearby(spark, rows):
+    records = make(spark, {"Ona": {"0647_CF01_01RA": 7, "0647_CF01_07em": 8, "0647_CF01": 6}}).withColumn(
+        "kind", F.when(F.col("code").endswith("em"), "EM").otherwise(F.col("kind"))
+    )
+    cells = layout.sheet_cells(reports.detailed_sheet(records))
+    assert rows(cells, "header") == [("0647",), ("0647_CF01_01RA",)]
+    assert rows(layout.module_conflicts(records), "mp", "n_codes") == [("0647", 2)]
+    capital = records.withColumn("capital_em", F.lit(True))
+    assert rows(rec.placement_modules(capital), "mp") == [("0647",)]
+
+
 def test_colliding_module_codes_are_reported(spark, rows):
     case = {"Ana": {"MP01_CF01_1RA": 5, "MP01_CF01": 6, "MP01_CF02": 7}}
     assert rows(layout.module_conflicts(make(spark, case)), "mp", "n_codes") == [("MP01", 2)]
@@ -66,7 +79,7 @@ def test_colliding_module_codes_are_reported(spark, rows):
 
 def test_pending_texts(spark, rows):
     got = rows(reports.pending_summary(make(spark, CASE)), "row_no", "student", "pending")
-    assert got == [(1, "Alice Example", "MP01:\n- RA2\n\nMP02:\n- RA1"), (2, "Bob Example", "")]
+    assert got == [(1, "Ferrer Puig, Oriol", "0901:\n- RA2\n\n0944:\n- RA1"), (2, "Zamora Gil, Núria", "")]
 
 
 def test_pending_uses_catalogue_names_and_numeric_order(spark, rows):
@@ -139,8 +152,8 @@ def test_summary_keeps_final_columns(spark, rows):
     final = reports.final_grade_summary(reports.detailed_sheet(make(spark, CASE)))
     got = rows(final, "student", "header", "type_a", "shown", "status")
     assert got == [
-        ("Alice Example", "MP01 CENTRE", True, "", "invalid"), ("Alice Example", "MP02", False, "4", "failing"),
-        ("Bob Example", "MP01 CENTRE", True, "", "invalid"), ("Bob Example", "MP02", False, "9", "ok"),
+        (CASE_NAMES[0], "0901 CENTRE", True, "", "invalid"), (CASE_NAMES[0], "0944", False, "3", "failing"),
+        (CASE_NAMES[1], "0901 CENTRE", True, "", "invalid"), (CASE_NAMES[1], "0944", False, "10", "ok"),
     ]
 
 

@@ -38,23 +38,27 @@ def test_irrelevant_headers_and_their_copies_are_dropped(spark, rows):
 
 def test_blank_names_are_filled_and_texts_joined(spark, rows):
     cells = raw(spark, {("f", 0): [
-        HEADS, ["1", "a", "Alice", "E1"], ["", "", "", " E2 "], ["2", "b", "Bob", "E3"],
+        HEADS, ["1", "a", "Ona", "E1"], ["", "", "", " E2 "], ["2", "b", "Roc", "E3"],
     ]})
     got = reports.merged_rows(cells).filter("header like 'Codi%'")
-    assert rows(got, "student", "entry") == [("Alice", "E1\nE2"), ("Bob", "E3")]
+    assert rows(got, "student", "entry") == [("Ona", "E1\nE2"), ("Roc", "E3")]
 
 
 def test_a_name_split_over_a_page_break_is_glued(spark, rows):
     cells = raw(spark, {
-        ("f", 0): [HEADS, ["24", "16900950100", "Sánchez Ruíz, Michelle", "0179_AGB0 (1) - 3"]],
-        ("f", 1): [HEADS, ["", "", "Estefany", "0647_AGB0 (1) - 4"],
-                   ["25", "11111111111", "Next Student", "0179_AGB0 (1) - 8"]],
+        ("f", 0): [HEADS, ["7", "ID-40", "Pla i Torrent, Maria", "0901_VV02 (2) - 6"]],
+        ("f", 1): [HEADS, ["", "", "del Mar", "0944_VV03 (1) - 10"],
+                   ["8", "ID-41", "Quer Bosch, Pau", "0901_VV02 (1) - 5"]],
     })
     got = {(s, h): e for s, h, e in rows(reports.merged_rows(cells), "student", "header", "entry")}
-    name = "Sánchez Ruíz, Michelle Estefany"
-    assert got[name, "Núm."] == "24" and got[name, "Identificador"] == "16900950100"
-    assert got[name, "Codi (Conv) - Qual"] == "0179_AGB0 (1) - 3\n0647_AGB0 (1) - 4"
-    assert got["Next Student", "Codi (Conv) - Qual"] == "0179_AGB0 (1) - 8"
+    assert got == {
+        ("Pla i Torrent, Maria del Mar", "Núm."): "7",
+        ("Pla i Torrent, Maria del Mar", "Identificador"): "ID-40",
+        ("Pla i Torrent, Maria del Mar", "Codi (Conv) - Qual"): "0901_VV02 (2) - 6\n0944_VV03 (1) - 10",
+        ("Quer Bosch, Pau", "Núm."): "8",
+        ("Quer Bosch, Pau", "Identificador"): "ID-41",
+        ("Quer Bosch, Pau", "Codi (Conv) - Qual"): "0901_VV02 (1) - 5",
+    }
 
 
 def test_pages_may_have_other_columns(spark, rows):
@@ -120,12 +124,12 @@ def test_union_fills_missing_columns(spark, rows):
 
 def test_code_columns_are_melted_and_cleaned(spark, rows):
     df = spark.createDataFrame(
-        [("Alice", "MP01_CF01_1 RA   (1) - A7", "ignored")],
+        [("Ona", "0944_VV03_02 RA   (3) - A6", "other")],
         "`Nom i cognoms` string, `Codi (Conv) - Qual` string, `No match` string",
     )
     long = tables.melt_columns(df, ["Nom i cognoms"])
     got = rows(long.select("column_header", clean_entry(F.col("entry"))))
-    assert got == [("Codi (Conv) - Qual", "MP01_CF01_1RA (1) - A7")]
+    assert got == [("Codi (Conv) - Qual", "0944_VV03_02RA (3) - A6")]
 
 
 def test_records_come_from_code_columns_of_all_reports(spark, rows):
