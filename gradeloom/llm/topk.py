@@ -34,7 +34,7 @@ from .packed import expand, squeeze
 K = 20
 SCALE = 64
 #: Rows of a block of vectors, of a block of queries, and of a page of the tree.
-BLOCK, QUERIES, PAGE = 8_192, 512, 64
+BLOCK, QUERIES, PAGE = 8_192, 512, 256
 #: Slack of the bounds, far above rounding errors and below any difference of two integers.
 SLACK = 1e-3
 
@@ -55,6 +55,9 @@ class Tree:
         self.points = points.astype(np.float64)
         self.norms = np.einsum("ij,ij->i", self.points, self.points)
         self.levels: list[dict] = []
+        # Rows in the order of the leaves, so that a leaf is one stretch of memory.
+        self.order = np.concatenate([np.zeros(0, dtype=np.int64), *self._halved(self.points)])
+        self.points, self.norms = self.points[self.order], self.norms[self.order]
         members = np.arange(len(points))
         radius, largest = np.zeros(len(points)), self.norms
         while len(members) > 1 or not self.levels:
@@ -62,9 +65,9 @@ class Tree:
             self.levels.append(level)
             members, radius, largest = level["pivot"], level["radius"], level["largest"]
 
-    def _paged(self, members: np.ndarray, radius: np.ndarray, largest: np.ndarray) -> dict:
-        """Pages of near members: halves about two far pivots until a page is small enough."""
-        rows, stack, pages = self.points[members], [np.arange(len(members))], []
+    def _halved(self, rows: np.ndarray) -> list[np.ndarray]:
+        """Pages of near rows: halves about two far ones until a page is small enough."""
+        stack, pages = [np.arange(len(rows))], []
         while stack:
             part = stack.pop()
             if len(part) <= PAGE:
@@ -76,6 +79,16 @@ class Tree:
             order = np.argsort(away - self._apart(rows[part], rows[second]), kind="stable")
             half = len(part) // 2
             stack += [part[order[half:]], part[order[:half]]]
+        return pages
+
+    def _paged(self, members: np.ndarray, radius: np.ndarray, largest: np.ndarray) -> dict:
+        """One level over ``members``; the leaves are stretches, their rows are in order already."""
+        if self.levels:
+            pages = self._halved(self.points[members])
+        else:
+            sizes = self._halved_sizes(len(members))
+            pages = np.split(members, np.cumsum(sizes)[:-1])
+        rows = self.points[members]
         level = {"pages": pages, "members": members}
         pivot = np.array([members[p[0]] for p in pages], dtype=np.int64)
         level["to_parent"] = [self._apart(rows[p], self.points[v]) for p, v in zip(pages, pivot)]
@@ -88,20 +101,31 @@ class Tree:
         level["largest"] = np.array([x.max(initial=0.0) for x in level["largest_in"]])
         return level
 
+    @staticmethod
+    def _halved_sizes(n: int) -> list[int]:
+        """Sizes of the pages that :meth:`_halved` makes, in its order."""
+        stack, sizes = [n], []
+        while stack:
+            part = stack.pop()
+            if part <= PAGE:
+                sizes.append(part)
+            else:
+                stack += [part - part // 2, part // 2]
+        return sizes
+
     @staticmethod
     def _apart(rows: np.ndarray, point: np.ndarray) -> np.ndarray:
         difference = rows - point
         return np.sqrt(np.einsum("ij,ij->i", difference, difference))
 
-    def search(self, query: np.ndarray, ids: np.ndarray, own: int, k: int, floor: float = -np.inf):
+    def search(self, query: np.ndarray, ids: np.ndarray, own: int, k: int) -> list[tuple[float, int]]:
         """The ``k`` best ``(score, vec_id)`` of the block but for the row with id ``own``."""
         best: list[tuple[float, int]] = []  # a heap of (score, -id), the worst first
         norm = float(query @ query)
-        worst = floor
+        worst = -np.inf
 
         def bound(apart: np.ndarray, radius: np.ndarray, largest: np.ndarray) -> np.ndarray:
             near = np.maximum(apart - radius, 0.0)
-            # A vector of norm n at distance >= near: n may be less than the largest norm.
             return (norm + largest - near * near) / 2 + SLACK
 
         top = len(self.levels) - 1
@@ -116,13 +140,24 @@ class Tree:
             part = level["pages"][page]
             stored = np.abs(to_pivot - level["to_parent"][page])
             # First by stored distances alone, then by the distances of what is left.
-            left = np.nonzero(bound(stored, level["radius_in"][page], level["largest_in"][page]) >= worst)[0]
+            left = np.flatnonzero(bound(stored, level["radius_in"][page], level["largest_in"][page]) >= worst)
             if not len(left):
                 continue
-            rows = level["members"][part[left]]
             if at == 0:
-                scores = self.points[rows] @ query
-                for score, vec in zip(scores.tolist(), ids[rows].tolist()):
+                if 2 * len(left) > len(part):
+                    rows = part
+                    scores = self.points[part[0] : part[-1] + 1] @ query
+                else:
+                    rows = part[left]
+                    scores = self.points[rows] @ query
+                # Only rows that can still get in; of many, the k best and their equals.
+                if len(best) == k:
+                    can = np.flatnonzero(scores >= best[0][0])
+                elif len(scores) > 2 * k:
+                    can = np.flatnonzero(scores >= np.partition(scores, -k - 1)[-k - 1])
+                else:
+                    can = np.arange(len(scores))
+                for score, vec in zip(scores[can].tolist(), ids[rows[can]].tolist()):
                     if vec == own:
                         continue
                     item = (score, -vec)
@@ -131,9 +166,9 @@ class Tree:
                     elif item > best[0]:
                         heapq.heapreplace(best, item)
                 if len(best) == k:
-                    worst = max(worst, best[0][0])
+                    worst = best[0][0]
                 continue
-            apart = self._apart(self.points[rows], query)
+            apart = self._apart(self.points[level["members"][part[left]]], query)
             limits = bound(apart, level["radius_in"][page][left], level["largest_in"][page][left])
             for child, upper, d in zip(part[left].tolist(), limits.tolist(), apart.tolist()):
                 if upper >= worst:
@@ -181,6 +216,7 @@ def _searched(k: int):
                 if kind == 0:
                     ids, points = expand(data, "<i8", "<i4")
                     at, tree = (block, width), Tree(points.reshape(len(ids), width))
+                    ids = ids[tree.order]
                     continue
                 if at != (block, width):
                     continue
