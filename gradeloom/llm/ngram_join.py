@@ -32,8 +32,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.joins import lookup
 from ..session import cut
-from .common import WORD, partitions
+from .common import WORD, partitions, row_key
 from .graph import components
 from .packed import CHUNK_CHARS, Numbered, expand, squeeze
 
@@ -43,6 +44,10 @@ GROUPS = 64
 RANKED_WORDS = 1 << 17
 #: Sets, and shingles in all sets, of one part of a block.
 PART_SETS, PART_SHINGLES = 128, 2_000_000
+#: Size of the bitmap of wanted documents: 8 MB.
+BITS = 1 << 26
+#: Words a task remembers the hashes of.
+REMEMBERED = 2_000_000
 #: Points of a leaf and children of an inner node.
 LEAF, FAN = 16, 8
 LEAST_BUCKETS = 64
@@ -139,6 +144,19 @@ def word_ranks(docs: DataFrame, buckets: int, limit: int = RANKED_WORDS) -> tupl
     return hashes[order], top["n"].to_numpy(dtype=np.int64)[order]
 
 
+class _Listed(dict):
+    """Numbers new words in order of arrival and keeps a list of those not yet hashed."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[bytes] = []
+
+    def __missing__(self, word):
+        number = self[word] = len(self)
+        self.new.append(word)
+        return number
+
+
 class _Sets:
     """Shingle sets of the documents of a task; remembers the words it has seen for a while."""
 
@@ -147,20 +165,24 @@ class _Sets:
         self._forget()
 
     def _forget(self):
-        self.numbers, self.known = Numbered(), 0
-        self.hashes, self.times = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+        self.numbers = _Listed()
+        self.hashes, self.times = np.zeros(1 << 16, dtype=np.uint64), np.zeros(1 << 16, dtype=np.int64)
 
-    def of(self, text: str | None) -> tuple[np.ndarray, np.ndarray | None]:
+    def of(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Sorted distinct shingle hashes and, with ranks, the document count of their rarest word."""
-        if self.known > 2_000_000:
+        if len(self.numbers) > REMEMBERED:
             self._forget()
-        codes = np.fromiter(map(self.numbers.__getitem__, words := _word_bytes(text or "")), np.int64, len(words))
-        if len(self.numbers) > self.known:
-            new = _hashes(list(self.numbers)[self.known :]) if self.known else _hashes(self.numbers)
-            self.hashes = np.concatenate([self.hashes, new])
+        words = _word_bytes(text or "")
+        codes = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
+        if new := self.numbers.new:
+            known = len(self.numbers) - len(new)
+            if len(self.numbers) > len(self.hashes):
+                more = max(len(self.hashes), len(new))
+                self.hashes, self.times = (np.append(x, np.zeros(more, dtype=x.dtype)) for x in (self.hashes, self.times))
+            self.hashes[known : len(self.numbers)] = hashes = _hashes(new)
             if self.ranks is not None:
-                self.times = np.concatenate([self.times, self._times(new)])
-            self.known = len(self.numbers)
+                self.times[known : len(self.numbers)] = self._times(hashes)
+            self.numbers.new = []
         shingles = shingle_hashes(self.hashes[codes])
         if self.ranks is None or not len(shingles):
             return np.unique(shingles), np.zeros(0, dtype=np.int64)
@@ -370,10 +392,11 @@ def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield links()
 
 
-def _links(rows: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links inside each ``(block, part, other)`` of ``rows``."""
+def _links(rows: DataFrame, sets: DataFrame, few: bool = False) -> DataFrame:
+    """Links inside each ``(block, part, other)`` of ``rows``; ``few`` rows may not move the sets."""
+    joined = lookup(sets, rows, ["set_id"], "set_id") if few else rows.join(sets, "set_id")
     return (
-        rows.join(sets, "set_id")
+        joined
         .select("block", "part", "other", "side", "set_id", "root", "items")
         .repartition(partitions(rows.sparkSession), "block", "part", "other")
         .sortWithinPartitions("block", "part", "other", "set_id")
@@ -414,27 +437,35 @@ def _labelled(docs: DataFrame, buckets: int | None) -> DataFrame:
         sketched.filter("bucket is not null").groupBy("bucket").applyInArrow(_blocks, "block long, set_id long, n long")
         .groupBy("block", "set_id").agg(F.max("n").alias("n"))
     )
-    # The sets themselves, of one document each, for those that are in a block.
+    # The sets themselves, of one document each, for those that are in a block. A bitmap of
+    # those documents' hashes, of fixed size, keeps the texts where they are: a document
+    # that passes without being wanted only adds a set that nothing asks for.
     wanted = members.select(F.col("set_id").alias("_set")).distinct()
     one = documents.filter("set_id is not null").groupBy("set_id").agg(
         F.min(F.struct("text_key", "doc_id")).alias("one")
-    ).join(wanted, F.col("set_id") == F.col("_set"), "left_semi").select(
-        F.col("one.text_key").alias("_key"), F.col("one.doc_id").alias("_id")
-    )
+    ).join(wanted, F.col("set_id") == F.col("_set"), "left_semi").select("one.*")
+    bit = F.pmod(row_key("doc_id", "text_key"), F.lit(BITS)) + 1
+    maps = one.select(bit.alias("bit")).groupBy(F.call_function("bitmap_bucket_number", "bit").alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")
+    ).collect()  # at most BITS / 32,768 rows of 4 kB
+    bitmap = np.zeros(BITS // 8, dtype=np.uint8)
+    for r in maps:
+        at = (r["bucket"] - 1) * 4096
+        bitmap[at : at + len(r["bits"])] = np.frombuffer(bytes(r["bits"]), dtype=np.uint8)
+    listed = spark.sparkContext.broadcast(bitmap)
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets = _Sets()
+        sets, marked = _Sets(), np.unpackbits(listed.value, bitorder="little")
         for batch in batches:
-            items = [sets.of(t.as_py())[0] for t in batch.column(0)]
+            at = np.flatnonzero(marked[batch.column(1).to_numpy() - 1]).tolist()
+            items = [sets.of(batch.column(0)[i].as_py())[0] for i in at]
+            items = [i for i in items if len(i)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([_set_id(i) for i in items], pa.int64()), pa.array([i.tobytes() for i in items], pa.binary())],
                 ["set_id", "items"],
             )
 
-    sets = cut(
-        rows.join(one, (F.col("text_key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-        .select("text").mapInArrow(sets_of, "set_id long, items binary")
-    )
+    sets = cut(rows.select("text", bit.alias("bit")).mapInArrow(sets_of, "set_id long, items binary"))
     placed = cut(_in_parts(members))
     whole = [F.lit(-1).alias("other"), F.lit(-1).alias("side"), F.col("set_id").alias("root")]
     links = cut(_links(placed.select("block", "part", "set_id", *whole), sets))
@@ -444,7 +475,7 @@ def _labelled(docs: DataFrame, buckets: int | None) -> DataFrame:
         # One set of each component of a block, and then parts that still are apart.
         some = _with_root(large, roots).groupBy("block", "root").agg(F.min(F.struct("set_id", "n")).alias("m"))
         some = _in_parts(some.select("block", "m.set_id", "m.n"))
-        links = links.unionByName(cut(_links(some.select("block", "part", "set_id", *whole), sets)))
+        links = links.unionByName(cut(_links(some.select("block", "part", "set_id", *whole), sets, few=True)))
         roots = components(links)
         apart = cut(_with_root(large, roots))
         several = apart.groupBy(F.col("block").alias("_block")).agg(
@@ -456,7 +487,7 @@ def _labelled(docs: DataFrame, buckets: int | None) -> DataFrame:
             .select("block", F.least("part", "with").alias("_low"), F.greatest("part", "with").alias("other"),
                     F.col("part").alias("side"), "set_id", "root").withColumnRenamed("_low", "part")
         )
-        links = links.unionByName(cut(_links(pairs, sets)))
+        links = links.unionByName(cut(_links(pairs, sets, few=True)))
         roots = components(links)
 
     return _with_root(documents, roots)
