@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 
-#: A lookup table up to this many rows is broadcast; rows here are one sheet layout or less.
-BROADCAST_ROWS = 10_000
+#: A lookup table up to this many rows and bytes (as JSON text) is broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 10_000, 16 << 20
 #: Beyond it, the rows of one key are spread over this many join partitions.
 SPREAD = 32
 
@@ -28,14 +28,16 @@ def lookup(
 ) -> DataFrame:
     """Join many rows with a table of one row per key, safe for keys of any size.
 
-    The table is written once and counted (``written`` tells that reading it is cheap
-    already). A short one is broadcast, so ``left`` does not move. A longer one is repeated
-    for each of ``SPREAD`` shares, and the rows of a key go to the share of their
+    The table is written once, counted and measured (``written`` tells that reading it is
+    cheap already). A small one is broadcast, so ``left`` does not move. A larger one is
+    repeated for each of ``SPREAD`` shares, and the rows of a key go to the share of their
     ``spread`` column; without that, a later grouping by the same key would keep all rows
     of a big key in one task.
     """
     right = right if written else cut(right)
-    if right.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    some = right.limit(BROADCAST_ROWS + 1).select(F.length(F.to_json(F.struct("*"))).alias("n"))
+    rows, size = some.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    if rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES:
         return join_on(left, F.broadcast(right), keys, how)
     shares = right.withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
     spread_left = left.withColumn("_share", F.pmod(F.xxhash64(spread), F.lit(SPREAD)).cast("int"))

@@ -117,19 +117,36 @@ def first_failed_names(files: DataFrame, order: str = "id", limit: int = 3) -> D
     return picked.select("job_id", "n_failed", F.concat(names, more).alias("failed_names"))
 
 
-def batch_outcomes(files: DataFrame, order: str = "id") -> DataFrame:
+def batch_outcomes(files: DataFrame, order: str = "id", jobs: DataFrame | None = None) -> DataFrame:
     """Per job: counts, ``success`` / ``partial`` / ``error``, job status and error text.
 
     One converted file makes the job a success. Without any, the job fails and its audit
     trail gets one more failed row, named after the job; ``file_rows`` counts it.
+
+    With ``jobs`` (``job_id, request_type, error_message``) a failed single report (type
+    ``pdf``) keeps the raw error of its file and gets no further row, and a job with an
+    error but without any file row (an archive without reports, say) has an outcome too.
     """
+    failed_text = F.struct(F.col(order), F.col("error_message").alias("text"))
     counts = files.groupBy("job_id").agg(
         F.count_if(F.col("status") == "success").alias("n_success"),
         F.count_if(F.col("status") == "error").alias("n_failed"),
+        F.min(F.when(F.col("status") == "error", failed_text))["text"].alias("_raw"),
     )
     names = first_failed_names(files, order).select("job_id", "failed_names")
     joined = counts.join(names, ["job_id"], "left")
+    if jobs is None:
+        joined = joined.withColumns({"_single": F.lit(False), "_own": F.lit(None).cast("string")})
+    else:
+        told = jobs.select(
+            "job_id", F.coalesce(F.col("request_type") == "pdf", F.lit(False)).alias("_single"),
+            F.col("error_message").alias("_own"),
+        )
+        joined = told.join(joined, ["job_id"], "left").filter(
+            F.col("n_success").isNotNull() | F.col("_own").isNotNull()
+        ).na.fill(0, ["n_success", "n_failed"])
     none = F.col("n_success") == 0
+    empty = none & (F.col("n_failed") == 0)
     text = F.concat(
         F.lit(NO_FILE_CONVERTED),
         F.coalesce(F.format_string(FAILED_NAMES, F.nullif("failed_names", F.lit(""))), F.lit("")),
@@ -138,8 +155,10 @@ def batch_outcomes(files: DataFrame, order: str = "id") -> DataFrame:
         "job_id", "n_success", "n_failed",
         F.when(none, "error").when(F.col("n_failed") > 0, "partial").otherwise("success").alias("outcome"),
         F.when(none, "error").otherwise("success").alias("status"),
-        F.when(none, text).alias("error_message"),
-        (F.col("n_success") + F.col("n_failed") + none.cast("long")).alias("file_rows"),
+        F.when(empty & F.col("_own").isNotNull(), F.col("_own"))
+        .when(none & F.col("_single"), F.col("_raw")).when(none, text).alias("error_message"),
+        (F.col("n_success") + F.col("n_failed") + (none & (~F.col("_single") | empty)).cast("long"))
+        .alias("file_rows"),
     )
 
 
@@ -152,7 +171,8 @@ def incident_texts(
 ) -> DataFrame:
     """Subject and body of the report on each job that had a failure.
 
-    ``jobs`` holds ``(job_id, request_type, source_name, error_message, debug_path)``.
+    ``jobs`` holds ``(job_id, request_type, source_name, error_message, debug_path)``. A job
+    that failed before it had any file row gets a report without file details.
     """
     failed = files.filter(F.col("status") == "error")
     debug = jobs.select("job_id", "debug_path")
@@ -162,13 +182,14 @@ def incident_texts(
         F.lit(f"\n  {DEBUG_LINE}"), F.coalesce("debug_path", F.lit("None")),
     ))
     blocks = ordered_text(lines, ["job_id"], order, "_line", "_blocks", separator="\n\n")
-    told = jobs.join(batch_outcomes(files, order).drop("status", "error_message"), ["job_id"])
-    told = told.join(blocks, ["job_id"], "left").filter(F.col("n_failed") > 0)
+    done = batch_outcomes(files, order, jobs).filter(F.col("outcome") != "success")
+    told = jobs.join(done.drop("status", "error_message"), ["job_id"])
+    told = told.join(blocks, ["job_id"], "left")
     head = F.concat(
         F.lit(f"\n\n{JOB_LINE}"), "job_id", F.lit(f"\n{TYPE_LINE}"), "request_type", F.lit("\n")
     )
     failed_label = _count_label(F.col("n_failed"), FAILED_ONE, FAILED_MANY)
-    details = F.concat(F.lit(FAILED_HEAD), "_blocks", F.lit("\n"))
+    details = F.coalesce(F.concat(F.lit(FAILED_HEAD), "_blocks", F.lit("\n")), F.lit(""))
     main = F.concat(F.lit(ERROR_LINE), F.coalesce("error_message", F.lit("None")), F.lit("\n"))
     single = F.concat(
         F.lit(SINGLE_HEAD), head, F.lit(FILE_LINE), "source_name", F.lit("\n"), main,

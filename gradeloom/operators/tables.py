@@ -70,11 +70,13 @@ def column_roles(heads: DataFrame, keyword: str = G.NAME_KEYWORD) -> DataFrame:
 
     Adds ``col_index`` (place among the file's headers), ``is_name``, ``is_leading`` (left
     of the name) and ``has_leading`` (the file has such columns). Headers are cleaned and
-    irrelevant ones left out; files without a name column are left out too, see the
-    outcome checks.
+    irrelevant ones left out; files without a name column or with a null header are left
+    out too, see the outcome checks.
     """
+    known = heads.groupBy("file_id").agg(F.bool_or(F.col("header").isNull()).alias("_null"))
     kept = drop_columns(normalize_headers(heads))
     files = file_headers(kept, keyword).filter(F.col("name_header").isNotNull())
+    files = join_on(files, known.filter("not _null"), ["file_id"], "left_semi")
     return join_on(kept, files, ["file_id"]).select(
         "file_id", "page_no", "col_no", "header",
         F.array_position("headers", F.col("header")).cast("int").alias("col_index"),

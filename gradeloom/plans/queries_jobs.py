@@ -66,7 +66,7 @@ def ingest_stream(spark: SparkSession, folder: str) -> DataFrame:
     ingest_reports(
         spark, f"{run}/cells", f"{run}/out", f"{run}/checkpoint", schema=cells.schema
     )
-    return spark.read.parquet(f"{run}/out/records").drop("pos", "batch")
+    return spark.read.parquet(f"{run}/out/records").drop("pos", "batch", "capital_em")
 
 
 _JOBS = f"WITH {S.JOBS_SQL}"
@@ -174,14 +174,20 @@ def old_schema(spark: SparkSession, folder: str) -> DataFrame:
 
 # --- outcomes --------------------------------------------------------------------------
 
-@query(f"""{_FILES} SELECT job_id, n_success, n_failed,
+@query(f"""{_FILES}, r AS (
+ SELECT b.job_id, coalesce(o.n_success, 0) AS n_success, coalesce(o.n_failed, 0) AS n_failed, failed_names,
+  b.error_message AS own, request_type = 'pdf' AS single,
+  (SELECT arg_min(f.error_message, f.id) FROM (SELECT * FROM files WHERE status = 'error') f WHERE f.job_id = b.job_id) AS raw
+ FROM batches b LEFT JOIN outcomes o ON o.job_id = b.job_id)
+SELECT job_id, n_success, n_failed,
  CASE WHEN n_success = 0 THEN 'error' WHEN n_failed > 0 THEN 'partial' ELSE 'success' END AS outcome,
  CASE WHEN n_success = 0 THEN 'error' ELSE 'success' END AS status,
- CASE WHEN n_success = 0 THEN 'No s''ha pogut convertir cap fitxer del lot. Fitxers amb error: ' || failed_names || '.' END AS error_message,
- n_success + n_failed + CASE WHEN n_success = 0 THEN 1 ELSE 0 END AS file_rows FROM outcomes""")
+ CASE WHEN n_success > 0 THEN NULL WHEN n_failed = 0 THEN own WHEN single THEN raw
+  ELSE 'No s''ha pogut convertir cap fitxer del lot. Fitxers amb error: ' || failed_names || '.' END AS error_message,
+ n_success + n_failed + CASE WHEN n_success = 0 AND (n_failed = 0 OR NOT single) THEN 1 ELSE 0 END AS file_rows FROM r""")
 def batch_outcome(spark: SparkSession, folder: str) -> DataFrame:
-    """What became of each batch."""
-    return outcomes.batch_outcomes(S.batch_files(spark, folder))
+    """What became of each batch, single reports and batches without files included."""
+    return outcomes.batch_outcomes(S.batch_files(spark, folder), jobs=S.batch_jobs(spark, folder))
 
 
 @query(f"{_FILES} SELECT job_id, n_failed, failed_names FROM outcomes WHERE n_failed > 0")
@@ -201,10 +207,11 @@ def public_errors(spark: SparkSession, folder: str) -> DataFrame:
  SELECT f.job_id, string_agg('- Fitxer: ' || f.source_name || chr(10) || '  Error principal: ' || f.public_message
   || chr(10) || '  Debug path: ' || b.debug_path, chr(10) || chr(10) ORDER BY f.id) AS blocks
  FROM files f JOIN batches b ON b.job_id = f.job_id WHERE f.status = 'error' GROUP BY f.job_id),
-t AS (SELECT b.*, o.n_success, o.n_failed, k.blocks,
+t AS (SELECT b.*, coalesce(o.n_success, 0) AS n_success, coalesce(o.n_failed, 0) AS n_failed, k.blocks,
   chr(10) || chr(10) || 'Job ID: ' || b.job_id || chr(10) || 'Tipus de peticio: ' || b.request_type || chr(10) AS head,
-  CAST(o.n_failed AS VARCHAR) || CASE WHEN o.n_failed = 1 THEN ' fitxer amb error' ELSE ' fitxers amb error' END AS failed_label
- FROM batches b JOIN outcomes o ON o.job_id = b.job_id JOIN blocks k ON k.job_id = b.job_id)
+  CAST(coalesce(o.n_failed, 0) AS VARCHAR) || CASE WHEN o.n_failed = 1 THEN ' fitxer amb error' ELSE ' fitxers amb error' END AS failed_label
+ FROM batches b LEFT JOIN outcomes o ON o.job_id = b.job_id LEFT JOIN blocks k ON k.job_id = b.job_id
+ WHERE coalesce(o.n_failed, 1) > 0)
 SELECT job_id, CASE WHEN n_success > 0 THEN 'Partial conversion failure for '
   WHEN request_type = 'pdf' THEN 'Conversion failed for ' ELSE 'Batch conversion failed for ' END || source_name AS subject,
  CASE WHEN n_success > 0 THEN 'Hi ha hagut una conversio parcial amb incidencies.' || head || 'Resultat: ' ||
@@ -214,7 +221,7 @@ SELECT job_id, CASE WHEN n_success > 0 THEN 'Partial conversion failure for '
    || 'Error principal: ' || error_message || chr(10) || 'Debug path: ' || debug_path || chr(10)
   ELSE 'Ha fallat la conversio completa d''un lot.' || head || 'Resultat: 0 fitxers convertits correctament i '
    || failed_label || '.' || chr(10) || 'Error principal: ' || error_message || chr(10)
-   || 'Fitxers amb error:' || chr(10) || blocks || chr(10) END AS body FROM t""")
+   || coalesce('Fitxers amb error:' || chr(10) || blocks || chr(10), '') END AS body FROM t""")
 def incident_text(spark: SparkSession, folder: str) -> DataFrame:
     """Report on each batch that had a failure."""
     return outcomes.incident_texts(S.batch_jobs(spark, folder), S.batch_files(spark, folder))

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import grades as G
 from ..functions.text import clean_entry, spanish_key, strip
 from ..operators import layout, ordered, records as rec, summary, tables
+from ..session import shared_folder
 from ..sources import derived as D, synthetic
 from ..sources.catalog import bundled_names, with_module_label
-from ..sources.files import group_code
+from ..sources.files import group_code, read_sheets, write_sheets
 from . import reports
 from .oracle_text import CATALOG_VALUES, SQL_BLANK, SQL_KEY, sql_strip
 
@@ -41,13 +44,13 @@ def extract_records(spark: SparkSession, folder: str) -> DataFrame:
     entries = ordered.ordered_text(
         lines, ["file_id", "student_id", "student"], "line_no", "line", "entry"
     )
-    return rec.extract_records(entries, ["file_id", "student"]).drop("pos")
+    return rec.extract_records(entries, ["file_id", "student"]).drop("pos", "capital_em")
 
 
 @query(_RECORDS_SQL)
 def page_records(spark: SparkSession, folder: str) -> DataFrame:
     """Page cells, with split names and blank name cells, back to grades."""
-    return reports.extract_records(D.raw_cells(spark, folder)).drop("pos")
+    return reports.extract_records(D.raw_cells(spark, folder)).drop("pos", "capital_em")
 
 
 _PENDING_SQL = f"""
@@ -490,6 +493,22 @@ def final_summary(spark: SparkSession, folder: str) -> DataFrame:
     return reports.final_grade_summary(_edited_rows(spark, folder))
 
 
+@query(f"{_FINAL_SQL} SELECT CAST(file_id AS VARCHAR) AS file_id, * EXCLUDE (file_id) FROM final")
+def edited_summary(spark: SparkSession, folder: str) -> DataFrame:
+    """Sheets written with a legend below an empty row, read back and summarised."""
+    cells = layout.sheet_cells(_edited_rows(spark, folder))
+    below = cells.groupBy("file_id").agg(F.max("row_no").alias("last")).select(
+        "file_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("n"), "last"
+    ).select(
+        "file_id", (F.col("last") + F.col("n")).alias("row_no"),
+        F.when(F.col("n") == 2, "Llegenda").alias("student"),
+        F.lit("0000").alias("mp"), F.lit(layout.MODULE).alias("slot"), F.lit("0000").alias("header"),
+    )
+    path = f"{shared_folder(spark)}/sheets-{uuid4().hex}"
+    write_sheets(cells.unionByName(below, allowMissingColumns=True), path)
+    return reports.edited_sheet_summary(read_sheets(spark, path))
+
+
 @query(f"{_FINAL_SQL} SELECT file_id, header, status, count(*) AS n FROM final GROUP BY ALL")
 def summary_status(spark: SparkSession, folder: str) -> DataFrame:
     """Review status of the final columns, counted; from sheets in long form."""

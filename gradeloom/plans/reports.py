@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions.grades import CODE_HEADER
 from ..operators import layout, pending, records as rec, summary, tables
@@ -50,3 +51,14 @@ def pending_summary(records: DataFrame, names: DataFrame | None = None) -> DataF
 def final_grade_summary(sheet_rows: DataFrame) -> DataFrame:
     """Final column of every module, with status and range check."""
     return summary.final_summary_of_rows(sheet_rows)
+
+
+def edited_sheet_summary(cells: DataFrame) -> DataFrame:
+    """Final columns of sheets that staff edited and wrote back (long form).
+
+    A sheet ends at its first row without a student and without any value; what stands
+    below it, a legend for instance, does not count.
+    """
+    shown = F.nullif(F.coalesce(F.nullif("student", F.lit("")), "value"), F.lit(""))
+    kept = summary.cut_at_blank_row(cells.withColumn("_shown", shown), "file_id", "row_no", "_shown")
+    return summary.final_summary(kept.drop("_shown"))

@@ -27,6 +27,12 @@ RECORDS = _struct(
     file_id=_S, student=_S, code=_S, kind=_S, grade_num=_D, grade_text=_S, pos=POSITION
 )
 
+#: Cells of a detailed sheet, written and read back after staff edited it.
+SHEET = _struct(
+    row_no=_L, student=_S, col_pos=_I, mp=_S, slot=_I, header=_S, grade_num=_D, grade_text=_S,
+    value=_S, file_id=_S,
+)
+
 #: Members of an uploaded archive.
 MEMBERS = _struct(archive_id=_S, member_pos=_L, path=_S, is_dir=_B)
 

@@ -65,12 +65,28 @@ def new_jobs(requests: DataFrame, now: Column) -> DataFrame:
     )
 
 
+#: Student rows of a sheet that go to one file.
+SHEET_ROWS = 100_000
+
+
 def write_sheets(cells: DataFrame, path: str) -> None:
     """Detailed sheets in long form, one folder per report.
 
-    Keyed by ``file_id``: two reports with one group code do not overwrite each other.
+    Keyed by ``file_id``: two reports with one group code do not overwrite each other. A
+    report that is written again replaces its own folder; reports written before stay. The
+    rows of a report go to one file, those of a big one to a file per ``SHEET_ROWS`` rows.
     """
-    cells.write.mode("overwrite").partitionBy("file_id").parquet(path)
+    share = F.expr(f"`row_no` div {SHEET_ROWS}")
+    (
+        cells.repartition("file_id", share)
+        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        .partitionBy("file_id").parquet(path)
+    )
+
+
+def read_sheets(spark: SparkSession, path: str) -> DataFrame:
+    """Sheets in long form, as :func:`write_sheets` leaves them, with a fixed schema."""
+    return spark.read.schema(schemas.SHEET).parquet(path)
 
 
 def group_code(text: Column, marker: str = GROUP_MARKER) -> Column:

@@ -284,9 +284,33 @@ def test_folders_are_listed_without_reading(spark, tmp_path, rows):
 
 
 def test_sheets_of_two_reports_with_one_group_code_are_both_kept(spark, tmp_path, rows):
-    cells = spark.createDataFrame([("f1", "G", "1"), ("f2", "G", "2")], "file_id string, group_code string, value string")
-    sources.write_sheets(cells, str(tmp_path / "sheets"))
-    assert rows(spark.read.parquet(str(tmp_path / "sheets")), "file_id", "value") == [("f1", "1"), ("f2", "2")]
+    path = str(tmp_path / "sheets")
+    cells = spark.createDataFrame(
+        [("f1", 1, "G", "1"), ("f2", 1, "G", "2")], "file_id string, row_no long, group_code string, value string"
+    )
+    sources.write_sheets(cells, path)
+    assert rows(sources.read_sheets(spark, path), "file_id", "value") == [("f1", "1"), ("f2", "2")]
+    # A later run replaces its own reports only.
+    later = [("f2", 1, "G", "3"), ("f3", 1, "G", "4")] + [("f3", n * 100_000, "G", "5") for n in range(3)]
+    sources.write_sheets(spark.createDataFrame(later, cells.schema), path)
+    got = rows(sources.read_sheets(spark, path), "file_id", "value")
+    assert got == [("f1", "1"), ("f2", "3")] + [("f3", "4")] + [("f3", "5")] * 3
+
+
+def test_single_reports_and_jobs_without_files(spark):
+    jobs = spark.createDataFrame(
+        [("p", "pdf", "a.pdf", "raw", "/d"), ("z", "zip", "b.zip", "No PDF in it.", "/e"), ("r", "zip", "c.zip", None, None)],
+        "job_id string, request_type string, source_name string, error_message string, debug_path string",
+    )
+    files = spark.createDataFrame(
+        [(1, "p", "a.pdf", "error", "list index out of range")],
+        "id long, job_id string, source_name string, status string, error_message string",
+    )
+    got = {r.job_id: (r.outcome, r.error_message, r.file_rows) for r in outcomes.batch_outcomes(files, jobs=jobs).collect()}
+    assert got == {"p": ("error", "list index out of range", 1), "z": ("error", "No PDF in it.", 1)}
+    texts = {r.job_id: r.body for r in outcomes.incident_texts(jobs, files).collect()}
+    assert set(texts) == {"p", "z"}
+    assert texts["z"].endswith("i 0 fitxers amb error.\nError principal: No PDF in it.\n")
 
 
 def test_audit_rows_are_appended(spark, tmp_path):
