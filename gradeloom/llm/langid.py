@@ -278,9 +278,12 @@ def identify_languages(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
 def keep_identified(docs: DataFrame, least: float = 0.0, sample: int = SAMPLE) -> DataFrame:
     """The rows of ``docs`` whose text has a language with at least that probability.
 
-    Texts without letters go. All columns stay as they are.
+    Texts without letters go. All columns stay as they are. Without any label nothing is
+    known of languages, and all texts with letters stay.
     """
     lang, score = fresh(docs, "_lang_pred", "_lang_score")
     model = train(docs.filter(~held_out()), sample)
+    if model is None:
+        return docs.filter(F.coalesce(F.col("text").cast("string").rlike(r"\p{L}"), F.lit(False)))
     found = with_language(docs, model, lang, score)
     return found.filter((F.col(lang) != UNKNOWN) & (F.col(score) >= least)).drop(lang, score)

@@ -58,4 +58,5 @@ def test_rows_without_letters_labels_or_anything(spark):
     assert kept.columns == docs.columns and kept.count() == len(rows) - 2
     unlabelled = spark.createDataFrame([(1, "some text", None, 1, 1)], SCHEMA)
     assert langid.identify_languages(unlabelled).first().lang_pred == "und"
+    assert langid.keep_identified(unlabelled).count() == 1
     assert langid.identify_languages(docs.limit(0)).count() == 0
