@@ -266,8 +266,9 @@ def score_documents(
     buckets = buckets or max(LEAST_BUCKETS, n)
     kind = docs.schema["doc_id"].dataType.simpleString()
     good = labels.groupBy(F.col("doc_id").alias("_id")).agg(F.max(F.col("quality") == 1).alias("good"))
+    # Labels grow with the documents, so they are never broadcast: one plan at every size.
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(
-        good, F.col("doc_id") == F.col("_id"), "left"
+        good.hint("merge"), F.col("doc_id") == F.col("_id"), "left"
     )
     chunks = cut(rows.select("doc_id", "text", F.coalesce("good", F.lit(False)).alias("good")).mapInArrow(
         _chunked, f"chunk long, data binary, doc_ids array<{kind}>"
