@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import grades as G
@@ -68,21 +68,34 @@ def file_headers(cells: DataFrame, keyword: str = G.NAME_KEYWORD) -> DataFrame:
 def column_roles(heads: DataFrame, keyword: str = G.NAME_KEYWORD) -> DataFrame:
     """Header cells with what their column is for, so that cells need one join only.
 
-    Adds ``col_index`` (place among the file's headers), ``is_name``, ``is_leading`` (left
-    of the name) and ``has_leading`` (the file has such columns). Headers are cleaned and
-    irrelevant ones left out; files without a name column or with a null header are left
-    out too, see the outcome checks.
+    Adds ``col_index`` (place among the file's columns), ``is_name``, ``is_leading`` (left
+    of the name) and ``has_leading`` (the file has such columns). Columns of one page with
+    the same header are different columns: the second of a page goes with the second of the
+    other pages. Headers are cleaned and irrelevant ones left out; files without a name
+    column or with a null header are left out too, see the outcome checks.
     """
     known = heads.groupBy("file_id").agg(F.bool_or(F.col("header").isNull()).alias("_null"))
-    kept = drop_columns(normalize_headers(heads))
-    files = file_headers(kept, keyword).filter(F.col("name_header").isNotNull())
-    files = join_on(files, known.filter("not _null"), ["file_id"], "left_semi")
-    return join_on(kept, files, ["file_id"]).select(
-        "file_id", "page_no", "col_no", "header",
-        F.array_position("headers", F.col("header")).cast("int").alias("col_index"),
-        (F.col("header") == F.col("name_header")).alias("is_name"),
-        F.array_contains("leading", F.col("header")).alias("is_leading"),
-        (F.size("leading") > 0).alias("has_leading"),
+    # One page's columns at a time.
+    alike = Window.partitionBy("file_id", "page_no", "header").orderBy("col_no")
+    kept = drop_columns(normalize_headers(heads)).withColumn("_nth", F.row_number().over(alike))
+    place = F.col("page_no").cast("long") * (1 << 31) + F.col("col_no")
+    columns = (
+        kept.groupBy("file_id", "header", "_nth").agg(F.min(place).alias("seen"))
+        .groupBy("file_id").agg(
+            F.sort_array(F.collect_list(F.struct("seen", "header", "_nth"))).alias("_columns")
+        )
+    )
+    index = F.expr("array_position(transform(_columns, c -> struct(c.header, c._nth)), struct(header, _nth))")
+    named = F.filter("_columns", lambda c: F.contains(F.lower(c["header"]), F.lit(keyword.lower())))
+    files = columns.withColumn("_name", F.get(named, 0)).filter(F.col("_name").isNotNull())
+    files = join_on(files, known.filter("not _null"), ["file_id"], "left_semi").withColumn(
+        "_at", F.array_position("_columns", F.col("_name"))
+    )
+    return join_on(kept, files, ["file_id"]).withColumn("col_index", index.cast("int")).select(
+        "file_id", "page_no", "col_no", "header", "col_index",
+        (F.col("header") == F.col("_name.header")).alias("is_name"),
+        (F.col("col_index") < F.col("_at")).alias("is_leading"),
+        (F.col("_at") > 1).alias("has_leading"),
     )
 
 

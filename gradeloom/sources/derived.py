@@ -154,7 +154,8 @@ def raw_cells(spark: SparkSession, folder: str) -> DataFrame:
 
     Per student: one table row per grade, the name on the first row only. The last word of
     every fifth name slips to the next row, whose leading cells are blank. Row 0 of each
-    page repeats the headers, with the line breaks and the irrelevant columns reports have.
+    page repeats the headers, with the line breaks and the irrelevant columns reports have;
+    two columns have the same code header, each with grades of its own.
     """
     lines = grade_lines(spark, folder)
     slips = F.col("student_id") % 5 == 0
@@ -173,6 +174,7 @@ def raw_cells(spark: SparkSession, folder: str) -> DataFrame:
         1 + F.col("student_id") % STUDENTS_PER_PAGE * ROWS_PER_STUDENT + F.col("line_no")
     ).cast("long")
     number = F.col("student_id").cast("string")
+    other = F.col("line_no") % 3 == 0  # these grades stand in the second code column
     body = lines.select(
         *place,
         row_no.alias("row_no"),
@@ -181,12 +183,14 @@ def raw_cells(spark: SparkSession, folder: str) -> DataFrame:
             F.when(first, F.concat(F.lit("ID "), number)).otherwise(""),
             name,
             F.lit("x"),
-            F.concat(F.lit("  "), "line", F.lit(" \n")),
+            F.when(~other, F.concat(F.lit("  "), "line", F.lit(" \n"))).otherwise(" "),
+            F.when(other, F.concat("line", F.lit("\n"))).otherwise(""),
         )).alias("col_no", "cell"),
     )
     # Header cells of a report page.
     heads = [
         " Núm. ", "Identificador", "Nom\ni cognoms ", "MC.1", " Codi (Conv)\n- Qual ",
+        "Codi (Conv) - Qual",
     ]
     pages = table(spark, folder, "customer").select(
         F.col("c_nationkey").alias("file_id"),

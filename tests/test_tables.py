@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gradeloom.functions.text import clean_entry
-from gradeloom.operators import ordered, records as rec, tables
+from gradeloom.operators import ordered, tables
 from gradeloom.plans import reports
 from gradeloom.schemas import RAW_CELLS
 
@@ -70,6 +70,19 @@ def test_pages_may_have_other_columns(spark, rows):
     assert got == [("Ana", "Codi (Conv) - Qual", "E1"), ("Bea", "Extra", "n1")]
 
 
+def test_columns_with_one_header_stay_apart_in_any_order(spark, rows):
+    heads = ["Nom i cognoms", "Codi (Conv) - Qual", "Codi (Conv) - Qual"]
+    cells = raw(spark, {
+        ("f", 0): [heads, ["Ona", "0901_VV02_02RA (1) -", "0901_VV02_03RA (1) - A5"], ["", "A7", "0901_VV02_04RA (1) - A6"]],
+        ("f", 1): [heads, ["Pau", "0901_VV02_02RA (1) - A8", "0901_VV02_03RA (1) - A9"]],
+    })
+    want = [("Ona", "0901_VV02_02RA", 7.0, 2), ("Ona", "0901_VV02_03RA", 5.0, 3), ("Ona", "0901_VV02_04RA", 6.0, 3),
+            ("Pau", "0901_VV02_02RA", 8.0, 2), ("Pau", "0901_VV02_03RA", 9.0, 3)]
+    for order in (F.col("col_no"), F.col("col_no").desc()):
+        found = reports.extract_records(cells.orderBy(order))
+        assert rows(found.select("student", "code", "grade_num", "pos.col_no")) == want
+
+
 def test_without_leading_columns_names_are_glued_only_on_request(spark, rows):
     cells = raw(spark, {("f", 0): [["Nom i cognoms", "X"], ["Ana", "1"], ["Bea", "2"]]})
     assert rows(tables.student_rows(cells), "student") == [("Ana",), ("Bea",)]
