@@ -280,8 +280,9 @@ def score_documents(
     )
     sums = ["t", "t_next", "b", "b_next"]
     totals = counted.filter("word is null").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in sums]).first()
-    # At most ``vocabulary`` rows.
-    top = counted.filter("word is not null").orderBy((F.col("t") + F.col("b")).desc(), "word").limit(vocabulary).toPandas()
+    # Picked on the executors, then at most ``vocabulary`` rows.
+    top = counted.filter("word is not null").orderBy((F.col("t") + F.col("b")).desc(), "word").limit(vocabulary)
+    top = cut(top).toPandas()
     hashes = top["word"].to_numpy(dtype=np.int64).astype("<u8")
     order = np.argsort(hashes)
     tables = []

@@ -134,11 +134,12 @@ def _most_frequent(limit: int):
 
 def word_ranks(docs: DataFrame, buckets: int, limit: int = RANKED_WORDS) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes of the most frequent words and their document counts, at most ``limit``."""
-    top = (
+    # Picked on the executors, then at most ``limit`` rows for the driver.
+    top = cut(
         docs.select("text").mapInArrow(_document_counts(buckets), "bucket int, data binary")
         .groupBy("bucket").applyInArrow(_most_frequent(limit), "word long, n long")
-        .orderBy(F.col("n").desc(), "word").limit(limit).toPandas()
-    )
+        .orderBy(F.col("n").desc(), "word").limit(limit)
+    ).toPandas()
     hashes = top["word"].to_numpy(dtype=np.int64).astype(np.uint64)
     order = np.argsort(hashes)
     return hashes[order], top["n"].to_numpy(dtype=np.int64)[order]
