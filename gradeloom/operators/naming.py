@@ -139,19 +139,17 @@ def _contested_names(numbered: DataFrame, pos: str) -> DataFrame:
     families = cut(counted.groupBy("_key", "_name").agg(
         F.sort_array(F.collect_list(F.struct("_k", "_seen", "_literal"))).alias("_children")
     ))
-    depth = families.select(
-        F.max(F.length(F.regexp_extract(stem(F.col("_name")), r"((?:-[1-9][0-9]*)*)$", 1)))
-    ).first()[0]
-
     empty = F.array().cast("array<struct<literal:string,kept:boolean,skip:bigint>>")
     is_literal = families.select("_key", F.explode("_children").alias("_c")).select(
         "_key", F.col("_c._literal").alias("_name")
     )
-    known = families.join(is_literal, ["_key", "_name"], "left_anti").withColumn(
+    known = cut(families.join(is_literal, ["_key", "_name"], "left_anti").withColumn(
         "_own", F.lit(1).cast("long")
-    )
+    ))
     decided = []
-    for _ in range(1 if not depth else 1 + depth // 2):
+    # One round for each level of names below names; only contested names take part, and
+    # each round starts from written rows, so the plan does not grow with the depth.
+    while not decided or not known.isEmpty():
         # ``done`` children so far, ``kept`` of them; a literal is kept while fewer repeats
         # came before it than it takes to reach its number.
         def step(acc, child):
@@ -174,7 +172,7 @@ def _contested_names(numbered: DataFrame, pos: str) -> DataFrame:
         flags = result.select("_key", F.explode("_done").alias("_d")).select(
             "_key", F.col("_d.literal").alias("_name"), F.col("_d.kept").cast("long").alias("_own")
         )
-        known = families.join(flags, ["_key", "_name"])
+        known = cut(families.join(flags, ["_key", "_name"]))
     done = decided[0]
     for more in decided[1:]:
         done = done.unionByName(more)
