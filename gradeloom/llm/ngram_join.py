@@ -211,7 +211,7 @@ SKETCHED = "doc_id {kind}, text_key long, n long, set_id long, bucket int, data
 
 
 def _sketched(buckets: int, shared, kind: pa.DataType | None = None):
-    """A row for each document (size and set), and packed rows of prefix shingles by bucket."""
+    """A row for each document (size, set and point), and packed rows of prefix shingles by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets, seen = _Sets(shared.value), set()
@@ -235,12 +235,13 @@ def _sketched(buckets: int, shared, kind: pa.DataType | None = None):
             )
 
         for batch in batches:
-            ns, ids = [], []
+            ns, ids, points = [], [], []
             for text in batch.column(1):
                 text = text.as_py() or ""
                 items, rarest = sets.of(text)
                 ns.append(len(items))
                 ids.append(_set_id(items) if len(items) else None)
+                points.append(squeeze(_count_vector(items).astype("<u4")) if len(items) else None)
                 if len(items) and ids[-1] not in seen:
                     # Copies inside a task are left out; the set is there already.
                     seen.add(ids[-1])
@@ -251,7 +252,7 @@ def _sketched(buckets: int, shared, kind: pa.DataType | None = None):
             n = len(ns)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array(ns, pa.int64()), pa.array(ids, pa.int64()),
-                 pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
+                 pa.nulls(n, pa.int32()), pa.array(points, pa.binary())],
                 ["doc_id", "text_key", "n", "set_id", "bucket", "data"],
             )
             if chars >= CHUNK_CHARS:
@@ -365,6 +366,38 @@ def linked(sets: list[np.ndarray], groups: list[int], sides: list[int]) -> list[
     return out
 
 
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows ``block, set_id, n, parts, part, point`` in order of block: those that may link with another.
+
+    The trees of whole blocks, on points alone: most sets that only share a passage go here,
+    before any set is moved.
+    """
+    held: list[tuple] = []
+
+    def kept() -> pa.RecordBatch:
+        sizes = np.array([r[2] for r in held], dtype=np.int64)
+        tree = RTree(np.array([expand(r[5], "<u4")[0] for r in held]).astype(np.int64), sizes)
+        found = set()
+        for i in range(len(held)):
+            if len(near := tree.search(tree.points[i], int(sizes[i]))) > 1:
+                found.update(near.tolist())
+        rows = [held[i] for i in sorted(found)]
+        columns = list(zip(*rows)) if rows else [()] * 6
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, k) for c, k in zip(columns, kinds)], ["block", "set_id", "n", "parts", "part"]
+        )
+
+    for batch in batches:
+        for row in zip(*(batch.column(i).to_pylist() for i in range(6))):
+            if held and row[0] != held[0][0]:
+                yield kept()
+                held = []
+            held.append(row)
+    if held:
+        yield kept()
+
+
 def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows ``block, part, other, side, set_id, root, items`` in order of the first three: links."""
     key, ids, roots, sides, sets = None, [], [], [], []
@@ -432,19 +465,29 @@ def _labelled(docs: DataFrame, buckets: int | None) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     shared = spark.sparkContext.broadcast(word_ranks(rows, buckets))
     sketched = cut(rows.mapInArrow(_sketched(buckets, shared), SKETCHED.format(kind=kind)))
-    documents = sketched.filter("bucket is null").select("doc_id", "text_key", "n", "set_id")
+    documents = sketched.filter("bucket is null").select("doc_id", "text_key", "n", "set_id", "data")
 
     members = cut(
         sketched.filter("bucket is not null").groupBy("bucket").applyInArrow(_blocks, "block long, set_id long, n long")
         .groupBy("block", "set_id").agg(F.max("n").alias("n"))
     )
-    # The sets themselves, of one document each, for those that are in a block. A bitmap of
-    # those documents' hashes, of fixed size, keeps the texts where they are: a document
-    # that passes without being wanted only adds a set that nothing asks for.
-    wanted = members.select(F.col("set_id").alias("_set")).distinct()
-    one = documents.filter("set_id is not null").groupBy("set_id").agg(
-        F.min(F.struct("text_key", "doc_id")).alias("one")
-    ).join(wanted, F.col("set_id") == F.col("_set"), "left_semi").select("one.*")
+    sized = cut(_in_parts(members))
+    points = documents.filter("set_id is not null").groupBy(F.col("set_id").alias("_set")).agg(
+        F.min(F.struct("text_key", "doc_id")).alias("one"), F.any_value("data").alias("point")
+    )
+    # Blocks of one part are searched on points first; the others are searched part by part.
+    order = ["block", "set_id", "n", "parts", "part"]
+    near = (
+        sized.filter("parts = 1").join(points, F.col("set_id") == F.col("_set")).select(*order, "point")
+        .repartition(partitions(spark), "block").sortWithinPartitions("block", "set_id")
+        .mapInArrow(_near, "block long, set_id long, n long, parts int, part int")
+    )
+    placed = cut(near.unionByName(sized.filter("parts > 1").select(*order)))
+    # The sets themselves, of one document each, for those that are left. A bitmap of those
+    # documents' hashes, of fixed size, keeps the texts where they are: a document that
+    # passes without being wanted only adds a set that nothing asks for.
+    wanted = placed.select("set_id").distinct()
+    one = points.join(wanted, F.col("set_id") == F.col("_set"), "left_semi").select("one.*")
     bit = F.pmod(row_key("doc_id", "text_key"), F.lit(BITS)) + 1
     maps = one.select(bit.alias("bit")).groupBy(F.call_function("bitmap_bucket_number", "bit").alias("bucket")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")
@@ -467,7 +510,6 @@ def _labelled(docs: DataFrame, buckets: int | None) -> DataFrame:
             )
 
     sets = cut(rows.select("text", bit.alias("bit")).mapInArrow(sets_of, "set_id long, items binary"))
-    placed = cut(_in_parts(members))
     whole = [F.lit(-1).alias("other"), F.lit(-1).alias("side"), F.col("set_id").alias("root")]
     links = cut(_links(placed.select("block", "part", "set_id", *whole), sets))
     roots = components(links)
@@ -491,7 +533,7 @@ def _labelled(docs: DataFrame, buckets: int | None) -> DataFrame:
         links = links.unionByName(cut(_links(pairs, sets, few=True)))
         roots = components(links)
 
-    return _with_root(documents, roots)
+    return _with_root(documents.drop("data"), roots)
 
 
 def link_documents(docs: DataFrame, buckets: int | None = None) -> DataFrame:
