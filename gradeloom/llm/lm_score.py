@@ -1,10 +1,10 @@
 """Cross-entropy difference of two matched bigram models.
 
 The target model counts the documents of good quality, the background model all others.
-Both have the same vocabulary (the most frequent words of all documents; the rest is one
-unknown word), the same smoothing and the same formula, so a document's score, its loss per
-token under the target model minus that under the background model, compares like with
-like. A document's own counts are taken out of its own model first, so that no document is
+Both have the same vocabulary (every word that all documents together hold at least twice,
+so it grows with them; the rest is one unknown word), the same smoothing and the same
+formula, so a document's score, its loss per token under the target model minus that under
+the background model, compares like with like. A document's own counts are taken out of its own model first, so that no document is
 scored by a model that has seen it.
 
     p(w)     = (c(w) + 1) / (N + V)                 with V words, the unknown one included
@@ -13,9 +13,9 @@ scored by a model that has seen it.
 All documents are read once and kept as chunks (distinct words by hash and the number of
 the word at every position). Word counts, and then bigram counts, go from the chunks to
 hash buckets, one packed row for each pair of chunk and bucket, where the counts of the
-whole corpus meet. The bigram buckets send each chunk the two corpus counts of the bigrams
-it asked for, so no table of bigrams is ever broadcast; only the word counts of the bounded
-vocabulary are.
+whole corpus meet. The word buckets number the words of the vocabulary and send each chunk
+number and corpus counts of the words it asked for; the bigram buckets do the same for its
+bigrams. So no table of words or bigrams is ever gathered or broadcast, only their totals.
 """
 
 from __future__ import annotations
@@ -34,7 +34,11 @@ from ..session import cut
 from .common import partitions
 from .packed import CHUNK_CHARS, CODE_TYPES, Numbered, code_streams, codes_of, expand, squeeze
 
-VOCABULARY = 16_384
+#: A word seen so often in all documents belongs to the vocabulary.
+LEAST_SEEN = 2
+#: Number of the start of a document among the numbers of words; 0 is the unknown word.
+START = 2**32 - 1
+LONGS = np.iinfo(np.int64)
 #: Weight of the word model in the bigram model, in tokens.
 M = 50.0
 LEAST_BUCKETS = 64
@@ -108,6 +112,27 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     )
 
 
+def _planes(values: np.ndarray) -> np.ndarray:
+    """Numbers as their first bytes, then their second bytes and so on, which compress better."""
+    return np.ascontiguousarray(values).view("u1").reshape(len(values), values.itemsize).T
+
+
+def _joined(planes: np.ndarray, kind: str) -> np.ndarray:
+    """The numbers that :func:`_planes` took apart."""
+    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def _own_words(counts: np.ndarray, good: np.ndarray, codes: np.ndarray, doc: np.ndarray, n: int) -> list[np.ndarray]:
+    """A chunk's occurrences and occurrences with a successor of its ``n`` words, in both corpora."""
+    last = np.cumsum(counts)[counts > 0] - 1
+    columns = []
+    for corpus in (good, ~good):
+        times = np.bincount(codes[corpus[doc]], minlength=n)
+        ends = np.bincount(codes[last[corpus[counts > 0]]], minlength=n)
+        columns += [times.astype("<u4"), (times - ends).astype("<u4")]
+    return columns
+
+
 def _word_counts(buckets: int):
     """Per chunk and bucket: word hash, occurrences and occurrences with a successor, in both corpora."""
 
@@ -115,125 +140,214 @@ def _word_counts(buckets: int):
         for batch in batches:
             for chunk, data in zip(batch.column(0).to_pylist(), batch.column(1)):
                 counts, good, hashes, codes, doc = _opened(data.as_py())
-                n = len(hashes)
-                last = np.cumsum(counts)[counts > 0] - 1
-                columns = []
-                for corpus in (good, ~good):
-                    of = corpus[doc]
-                    times = np.bincount(codes[of], minlength=n)
-                    ends = np.bincount(codes[last[corpus[counts > 0]]], minlength=n)
-                    columns += [times.astype("<u4"), (times - ends).astype("<u4")]
+                columns = _own_words(counts, good, codes, doc, len(hashes))
                 yield _batch(list(_per_bucket(chunk, hashes % np.uint64(buckets), buckets, hashes, *columns)))
 
     return run
 
 
-def _merged_words(limit: int):
-    """Sums per word of one bucket; its ``limit`` most frequent ones and a row of totals (null word)."""
+def _met(table: pa.Table):
+    """One bucket's words, their corpus counts, and of each chunk's row the places of its words and its counts."""
+    parts = [expand(d.as_py(), "<u8", "<u4", "<u4", "<u4", "<u4") for d in table.column("data")]
+    hashes, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    sums = [
+        np.bincount(at, weights=np.concatenate([p[i] for p in parts]), minlength=len(hashes)).astype(np.int64)
+        for i in range(1, 5)
+    ]
+    ends = np.cumsum([0] + [len(p[0]) for p in parts]).tolist()
+    rows = [(at[a:b], p[1:]) for a, b, p in zip(ends[:-1], ends[1:], parts)]
+    return hashes.astype("<i8"), sums, rows
+
+
+def _top_words(limit: int):
+    """The ``limit`` most frequent words of one bucket."""
 
     def run(table: pa.Table) -> pa.Table:
-        parts = [expand(d.as_py(), "<u8", "<u4", "<u4", "<u4", "<u4") for d in table.column("data")]
-        hashes, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-        sums = [
-            np.bincount(at, weights=np.concatenate([p[i] for p in parts]), minlength=len(hashes)).astype(np.int64)
-            for i in range(1, 5)
-        ]
+        words, sums, _ = _met(table)
         both = sums[0] + sums[2]
-        top = np.lexsort((hashes, -both))[:limit]
-        word = pa.array([*hashes[top].astype("<i8").tolist(), None], pa.int64())
-        return pa.table({"word": word} | {
-            name: pa.array(np.append(s[top], s.sum())) for name, s in zip(("t", "t_next", "b", "b_next"), sums)
+        top = np.lexsort((words, -both))[:limit]
+        return pa.table({"word": pa.array(words[top], pa.int64()), "n": pa.array(both[top], pa.int64())})
+
+    return run
+
+
+def _numbers(buckets: int, least: int, last: int):
+    """Per chunk, in the order it asked: each word's number and its counts in all other chunks.
+
+    Known are the words seen more than ``least`` times, and of those seen ``least`` times the
+    ones up to ``last``. One more row has the sums of the bucket: its known words, their four
+    counts, and the four counts of all words.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        words, sums, rows = _met(table)
+        bucket = table.column("bucket")[0].as_py()
+        both = sums[0] + sums[2]
+        known = np.flatnonzero((both > least) | ((both == least) & (words <= last)))
+        known = known[np.argsort(-both[known], kind="stable")]
+        if len(known) * buckets >= START:
+            raise ValueError("more words than numbers")
+        ids = np.zeros(len(words), dtype="<u4")
+        ids[known] = np.arange(len(known)) * buckets + bucket + 1
+        data = [
+            squeeze(_planes(ids[at]), *[
+                _planes(np.where(ids[at] > 0, s[at] - own, 0).astype("<i8")) for s, own in zip(sums, owns)
+            ]) for at, owns in rows
+        ]
+        totals = [len(known), *[int(s[known].sum()) for s in sums], *[int(s.sum()) for s in sums]]
+        return pa.table({
+            "chunk": pa.array([*table.column("chunk").to_pylist(), -1 - bucket], pa.int64()),
+            "bucket": pa.array([bucket] * (len(rows) + 1), pa.int32()),
+            "data": pa.array([*data, None], pa.binary()),
+            "sums": pa.array([None] * len(rows) + [totals], pa.list_(pa.int64())),
         })
 
     return run
 
 
-def _ids(hashes: np.ndarray, codes: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
-    """Vocabulary number of every position; 0 is the unknown word."""
-    if not len(vocabulary):
-        return np.zeros(len(codes), dtype=np.int64)
-    at = np.minimum(np.searchsorted(vocabulary, hashes), len(vocabulary) - 1)
-    return np.where(vocabulary[at] == hashes, at + 1, 0)[codes]
+def _numbered(buckets: int):
+    """One chunk and the answers to its words as a chunk of known words; 0 is the code of all others."""
 
+    def run(table: pa.Table) -> pa.Table:
+        places, data = table.column("bucket").to_pylist(), table.column("data")
+        if table.column("chunk")[0].as_py() < 0:
+            return table.select(["chunk", "data", "doc_ids", "sums"])
+        at = next(i for i, p in enumerate(places) if p < 0)
+        counts, good, hashes, codes, doc = _opened(data[at].as_py())
+        ids, sums = np.zeros(len(hashes), dtype="<u4"), np.zeros((4, len(hashes)), dtype="<i8")
+        bucket = hashes % np.uint64(buckets)
+        for i, p in enumerate(places):
+            if p >= 0:
+                words = np.flatnonzero(bucket == np.uint64(p))
+                number, *others = expand(data[i].as_py(), *["u1"] * 5)
+                ids[words] = _joined(number, "<u4")
+                sums[:, words] = [_joined(o, "<i8") for o in others]
+        sums += np.array(_own_words(counts, good, codes, doc, len(hashes)), dtype="<i8").reshape(4, -1)
+        known = ids > 0
+        sums[1::2] = sums[::2] - sums[1::2]
+        packed = squeeze(
+            counts, good.astype("u1"), _planes(ids[known]), *[_planes(s[known]) for s in sums],
+            *code_streams((np.cumsum(known) * known)[codes]),
+        )
+        return pa.table({
+            "chunk": table.column("chunk").slice(at, 1), "data": pa.array([packed], pa.binary()),
+            "doc_ids": table.column("doc_ids").slice(at, 1), "sums": table.column("sums").slice(at, 1),
+        })
 
-def _bigrams(ids: np.ndarray, counts: np.ndarray, start: int) -> np.ndarray:
-    """Word before and word of every position as one number; ``start`` comes before a first word."""
-    before = np.empty_like(ids)
-    before[1:] = ids[:-1]
-    first = (np.cumsum(counts) - counts)[counts > 0]
-    before[first] = start
-    return (before.astype(np.uint64) << np.uint64(32)) | ids.astype(np.uint64)
+    return run
+
+
+NUMBERED_TYPES = ("<i8", "u1", *["u1"] * 5, *CODE_TYPES)
+
+
+def _bigrams(data: bytes):
+    """Document lengths, flags, numbers and counts of known words, codes by position, codes before.
+
+    The unknown word has the first code and the start of a document the last one.
+    """
+    counts, good, ids, *rest = expand(data, *NUMBERED_TYPES)
+    codes, sums = codes_of(*rest[4:]), np.array([_joined(s, "<i8") for s in rest[:4]])
+    ids = np.concatenate([[0], _joined(ids, "<u4"), [START]]).astype(np.uint64)
+    before = np.empty_like(codes)
+    before[1:] = codes[:-1]
+    before[(np.cumsum(counts) - counts)[counts > 0]] = len(ids) - 1
+    sums[1::2] = sums[::2] - sums[1::2]
+    return counts, good.astype(bool), ids, sums, codes, before
+
+
+def _asks(counts: np.ndarray, good: np.ndarray, ids: np.ndarray, codes: np.ndarray, before: np.ndarray):
+    """A chunk's different bigrams, the one at each position, and their counts in both corpora."""
+    keys, at = np.unique((ids[before] << np.uint64(32)) | ids[codes], return_inverse=True)
+    of = np.repeat(good, counts)
+    return keys, at, [np.bincount(at[c], minlength=len(keys)).astype("<u4") for c in (of, ~of)]
 
 
 def _key_bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
     return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(buckets)
 
 
-def _asked(buckets: int, shared):
+def _asked(buckets: int):
     """Per chunk and bucket: the chunk's different bigrams and their counts in both corpora."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, *_ = shared.value
         for batch in batches:
             for chunk, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-                counts, good, hashes, codes, doc = _opened(data.as_py())
-                ids = _ids(hashes, codes, vocabulary)
-                keys, at = np.unique(_bigrams(ids, counts, len(vocabulary) + 1), return_inverse=True)
-                of = good[doc]
-                t = np.bincount(at[of], minlength=len(keys)).astype("<u4")
-                b = np.bincount(at[~of], minlength=len(keys)).astype("<u4")
-                yield _batch(list(_per_bucket(chunk, _key_bucket(keys, buckets), buckets, keys, t, b)))
+                counts, good, ids, _, codes, before = _bigrams(data.as_py())
+                keys, _, own = _asks(counts, good, ids, codes, before)
+                bucket = _key_bucket(keys, buckets)
+                order = np.argsort(bucket, kind="stable")
+                edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+                rows = []
+                for b in range(buckets):
+                    part = order[edges[b] : edges[b + 1]]
+                    if len(part):
+                        # Sorted, so the words before differ little from one bigram to the next.
+                        first, second = keys[part] >> np.uint64(32), keys[part] & np.uint64(START)
+                        steps = np.diff(first, prepend=np.uint64(0)).astype("<u4")
+                        columns = [steps, second.astype("<u4"), *[o[part] for o in own]]
+                        rows.append((chunk, b, squeeze(*map(_planes, columns))))
+                yield _batch(rows)
 
     return run
 
 
 def _answered(table: pa.Table) -> pa.Table:
-    """Corpus counts of one bucket's bigrams, for each chunk in the order it asked."""
-    parts = [expand(d.as_py(), "<u8", "<u4", "<u4") for d in table.column("data")]
-    keys, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    sums = [np.bincount(at, weights=np.concatenate([p[i] for p in parts]), minlength=len(keys)) for i in (1, 2)]
-    ends = np.cumsum([0] + [len(p[0]) for p in parts])
+    """Counts of one bucket's bigrams in all other chunks, for each chunk in the order it asked."""
+    parts = [[_joined(c, "<u4") for c in expand(d.as_py(), *["u1"] * 4)] for d in table.column("data")]
+    asked = [(np.cumsum(p[0], dtype=np.uint64) << np.uint64(32)) | p[1] for p in parts]
+    keys, at = np.unique(np.concatenate(asked), return_inverse=True)
+    ends = np.cumsum([0] + [len(a) for a in asked]).tolist()
+    sums = [
+        np.bincount(at, weights=np.concatenate([p[i] for p in parts]), minlength=len(keys)).astype(np.int64)
+        for i in (2, 3)
+    ]
     out = [
-        squeeze(*[s[at[a:b]].astype("<u4") for s in sums]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())
+        squeeze(*[_planes((s[at[a:b]] - own).astype("<i8")) for s, own in zip(sums, p[2:])])
+        for a, b, p in zip(ends[:-1], ends[1:], parts)
     ]
     return table.set_column(table.schema.names.index("data"), "data", pa.array(out, pa.binary()))
 
 
-def _scored(buckets: int, weight: float, shared):
-    """One chunk's documents and the answers to its bigrams as scores."""
+def _scored(buckets: int, weight: float, known: int, inside: list[int], totals: list[int]):
+    """One chunk's documents and the answers to its bigrams as scores.
+
+    ``known`` words are in the vocabulary; ``inside`` has their counts and ``totals`` those of all words.
+    """
 
     def run(table: pa.Table) -> pa.Table:
-        vocabulary, words, nexts, totals = shared.value
         places = table.column("bucket").to_pylist()
         data = table.column("data")
         at = [i for i, p in enumerate(places) if p < 0]
-        counts, good, hashes, codes, _ = _opened(data[at[0]].as_py())
-        ids = _ids(hashes, codes, vocabulary)
-        grams = _bigrams(ids, counts, len(vocabulary) + 1)
-        keys, code = np.unique(grams, return_inverse=True)
+        counts, good, ids, sums, codes, before = _bigrams(data[at[0]].as_py())
+        keys, code, pairs = _asks(counts, good, ids, codes, before)
+        pairs = np.array(pairs, dtype=np.float64)
         bucket = _key_bucket(keys, buckets)
-        pairs = np.zeros((2, len(keys)))
         for i, p in enumerate(places):
             if p >= 0:
-                answer = expand(data[i].as_py(), "<u4", "<u4")
-                pairs[:, np.flatnonzero(bucket == np.uint64(p))] = answer
-        before = (grams >> np.uint64(32)).astype(np.int64)
-        size = len(vocabulary) + 1
+                answer = expand(data[i].as_py(), "u1", "u1")
+                pairs[:, np.flatnonzero(bucket == np.uint64(p))] += [_joined(a, "<i8") for a in answer]
+        words, nexts = [], []
+        for c in (0, 2):
+            # Every document with words has one first word and one word without a successor.
+            starts = totals[c] - totals[c + 1]
+            words.append(np.concatenate([[totals[c] - inside[c]], sums[c]]).astype(np.float64))
+            nexts.append(np.concatenate([[totals[c + 1] - inside[c + 1]], sums[c + 1], [starts]]).astype(np.float64))
+        tokens, size = [totals[0], totals[2]], known + 1
         losses = np.full((2, len(counts)), np.nan)
         bounds = np.concatenate([[0], np.cumsum(counts)]).tolist()
         for d, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])):
             if a == b:
                 continue
             own = TARGET if good[d] else BACKGROUND
-            _, u_at, u_n = np.unique(ids[a:b], return_inverse=True, return_counts=True)
+            _, u_at, u_n = np.unique(codes[a:b], return_inverse=True, return_counts=True)
             _, v_at, v_n = np.unique(before[a:b], return_inverse=True, return_counts=True)
             _, k_at, k_n = np.unique(code[a:b], return_inverse=True, return_counts=True)
             for corpus in (TARGET, BACKGROUND):
                 mine = float(corpus == own)
-                c_w = words[corpus][ids[a:b]] - mine * u_n[u_at]
+                c_w = words[corpus][codes[a:b]] - mine * u_n[u_at]
                 c_v = nexts[corpus][before[a:b]] - mine * v_n[v_at]
                 c_vw = pairs[corpus][code[a:b]] - mine * k_n[k_at]
-                p_w = (c_w + 1.0) / (totals[corpus] - mine * (b - a) + size)
+                p_w = (c_w + 1.0) / (tokens[corpus] - mine * (b - a) + size)
                 losses[corpus, d] = -np.log((c_vw + weight * p_w) / (c_v + weight)).mean()
         empty = counts == 0
         columns = {"doc_id": table.column("doc_ids")[at[0]].values, "n_tokens": pa.array(counts, pa.int64())}
@@ -248,14 +362,15 @@ def _scored(buckets: int, weight: float, shared):
 
 
 def score_documents(
-    docs: DataFrame, labels: DataFrame, vocabulary: int = VOCABULARY, weight: float = M,
+    docs: DataFrame, labels: DataFrame, vocabulary: int | None = None, weight: float = M,
     buckets: int | None = None,
 ) -> DataFrame:
     """``doc_id, n_tokens, loss_target, loss_background, score`` of every document.
 
     ``docs`` needs ``doc_id, text``, ``labels`` needs ``doc_id, quality``; other columns are
     ignored. Documents with a label of quality 1 are the target corpus, all others the
-    background. A low score means closer to the target.
+    background. A low score means closer to the target. The vocabulary holds every word seen
+    at least ``LEAST_SEEN`` times, or the ``vocabulary`` most frequent words if that is given.
 
     A text that is null, empty or without words has 0 tokens and null losses. Null ids are
     never labelled; several labels of one id count as 1 if any is. Repeated rows count each.
@@ -274,37 +389,31 @@ def score_documents(
         _chunked, f"chunk long, data binary, doc_ids array<{kind}>"
     ))
     packed = "chunk long, bucket int, data binary"
-    counted = cut(
-        chunks.select("chunk", "data").mapInArrow(_word_counts(buckets), packed)
-        .groupBy("bucket").applyInArrow(_merged_words(vocabulary), "word long, t long, t_next long, b long, b_next long")
-    )
-    sums = ["t", "t_next", "b", "b_next"]
-    totals = counted.filter("word is null").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in sums]).first()
-    # Picked on the executors, then at most ``vocabulary`` rows.
-    top = counted.filter("word is not null").orderBy((F.col("t") + F.col("b")).desc(), "word").limit(vocabulary)
-    top = cut(top).toPandas()
-    hashes = top["word"].to_numpy(dtype=np.int64).astype("<u8")
-    order = np.argsort(hashes)
-    tables = []
-    for names in (("t", "t_next"), ("b", "b_next")):
-        known = [top[c].to_numpy(dtype=np.float64)[order] for c in names]
-        unknown = [totals[c] - k.sum() for c, k in zip(names, known)]
-        # Every document with words has one first word and one word without a successor.
-        starts = float(totals[names[0]] - totals[names[1]])
-        tables.append((
-            np.append(unknown[0], known[0]), np.concatenate([[unknown[1]], known[1], [starts]]),
-            float(totals[names[0]]),
-        ))
-    shared = spark.sparkContext.broadcast((
-        hashes[order], [t[0] for t in tables], [t[1] for t in tables], [t[2] for t in tables]
+    asked = chunks.select("chunk", "data").mapInArrow(_word_counts(buckets), packed).groupBy("bucket")
+    least, last = LEAST_SEEN, LONGS.max
+    if vocabulary is not None:
+        top = asked.applyInArrow(_top_words(vocabulary), "word long, n long")
+        top = top.orderBy(F.col("n").desc(), "word").limit(vocabulary)
+        end = top.orderBy("n", F.col("word").desc()).first()
+        least, last = (end["n"], end["word"]) if end else (LONGS.max, LONGS.min)
+    answers = asked.applyInArrow(_numbers(buckets, least, last), f"{packed}, sums array<long>")
+    every = chunks.select(
+        "chunk", F.lit(-1).alias("bucket"), "data", "doc_ids", F.lit(None).cast("array<long>").alias("sums")
+    ).unionByName(answers.withColumn("doc_ids", F.lit(None).cast(f"array<{kind}>")))
+    numbered = cut(every.groupBy("chunk").applyInArrow(
+        _numbered(buckets), f"chunk long, data binary, doc_ids array<{kind}>, sums array<long>"
     ))
+    known, *totals = numbered.filter("chunk < 0").agg(
+        *[F.coalesce(F.sum(F.col("sums")[i]), F.lit(0)) for i in range(9)]
+    ).first()
+    numbered = numbered.filter("chunk >= 0")
     answers = (
-        chunks.select("chunk", "data").mapInArrow(_asked(buckets, shared), packed)
+        numbered.select("chunk", "data").mapInArrow(_asked(buckets), packed)
         .groupBy("bucket").applyInArrow(_answered, packed)
         .withColumn("doc_ids", F.lit(None).cast(f"array<{kind}>"))
     )
-    every = chunks.select("chunk", F.lit(-1).alias("bucket"), "data", "doc_ids").unionByName(answers)
+    every = numbered.select("chunk", F.lit(-1).alias("bucket"), "data", "doc_ids").unionByName(answers)
     return every.groupBy("chunk").applyInArrow(
-        _scored(buckets, weight, shared),
+        _scored(buckets, weight, known, totals[:4], totals[4:]),
         f"doc_id {kind}, n_tokens long, loss_target double, loss_background double, score double",
     )

@@ -63,3 +63,16 @@ def test_edges(spark):
     assert all((r[2] is None) == (r[1] == 0) for r in got)
     assert lm.score_documents(docs, labels.limit(0)).count() == len(rows)
     assert lm.score_documents(docs.limit(0), labels).count() == 0
+
+
+def test_the_vocabulary_grows_with_the_documents(spark, monkeypatch):
+    monkeypatch.setattr(lm, "CHUNK_CHARS", 20_000)
+    words = [f"w{i * 7919 % 20_000}" for i in range(20_000)] * 2
+    rows = [(i, " ".join([*words[i * 500 : i * 500 + 500], f"once{i}"])) for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(0, 80, 3)], "doc_id int, quality int")
+    got = {r.doc_id: r for r in lm.score_documents(docs, labels).collect()}
+    for d, n, target, background in brute(rows, set(range(0, 80, 3)), 20_000, lm.M):
+        assert got[d].n_tokens == n == 501
+        assert math.isclose(got[d].loss_target, target, rel_tol=1e-9)
+        assert math.isclose(got[d].loss_background, background, rel_tol=1e-9)
