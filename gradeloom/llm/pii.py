@@ -211,8 +211,10 @@ def learnt_spans(docs: DataFrame) -> DataFrame:
         texts.filter(F.col("text").rlike(r"[0-9@]|[\[(]at[\])]")).withColumn("_base", base_spans(F.col("text")))
     ))
     # The counts of words that precede anything; grouped in the tasks before they meet.
-    seeds = rows.filter("rank is not null").groupBy("pattern").agg(F.count_distinct("hit").alias("k"))
-    wanted = seeds.filter(F.col("k") >= INSTANCES).select("pattern")
+    # Seeds and unknown strings count alike, as a later round may have learnt any of them; a
+    # pattern before fewer different strings than it needs instances is never trusted.
+    kinds = rows.groupBy("pattern").agg(F.count_distinct("hit").alias("k"))
+    wanted = kinds.filter(F.col("k") >= INSTANCES).select("pattern")
     words = docs.select(F.explode(F.split(F.coalesce("text", F.lit("")), GAP)).alias("pattern"))
     occurrences = words.groupBy("pattern").agg(F.count(F.lit(1)).alias("total")).join(
         wanted, "pattern", "left_semi"

@@ -78,3 +78,13 @@ def test_masked_rows_keep_their_columns(spark):
     assert got[100].text == "say reach: [PHONE] then the 123 4567 end"
     assert got[102].text is None and got[101].text == "the 7654321 is it"
     assert tuple(got[103]) == (103, "x [EMAIL], [IP]", 7, 8)
+
+
+def test_a_pattern_without_enough_seeds_is_trusted_in_a_later_round(spark):
+    seeds = [f"+1 (23{i % 10}) 555-{1000 + i}" for i in range(203)]
+    numbers = [f"555 {i + 100} {i + 2000}" for i in range(40)]
+    texts = [f"so reach: {s} then" for s in seeds[:200]] + [f"so reach: {n} then" for n in numbers]
+    texts += [f"so Tel {n} then" for n in seeds[200:] + numbers] + ["so Tel 867 111 5309 then"]
+    docs = spark.createDataFrame([(i, t, 1, 1) for i, t in enumerate(texts)], SCHEMA)
+    got = {r.doc_id: r.spans for r in pii.find_personal_data(docs).collect()}
+    assert got[len(texts) - 1] == "phone:7:19"
