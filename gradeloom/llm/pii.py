@@ -1,7 +1,8 @@
 """Personal data by bootstrapped contextual extraction (built-in functions only).
 
 Base patterns find e-mail addresses, IP addresses, card and phone numbers; these spans are
-seeds. The word before a seed is a lexical pattern. Patterns and the identifier-like strings
+seeds. The word before a seed is a lexical pattern, and so is the part of a word that touches
+it; standing apart and touching are different patterns with occurrences of their own. Patterns and the identifier-like strings
 they precede (seeds and unknown ones) form a graph that Spark scores in rounds:
 
 * a pattern scores, for each kind, the share of *all its occurrences in the corpus* that
@@ -46,6 +47,9 @@ UNKNOWN_DIGITS = r"(?<![0-9A-Za-z])[(]?[0-9]++(?:[().\x20-]{1,2}+[0-9]++)*+(?![0
 CONFIDENT, INSTANCES, ROUNDS = 0.8, 5, 3
 #: Characters before a span in which its lexical pattern is looked for.
 REACH = 80
+#: Places in a word where a span may start: no span starts between two letters or two digits,
+#: or at a letter after a digit.
+PLACE = r"(?s)^(?:[^A-Za-z0-9].|[A-Za-z][^A-Za-z]|[0-9][^A-Za-z0-9])"
 
 
 def found(text: Column, pattern: str, needs: str | None = None, likely: Column | None = None) -> Column:
@@ -120,9 +124,32 @@ def spans_text(spans: Column) -> Column:
 
 
 def _before(text: Column, start: Column) -> Column:
-    """The word before a position, or the part of a word that touches it."""
+    """The word before a position and a space, or the part of a word that touches it."""
     head = F.substring(text, F.greatest(start - REACH, F.lit(0)) + 1, F.least(start, F.lit(REACH)))
-    return F.regexp_extract(head, r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$", 1)
+    # A word that began earlier is not known whole.
+    head = F.concat(F.when(start <= REACH, " ").otherwise(""), head)
+    word = F.regexp_extract(head, r"[\x20\x09-\x0D]([^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$", 1)
+    return F.when((word != "") & head.rlike(r"[\x20\x09-\x0D]$"), F.concat(word, F.lit(" "))).otherwise(word)
+
+
+def _occurrences(docs: DataFrame) -> DataFrame:
+    """``pattern, total`` of every pattern as :func:`_before` makes them, wherever a span could follow.
+
+    A word is an occurrence of itself standing apart, and of each of its beginnings that a
+    span could touch.
+    """
+    words = docs.select(F.explode(F.split(F.coalesce("text", F.lit("")), GAP)).alias("word"))
+    words = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter("word != ''")
+    word = F.col("word")
+    ends = F.sequence(F.lit(1), F.least(F.length(word) - 1, F.lit(REACH)))
+    touching = F.transform(
+        F.filter(ends, lambda i: F.substring(word, i, F.lit(2)).rlike(PLACE)), lambda i: F.substring(word, F.lit(1), i)
+    )
+    inner = F.when((F.length(word) > 1) & word.rlike("[^A-Za-z]"), touching).otherwise(F.array().cast("array<string>"))
+    return (
+        words.select(F.explode(F.concat(F.array(F.concat(word, F.lit(" "))), inner)).alias("pattern"), "n")
+        .groupBy("pattern").agg(F.sum("n").alias("total"))
+    )
 
 
 def _unknown(text: Column, base: Column) -> Column:
@@ -210,15 +237,11 @@ def learnt_spans(docs: DataFrame) -> DataFrame:
     rows = cut(_context_rows(
         texts.filter(F.col("text").rlike(r"[0-9@]|[\[(]at[\])]")).withColumn("_base", base_spans(F.col("text")))
     ))
-    # The counts of words that precede anything; grouped in the tasks before they meet.
     # Seeds and unknown strings count alike, as a later round may have learnt any of them; a
     # pattern before fewer different strings than it needs instances is never trusted.
     kinds = rows.groupBy("pattern").agg(F.count_distinct("hit").alias("k"))
     wanted = kinds.filter(F.col("k") >= INSTANCES).select("pattern")
-    words = docs.select(F.explode(F.split(F.coalesce("text", F.lit("")), GAP)).alias("pattern"))
-    occurrences = words.groupBy("pattern").agg(F.count(F.lit(1)).alias("total")).join(
-        wanted, "pattern", "left_semi"
-    )
+    occurrences = _occurrences(docs).join(wanted, "pattern", "left_semi")
     patterns = confident_patterns(rows, occurrences)
     best = F.max(F.struct("score", -F.col("rank")))
     return (

@@ -88,3 +88,27 @@ def test_a_pattern_without_enough_seeds_is_trusted_in_a_later_round(spark):
     docs = spark.createDataFrame([(i, t, 1, 1) for i, t in enumerate(texts)], SCHEMA)
     got = {r.doc_id: r.spans for r in pii.find_personal_data(docs).collect()}
     assert got[len(texts) - 1] == "phone:7:19"
+
+
+def test_touching_contexts_are_scored_by_their_own_occurrences(spark):
+    texts = [f"so tel:+1 (234) 555-{1000 + i} then" for i in range(20)] + ["so tel:555 867 5309 then"]
+    texts += [f"so # +1 (235) 555-{1000 + i} then" for i in range(5)] + [f"so #{1234567 + i} then" for i in range(50)]
+    texts += [f"so phone= +1 (236) 555-{1000 + i} then" for i in range(20)] + ["so phone=555 867 5310 then"]
+    docs = spark.createDataFrame([(i, t, 1, 1) for i, t in enumerate(texts)], SCHEMA)
+    got = {r.doc_id: r.spans for r in pii.find_personal_data(docs).collect()}
+    assert got[20] == "phone:7:19"
+    assert all(got[i] == "" for i in range(26, 76)) and got[len(texts) - 1] == ""
+
+
+def test_totals_cover_all_that_precedes(spark):
+    rng = random.Random(5)
+    bits = ["1", "23", ".", "@", "a", "b-c", " ", " ", "-", "+", "(", ")", "x.y", "4111 1111 1111 1111", "12.3.4.5",
+            "é", "+1 (234) 555-6789", "%", "_", "\n", "a@b.co", "5558675309", "#", "y" * 90]
+    rows = [(i, "".join(rng.choices(bits, k=rng.randint(0, 30)))) for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = docs.select("text", "doc_id").withColumnRenamed("doc_id", "text_key")
+    found = pii._context_rows(texts.withColumn("_base", pii.base_spans(texts["text"])))
+    most = found.groupBy("pattern", "rank").agg({"*": "count"}).collect()
+    totals = {r.pattern: r.total for r in pii._occurrences(docs).collect()}
+    assert len(most) > 100 and all(totals.get(p, 0) >= n for p, rank, n in most if rank is not None)
+    assert all(p in totals for p, *_ in most)
