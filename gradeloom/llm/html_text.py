@@ -7,6 +7,11 @@ unusual blocks) stays ambiguous. In the second pass an ambiguous block inherits
 its nearest decided neighbour. Neighbours in the same container come first, a headline
 follows what comes after it, and of two equally near ones the preceding one wins; inside an
 ``article`` or ``main`` without any decided block, and on pages without any, blocks are kept.
+
+Where the long blocks together are poor in stop words, the page is in another language, and
+length with few links tells prose. Boilerplate alone never decides a long block. A word of
+class, id or role does not mark an element around all articles of the page or, without any
+article, around most of its text.
 """
 
 from __future__ import annotations
@@ -22,6 +27,8 @@ from pyspark.sql import functions as F
 #: Prose has at least so many characters and such a share of stop words; a block with a
 #: larger share of its characters inside links is boilerplate.
 LONG, STOPS, LINKS = 60, 0.12, 0.4
+#: Characters that a letter of a script without spaces counts for.
+DENSE = 3
 #: Containers around a block that count as shared with its neighbours.
 LEVELS = 32
 
@@ -64,18 +71,25 @@ _QUOTE_OR_END = re.compile(r"[>\"']")
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _WORDS = re.compile(r"[^\W\d_]+")
 _SPLIT = re.compile(r"[^a-z0-9]+")
+_IDEOGRAPHS = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uac00-\ud7a3\U00020000-\U0003ffff]")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 def _marked(attributes: str) -> bool:
-    """Do class, id, role or style mark an element as margin or hidden?"""
+    """Do words of class, id or role mark an element as margin?"""
     for name, *values in _ATTRIBUTE.findall(attributes):
         value = next(filter(None, values), "")
-        name = name.lower()
-        if name in ("class", "id", "role"):
+        if name.lower() in ("class", "id", "role"):
             if not MARKS.isdisjoint(_SPLIT.split(_CAMEL.sub("-", value).lower())):
                 return True
-        elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
+    return False
+
+
+def _hidden(attributes: str) -> bool:
+    for name, *values in _ATTRIBUTE.findall(attributes):
+        value = next(filter(None, values), "")
+        name = name.lower()
+        if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
         elif name == "aria-hidden" and value.lower() == "true":
             return True
@@ -98,6 +112,10 @@ class _Open:
     def __init__(self):
         # Tag, number, margin, article, link.
         self.stack: list[tuple[str, int, bool, bool, bool]] = [("", 0, False, False, False)]
+        # Marked elements: the outer one of each, and those around each article; 0 is none.
+        self.outer: dict[int, int] = {0: 0}
+        self.marks: list[int] = [0]
+        self.articles: list[int] = []
         self.count: Counter = Counter()
         self.numbers = 0
 
@@ -116,15 +134,36 @@ class _Open:
         return tuple(reversed(found))
 
     def push(self, tag: str, attributes: str) -> None:
-        marked = tag not in ("html", "body", "article", "main") and _marked(attributes)
-        if tag not in BLOCKS and tag != "a" and not marked and not self.count[tag]:
+        page = tag in ("html", "body", "article", "main")
+        marked, hidden = _marked(attributes), not page and _hidden(attributes)
+        if tag not in BLOCKS and tag != "a" and not (marked or hidden) and not self.count[tag]:
             return
         self.numbers += 1
         _, _, margin, article, link = self.top
-        margin = margin or marked or (tag in MARGIN and not (tag == "header" and article))
+        mark = self.marks[-1]
+        if marked and not page:
+            self.outer[self.numbers], mark = mark, self.numbers
+        margin = margin or hidden or (tag in MARGIN and not (tag == "header" and article))
+        if tag in ("article", "main") and not margin and not marked:
+            self.articles.append(mark)
+        self.marks.append(mark)
         self.stack.append((tag, self.numbers, margin, article or tag in ("article", "main"), link or tag == "a"))
         self.count[tag] += 1
 
+    def margins(self, sizes: Counter) -> dict[int, bool]:
+        """Is what the innermost mark ``key`` covers margin? ``sizes`` has the characters right below each."""
+        held, inside = Counter(sizes), Counter(self.articles)
+        for mark in reversed(self.outer):
+            if mark:
+                held[self.outer[mark]] += held[mark]
+                inside[self.outer[mark]] += inside[mark]
+        found = {0: False}
+        for mark, outer in self.outer.items():
+            if mark:
+                wraps = inside[mark] == inside[0] if inside[0] else 2 * held[mark] > held[0]
+                found[mark] = found[outer] or not wraps
+        return found
+
     def pop(self, tags: set[str], across: bool) -> None:
         """Close the innermost element of ``tags``, not across a container unless told so."""
         if not any(self.count[t] for t in tags):
@@ -133,7 +172,7 @@ class _Open:
             if self.stack[depth][0] in tags:
                 for tag, *_ in self.stack[depth:]:
                     self.count[tag] -= 1
-                del self.stack[depth:]
+                del self.stack[depth:], self.marks[depth:]
                 return
             if self.stack[depth][0] in CONTAINERS and not across:
                 return
@@ -145,7 +184,7 @@ def blocks_of(html: str) -> list[tuple[str, int, tuple[int, ...], bool, bool, bo
     Containers are numbered; the tuple leads from the outer to the innermost one. Unclosed
     elements end with their container.
     """
-    out, text, opened = [], [], _Open()
+    out, text, marks, opened = [], [], [], _Open()
     linked, headline, at = 0, False, 0
 
     def close():
@@ -153,6 +192,7 @@ def blocks_of(html: str) -> list[tuple[str, int, tuple[int, ...], bool, bool, bo
         joined = " ".join(unescape("".join(text)).split())
         if joined:
             out.append((joined, linked, opened.containers(), headline, *opened.top[2:4]))
+            marks.append(opened.marks[-1])
         text.clear()
         linked, headline = 0, False
 
@@ -190,7 +230,12 @@ def blocks_of(html: str) -> list[tuple[str, int, tuple[int, ...], bool, bool, bo
             headline = headline or tag in HEADLINES
     add(html[at:])
     close()
-    return out
+    sizes = Counter()
+    for block, mark in zip(out, marks):
+        if not block[4]:
+            sizes[mark] += len(block[0])
+    margins = opened.margins(sizes)
+    return [(*b[:4], b[4] or margins[mark], b[5]) for b, mark in zip(out, marks)]
 
 
 def _silent_end(tag: str) -> re.Pattern:
@@ -201,15 +246,21 @@ def main_text(html: str | None) -> str:
     """The kept blocks in page order, one a line."""
     blocks = blocks_of(html or "")
     labels: list[bool | None] = []
+    long: list[bool] = []
+    all_stops = all_words = 0
     for text, linked, _, _, margin, _ in blocks:
         words = _WORDS.findall(text.lower())
-        stops = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
+        stops = sum(w in STOP_WORDS for w in words)
+        dense = 0 if text.isascii() else len(_IDEOGRAPHS.findall(text))
+        long.append(len(text) + (DENSE - 1) * dense >= LONG)
         if margin or linked > LINKS * len(text):
             labels.append(False)
-        elif len(text) >= LONG and stops >= STOPS:
-            labels.append(True)
-        else:
-            labels.append(None)
+            continue
+        labels.append(True if len(text) >= LONG and words and stops >= STOPS * len(words) else None)
+        if long[-1]:
+            all_stops, all_words = all_stops + stops, all_words + len(words)
+    if all_stops < STOPS * all_words:
+        labels = [True if label is None and rich else label for label, rich in zip(labels, long)]
 
     n = len(blocks)
     # Nearest decided block before and after each, overall and inside the same container.
@@ -232,6 +283,8 @@ def main_text(html: str | None) -> str:
                 return True
         else:
             before, after = before_in, after_in
+        if long[i] and not any(labels[k] for k in (before, after) if k is not None):
+            return True
         if headline and after is not None:
             return labels[after]
         if before is None or (after is not None and after - i < i - before):

@@ -59,3 +59,30 @@ def test_rows_of_pages(spark):
         [(1, "u", text, len(text))] * 2 + [(None, None, "", 0), (2, "v", "", 0)], key=repr
     )
     assert extract_main_text(pages.limit(0)).count() == 0
+
+
+def test_pages_in_other_languages_without_article():
+    frame = "<nav><a href='/'>A</a></nav><div><h1>{}</h1><p>{}</p><p>{}</p></div><footer>F 2024</footer>"
+    for head, one, two in (
+        ("Река", "Река течёт мимо мельницы, и это самая старая часть города, которую мы видели.",
+         "Утром лодки стоят на воде, а возле моста открывается рынок для всех жителей города."),
+        ("Rzeka", "Rzeka płynie obok młyna, który jest najstarszą częścią miasta, jaką widzieliśmy dotąd.",
+         "Rano łodzie stoją przy brzegu, obok mostu otwiera swoje stragany targ dla mieszkańców."),
+        ("河流", "这条河流经过古老的磨坊，那里是我们见过的这座城市最古老的地方。", "早晨船只停在水面上，桥边有一个向所有居民开放的市场。"),
+    ):
+        assert main_text(frame.format(head, one, two)) == f"{head}\n{one}\n{two}"
+
+
+def test_boilerplate_alone_does_not_decide_long_blocks():
+    table = "Mill 1843, bridge 1851, market hall 1872, station 1890, harbour 1903, museum 1954"
+    page = f"<div><p>{PROSE}</p></div><nav>N</nav><div><p>{table}</p></div><footer>F</footer>"
+    assert main_text(page) == f"{PROSE}\n{table}"
+
+
+def test_a_class_word_does_not_mark_the_whole_page():
+    article = f"<article><p>{PROSE}</p><div class='comments'><p>{MORE}</p></div></article>"
+    assert main_text(f"<div class='page has-sidebar'>{article}<div class='sidebar'>{MORE}</div></div>") == PROSE
+    assert main_text(f"<div class='comments-open'><p>{PROSE}</p><p>{MORE}</p></div><p>x</p>") == f"{PROSE}\n{MORE}\nx"
+    assert main_text(f"<div style='display:none'>{article}</div><p>{MORE}</p>") == MORE
+    comments = f"<section class='comments'><article class='comment'>{MORE}</article></section>"
+    assert main_text(f"<div><p>{PROSE} {PROSE}</p></div>{comments}") == f"{PROSE} {PROSE}"
