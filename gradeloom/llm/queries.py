@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, html_text, langid, lm_score, mixing, ngram_join, pii, sharding, topk
+from ..session import shared_folder
+from . import (
+    bpe, centroids, collocations, fingerprints, html_text, langid, lm_score, mixing, ngram_join, pii,
+    sharding, token_files, topk,
+)
 from .common import table
 
 
@@ -51,5 +58,30 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).drop("source", "repeats")
 
 
-QUERIES = {"op1_main_text": op1_main_text, "op2_shards": op2_shards, "op3_fingerprints": op3_fingerprints, "op4_ngram_join": op4_ngram_join, "op5_topk": op5_topk, "op6_bpe": op6_bpe, "op7_pii": op7_pii, "op8_lm_score": op8_lm_score, "op9_language": op9_language, "op10_mix": op10_mix}
-ORACLE = {"op4_ngram_join": ngram_join.ORACLE, "op5_topk": topk.ORACLE, "op10_mix": mixing.ORACLE}
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine_collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    folder = f"{shared_folder(spark)}/token-files-{uuid.uuid4().hex}"
+    token_files.write_token_files(docs, public_tokenizers.path("byte_bpe_50k.json"), folder, end_id=0)
+    found = token_files.read_token_files(spark, folder)
+    return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+QUERIES = {
+    query.__name__: query
+    for query in (
+        op1_main_text, op2_shards, op3_fingerprints, op4_ngram_join, op5_topk, op6_bpe, op7_pii,
+        op8_lm_score, op9_language, op10_mix, op11_centroids, op12_collocations, op13_token_files,
+    )
+}
+ORACLE = {
+    "op4_ngram_join": ngram_join.ORACLE, "op5_topk": topk.ORACLE, "op10_mix": mixing.ORACLE,
+    "op11_centroids": centroids.ORACLE, "op12_collocations": collocations.ORACLE,
+}
