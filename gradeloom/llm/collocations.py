@@ -26,6 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.joins import lookup
 from ..session import cut
 from .common import partitions
 from .packed import CODE_TYPES, Numbered, code_streams, codes_of, expand, expand_words, squeeze, squeeze_words
@@ -332,7 +333,7 @@ def scored_phrases(levels: list[DataFrame], ratio: int = 100) -> DataFrame:
         (1000BD * cast(a as decimal(19,0)) * cast(_n as decimal(19,0)))
             div (cast(x.firsts as decimal(19,0)) * cast(x.rests as decimal(19,0))) as score,
         i as k, x.firsts as l, x.rests as r)))""")
-    return union.join(totals, "lang").withColumn("_cut", cuts).select(
+    return lookup(union, totals, ["lang"], "phrase", written=True).withColumn("_cut", cuts).select(
         "lang", "phrase", "a", "_cut.l", "_cut.r", F.col("_n").alias("n"), "_cut.score"
     )
 

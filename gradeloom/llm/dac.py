@@ -31,6 +31,8 @@ MAGIC = b"IDS-DAC1"
 STRETCH = 512
 #: Most bits of a chunk; eight chunks then fit a 64-bit word.
 WIDEST = 8
+#: Chunks packed or unpacked at a time.
+SLAB = 1 << 19
 _FIXED, _LEVEL = "<8s9Q", "<5Q"
 _FIXED_SIZE, _LEVEL_SIZE = struct.calcsize(_FIXED), struct.calcsize(_LEVEL)
 _ONES = np.array([bin(n).count("1") for n in range(256)], dtype=np.uint8)
@@ -60,24 +62,32 @@ def best_widths(ids: np.ndarray) -> list[int]:
 
 
 def pack_chunks(values: np.ndarray, width: int) -> np.ndarray:
-    """Values of ``width`` bits one after the other, and a spare byte."""
-    padded = np.zeros(-(-len(values) // 8) * 8, dtype="<u8")
-    padded[: len(values)] = values
-    words = padded.reshape(-1, 8)
-    packed = np.zeros(len(words), dtype="<u8")
-    for place in range(8):
-        packed |= words[:, place] << np.uint64(place * width)
-    raw = packed.view("u1").reshape(-1, 8)[:, :width]
-    return np.append(raw.reshape(-1), np.uint8(0))
+    """Values of ``width`` bits (at most 8) one after the other, and a spare byte."""
+    parts = []
+    for at in range(0, len(values), SLAB):
+        some = values[at : at + SLAB]
+        padded = np.zeros(-(-len(some) // 8) * 8, dtype="u1")
+        padded[: len(some)] = some
+        words = padded.reshape(-1, 8)
+        packed = np.zeros(len(words), dtype="<u8")
+        for place in range(8):
+            packed |= words[:, place].astype("<u8") << np.uint64(place * width)
+        parts.append(packed.view("u1").reshape(-1, 8)[:, :width].reshape(-1))
+    return np.concatenate([*parts, np.zeros(1, dtype="u1")])
 
 
 def unpack_chunks(raw: np.ndarray, width: int) -> np.ndarray:
     """The values of whole groups of eight."""
-    groups = np.zeros((len(raw) // width, 8), dtype="u1")
-    groups[:, :width] = raw[: len(groups) * width].reshape(-1, width)
-    words = groups.reshape(-1).view("<u8")
-    mask = np.uint64((1 << width) - 1)
-    return np.stack([(words >> np.uint64(p * width)) & mask for p in range(8)], axis=1).reshape(-1)
+    groups = len(raw) // width
+    out, mask = np.empty((groups, 8), dtype="u1"), np.uint64((1 << width) - 1)
+    for at in range(0, groups, SLAB // 8):
+        some = raw[at * width : min(groups, at + SLAB // 8) * width].reshape(-1, width)
+        padded = np.zeros((len(some), 8), dtype="u1")
+        padded[:, :width] = some
+        words = padded.reshape(-1).view("<u8")
+        for place in range(8):
+            out[at : at + len(some), place] = (words >> np.uint64(place * width)) & mask
+    return out.reshape(-1)
 
 
 def _ranks(marks: np.ndarray) -> np.ndarray:
@@ -106,7 +116,7 @@ def pack_file(
     rest = ids.astype("<u4", copy=False)
     for number, width in enumerate(widths):
         n = len(rest)
-        chunks = pack_chunks(rest & np.uint32((1 << width) - 1), width).tobytes()
+        chunks = pack_chunks((rest & np.uint32((1 << width) - 1)).astype("u1"), width).tobytes()
         if number < len(widths) - 1:
             more = (rest >> np.uint32(width)) > 0
             marks = np.packbits(more, bitorder="little")
@@ -178,7 +188,7 @@ class TokenFile:
         """The ids from ``start`` up to ``end``, from their own stretch of every level."""
         start, end = max(0, start), min(end, self.n_ids)
         out = np.zeros(max(0, end - start), dtype="<u4")
-        at, shift = np.arange(len(out)), 0
+        at, shift = slice(None), 0  # which ids the chunks of a level belong to
         for number, level in enumerate(self._levels):
             if start >= end:
                 break
@@ -186,11 +196,12 @@ class TokenFile:
             first = start // 8
             raw = self._bytes(chunks + first * width, (-(-end // 8) - first) * width)
             low = unpack_chunks(raw, width)[start - 8 * first : end - 8 * first]
-            out[at] |= (low << np.uint64(shift)).astype("<u4")
+            out[at] |= low.astype("<u4") << np.uint32(shift)
             if number == len(self._levels) - 1:
                 break
             bits = np.unpackbits(self._bytes(marks + first, -(-end // 8) - first), bitorder="little")
-            at = at[bits[start - 8 * first : end - 8 * first].astype(bool)]
+            more = np.flatnonzero(bits[start - 8 * first : end - 8 * first])
+            at = more if number == 0 else at[more]
             start = self._rank(level, start)
             end, shift = start + len(at), shift + width
         return out

@@ -4,7 +4,7 @@ The texts are dealt to shards by ranges of ``doc_id``; one task encodes a shard
 tokenizers library and packs it into pieces of :mod:`dac` files, which Spark writes and
 commits like any table. A text is taken in units that begin at a single space after a
 character that is no white space. No pre-token reaches over such a place, so the ids of a
-text are those of its units, and a unit is encoded once for as long as a worker remembers it.
+text are those of its units. A worker remembers the units it met.
 
 The folder of a piece names its shard, its place in the shard and how many ids it holds, so
 the place of every document among all ids follows from the listing; the contents are read
@@ -26,14 +26,15 @@ from pyspark.sql import functions as F
 
 from .common import partitions
 from .dac import TokenFile, pack_file
-from .packed import runs
+from .packed import Numbered, runs
 
 #: Ids of one file, more only by the rest of its last document.
 FILE_IDS = 1 << 22
 #: Characters encoded at a time.
 SLICE_CHARS = 8_000_000
-#: Units a worker remembers the ids of; beyond it the memory is emptied.
-REMEMBERED = 500_000
+#: Units a worker remembers the ids of, of those that came once and of those that came more
+#: often; beyond it that memory is emptied.
+REMEMBERED = 300_000
 #: Units encoded in one call.
 JOINED = 20_000
 #: Files up to which the table of their places (24 bytes each) is broadcast.
@@ -43,7 +44,7 @@ BROADCAST_FILES = 100_000
 _SPACES = "\\t-\\r\\x1c-\\x1f\\x85\\xa0\\u1680\\u180e\\u2000-\\u200b\\u2028\\u2029\\u202f\\u205f\\u2060\\u3000\\ufeff"
 _SPACE_BEFORE_SPACE = "[ " + re.sub(r"\\u([0-9a-f]{4})", r"\\x{\1}", _SPACES) + "] "
 _CUT = re.compile(f"(?<=[^ {_SPACES}])(?= )")
-_ANY_SPACE = re.compile(f"[ {_SPACES}]")
+_PLAIN = re.compile(f" [^ {_SPACES}]+").fullmatch
 
 
 class Coder:
@@ -57,6 +58,7 @@ class Coder:
         self._tokenizer = Tokenizer.from_str(model)
         self._tokenizer.encode_special_tokens = special_as_text
         self._known: dict[str, bytes] = {}
+        self._once: dict[str, bytes] = {}
         # The id between two units in one call, where it is a token of its own.
         between = self._ids(["a\n b"])[0]
         line = self._ids(["\n"])[0]
@@ -66,37 +68,55 @@ class Coder:
         found = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [e.ids for e in found]
 
-    def _learn(self, units: list[str]) -> None:
-        single, plain = [], []
-        for unit in units:
-            alone = self._line is None or unit[:1] != " " or len(unit) == 1 or _ANY_SPACE.search(unit, 1)
-            (single if alone else plain).append(unit)
+    def _joined(self, units: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of many plain units from one call, and where each ends; an id stands between."""
+        ids = np.array(self._ids(["\n".join(units)])[0], dtype="<u4")
+        ends = np.append(np.flatnonzero(ids == self._line), len(ids))
+        return (ids, ends) if len(ends) == len(units) else None  # a unit may hold that id itself
+
+    def ids(self, units: list[str], times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids in which each unit has a start and a size; ``times`` tells how often each comes."""
+        if len(self._known) > REMEMBERED:
+            self._known = {}
+        if len(self._once) > REMEMBERED:
+            self._once = {}
+        known, once = self._known.get, self._once.get
+        found = [known(u) or once(u) for u in units]
+        starts, sizes = np.zeros((2, len(units)), dtype=np.int64)
+        parts, base = [], 0
+
+        def add(places: list[int], raw: np.ndarray, begin: np.ndarray, size: np.ndarray) -> None:
+            nonlocal base
+            starts[places], sizes[places] = base + begin, size
+            parts.append(raw)
+            base += len(raw)
+
+        def add_single(places: list[int], values: list[bytes]) -> None:
+            size = np.fromiter(map(len, values), dtype=np.int64, count=len(values)) // 4
+            add(places, np.frombuffer(b"".join(values), dtype="<u4"), np.cumsum(size) - size, size)
+
+        old = [i for i, value in enumerate(found) if value is not None]
+        add_single(old, [found[i] for i in old])
+        new = [i for i, value in enumerate(found) if value is None]
+        plain, single = [], []
+        for i in new:
+            (plain if self._line is not None and _PLAIN(units[i]) else single).append(i)
         for at in range(0, len(plain), JOINED):
             part = plain[at : at + JOINED]
-            ids = np.array(self._ids(["\n".join(part)])[0], dtype="<u4")
-            ends = np.append(np.flatnonzero(ids == self._line), len(ids))
-            if len(ends) != len(part):  # a unit holds the id itself
+            joined = self._joined([units[i] for i in part])
+            if joined:
+                begin = np.append(0, joined[1][:-1] + 1)
+                add(part, joined[0], begin, joined[1] - begin)
+            else:
                 single += part
-                continue
-            raw, start = ids.tobytes(), 0
-            for unit, end in zip(part, ends.tolist()):
-                self._known[unit] = raw[4 * start : 4 * end]
-                start = end + 1
         for at in range(0, len(single), JOINED):
             part = single[at : at + JOINED]
-            for unit, ids in zip(part, self._ids(part)):
-                self._known[unit] = np.array(ids, dtype="<u4").tobytes()
-
-    def ids(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all units in a row, and how many each has."""
-        if len(self._known) > REMEMBERED:
-            self._known = {}
-        new = [u for u in units if u not in self._known]
-        if new:
-            self._learn(new)
-        found = [self._known[u] for u in units]
-        counts = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
-        return np.frombuffer(b"".join(found), dtype="<u4"), counts
+            add_single(part, [np.array(i, dtype="<u4").tobytes() for i in self._ids([units[i] for i in part])])
+        flat = np.concatenate(parts)
+        raw = flat.tobytes()
+        for i, n, start, end in zip(new, times[new].tolist(), starts[new].tolist(), (starts + sizes)[new].tolist()):
+            (self._known if n > 1 else self._once)[units[i]] = raw[4 * start : 4 * end]
+        return flat, starts, sizes
 
 
 def _units(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
@@ -105,48 +125,46 @@ def _units(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     offsets = split.offsets.to_numpy().astype(np.int64)
     coded = split.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
     codes = coded.indices.to_numpy().astype(np.int64)
-    first = np.zeros(len(codes), dtype=bool)
-    first[(offsets[:-1] - offsets[0])[np.diff(offsets) > 0]] = True
+    first = (offsets[:-1] - offsets[0])[np.diff(offsets) > 0]
     words = coded.dictionary.to_pylist()
     begins, where = np.unique(codes[first], return_inverse=True)
+    # A word that only begins texts is no unit with a space before it; it stays unused.
     units = [" " + w for w in words] + [words[n] for n in begins.tolist()]
     codes[first] = len(words) + where
-    used, codes = np.unique(codes, return_inverse=True)
-    return codes, np.diff(offsets), [units[n] for n in used.tolist()]
+    return codes, np.diff(offsets), units
 
 
 def _encode(coder: Coder, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The ids of all texts in a row, and how many each has."""
     odd = pc.match_substring_regex(texts, _SPACE_BEFORE_SPACE).to_numpy(zero_copy_only=False)
     if odd.any():
-        lists, parts = np.flatnonzero(odd), []
-        split = [_CUT.split(texts[i].as_py()) for i in lists.tolist()]
-        even, counts = _encode(coder, texts.filter(pa.array(~odd))) if not odd.all() else (
-            np.zeros(0, "<u4"), np.zeros(0, np.int64))
-        all_counts = np.zeros(len(texts), dtype=np.int64)
-        all_counts[~odd] = counts
-        found = {}
-        for i, units in zip(lists.tolist(), split):
-            seen = list(dict.fromkeys(units))
-            flat, sizes = coder.ids(seen)
-            number = {u: n for n, u in enumerate(seen)}
-            codes = np.fromiter(map(number.__getitem__, units), dtype=np.int64, count=len(units))
-            found[i] = flat[runs((np.cumsum(sizes) - sizes)[codes], sizes[codes])]
-            all_counts[i] = len(found[i])
-        at = 0
-        for i, n in enumerate(all_counts.tolist()):
-            if i in found:
-                parts.append(found[i])
-            else:
-                parts.append(even[at : at + n])
-                at += n
-        return np.concatenate(parts), all_counts
+        return _encode_odd(coder, texts, odd)
     codes, per_text, units = _units(texts)
-    flat, sizes = coder.ids(units)
-    starts, sizes_at = (np.cumsum(sizes) - sizes)[codes], sizes[codes]
-    ends = np.concatenate([[0], np.cumsum(sizes_at)])
+    flat, starts, sizes = coder.ids(units, np.bincount(codes, minlength=len(units)))
+    sizes = sizes[codes]
+    ends = np.concatenate([[0], np.cumsum(sizes)])
     bounds = np.concatenate([[0], np.cumsum(per_text)])
-    return flat[runs(starts, sizes_at)], np.diff(ends[bounds])
+    return flat[runs(starts[codes], sizes)], np.diff(ends[bounds])
+
+
+def _encode_odd(coder: Coder, texts: pa.Array, odd: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same where some texts have a space after white space: their units are cut one by one."""
+    found = {}
+    for i in np.flatnonzero(odd).tolist():
+        numbers = Numbered()
+        codes = np.array([numbers[u] for u in _CUT.split(texts[i].as_py())], dtype=np.int64)
+        flat, starts, sizes = coder.ids(list(numbers), np.bincount(codes))
+        found[i] = flat[runs(starts[codes], sizes[codes])]
+    counts = np.zeros(len(texts), dtype=np.int64)
+    even = np.zeros(0, dtype="<u4")
+    if not odd.all():
+        even, counts[~odd] = _encode(coder, texts.filter(pa.array(~odd)))
+    parts, at = [], 0
+    for i, n in enumerate(counts.tolist()):
+        parts.append(found[i] if i in found else even[at : at + n])
+        at += n
+        counts[i] = len(parts[-1])
+    return np.concatenate(parts), counts
 
 
 def _slices(lengths: list[int], most: int) -> Iterator[tuple[int, int]]:
