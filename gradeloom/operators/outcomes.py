@@ -9,7 +9,6 @@ from ..functions import grades as G
 from ..functions.text import single_line
 from .joins import join_on, lookup
 from .ordered import block_of, ordered_text
-from .records import split_duplicates
 
 # Low-level error texts per reason, and the public text for each.
 ERRORS = {
@@ -58,36 +57,48 @@ def public_error(error: Column, system: str = "") -> Column:
     return choice.otherwise(OTHER_TEXT)
 
 
-def classify_files(files: DataFrame, cells: DataFrame, records: DataFrame) -> DataFrame:
-    """One outcome per file: ``(file_id, status, reason, error_message, public_message)``.
+def header_faults(files: DataFrame, heads: DataFrame) -> DataFrame:
+    """``files`` with the ``reason`` that their header cells already give against them, or null.
 
-    ``cells`` carry promoted headers, ``records`` come from the same cells. A bad file
-    becomes a row; the others go on. Reasons are checked in the order of the work.
+    ``heads`` holds ``(file_id, header)``. A file without header cells has no table; a table
+    of headers alone is one, its lack of records shows later.
     """
     named = F.contains(F.lower(single_line(F.col("header"))), F.lit(G.NAME_KEYWORD))
-    tables = cells.groupBy("file_id").agg(
+    tables = heads.groupBy("file_id").agg(
         F.bool_or(F.col("header").isNull()).alias("_null_header"),
         F.bool_or(F.coalesce(named, F.lit(False))).alias("_named"),
     )
-    found = records.groupBy("file_id").agg(F.bool_or(F.col("kind") == "RA").alias("_ra"))
-    _, repeated = split_duplicates(records, ["file_id", "student", "code"])
-    repeated = repeated.select("file_id").distinct().withColumn("_twice", F.lit(True))
-    joined = files.select("file_id")
-    for part in (tables, found, repeated):
-        joined = join_on(joined, part, ["file_id"], "left")
-    reason = (
+    return join_on(files, tables, ["file_id"], "left").select(
+        *files.columns,
         F.when(F.col("_named").isNull(), "no_tables")
         .when(F.col("_null_header"), "null_header")
-        .when(~F.col("_named"), "no_name_column")
-        .when(~F.coalesce("_ra", F.lit(False)), "no_outcome_codes")
-        .when(F.col("_twice"), "duplicate_grades")
+        .when(~F.col("_named"), "no_name_column").alias("reason"),
     )
+
+
+def file_outcomes(faults: DataFrame, records: DataFrame) -> DataFrame:
+    """One outcome per file: ``status, reason, error_message, public_message`` beside its columns.
+
+    ``faults`` come from :func:`header_faults`; ``records`` from the files without any.
+    """
+    codes = records.groupBy("file_id", "student", "code").agg(
+        F.bool_or(F.col("kind") == "RA").alias("_ra"), (F.count(F.lit(1)) > 1).alias("_twice")
+    )
+    found = codes.groupBy("file_id").agg(
+        F.bool_or("_ra").alias("_ra"), F.bool_or("_twice").alias("_twice")
+    )
+    reason = F.coalesce(
+        F.col("reason"),
+        F.when(~F.coalesce("_ra", F.lit(False)), "no_outcome_codes").when(F.col("_twice"), "duplicate_grades"),
+    )
+    rest = [c for c in faults.columns if c != "reason"]
+    joined = join_on(faults, found, ["file_id"], "left").select(*rest, reason.alias("reason"))
     message = None
     for name, text in ERRORS.items():
         hit = F.col("reason") == name
         message = F.when(hit, text) if message is None else message.when(hit, text)
-    return joined.select("file_id", reason.alias("reason")).select(
-        "file_id",
+    return joined.select(
+        *rest,
         F.when(F.col("reason").isNull(), "success").otherwise("error").alias("status"),
         "reason",
         message.alias("error_message"),
@@ -95,6 +106,33 @@ def classify_files(files: DataFrame, cells: DataFrame, records: DataFrame) -> Da
     )
 
 
+def classify_files(files: DataFrame, cells: DataFrame, records: DataFrame) -> DataFrame:
+    """One outcome per file: ``(file_id, status, reason, error_message, public_message)``.
+
+    ``cells`` carry headers, ``records`` come from the same cells. A bad file becomes a row;
+    the others go on. Reasons are checked in the order of the work.
+    """
+    return file_outcomes(header_faults(files.select("file_id"), cells), records)
+
+
+def audit_file_rows(files: DataFrame, jobs: DataFrame, now: Column, order: str = "id") -> DataFrame:
+    """Rows for the audit trail: those of the files, and one more for each job that failed whole.
+
+    That row is named after the job and holds its error. A failed single report has none, as
+    its file's row tells the same.
+    """
+    whole = batch_outcomes(files, order, jobs).filter(
+        F.col("file_rows") > F.col("n_success") + F.col("n_failed")
+    )
+    named = jobs.select("job_id", "source_name")
+    extra = whole.select("job_id", "error_message").join(named, ["job_id"]).select(
+        F.lit(None).cast("long").alias("id"), "job_id", "source_name",
+        F.lit(None).cast("string").alias("output_name"), F.lit("error").alias("status"),
+        "error_message", now.alias("created_at"),
+    )
+    return files.select(*extra.columns).unionByName(extra)
+
+
 def first_failed_names(files: DataFrame, order: str = "id", limit: int = 3) -> DataFrame:
     """Per job the first failed names, with ``, ...`` when there are more.
 

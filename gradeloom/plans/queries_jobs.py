@@ -12,11 +12,10 @@ from ..operators import diff, jobs as J, naming, outcomes, retention, timing
 from ..schemas import JOBS
 from ..session import shared_folder
 from ..sources import derived as D, derived_jobs as S
-from ..sources.files import bundle_manifest
-from ..streaming.ingest import ingest_reports
+from ..sources.files import append_rows, bundle_manifest, read_table
+from ..streaming.ingest import ingest_reports, read_ingested
 from ..streaming.job_state import read_job_state, update_job_state
-from . import operations
-from .queries_reports import _RECORDS_SQL
+from . import operations, reports
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -57,16 +56,69 @@ def job_state_stream(spark: SparkSession, folder: str) -> DataFrame:
     return read_job_state(spark, f"{run}/rows")
 
 
-@query(_RECORDS_SQL)
-def ingest_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """Page cells taken in as a stream of files, back to grades."""
+def _manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """One report per nation."""
+    k = F.col("n_nationkey")
+    return D.table(spark, folder, "nation").select(
+        k.alias("file_id"), F.concat(F.lit("job-"), (k % 4).cast("string")).alias("job_id"),
+        F.concat(F.lit("acta-"), k.cast("string"), F.lit(".pdf")).alias("source_name"),
+    )
+
+
+def _with_counts(told: DataFrame, records: DataFrame) -> DataFrame:
+    counts = records.groupBy("file_id").agg(F.count(F.lit(1)).alias("n_records"))
+    columns = ["file_id", "status", "reason", "error_message", "public_message"]
+    return told.select(*columns).join(counts, ["file_id"], "left").na.fill(0, ["n_records"])
+
+
+@query(f"WITH {D.GRADES_SQL}, {D.outcome_sql('k % 7')} SELECT * FROM told")
+def report_outcomes(spark: SparkSession, folder: str) -> DataFrame:
+    """What becomes of each report in one batch run, from raw cells, and its records."""
+    cells = D.damaged_cells(D.raw_cells(spark, folder), F.col("file_id") % 7)
+    records, told = reports.convert_reports(cells, _manifest(spark, folder))
+    return _with_counts(told, records)
+
+
+def _ingested(spark: SparkSession, folder: str) -> str:
+    """Two arrivals: all reports, some damaged; then every third again, with another damage."""
     run = _run_folder(spark, "ingest")
-    cells = D.raw_cells(spark, folder)
-    cells.repartition("file_id").write.parquet(f"{run}/cells")
+    cells, files = D.raw_cells(spark, folder), _manifest(spark, folder)
+    k = F.col("file_id")
+    for arrival, (chosen, kind) in enumerate([(F.lit(True), k % 7), (k % 3 == 0, (k + 3) % 7)]):
+        D.damaged_cells(cells.filter(chosen), kind).write.parquet(f"{run}/cells/arrival={arrival}")
+        named = files.filter(chosen).withColumn("arrival", F.lit(arrival).cast("long"))
+        named.coalesce(1).write.mode("append").parquet(f"{run}/manifest")
+    schema = spark.read.parquet(f"{run}/manifest").schema
     ingest_reports(
-        spark, f"{run}/cells", f"{run}/out", f"{run}/checkpoint", schema=cells.schema
+        spark, f"{run}/manifest", f"{run}/cells", f"{run}/out", f"{run}/checkpoint",
+        schema=schema, cell_schema=cells.schema, files_per_batch=1,
     )
-    return spark.read.parquet(f"{run}/out/records").drop("pos", "batch", "capital_em")
+    return f"{run}/out"
+
+
+_FINAL_DAMAGE = "(CASE WHEN k % 3 = 0 THEN (k + 3) % 7 ELSE k % 7 END)"
+_INGEST_SQL = f"WITH {D.GRADES_SQL}, {D.outcome_sql(_FINAL_DAMAGE)}"
+
+
+@query(f"""{_INGEST_SQL} SELECT r.file_id, r.student, r.code, r.kind, r.grade_num, r.grade_text
+FROM records r JOIN told USING (file_id) WHERE status = 'success'""")
+def ingest_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """Reports taken in as a stream of arrivals, some twice: the grades that hold in the end."""
+    found = read_ingested(spark, _ingested(spark, folder), "records")
+    return found.select("file_id", "student", "code", "kind", "grade_num", "grade_text")
+
+
+@query(f"""{_INGEST_SQL}, sheets AS (SELECT r.file_id, count(DISTINCT r.student) AS n_students
+FROM records r JOIN told USING (file_id) WHERE status = 'success' GROUP BY 1)
+SELECT t.*, coalesce(n_students, 0) AS n_students FROM told t LEFT JOIN sheets USING (file_id)""")
+def ingest_outcomes(spark: SparkSession, folder: str) -> DataFrame:
+    """What became of each report of the same stream, with its records and the rows of its sheet."""
+    out = _ingested(spark, folder)
+    told = _with_counts(read_ingested(spark, out, "outcomes"), read_ingested(spark, out, "records"))
+    sheets = read_ingested(spark, out, "sheets").groupBy("file_id").agg(
+        F.countDistinct("row_no").alias("n_students")
+    )
+    return told.join(sheets, ["file_id"], "left").na.fill(0, ["n_students"])
 
 
 _JOBS = f"WITH {S.JOBS_SQL}"
@@ -190,6 +242,26 @@ def batch_outcome(spark: SparkSession, folder: str) -> DataFrame:
     return outcomes.batch_outcomes(S.batch_files(spark, folder), jobs=S.batch_jobs(spark, folder))
 
 
+@query(f"""{_FILES}, whole AS (
+ SELECT b.job_id, b.source_name, b.request_type = 'pdf' AS single, b.error_message AS own,
+  coalesce(o.n_failed, 0) AS n_failed, o.failed_names
+ FROM batches b LEFT JOIN outcomes o ON o.job_id = b.job_id WHERE coalesce(o.n_success, 0) = 0)
+SELECT job_id, source_name, output_name, status, error_message FROM files
+UNION ALL SELECT job_id, source_name, NULL, 'error', CASE WHEN n_failed = 0 THEN own
+ ELSE 'No s''ha pogut convertir cap fitxer del lot. Fitxers amb error: ' || failed_names || '.' END
+FROM whole WHERE n_failed = 0 OR NOT single""")
+def audit_append(spark: SparkSession, folder: str) -> DataFrame:
+    """File rows of the audit trail, written in batches of which one comes twice, and read back."""
+    path = f"{_run_folder(spark, 'audit')}/files"
+    jobs = S.batch_jobs(spark, folder)
+    now = F.lit("2025-01-01").cast("timestamp")
+    rows = outcomes.audit_file_rows(S.batch_files(spark, folder), jobs, now)
+    share = F.pmod(F.xxhash64("job_id"), F.lit(2))
+    for batch in (0, 1, 0):
+        append_rows(rows.filter(share == batch), "files", path, f"run-{batch}")
+    return read_table(spark, "files", path).drop("id", "created_at")
+
+
 @query(f"{_FILES} SELECT job_id, n_failed, failed_names FROM outcomes WHERE n_failed > 0")
 def failed_names(spark: SparkSession, folder: str) -> DataFrame:
     """First three failed files of each batch."""

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.grades import CODE_HEADER
-from ..operators import layout, pending, records as rec, summary, tables
+from ..operators import layout, outcomes, pending, records as rec, summary, tables
+from ..operators.joins import lookup
 from ..operators.ordered import ordered_text
 from ..session import cut
 from ..sources.catalog import bundled_names
@@ -33,6 +34,25 @@ def extract_records(raw_cells: DataFrame, strict_reference: bool = False) -> Dat
     return rec.tidy_names(rec.extract_records(pieces, ["file_id", "student"]))
 
 
+def convert_reports(
+    raw_cells: DataFrame, files: DataFrame, strict_reference: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """Records of the good reports among ``files``, and what became of each of them.
+
+    ``files`` is the manifest, ``(file_id, ...)``: a report without any cell has no row
+    elsewhere. Header cells are judged first, and only reports they say nothing against are
+    extracted; reports without outcome codes or with duplicate grades then drop out too.
+    """
+    heads = raw_cells.filter("row_no = 0").select("file_id", F.col("cell").alias("header"))
+    faults = cut(outcomes.header_faults(files, heads))
+    sound = faults.filter("reason is null").select("file_id")
+    cells = lookup(raw_cells, sound, ["file_id"], "row_no", "left_semi", written=True)
+    records = cut(extract_records(cells, strict_reference))
+    told = cut(outcomes.file_outcomes(faults, records))
+    good = told.filter("status = 'success'").select("file_id")
+    return lookup(records, good, ["file_id"], "student", "left_semi", written=True), told
+
+
 def detailed_sheet(records: DataFrame, type_a: DataFrame | None = None) -> DataFrame:
     """Rows of the detailed sheet of every report without duplicate grades."""
     clean = rec.files_without_duplicates(records)

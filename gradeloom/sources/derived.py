@@ -201,3 +201,44 @@ def raw_cells(spark: SparkSession, folder: str) -> DataFrame:
         F.posexplode(F.array(*[F.lit(h) for h in heads])).alias("col_no", "cell"),
     )
     return top.unionByName(body)
+
+
+#: What damage does to a report; :func:`damaged_cells` makes it, in this order from 1.
+DAMAGE = ["no_tables", "null_header", "no_name_column", "no_outcome_codes", "duplicate_grades"]
+
+
+def damaged_cells(cells: DataFrame, kind) -> DataFrame:
+    """Page cells as bad reports have them; ``kind`` counts :data:`DAMAGE` from 1, else they stay."""
+    head, column = F.col("row_no") == 0, F.col("col_no")
+    cell = (
+        F.when(head & (kind == 2) & (column == 3), F.lit(None))
+        .when(head & (kind == 3) & (column == 2), "Alumnat").otherwise(F.col("cell"))
+    )
+    copies = F.when(kind == 5, F.array(F.lit(0), F.lit(1 << 20))).otherwise(F.array(F.lit(0)))
+    return (
+        cells.filter((kind != 1) & ((kind != 4) | head))
+        .withColumns({"cell": cell, "_copy": F.explode(copies)})
+        .withColumn("page_no", F.col("page_no") + F.col("_copy")).drop("_copy")
+    )
+
+
+def outcome_sql(kind: str) -> str:
+    """CTE ``told``: what becomes of the report of each nation, damaged as ``kind`` says (of ``k``)."""
+    return f"""seen AS (
+ SELECT n.n_nationkey AS k, bool_or(c.c_custkey IS NOT NULL) AS has_pages,
+  coalesce(bool_or(r.kind = 'RA'), FALSE) AS has_ra, count(r.code) AS n
+ FROM nation n LEFT JOIN customer c ON c.c_nationkey = n.n_nationkey LEFT JOIN records r ON r.student_id = c.c_custkey
+ GROUP BY 1),
+reasons AS (
+ SELECT k AS file_id, n, CASE WHEN NOT has_pages OR {kind} = 1 THEN 'no_tables' WHEN {kind} = 2 THEN 'null_header'
+  WHEN {kind} = 3 THEN 'no_name_column' WHEN {kind} = 4 OR NOT has_ra THEN 'no_outcome_codes'
+  WHEN {kind} = 5 THEN 'duplicate_grades' END AS reason FROM seen),
+told AS (
+ SELECT file_id, CASE WHEN reason IS NULL THEN 'success' ELSE 'error' END AS status, reason,
+  CASE reason WHEN 'no_tables' THEN 'No objects to concatenate' WHEN 'null_header' THEN 'expected string or bytes-like object'
+   WHEN 'no_name_column' THEN '' WHEN 'no_outcome_codes' THEN '''code'''
+   WHEN 'duplicate_grades' THEN 'Index contains duplicate entries, cannot reshape' END AS error_message,
+  CASE WHEN reason = 'null_header' THEN 'El fitxer no té l''estructura esperada d''una acta.'
+   WHEN reason = 'no_tables' THEN 'No s''han pogut extreure les taules necessàries del PDF.'
+   WHEN reason IS NOT NULL THEN 'No s''ha pogut convertir aquest fitxer perquè no té el format esperat o hi ha hagut un error durant el procés.'
+  END AS public_message, CASE WHEN reason IS NULL THEN n ELSE 0 END AS n_records FROM reasons)"""

@@ -46,13 +46,18 @@ def folder_listing(spark: SparkSession, folder: str) -> DataFrame:
 
 def read_table(spark: SparkSession, name: str, path: str, kind: str = "parquet") -> DataFrame:
     """One of the tables of :mod:`gradeloom.schemas`, with its fixed schema."""
-    return spark.read.schema(getattr(schemas, name.upper())).format(kind).load(path)
+    schema = getattr(schemas, name.upper())
+    return spark.read.schema(schema).format(kind).load(path).select(*schema.names)
 
 
-def append_rows(df: DataFrame, name: str, path: str) -> None:
-    """Append to an audit table in the column order of its schema."""
+def append_rows(df: DataFrame, name: str, path: str, batch: str) -> None:
+    """Append one batch to an audit table, in the column order of its schema, exactly once.
+
+    A batch has a folder of its own under ``path``; the folders are the ledger. Writing a
+    batch again, after a failure for instance, replaces its folder and no other row.
+    """
     columns = getattr(schemas, name.upper()).names
-    df.select(*columns).write.mode("append").parquet(path)
+    df.select(*columns).write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
 
 def new_jobs(requests: DataFrame, now: Column) -> DataFrame:

@@ -3,22 +3,22 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..operators.jobs import job_state_columns
+from .current import COMPACT, read_current, write_changes
 
 
-def update_job_state(events: DataFrame, target: str, checkpoint: str) -> None:
+def update_job_state(events: DataFrame, target: str, checkpoint: str, every: int = COMPACT) -> None:
     """Fold new events into the state and write the changed jobs of each batch.
 
     A job has no last event, so its state is kept for good: one row per job. The state is
     partitioned by job and lives in the checkpoint folder. A batch that runs again after a
-    failure overwrites its own folder.
+    failure replaces itself; see :mod:`current` for how batches become one table.
     """
     state = events.groupBy("job_id").agg(*job_state_columns())
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+        write_changes(batch, ["job_id"], target, batch_id, every=every)
 
     (
         state.writeStream.outputMode("update")
@@ -31,8 +31,5 @@ def update_job_state(events: DataFrame, target: str, checkpoint: str) -> None:
 
 
 def read_job_state(spark: SparkSession, target: str) -> DataFrame:
-    """Newest row of each job over the written batches."""
-    rows = spark.read.parquet(target)
-    columns = [c for c in rows.columns if c not in ("batch", "job_id")]
-    newest = rows.groupBy("job_id").agg(F.max_by(F.struct(*columns), "batch").alias("s"))
-    return newest.select("job_id", "s.*")
+    """Newest row of each job."""
+    return read_current(spark, target)

@@ -6,10 +6,9 @@ from pyspark.sql import functions as F
 
 from gradeloom.operators import diff, jobs as J, naming, ordered, outcomes, retention, timing
 from gradeloom.plans import operations
-from gradeloom.schemas import JOB_EVENTS, JOBS, RAW_CELLS
+from gradeloom.schemas import JOB_EVENTS, JOBS
 from gradeloom.sources import files as sources
 from gradeloom.sources.derived_jobs import lifecycle
-from gradeloom.streaming.ingest import ingest_reports
 from gradeloom.streaming.job_state import read_job_state, update_job_state
 
 T0 = dt.datetime(2024, 1, 1)
@@ -96,26 +95,6 @@ def test_stream_state_equals_batch_state(spark, tmp_path):
     assert sorted(map(repr, state.collect())) == sorted(map(repr, batch.collect()))
 
 
-def test_ingest_keeps_good_reports_and_lists_bad_ones(spark, tmp_path, rows):
-    head = ["Núm.", "Nom i cognoms", "Codi (Conv) - Qual"]
-    pages = {
-        "good": [head, ["1", "Ana", "0647_CF01_01RA (1) - A7"]],
-        "null": [[None, "Nom i cognoms", "Codi (Conv) - Qual"], ["1", "Ana", "0647_CF01_01RA (1) - A7"]],
-        "noname": [["Núm.", "Nom", "Codi (Conv) - Qual"], ["1", "Ana", "0647_CF01_01RA (1) - A7"]],
-        "nora": [head, ["1", "Ana", "0647_CF01 (1) - 7"]],
-        "twice": [head, ["1", "Ana", "0647_CF01_01RA (1) - A7"], ["", "", "0647_CF01_01RA (2) - A8"]],
-    }
-    data = [(f, 0, r, c, v) for f, lines in pages.items() for r, line in enumerate(lines) for c, v in enumerate(line)]
-    source, target = str(tmp_path / "in"), str(tmp_path / "out")
-    for part in (data[:6], data[6:]):
-        spark.createDataFrame(part, RAW_CELLS).coalesce(1).write.mode("append").parquet(source)
-    ingest_reports(spark, source, target, str(tmp_path / "ck"), files_per_batch=1)
-    reasons = dict(rows(spark.read.parquet(f"{target}/outcomes"), "file_id", "reason"))
-    assert reasons == {"good": None, "null": "null_header", "noname": "no_name_column",
-                       "nora": "no_outcome_codes", "twice": "duplicate_grades"}
-    assert rows(spark.read.parquet(f"{target}/records"), "file_id", "code") == [("good", "0647_CF01_01RA")]
-
-
 def test_file_without_tables(spark):
     files = spark.createDataFrame([("f",)], "file_id string")
     cells = spark.createDataFrame([], "file_id string, header string")
@@ -321,10 +300,30 @@ def test_audit_rows_are_appended(spark, tmp_path):
         "source_file_count int, remote_addr string",
     )
     new = J.with_missing_columns(sources.new_jobs(requests, F.lit(T0)), JOBS, {})
-    sources.append_rows(new, "jobs", path)
-    sources.append_rows(new, "jobs", path)
+    for batch in ("a", "b", "a"):  # the first comes again, as after a failure
+        sources.append_rows(new, "jobs", path, batch)
     read = sources.read_table(spark, "jobs", path)
-    assert read.count() == 2 and read.first().status == "received"
+    assert read.columns == JOBS.names and read.count() == 2 and read.first().status == "received"
+
+
+def test_jobs_that_failed_whole_have_a_row_of_their_own(spark, rows):
+    jobs = spark.createDataFrame(
+        [("p", "pdf", "a.pdf", "raw"), ("z", "zip", "b.zip", "No PDF in it."), ("r", "zip", "c.zip", None),
+         ("m", "pdf_batch", "d.zip", None)],
+        "job_id string, request_type string, source_name string, error_message string",
+    )
+    files = spark.createDataFrame(
+        [(1, "p", "a.pdf", None, "error", "x", T0), (2, "r", "q.pdf", None, "error", "y", T0),
+         (3, "m", "u.pdf", "u.xlsx", "success", None, T0), (4, "m", "v.pdf", None, "error", "z", T0)],
+        "id long, job_id string, source_name string, output_name string, status string, error_message string, created_at timestamp",
+    )
+    trail = outcomes.audit_file_rows(files, jobs, F.lit(T0))
+    got = rows(trail.filter("id is null"), "job_id", "source_name", "status", "error_message")
+    assert got == [
+        ("r", "c.zip", "error", "No s'ha pogut convertir cap fitxer del lot. Fitxers amb error: q.pdf."),
+        ("z", "b.zip", "error", "No PDF in it."),
+    ]
+    assert trail.count() == 6
 
 
 def test_sheet_comparison(spark, rows):
