@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import file_name, is_blank, stem, suffix
 from ..session import cut
-from .joins import lookup
+from .joins import join_on, lookup
 from .ordered import scan, with_row_number
 
 # Rejection texts, accepted suffixes and the name of a batch upload.
@@ -77,6 +79,10 @@ def content_type(name):
     return choice.otherwise(SHEET_CONTENT_TYPE)
 
 
+# A numbered stem: what stands before the number, and the number; and all numbers at the end.
+_NUMBERED, _NUMBERS = r"^(?s)(.*)-([1-9][0-9]*)$", r"(?s)(-[1-9][0-9]*)+$"
+
+
 def unique_names(df: DataFrame, key: str, pos: str, name: str, out: str = "unique_name") -> DataFrame:
     """Make names unique per ``key`` in ``pos`` order: a taken name gets ``-1``, ``-2``, ...
 
@@ -85,105 +91,103 @@ def unique_names(df: DataFrame, key: str, pos: str, name: str, out: str = "uniqu
     k-th number, so the work splits by name: repeats are numbered per name, and a literal
     ``stem-k`` that meets repeats of ``stem`` either came first (its number is skipped) or
     finds its name taken. That is decided once per literal, from the count of repeats
-    before it, parent names first. Names end in a suffix or at least not in a dot. The
-    numbered literals of one name and key (``a-1``, ``a-2``, ... next to ``a``) are held in
-    one row; everything else about a name may be of any size.
+    before it, parent names first. Names end in a suffix or at least not in a dot.
+
+    The literals below one name (``a-1``, ``a-2``, ``a-1-1``, ... next to ``a``) of one key are
+    decided in one task, a few bytes each; rows of a name may be any number.
     """
     # In a struct a null key is a value like any other.
     rows = df.select("*", F.struct(F.col(key)).alias("_key"), F.col(name).alias("_name"))
     numbered = with_row_number(rows, ["_key", "_name"], [F.col(pos)], "_n")
-    rows = lookup(numbered, _contested_names(numbered, pos), ["_key", "_name"], pos, "left")
+    decided = _decided_literals(numbered, pos)
+    kept = decided.filter("_kept is not null").select("_key", "_name", "_kept")
+    rows = lookup(numbered, kept, ["_key", "_name"], pos, "left", written=True)
     # Repeat number: the first row of a name is a repeat only if the name was taken before.
     repeat = F.col("_n") - F.when(F.coalesce("_kept", F.lit(True)), 1).otherwise(0)
-    passed = F.coalesce(
-        F.size(F.filter("_skips", lambda s: s <= F.col("_repeat"))), F.lit(0)
+    rows = rows.withColumn("_repeat", repeat).drop("_n", "_kept")
+    # Skipped numbers below a repeat's are counted along the numbers; a skip comes before the
+    # repeat of its own number.
+    skips = decided.filter("_skip is not null").groupBy("_key", "_name", "_skip").agg(
+        F.count(F.lit(1)).alias("_skips")
     )
+    skipping = cut(skips.select("_key", "_name").distinct())
+    plain = lookup(rows, skipping, ["_key", "_name"], pos, "left_anti", written=True).withColumn("_passed", F.lit(0).cast("long"))
+    along = lookup(rows, skipping, ["_key", "_name"], pos, "left_semi", written=True)
+    along = along.withColumn("_at", 2 * F.col("_repeat"))
+    along = along.unionByName(
+        skips.withColumn("_at", 2 * F.col("_skip") - 1).drop("_skip"), allowMissingColumns=True
+    )
+    counted = scan(along, ["_key", "_name"], "_at", total={"_passed": F.col("_skips")})
+    counted = counted.filter("_skips is null").drop("_skips", "_at")
     numbered_name = F.concat(
-        stem(F.col("_name")), F.lit("-"), (F.col("_repeat") + passed).cast("string"),
+        stem(F.col("_name")), F.lit("-"), (F.col("_repeat") + F.col("_passed")).cast("string"),
         suffix(F.col("_name")),
     )
-    return rows.withColumn("_repeat", repeat).withColumn(
+    return plain.unionByName(counted).withColumn(
         out, F.when(F.col("_repeat") == 0, F.col("_name")).otherwise(numbered_name)
-    ).drop("_key", "_name", "_n", "_kept", "_skips", "_repeat")
+    ).drop("_key", "_name", "_repeat", "_passed")
 
 
-def _contested_names(numbered: DataFrame, pos: str) -> DataFrame:
-    """One row per name that meets another one: ``(_key, _name, _kept, _skips)``.
+def _decide():
+    """Decides the literals below one root name: which keep their names, what their parents skip.
 
-    ``_kept`` tells whether a literal with a parent name keeps it. ``_skips`` of a parent
-    holds, for each kept literal, the repeat number from which its number is passed.
+    In the order of their numbers, a literal is kept while fewer repeats of its parent came
+    before it than it takes to reach its number. A parent whose own first row is a repeat
+    has one more of them.
     """
-    tail = r"^(?s)(.*)-([1-9][0-9]*)$"
-    names = numbered.groupBy("_key", "_name").agg(
-        F.min(pos).alias("_first"), F.max("_n").alias("_copies")
-    )
+
+    def run(table: pa.Table) -> pa.Table:
+        columns = (table.column(c).to_pylist() for c in ("_depth", "_name", "_k", "_seen", "_literal"))
+        kept: dict[str, bool] = {}
+        counts: dict[str, int] = {}
+        out = []
+        for _, parent, number, seen, literal in sorted(zip(*columns)):
+            before = max(seen - kept.get(parent, True), 0)
+            done = counts.get(parent, 0)
+            kept[literal] = before <= number - 1 - done
+            out.append((literal, kept[literal], None))
+            if kept[literal]:
+                counts[parent] = done + 1
+                out.append((parent, None, number - done))
+        names, flags, skips = zip(*out)
+        return pa.table({
+            "_key": table.column("_key").combine_chunks().take(pa.array([0] * len(out))),
+            "_name": pa.array(names, pa.string()),
+            "_kept": pa.array(flags, pa.bool_()), "_skip": pa.array(skips, pa.int64()),
+        })
+
+    return run  # travels with its code: executors need no copy of this package
+
+
+def _decided_literals(numbered: DataFrame, pos: str) -> DataFrame:
+    """``(_key, _name, _kept, _skip)`` of names that meet another one, written.
+
+    A literal with a parent name has a row that tells whether it keeps its name. For each
+    kept one the parent has a row with the repeat number from which its number is passed.
+    """
+    names = numbered.groupBy("_key", "_name").agg(F.min(pos).alias("_first"))
     parsed = names.withColumn("_stem", stem(F.col("_name"))).select(
         "_key", F.col("_name").alias("_literal"), "_first",
-        F.concat(F.regexp_extract("_stem", tail, 1), suffix(F.col("_name"))).alias("_name"),
-        F.regexp_extract("_stem", tail, 2).try_cast("long").alias("_k"),
+        F.concat(F.regexp_extract("_stem", _NUMBERED, 1), suffix(F.col("_name"))).alias("_name"),
+        F.regexp_extract("_stem", _NUMBERED, 2).try_cast("long").alias("_k"),
+        F.concat(F.regexp_replace("_stem", _NUMBERS, ""), suffix(F.col("_name"))).alias("_root"),
+        F.length("_stem").alias("_depth"),
     ).filter(F.col("_k").isNotNull())
-    literals = parsed.join(names.select("_key", "_name"), ["_key", "_name"], "left_semi")
+    literals = cut(join_on(parsed, names.select("_key", "_name"), ["_key", "_name"], "left_semi"))
 
     # Rows of the parent seen before the literal, counted along ``pos``.
     parents = literals.select("_key", "_name").distinct()
     events = (
         lookup(numbered, parents, ["_key", "_name"], pos, "left_semi")
-        .select("_key", "_name", F.col(pos).alias("_at"), F.lit(None).cast("string").alias("_literal"),
-                F.lit(None).cast("long").alias("_k"))
-        .unionByName(literals.withColumnRenamed("_first", "_at"))
+        .select("_key", "_name", F.col(pos).alias("_at"))
+        .unionByName(literals.withColumnRenamed("_first", "_at"), allowMissingColumns=True)
     )
     counted = scan(
         events, ["_key", "_name"], "_at",
         total={"_seen": F.col("_literal").isNull().cast("long")},
-    ).filter(F.col("_literal").isNotNull()).drop("_at")
-    families = cut(counted.groupBy("_key", "_name").agg(
-        F.sort_array(F.collect_list(F.struct("_k", "_seen", "_literal"))).alias("_children")
-    ))
-    empty = F.array().cast("array<struct<literal:string,kept:boolean,skip:bigint>>")
-    is_literal = families.select("_key", F.explode("_children").alias("_c")).select(
-        "_key", F.col("_c._literal").alias("_name")
-    )
-    known = cut(families.join(is_literal, ["_key", "_name"], "left_anti").withColumn(
-        "_own", F.lit(1).cast("long")
-    ))
-    decided = []
-    # One round for each level of names below names; only contested names take part, and
-    # each round starts from written rows, so the plan does not grow with the depth.
-    while not decided or not known.isEmpty():
-        # ``done`` children so far, ``kept`` of them; a literal is kept while fewer repeats
-        # came before it than it takes to reach its number.
-        def step(acc, child):
-            before = F.greatest(child["_seen"] - F.col("_own"), F.lit(0))
-            keep = before <= child["_k"] - 1 - acc["kept"]
-            entry = F.struct(
-                child["_literal"].alias("literal"), keep.alias("kept"),
-                (child["_k"] - acc["kept"]).alias("skip"),
-            )
-            return F.struct(
-                (acc["kept"] + keep.cast("long")).alias("kept"),
-                F.array_append(acc["done"], entry).alias("done"),
-            )
-
-        start = F.struct(F.lit(0).cast("long").alias("kept"), empty.alias("done"))
-        result = known.select(
-            "_key", "_name", F.aggregate("_children", start, step)["done"].alias("_done")
-        )
-        decided.append(result)
-        flags = result.select("_key", F.explode("_done").alias("_d")).select(
-            "_key", F.col("_d.literal").alias("_name"), F.col("_d.kept").cast("long").alias("_own")
-        )
-        known = cut(families.join(flags, ["_key", "_name"]))
-    done = decided[0]
-    for more in decided[1:]:
-        done = done.unionByName(more)
-    kept = done.select("_key", F.explode("_done").alias("_d")).select(
-        "_key", F.col("_d.literal").alias("_name"), F.col("_d.kept").alias("_kept"),
-        F.lit(None).cast("array<bigint>").alias("_skips"),
-    )
-    skips = done.select(
-        "_key", "_name", F.lit(None).cast("boolean").alias("_kept"),
-        F.transform(F.filter("_done", lambda d: d["kept"]), lambda d: d["skip"]).alias("_skips"),
-    )
-    return kept.unionByName(skips).groupBy("_key", "_name").agg(
-        F.bool_or("_kept").alias("_kept"), F.any_value("_skips", True).alias("_skips")
-    )
+    ).filter(F.col("_literal").isNotNull())
+    schema = T.StructType([
+        numbered.schema["_key"], T.StructField("_name", T.StringType()),
+        T.StructField("_kept", T.BooleanType()), T.StructField("_skip", T.LongType()),
+    ])
+    return cut(counted.groupBy("_key", "_root").applyInArrow(_decide(), schema))

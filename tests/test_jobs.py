@@ -215,6 +215,19 @@ def test_unique_names_equal_one_by_one_numbering(spark, rows, monkeypatch, seed)
     assert got == sorted(want, key=repr)
 
 
+def test_many_literals_and_deep_chains_of_one_name(spark, rows):
+    rng = random.Random(8)
+    names = [f"a-{k}.pdf" for k in rng.sample(range(1, 9_000), 4_000)] + ["a.pdf"] * 3_000
+    deep = ["b" + "-1" * n for n in range(30)] * 2
+    rng.shuffle(names)
+    data = [(None, pos, name) for pos, name in enumerate(names)] + [(1, pos, name) for pos, name in enumerate(deep)]
+    want = [(None, pos, pick) for pos, pick in enumerate(_taken(names))]
+    want += [(1, pos, pick) for pos, pick in enumerate(_taken(deep))]
+    df = spark.createDataFrame(data, "k int, pos long, name string").repartition(3)
+    got = rows(naming.unique_names(df, "k", "pos", "name"), "k", "pos", "unique_name")
+    assert got == sorted(want, key=repr)
+
+
 def test_archive_members(spark, rows):
     members = spark.createDataFrame(
         [("z", 0, ".DS_Store", False), ("z", 1, "grades.pdf", False), ("z", 2, "nested/grades.pdf", False),
