@@ -9,7 +9,7 @@ overlap a similarity of 0.85 needs, and verifies the rest on the sets.
 Trees are built over blocks, not over all documents. In any fixed order of all shingles,
 two sets of similarity ``t`` share one of the first ``n - ceil(t * n) + 1`` shingles of each;
 a block holds the sets that share such a shingle and whose sizes allow a link. The order
-puts shingles with a rare word first: the document counts of the most frequent words rank a
+puts shingles with a rare word first: a table of the document counts of all words ranks a
 shingle by its rarest word, which no shingle exceeds in frequency. So the common lines and
 passages of a corpus make no blocks. Any table of counts gives the same links; a good one
 gives small blocks.
@@ -40,14 +40,14 @@ from .packed import CHUNK_CHARS, Numbered, expand, squeeze
 
 WIDTH, PERCENT = 4, 85
 GROUPS = 64
-#: Words whose document counts rank the shingles; 12 bytes each in every task.
-RANKED_WORDS = 1 << 17
+#: Cells of the table of document counts that ranks the shingles: one byte each in every task.
+CELL_BITS = 22
 #: Sets, and shingles in all sets, of one part of a block.
 PART_SETS, PART_SHINGLES = 128, 2_000_000
 #: Size of the bitmap of wanted documents: 8 MB.
 BITS = 1 << 26
 #: Words a task remembers the hashes of.
-REMEMBERED = 2_000_000
+REMEMBERED = 200_000
 #: Points of a leaf and children of an inner node.
 LEAF, FAN = 16, 8
 LEAST_BUCKETS = 64
@@ -88,18 +88,22 @@ def least_overlap(a, b, percent: int = PERCENT):
     return -(-percent * (a + b) // (100 + percent))
 
 
+def _cells(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+
+
 def _document_counts(buckets: int):
-    """Packed rows ``bucket, data``: word hashes and in how many documents of the chunk they occur."""
+    """Packed rows ``bucket, data``: cells of words and in how many documents of the chunk they occur."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def close() -> pa.RecordBatch:
-            hashes = _hashes(numbers)
-            times = np.bincount(np.frombuffer(codes, dtype="<u4"), minlength=len(hashes)).astype("<u4")
-            bucket = (hashes % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            times = np.bincount(np.frombuffer(codes, dtype="<u4"), minlength=len(numbers))
+            totals = np.bincount(_cells(_hashes(numbers)), weights=times, minlength=1 << CELL_BITS)
+            cells = np.flatnonzero(totals)
+            edges = np.searchsorted(cells, _edges(buckets)).tolist()
             data = [
-                squeeze(hashes[order[a:b]], times[order[a:b]]) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())
+                squeeze(np.diff(cells[a:b], prepend=0).astype("<u4"), totals[cells[a:b]].astype("<u4"))
+                for a, b in zip(edges[:-1], edges[1:])
             ]
             return pa.RecordBatch.from_arrays(
                 [pa.array(range(buckets), pa.int32()), pa.array(data, pa.binary())], ["bucket", "data"]
@@ -120,29 +124,42 @@ def _document_counts(buckets: int):
     return run
 
 
-def _most_frequent(limit: int):
+def _edges(buckets: int) -> np.ndarray:
+    """Where the cells of each bucket begin, and the end."""
+    return np.arange(buckets + 1) * (1 << CELL_BITS) // buckets
+
+
+def _summed_cells(buckets: int):
     def run(table: pa.Table) -> pa.Table:
-        parts = [expand(d.as_py(), "<u8", "<u4") for d in table.column("data")]
-        hashes, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-        times = np.bincount(at, weights=np.concatenate([p[1] for p in parts]), minlength=len(hashes)).astype(np.int64)
-        top = np.lexsort((hashes, -times))[:limit]
-        top = top[times[top] > 1]
-        return pa.table({"word": pa.array(hashes[top].astype("<i8")), "n": pa.array(times[top])})
+        bucket = table.column("bucket")[0].as_py()
+        low, high = _edges(buckets)[bucket : bucket + 2].tolist()
+        totals = np.zeros(high - low, dtype=np.int64)
+        for data in table.column("data"):
+            gaps, times = expand(data.as_py(), "<u4", "<u4")
+            totals[np.cumsum(gaps, dtype=np.int64) - low] += times
+        # Eight steps for each doubling tell counts apart as far as an order needs.
+        ranks = np.minimum(np.log2(np.maximum(totals, 1)) * 8, 255).astype("u1")
+        return pa.table({"low": pa.array([low], pa.int64()), "ranks": pa.array([ranks.tobytes()], pa.binary())})
 
     return run
 
 
-def word_ranks(docs: DataFrame, buckets: int, limit: int = RANKED_WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of the most frequent words and their document counts, at most ``limit``."""
-    # Picked on the executors, then at most ``limit`` rows for the driver.
-    top = cut(
+def word_ranks(docs: DataFrame, buckets: int) -> np.ndarray:
+    """How frequent words are, in steps, by the cell of their hash.
+
+    A cell holds the document counts of all its words, so every word of the corpus counts,
+    however many there are; words of one cell rank alike. Links do not depend on the ranks,
+    only the size of blocks does. The table has a fixed size.
+    """
+    parts = (
         docs.select("text").mapInArrow(_document_counts(buckets), "bucket int, data binary")
-        .groupBy("bucket").applyInArrow(_most_frequent(limit), "word long, n long")
-        .orderBy(F.col("n").desc(), "word").limit(limit)
-    ).toPandas()
-    hashes = top["word"].to_numpy(dtype=np.int64).astype(np.uint64)
-    order = np.argsort(hashes)
-    return hashes[order], top["n"].to_numpy(dtype=np.int64)[order]
+        .groupBy("bucket").applyInArrow(_summed_cells(buckets), "low long, ranks binary")
+    ).collect()
+    table = np.zeros(1 << CELL_BITS, dtype="u1")
+    for part in parts:
+        ranks = np.frombuffer(bytes(part["ranks"]), dtype="u1")
+        table[part["low"] : part["low"] + len(ranks)] = ranks
+    return table
 
 
 class _Listed(dict):
@@ -161,7 +178,7 @@ class _Listed(dict):
 class _Sets:
     """Shingle sets of the documents of a task; remembers the words it has seen for a while."""
 
-    def __init__(self, ranks: tuple[np.ndarray, np.ndarray] | None = None):
+    def __init__(self, ranks: np.ndarray | None = None):
         self.ranks = ranks
         self._forget()
 
@@ -170,7 +187,7 @@ class _Sets:
         self.hashes, self.times = np.zeros(1 << 16, dtype=np.uint64), np.zeros(1 << 16, dtype=np.int64)
 
     def of(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Sorted distinct shingle hashes and, with ranks, the document count of their rarest word."""
+        """Sorted distinct shingle hashes and, with ranks, the rank of their rarest word."""
         if len(self.numbers) > REMEMBERED:
             self._forget()
         words = _word_bytes(text or "")
@@ -182,7 +199,7 @@ class _Sets:
                 self.hashes, self.times = (np.append(x, np.zeros(more, dtype=x.dtype)) for x in (self.hashes, self.times))
             self.hashes[known : len(self.numbers)] = hashes = _hashes(new)
             if self.ranks is not None:
-                self.times[known : len(self.numbers)] = self._times(hashes)
+                self.times[known : len(self.numbers)] = self.ranks[_cells(hashes)]
             self.numbers.new = []
         shingles = shingle_hashes(self.hashes[codes])
         if self.ranks is None or not len(shingles):
@@ -194,13 +211,6 @@ class _Sets:
             np.minimum(rarest, times[j : j + len(shingles)], out=rarest)
         return items, rarest[first]
 
-    def _times(self, hashes: np.ndarray) -> np.ndarray:
-        known, counts = self.ranks
-        if not len(known):
-            return np.zeros(len(hashes), dtype=np.int64)
-        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-        return np.where(known[at] == hashes, counts[at], 0)
-
 
 def _set_id(items: np.ndarray) -> int:
     """A 64-bit hash of a set: equal for equal sets."""
@@ -499,9 +509,10 @@ def _labelled(docs: DataFrame, buckets: int | None) -> DataFrame:
     listed = spark.sparkContext.broadcast(bitmap)
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets, marked = _Sets(), np.unpackbits(listed.value, bitorder="little")
+        sets, marks = _Sets(), listed.value
         for batch in batches:
-            at = np.flatnonzero(marked[batch.column(1).to_numpy() - 1]).tolist()
+            bits = batch.column(1).to_numpy() - 1
+            at = np.flatnonzero(marks[bits >> 3] >> (bits & 7).astype("u1") & 1).tolist()
             items = [sets.of(batch.column(0)[i].as_py())[0] for i in at]
             items = [i for i in items if len(i)]
             yield pa.RecordBatch.from_arrays(
