@@ -32,14 +32,16 @@ from pyspark.sql import functions as F
 
 from .common import partitions
 from .packed import (
-    CHUNK_CHARS, CODE_TYPES, Numbered, code_streams, codes_of, expand, expand_words, in_slices,
+    CODE_TYPES, Numbered, code_streams, codes_of, expand, expand_words, in_slices,
     runs, squeeze, squeeze_words,
 )
 
 #: Least number of hash buckets for words.
 LEAST_BUCKETS = 64
 #: Words a task remembers the ids of; beyond it the memory is emptied and words are encoded again.
-REMEMBERED = 1_000_000
+REMEMBERED = 200_000
+#: Characters of one chunk of documents; a longer text is a chunk of its own.
+CHUNK_CHARS = 8_000_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
