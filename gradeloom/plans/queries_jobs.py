@@ -9,10 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import diff, jobs as J, naming, outcomes, retention, timing
-from ..schemas import JOBS
 from ..session import shared_folder
 from ..sources import derived as D, derived_jobs as S
-from ..sources.files import append_rows, bundle_manifest, read_table
+from ..sources.files import append_rows, bundle_manifest, read_generations, read_table
 from ..streaming.ingest import ingest_reports, read_ingested
 from ..streaming.job_state import read_job_state, update_job_state
 from . import operations, reports
@@ -214,13 +213,17 @@ def jobs_with_files(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("job_id", "request_type", "n_files", "n_failed")
 
 
-@query(f"""{_JOBS} SELECT job_id, status, 0 AS progress_current, 1 AS progress_total,
- CAST(NULL AS VARCHAR) AS stage FROM jobs""")
+@query(f"""{_JOBS} SELECT job_id, status, CASE WHEN id % 2 = 1 THEN coalesce(progress_current, 0) ELSE 0 END AS progress_current,
+ CASE WHEN id % 2 = 1 THEN coalesce(progress_total, 1) ELSE 1 END AS progress_total,
+ CASE WHEN id % 2 = 1 THEN stage END AS stage FROM jobs""")
 def old_schema(spark: SparkSession, folder: str) -> DataFrame:
-    """An older job table brought up to the present columns."""
-    old = S.jobs(spark, folder).select("id", "job_id", "status", "created_at")
-    defaults = {"progress_current": 0, "progress_total": 1}
-    full = J.with_missing_columns(old, JOBS, defaults)
+    """A job table with files of two generations, read in its present columns."""
+    path = f"{_run_folder(spark, 'generations')}/jobs"
+    jobs, first = S.jobs(spark, folder), ["id", "job_id", "status", "created_at"]
+    jobs.filter("id % 2 = 0").select(*first).write.parquet(path)
+    later = jobs.filter("id % 2 = 1").select(*first, "stage", "progress_current", "progress_total")
+    later.write.mode("append").parquet(path)
+    full = read_generations(spark, "jobs", path, {"progress_current": 0, "progress_total": 1})
     return full.select("job_id", "status", "progress_current", "progress_total", "stage")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.text import file_name, strip
+from ..operators.jobs import with_missing_columns
 from ..operators.naming import content_type, unique_names
 
 # The line above the group code, and the code of reports without one.
@@ -50,6 +51,16 @@ def read_table(spark: SparkSession, name: str, path: str, kind: str = "parquet")
     return spark.read.schema(schema).format(kind).load(path).select(*schema.names)
 
 
+def read_generations(spark: SparkSession, name: str, path: str, defaults: dict) -> DataFrame:
+    """A table whose older files lack columns, brought to its present schema.
+
+    The schemas of all files are merged; what no file has is added with its type, and nulls
+    of the columns in ``defaults`` get their default.
+    """
+    found = spark.read.option("mergeSchema", "true").parquet(path)
+    return with_missing_columns(found, getattr(schemas, name.upper()), defaults).na.fill(defaults)
+
+
 def append_rows(df: DataFrame, name: str, path: str, batch: str) -> None:
     """Append one batch to an audit table, in the column order of its schema, exactly once.
 
