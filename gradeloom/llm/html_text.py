@@ -7,6 +7,7 @@ unusual blocks) stays ambiguous. In the second pass an ambiguous block inherits
 its nearest decided neighbour. Neighbours in the same container come first, a headline
 follows what comes after it, and of two equally near ones the preceding one wins; inside an
 ``article`` or ``main`` without any decided block, and on pages without any, blocks are kept.
+Margins inside an article decide nothing but themselves.
 
 Where the long blocks together are poor in stop words, the page is in another language, and
 length with few links tells prose. Boilerplate alone never decides a long block. A word of
@@ -45,7 +46,7 @@ STOP_WORDS = frozenset(
     "porque que se ser sin sobre su sus también tiene todo un una y ya".split()
 )
 # Tags that hold no text of the page, tags of its margins, tags that end a block.
-SILENT = frozenset("script style noscript template svg iframe object select textarea button head math canvas audio video".split())
+SILENT = frozenset("script style noscript template svg iframe object select textarea button head canvas audio video".split())
 MARGIN = frozenset("nav header footer aside form menu dialog".split())
 CONTAINERS = frozenset("article main section div body td th ul ol dl table blockquote figure details fieldset center".split()) | MARGIN
 BLOCKS = CONTAINERS | frozenset(
@@ -63,24 +64,35 @@ MARKS = frozenset(
     "discussion related recommended recommendations share sharing social subscribe subscription newsletter signup login "
     "search pagination pager copyright legal disclaimer toolbar skip contentinfo complementary hidden".split()
 )
+# Marking words that also name parts or topics of a text. As one word of a longer
+# name ("entry-header", "legal-analysis") they mark nothing inside an article.
+WEAK = frozenset("header reader discussion search legal hidden foot side skip".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)", re.S
 )
 _QUOTE_OR_END = re.compile(r"[>\"']")
-_ATTRIBUTE = re.compile(r"""([a-zA-Z_:-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+# Names begin where no character of a name stands before and are possessive: linear in any tag.
+_ATTRIBUTE = re.compile(r"""(?<![a-zA-Z_:-])([a-zA-Z_:-]++)\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _WORDS = re.compile(r"[^\W\d_]+")
 _SPLIT = re.compile(r"[^a-z0-9]+")
 _IDEOGRAPHS = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uac00-\ud7a3\U00020000-\U0003ffff]")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
-def _marked(attributes: str) -> bool:
-    """Do words of class, id or role mark an element as margin?"""
+def _marked(attributes: str, article: bool) -> bool:
+    """Do words of class, id or role mark an element as margin?
+
+    Inside an article a weak word counts as a whole name or beside another marking word only.
+    """
     for name, *values in _ATTRIBUTE.findall(attributes):
         value = next(filter(None, values), "")
-        if name.lower() in ("class", "id", "role"):
-            if not MARKS.isdisjoint(_SPLIT.split(_CAMEL.sub("-", value).lower())):
+        if name.lower() not in ("class", "id", "role"):
+            continue
+        for token in value.split():
+            words = [w for w in _SPLIT.split(_CAMEL.sub("-", token).lower()) if w]
+            marks = MARKS.intersection(words)
+            if marks and not (article and marks <= WEAK and len(marks) < len(words)):
                 return True
     return False
 
@@ -135,7 +147,7 @@ class _Open:
 
     def push(self, tag: str, attributes: str) -> None:
         page = tag in ("html", "body", "article", "main")
-        marked, hidden = _marked(attributes), not page and _hidden(attributes)
+        marked, hidden = _marked(attributes, self.top[3]), not page and _hidden(attributes)
         if tag not in BLOCKS and tag != "a" and not (marked or hidden) and not self.count[tag]:
             return
         self.numbers += 1
@@ -270,7 +282,8 @@ def main_text(html: str | None) -> str:
         for i in order:
             home = blocks[i][2][-1] if blocks[i][2] else 0
             nearest[i][side], nearest[i][2 + side] = last, inside.get(home)
-            if labels[i] is not None:
+            # An advert or a form inside an article says nothing about the text around it.
+            if labels[i] is not None and not (blocks[i][4] and blocks[i][5]):
                 last = i
                 for container in blocks[i][2]:
                     inside[container] = i

@@ -86,3 +86,32 @@ def test_a_class_word_does_not_mark_the_whole_page():
     assert main_text(f"<div style='display:none'>{article}</div><p>{MORE}</p>") == MORE
     comments = f"<section class='comments'><article class='comment'>{MORE}</article></section>"
     assert main_text(f"<div><p>{PROSE} {PROSE}</p></div>{comments}") == f"{PROSE} {PROSE}"
+
+
+LINE = "This is the text of the article and it is long enough for the rules to see that it is prose."
+
+
+def in_article(part):
+    return main_text(
+        f"<body><nav><a href=/>Home</a></nav><article><h1>Title</h1><p>{LINE}</p>{part}<p>{LINE}</p></article></body>"
+    ).split("\n")[2:-1]
+
+
+def test_short_text_and_titles_inside_an_article_stay():
+    advert = '<div class="ad">Buy now</div>'
+    assert in_article(f"{advert}<p>Short line.</p>{advert}") == ["Short line."]
+    for head in ('header class="entry-header"', 'div class="article-header"', 'section class="legal-analysis"'):
+        assert in_article(f"<{head}><h2>Inner</h2></{head.split()[0]}>") == ["Inner"]
+    assert in_article("<p>So <math><mi>x</mi> = 2</math> holds</p>") == ["So x = 2 holds"]
+
+
+def test_margins_inside_an_article_go():
+    for name in ("ad", "related-posts", "comments", "share-buttons", "legal-notice", "notice", "header", "cookieBanner"):
+        assert in_article(f'<div class="{name}"><p>Other</p></div>') == []
+
+
+def test_time_in_proportion_to_the_length_of_a_tag():
+    for inside in ("a" * 1_000_000, "a " * 500_000, "a =" * 300_000, 'class="' + "ad " * 300_000):
+        begun = time.perf_counter()
+        main_text(f"<div {inside}>x</div>")
+        assert time.perf_counter() - begun < 2
