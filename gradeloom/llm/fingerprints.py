@@ -6,8 +6,10 @@ the share of a short text's hashes found in a long text's sketch estimates conta
 however unequal the two are; a sketch of fixed length could not do that.
 
 A shingle is five consecutive words; a text of one to four words is one shingle. Hashes
-have 40 bits. A text whose hashes all lie above the threshold keeps its smallest, so only
-texts without words have an empty sketch.
+have 40 bits. A sketch of fewer than ``LEAST_KEPT`` hashes is too small for an estimate: then
+all hashes of both texts are compared, which is exact. A fingerprint is the sketch; that of a
+text whose hashes all lie above the threshold holds all its hashes after a mark instead, so
+only texts without words have an empty one.
 """
 
 from __future__ import annotations
@@ -21,18 +23,20 @@ WIDTH = 5
 BITS = 40
 #: One hash in this many is kept.
 SCALE = 4
+#: Sketches with fewer hashes are no base for an estimate; the fingerprint of all hashes begins so.
+LEAST_KEPT, WHOLE = 8, "+"
 #: Rows of one stretch of ids, and the least and most stretches; boundaries are one small list.
 STRETCH, LEAST_STRETCHES, MOST_STRETCHES = 1_000, 512, 10_000
 
 
-def sketch(text: Column, scale: int = SCALE, width: int = WIDTH) -> Column:
-    """The sorted kept hashes of a text; null counts as empty."""
+def shingle_hashes(text: Column, width: int = WIDTH) -> Column:
+    """The hashes of all shingles of a text in order, repeats included; null counts as empty."""
     words = F.array_remove(F.split(F.coalesce(text, F.lit("")), GAP), "")
 
     def hashed(*columns: Column) -> Column:
         return F.shiftrightunsigned(F.xxhash64(*columns), 64 - BITS)
 
-    def kept(all_words: Column) -> Column:
+    def every(all_words: Column) -> Column:
         count = F.size(all_words)
         shingles = F.when(
             count >= width,
@@ -41,16 +45,20 @@ def sketch(text: Column, scale: int = SCALE, width: int = WIDTH) -> Column:
                 lambda i: hashed(*[F.get(all_words, i + j) for j in range(width)]),
             ),
         ).otherwise(F.array(hashed(F.array_join(all_words, " "))))
-        return F.when(count > 0, bound(shingles, below)).otherwise(F.array().cast("array<bigint>"))
+        return F.when(count > 0, shingles).otherwise(F.array().cast("array<bigint>"))
+
+    return bound(words, every)
+
+
+def sketch(text: Column, scale: int = SCALE, width: int = WIDTH) -> Column:
+    """The sorted hashes of a text below the threshold; null counts as empty."""
+    limit = (1 << BITS) // scale
+    return F.sort_array(F.array_distinct(F.filter(shingle_hashes(text, width), lambda x: x < limit)))
 
-    def below(hashes: Column) -> Column:
-        limit = (1 << BITS) // scale
-        low = F.sort_array(F.array_distinct(F.filter(hashes, lambda x: x < limit)))
-        return bound(F.struct(low.alias("low"), F.array_min(hashes).alias("least")), lambda s: F.when(
-            F.size(s["low"]) > 0, s["low"]
-        ).otherwise(F.array(s["least"])))
 
-    return bound(words, kept)
+def whole_set(text: Column, width: int = WIDTH) -> Column:
+    """The sorted hashes of all shingles of a text."""
+    return F.sort_array(F.array_distinct(shingle_hashes(text, width)))
 
 
 def bound(value: Column, use) -> Column:
@@ -67,7 +75,7 @@ def merged(*sketches: Column) -> Column:
 
 
 def containment(a: Column, b: Column) -> Column:
-    """Share of the smaller sketch that the larger holds; equal ones give 1, else an empty one 0."""
+    """Share of the smaller set of hashes that the larger holds; equal ones give 1, else an empty one 0."""
     least = F.least(F.size(a), F.size(b))
     return (
         F.when(a == b, 1.0)
@@ -77,6 +85,20 @@ def containment(a: Column, b: Column) -> Column:
     )
 
 
+def likeness(text: Column, kept: Column, other_text: Column, other_kept: Column) -> Column:
+    """Containment by the sketches of two texts, or by all their hashes if a sketch is too small."""
+    small = F.least(F.size(kept), F.size(other_kept)) < LEAST_KEPT
+    return F.when(small, containment(whole_set(text), whole_set(other_text))).otherwise(
+        containment(kept, other_kept)
+    )
+
+
+def fingerprint_text(text: Column, kept: Column) -> Column:
+    """The sketch of a text, or all its hashes after a mark if none of them is kept."""
+    whole = as_text(whole_set(text))
+    return F.when(F.size(kept) > 0, as_text(kept)).when(whole == "", "").otherwise(F.concat(F.lit(WHOLE), whole))
+
+
 def as_text(values: Column) -> Column:
     """A sketch as fixed-width hex numbers, one after the other."""
     digits = BITS // 4
@@ -158,9 +180,9 @@ def fingerprint_documents(docs: DataFrame, scale: int = SCALE) -> DataFrame:
     half of the code points (rounded down) replaced by the first as many of the next
     document, ids descending. Returns ``doc_id, n_chars, edited_sha256, fingerprint,
     edited_fingerprint, near_edited, near_next``; ``near_*`` estimate containment of the
-    smaller shingle set in the larger.
+    smaller shingle set in the larger, and are exact for sketches below ``LEAST_KEPT`` hashes.
 
-    A null text counts as empty; its sketch is empty, two empty sketches are alike. Equal
+    A null text counts as empty; its sketch is empty, two texts without words are alike. Equal
     texts have equal fingerprints. A single row is its own next; repeated rows follow each
     other; an empty table gives an empty result.
     """
@@ -174,8 +196,8 @@ def fingerprint_documents(docs: DataFrame, scale: int = SCALE) -> DataFrame:
     out = placed.withColumn("edited", edited).withColumn("edited_sketch", sketch(F.col("edited"), scale))
     return out.select(
         "doc_id", n.cast("long").alias("n_chars"), sha("edited").alias("edited_sha256"),
-        as_text(F.col("sketch")).alias("fingerprint"),
-        as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
-        containment(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
-        containment(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+        fingerprint_text(F.col("text"), F.col("sketch")).alias("fingerprint"),
+        fingerprint_text(F.col("edited"), F.col("edited_sketch")).alias("edited_fingerprint"),
+        likeness(F.col("text"), F.col("sketch"), F.col("edited"), F.col("edited_sketch")).alias("near_edited"),
+        likeness(F.col("text"), F.col("sketch"), F.col("next_text"), F.col("next_sketch")).alias("near_next"),
     )

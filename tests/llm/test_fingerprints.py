@@ -44,6 +44,8 @@ def test_against_exact_values(spark, monkeypatch):
             assert 0 <= near <= 1
             if min(len(a), len(b)) > 200:
                 assert abs(near - exact) < 0.25
+            if min(len(a), len(b)) < fp.LEAST_KEPT:
+                assert near == exact
     assert got[15].fingerprint == got[200].fingerprint
 
 
@@ -70,3 +72,25 @@ def test_one_row_repeats_null_ids_and_no_rows(spark):
     rows = [(1, "x", 1, 1), (1, "x", 1, 1), (None, None, 1, 1), (None, "y z", 1, 1)]
     assert fp.fingerprint_documents(spark.createDataFrame(rows, schema)).count() == 4
     assert fp.fingerprint_documents(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_short_texts_inside_the_next_one(spark):
+    rng = random.Random(8)
+    rows = []
+    for i in range(200):
+        long = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice([30, 400]))]
+        at = rng.randrange(20)
+        rows += [(2 * i + 1, " ".join(long[at : at + 6])), (2 * i, " ".join(long))]
+    got = {r.doc_id: r for r in fp.fingerprint_documents(
+        spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i].near_next == 1.0 for i in range(1, 400, 2))
+    assert len({r.fingerprint for r in got.values()}) == len(rows)
+
+
+def test_a_sketch_is_exactly_the_hashes_below_the_threshold(spark):
+    texts = [("",), (None,), ("a b c",), ("a b c d e f g",), (" ".join(f"x{i}" for i in range(500)),)]
+    rows = spark.createDataFrame(texts, "t string").select(
+        fp.sketch(F.col("t")).alias("kept"), fp.whole_set(F.col("t")).alias("whole")
+    ).collect()
+    for r in rows:
+        assert r.kept == [h for h in r.whole if h < (1 << fp.BITS) // fp.SCALE]
