@@ -10,8 +10,10 @@ best-first by an upper bound of its inner product with anything below a node:
 where ``N`` is the node's largest norm. ``|d(q, parent) - d(parent, pivot)|`` bounds
 ``d(q, pivot)`` from below without computing it, so most nodes are put aside by stored
 distances alone. A node is dropped only if its bound is below the k-th score, so equal
-scores are all seen and ties go to the smaller id. Components are integers and products
-stay below 2^53, so scores are exact.
+scores are all seen and ties go to the smaller id. Components are 64-bit integers. Where an
+inner product could pass 2^53, scores are summed in 64-bit integers instead of doubles; those
+are right modulo 2^64, so every score that fits a long is exact. A score among the best that
+fits no long fails the job.
 
 Queries are packed into blocks too. A task builds the tree of one block of vectors and then
 streams all blocks of queries past it; only the queries are repeated, once for each block of
@@ -35,8 +37,10 @@ K = 20
 SCALE = 64
 #: Rows of a block of vectors, of a block of queries, and of a page of the tree.
 BLOCK, QUERIES, PAGE = 8_192, 512, 256
-#: Slack of the bounds, far above rounding errors and below any difference of two integers.
-SLACK = 1e-3
+#: Slack of the bounds, absolute and as a share of the squared norms; far above rounding errors.
+SLACK, SHARE = 1e-3, 1e-9
+#: Inner products below this are exact in doubles.
+EXACT = float(1 << 53)
 
 
 def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
@@ -52,12 +56,15 @@ class Tree:
     """An M-tree over the rows of ``points``, loaded level by level into pages."""
 
     def __init__(self, points: np.ndarray):
-        self.points = points.astype(np.float64)
+        whole, self.points = points, points.astype(np.float64)
         self.norms = np.einsum("ij,ij->i", self.points, self.points)
         self.levels: list[dict] = []
         # Rows in the order of the leaves, so that a leaf is one stretch of memory.
         self.order = np.concatenate([np.zeros(0, dtype=np.int64), *self._halved(self.points)])
         self.points, self.norms = self.points[self.order], self.norms[self.order]
+        # Integers are kept only if some score could need them.
+        self.longest = float(np.sqrt(self.norms.max(initial=0.0)))
+        self.whole = whole[self.order].astype(np.int64) if self.longest**2 >= EXACT / 4 else None
         members = np.arange(len(points))
         radius, largest = np.zeros(len(points)), self.norms
         while len(members) > 1 or not self.levels:
@@ -118,15 +125,28 @@ class Tree:
         difference = rows - point
         return np.sqrt(np.einsum("ij,ij->i", difference, difference))
 
+    def scores(self, rows, query: np.ndarray, asked: np.ndarray, norm: float) -> np.ndarray:
+        """Exact inner products of a query (as doubles and as integers) with some rows."""
+        approximate = self.points[rows] @ query
+        # A sum of products is off by far less than a hundredth of the product of the norms.
+        if 1.01 * self.longest * np.sqrt(norm) < EXACT:
+            return approximate
+        points = self.points[rows].astype(np.int64) if self.whole is None else self.whole[rows]
+        if np.abs(approximate).max(initial=0.0) >= 2.0**63 * (1 - 1e-9):
+            return (points.astype(object) * asked.astype(object)).sum(axis=1)
+        with np.errstate(over="ignore"):
+            return (points * asked).sum(axis=1, dtype=np.int64)
+
     def search(self, query: np.ndarray, ids: np.ndarray, own: int, k: int) -> list[tuple[float, int]]:
         """The ``k`` best ``(score, vec_id)`` of the block but for the row with id ``own``."""
         best: list[tuple[float, int]] = []  # a heap of (score, -id), the worst first
+        asked, query = query.astype(np.int64), query.astype(np.float64)
         norm = float(query @ query)
         worst = -np.inf
 
         def bound(apart: np.ndarray, radius: np.ndarray, largest: np.ndarray) -> np.ndarray:
             near = np.maximum(apart - radius, 0.0)
-            return (norm + largest - near * near) / 2 + SLACK
+            return (norm + largest - near * near) / 2 + SLACK + SHARE * (norm + largest)
 
         top = len(self.levels) - 1
         root = self.points[self.levels[top]["pivot"][0]]
@@ -146,10 +166,10 @@ class Tree:
             if at == 0:
                 if 2 * len(left) > len(part):
                     rows = part
-                    scores = self.points[part[0] : part[-1] + 1] @ query
+                    scores = self.scores(slice(part[0], part[-1] + 1), query, asked, norm)
                 else:
                     rows = part[left]
-                    scores = self.points[rows] @ query
+                    scores = self.scores(rows, query, asked, norm)
                 # Only rows that can still get in; of many, the k best and their equals.
                 if len(best) == k:
                     can = np.flatnonzero(scores >= best[0][0])
@@ -185,7 +205,7 @@ def _packed(size: int):
 
         def close(width: int) -> pa.RecordBatch:
             ids, points = held.pop(width)
-            data = squeeze(np.array(ids, dtype="<i8"), np.concatenate(points).astype("<i4"))
+            data = squeeze(np.array(ids, dtype="<i8"), np.concatenate(points).astype("<i8"))
             return pa.RecordBatch.from_arrays(
                 [pa.array([width], pa.int32()), pa.array([data], pa.binary())], ["width", "data"]
             )
@@ -214,16 +234,18 @@ def _searched(k: int):
         for batch in batches:
             for block, kind, width, data in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 if kind == 0:
-                    ids, points = expand(data, "<i8", "<i4")
+                    ids, points = expand(data, "<i8", "<i8")
                     at, tree = (block, width), Tree(points.reshape(len(ids), width))
                     ids = ids[tree.order]
                     continue
                 if at != (block, width):
                     continue
-                asked, points = expand(data, "<i8", "<i4")
+                asked, points = expand(data, "<i8", "<i8")
                 query, vec, score = [], [], []
-                for own, point in zip(asked.tolist(), points.reshape(len(asked), width).astype(np.float64)):
+                for own, point in zip(asked.tolist(), points.reshape(len(asked), width)):
                     for s, v in tree.search(point, ids, own, k):
+                        if not -(1 << 63) <= s < 1 << 63:
+                            raise OverflowError(f"the score of {own} and {v} does not fit a long")
                         query.append(own)
                         vec.append(v)
                         score.append(int(s))
@@ -245,7 +267,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, scale: int = SCALE
 
     Vectors that are null or hold null or non-finite components take no part, nor do rows
     without an id; repeated rows of one id count once. Vectors of different length do not
-    meet. Empty tables give an empty result. Components must stay below 2^22 after scaling.
+    meet. Empty tables give an empty result. Scores are exact as long as they fit 64
+    bits; components beyond 64 bits after scaling count as the nearest 64-bit integer.
     """
     def packed(df: DataFrame, size: int, parts: int) -> DataFrame:
         rows = quantised(df.filter("vec_id is not null"), scale).dropDuplicates(["vec_id", "point"])

@@ -1,6 +1,7 @@
 """Exact top-k against all pairs."""
 
 import numpy as np
+import pytest
 
 from gradeloom.llm import topk
 
@@ -54,3 +55,19 @@ def test_most_pages_of_clustered_vectors_are_put_aside():
         scores = points @ points[i]
         want = sorted(((-s, v) for v, s in enumerate(scores) if v != i))[:5]
         assert [(v, s) for s, v in got] == [(v, -s) for s, v in want]
+
+
+def test_large_components(spark, monkeypatch):
+    monkeypatch.setattr(topk, "PAGE", 4)
+    rows = [(0, [1.0, 2.0], 1, 1), (20, [6e7, 1.0], 1, 1), (21, [-6.0, 3.0], 1, 1), (22, [5e6, 2.0], 1, 1)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert sorted(map(tuple, topk.top_k(df, df.filter("vec_id % 20 = 0")).collect())) == brute(rows, [0, 20], 20)
+    rng = np.random.default_rng(3)
+    rows = [(i, (rng.integers(-(2**24), 2**24, 5)).astype(float).tolist(), 1, 1) for i in range(60)]
+    # One vector twice but for a last bit that doubles would lose.
+    rows += [(60, [2.0**24] * 4 + [1 / 64], 1, 1), (61, [2.0**24] * 4 + [2 / 64], 1, 1)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert sorted(map(tuple, topk.top_k(df, df.filter("vec_id % 20 = 0")).collect())) == brute(rows, [0, 20, 40, 60], 20)
+    huge = spark.createDataFrame([(0, [1e18], 1, 1), (1, [1e18], 1, 1)], SCHEMA)
+    with pytest.raises(Exception, match="does not fit a long"):
+        topk.top_k(huge, huge).collect()
