@@ -24,8 +24,8 @@ from .common import fresh
 from .packed import expand, squeeze
 
 FEATURES = 1 << 15
-#: Labelled documents per language in the sample, languages learnt (the most frequent ones).
-SAMPLE, LANGUAGES = 1_500, 256
+#: Different labelled texts per language in the sample, in all languages together, and per language at least.
+SAMPLE, TOGETHER, LEAST_SAMPLE = 1_500, 60_000, 100
 #: One sampled document in so many sets the temperature instead of the weights.
 CALIBRATE = 5
 EPOCHS, ALPHA, BETA, L1, L2 = 3, 0.5, 0.05, 0.01, 0.001
@@ -156,19 +156,22 @@ def _sample_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         )
 
 
-def train(labelled: DataFrame, sample: int = SAMPLE, languages: int = LANGUAGES) -> Model | None:
+def train(labelled: DataFrame, sample: int = SAMPLE, together: int = TOGETHER) -> Model | None:
     """Learn from ``text, lang`` of ``labelled``; rows with null in either take no part.
 
-    ``sample`` bounds the documents per language that the weights are learnt from (drawn by a
-    hash), ``languages`` the number of languages. Document frequencies cover all rows.
-    ``None`` if there is nothing to learn from.
+    ``sample`` bounds the different texts per language that the weights are learnt from (drawn
+    by a hash, so copies of one text count once), ``together`` those of all languages as long
+    as each keeps ``LEAST_SAMPLE``. Every label is a language; the model has a column for each.
+    Document frequencies cover all rows. ``None`` if there is nothing to learn from.
     """
     spark = labelled.sparkSession
     rows = labelled.select(F.col("text").cast("string").alias("text"), "lang").filter("text is not null and lang is not null")
-    sizes = rows.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(languages).collect()
+    # One row for each language, as the model has.
+    sizes = rows.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text"), 0.02).alias("n")).collect()
     if not sizes:
         return None
     names = sorted(r["lang"] for r in sizes)
+    sample = min(sample, max(LEAST_SAMPLE, together // len(names)))
     found = (
         rows.select("text").mapInArrow(_document_frequencies, "feature int, n long")
         .groupBy("feature").agg(F.sum("n").alias("n")).collect()  # at most FEATURES + 1 rows
@@ -179,23 +182,21 @@ def train(labelled: DataFrame, sample: int = SAMPLE, languages: int = LANGUAGES)
     idf = np.log((1.0 + df[-1]) / (1.0 + df[:-1])) + 1.0
 
     space = 1 << 30
-    share = {r["lang"]: min(space, int(space * sample / r["count"])) for r in sizes}
+    share = {r["lang"]: min(space, int(space * sample / r["n"])) for r in sizes}
     limit = F.create_map(*[F.lit(x) for pair in share.items() for x in pair])
     drawn = rows.withColumn("drawn", F.pmod(F.xxhash64("text"), F.lit(space))).filter(
         F.col("drawn") < F.coalesce(F.try_element_at(limit, F.col("lang")), F.lit(0))
-    )
+    ).dropDuplicates(["lang", "drawn"])
     shared = spark.sparkContext.broadcast(idf)
 
     def fit(table: pa.Table) -> pa.Table:
         table = table.filter(pa.compute.is_valid(table.column("counts"))).sort_by([("drawn", "ascending"), ("lang", "ascending")])
         number = {name: i for i, name in enumerate(names)}
-        # Equal texts are drawn together: the same hot text does not fill the sample twice.
         taken = dict.fromkeys(names, 0)
-        learnt, kept, last = [], [], None
+        learnt, kept = [], []
         for lang, drawn, data in zip(*(table.column(c).to_pylist() for c in ("lang", "drawn", "counts"))):
-            if (lang, drawn) == last or taken[lang] >= 2 * sample:
+            if taken[lang] >= 2 * sample:
                 continue
-            last = (lang, drawn)
             taken[lang] += 1
             at, counts = expand(data, "<u2", "<u4")
             full = np.zeros(FEATURES, dtype=np.int64)

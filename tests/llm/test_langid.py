@@ -60,3 +60,16 @@ def test_rows_without_letters_labels_or_anything(spark):
     assert langid.identify_languages(unlabelled).first().lang_pred == "und"
     assert langid.keep_identified(unlabelled).count() == 1
     assert langid.identify_languages(docs.limit(0)).count() == 0
+
+
+def test_more_languages_than_a_small_sample_and_a_hot_text(spark, monkeypatch):
+    monkeypatch.setattr(langid, "LEAST_SAMPLE", 4)
+    letters = [chr(0x4E00 + 50 * k) for k in range(300)]
+    rows = [(0, f"{c * 3} {c}{c} {chr(ord(c) + 1 + i)}", f"l{k:03}") for k, c in enumerate(letters) for i in range(5)]
+    # A third of all rows are copies of one text; the other texts of its language still count.
+    rows += [(0, "one hot text", "l000")] * 700
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), together=1_200)
+    assert model.languages == [f"l{k:03}" for k in range(300)]
+    asked = spark.createDataFrame([(c * 4, f"l{k:03}") for k, c in enumerate(letters)], "text string, lang string")
+    got = langid.with_language(asked, model, "found", "p").collect()
+    assert sum(r.lang == r.found for r in got) > 285
