@@ -45,8 +45,13 @@ UNKNOWN_DIGITS = r"(?<![0-9A-Za-z])[(]?[0-9]++(?:[().\x20-]{1,2}+[0-9]++)*+(?![0
 
 #: A pattern is confident from this score on, with so many different instances, after so many rounds.
 CONFIDENT, INSTANCES, ROUNDS = 0.8, 5, 3
-#: Characters before a span in which its lexical pattern is looked for.
+#: A longer pattern is known by so many of its last characters.
 REACH = 80
+#: Characters before a span in which its pattern is looked for first; what is cut there is looked for
+#: in the next stretch, at last in all of the text before.
+STRETCHES = (2 * REACH, 50 * REACH)
+#: Characters of a part of a word in which its beginnings are listed.
+PART = 1_000
 #: Places in a word where a span may start: no span starts between two letters or two digits,
 #: or at a letter after a digit.
 PLACE = r"(?s)^(?:[^A-Za-z0-9].|[A-Za-z][^A-Za-z]|[0-9][^A-Za-z0-9])"
@@ -124,30 +129,56 @@ def spans_text(spans: Column) -> Column:
 
 
 def _before(text: Column, start: Column) -> Column:
-    """The word before a position and a space, or the part of a word that touches it."""
-    head = F.substring(text, F.greatest(start - REACH, F.lit(0)) + 1, F.least(start, F.lit(REACH)))
-    # A word that began earlier is not known whole.
-    head = F.concat(F.when(start <= REACH, " ").otherwise(""), head)
-    word = F.regexp_extract(head, r"[\x20\x09-\x0D]([^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$", 1)
-    return F.when((word != "") & head.rlike(r"[\x20\x09-\x0D]$"), F.concat(word, F.lit(" "))).otherwise(word)
+    """The word before a position and a space, or the part of a word that touches it: its last ``REACH`` characters."""
+    def looked_for(head: Column) -> Column:
+        word = F.regexp_extract(head, rf"([^\x20\x09-\x0D]{{1,{REACH}}})[\x20\x09-\x0D]*\z", 1)
+        return F.when((word != "") & head.rlike(r"[\x20\x09-\x0D]\z"), F.concat(word, F.lit(" "))).otherwise(word)
+
+    found = looked_for(F.substring(text, F.lit(1), start))
+    for stretch in reversed(STRETCHES):
+        head = F.substring(text, F.greatest(start - stretch, F.lit(0)) + 1, F.least(start, F.lit(stretch)))
+        # Known whole if the text or a space begins it, or REACH characters of it are seen.
+        whole = (start <= stretch) | head.rlike(
+            rf"(?:[\x20\x09-\x0D][^\x20\x09-\x0D]+|[^\x20\x09-\x0D]{{{REACH}}})[\x20\x09-\x0D]*\z"
+        )
+        found = F.when(whole, looked_for(head)).otherwise(found)
+    return found
 
 
 def _occurrences(docs: DataFrame) -> DataFrame:
     """``pattern, total`` of every pattern as :func:`_before` makes them, wherever a span could follow.
 
     A word is an occurrence of itself standing apart, and of each of its beginnings that a
-    span could touch.
+    span could touch. Long words are listed part by part, each with the characters before and
+    the one after it that its beginnings need.
     """
     words = docs.select(F.explode(F.split(F.coalesce("text", F.lit("")), GAP)).alias("word"))
     words = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter("word != ''")
     word = F.col("word")
-    ends = F.sequence(F.lit(1), F.least(F.length(word) - 1, F.lit(REACH)))
+    cut_up = F.when(F.length(word) <= PART, F.array(word)).otherwise(
+        F.regexp_extract_all(word, F.lit(f"(?s).{{1,{PART}}}"), F.lit(0))
+    )
+    parts = words.select(
+        "n", F.concat(F.right(word, F.lit(REACH)), F.lit(" ")).alias("apart"), word.rlike("[^A-Za-z]").alias("mixed"),
+        cut_up.alias("parts"),
+    ).select("n", "apart", "mixed", "parts", F.posexplode("parts").alias("at", "part")).select(
+        "n", "at", "apart", "mixed",
+        F.when(F.col("at") > 0, F.right(F.get("parts", F.col("at") - 1), F.lit(REACH))).otherwise("").alias("before"),
+        "part",
+        F.coalesce(F.substring(F.get("parts", F.col("at") + 1), 1, 1), F.lit("")).alias("after"),
+    ).select(
+        "n", "at", "apart", "mixed", F.length("before").alias("skip"), F.concat("before", "part", "after").alias("part")
+    )
+    part, none = F.col("part"), F.array().cast("array<string>")
+    ends = F.sequence(F.col("skip") + 1, F.length(part) - 1)
     touching = F.transform(
-        F.filter(ends, lambda i: F.substring(word, i, F.lit(2)).rlike(PLACE)), lambda i: F.substring(word, F.lit(1), i)
+        F.filter(ends, lambda i: F.substring(part, i, F.lit(2)).rlike(PLACE)),
+        lambda i: F.substring(part, F.greatest(i - REACH, F.lit(0)) + 1, F.least(i, F.lit(REACH))),
     )
-    inner = F.when((F.length(word) > 1) & word.rlike("[^A-Za-z]"), touching).otherwise(F.array().cast("array<string>"))
+    inner = F.when(F.col("mixed") & (F.length(part) > F.col("skip") + 1), touching).otherwise(none)
+    apart = F.when(F.col("at") == 0, F.array("apart")).otherwise(none)
     return (
-        words.select(F.explode(F.concat(F.array(F.concat(word, F.lit(" "))), inner)).alias("pattern"), "n")
+        parts.select("n", F.explode(F.concat(apart, inner)).alias("pattern"))
         .groupBy("pattern").agg(F.sum("n").alias("total"))
     )
 

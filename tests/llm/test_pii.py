@@ -4,6 +4,8 @@ import hashlib
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from gradeloom.llm import pii
 
 PATTERNS = {
@@ -112,3 +114,47 @@ def test_totals_cover_all_that_precedes(spark):
     totals = {r.pattern: r.total for r in pii._occurrences(docs).collect()}
     assert len(most) > 100 and all(totals.get(p, 0) >= n for p, rank, n in most if rank is not None)
     assert all(p in totals for p, *_ in most)
+
+
+def plain_before(text, start):
+    head = text[:start]
+    words = re.findall(r"[^\x20\x09-\x0D]+", head)
+    if not words:
+        return ""
+    return words[-1][-pii.REACH:] + (" " if re.search(r"[\x20\x09-\x0D]\Z", head) else "")
+
+
+def test_contexts_of_any_length(spark):
+    rng = random.Random(5)
+    texts = []
+    for size in (0, 1, 79, 80, 81, 159, 160, 161, 3_999, 4_001, 9_000):
+        word = "".join(rng.choice("abc-é") for _ in range(size))
+        for gap in ("", " ", "\n" * 90, " " * 4_100, "\u0085"):
+            texts += [f"{word}{gap}@", f"see {word}{gap}@", f" {word}{gap}@"]
+    rows = [(t, len(t) - 1) for t in texts]
+    got = spark.createDataFrame(rows, "t string, at int").select(
+        "t", "at", pii._before(F.col("t"), F.col("at")).alias("p")).collect()
+    for r in got:
+        assert r.p == plain_before(r.t, r.at), (len(r.t), r.at)
+
+
+def test_occurrences_of_long_words(spark):
+    rng = random.Random(6)
+    docs = [" ".join("".join(rng.choice("ab1-2.") for _ in range(n)) for n in (1, 2, 30, 999, 1_000, 1_001, 1_002, 2_500))]
+    docs += ["id-7 id-8 id-7", "plain words", "", None]
+    want = {}
+    for text in docs:
+        for word in (text or "").split():
+            want[word[-pii.REACH:] + " "] = want.get(word[-pii.REACH:] + " ", 0) + 1
+            for i in range(1, len(word)):
+                if re.match(pii.PLACE, word[i - 1 : i + 1]):
+                    want[word[:i][-pii.REACH:]] = want.get(word[:i][-pii.REACH:], 0) + 1
+    got = pii._occurrences(spark.createDataFrame([(t,) for t in docs], "text string")).collect()
+    assert {r.pattern: r.total for r in got} == want
+
+
+def test_a_context_of_more_than_80_characters_is_learnt(spark):
+    word = "Kontonummer" * 9
+    rows = [(i, f"{word} +1 555 010 {1000 + i}", 1, 1) for i in range(30)] + [(99, f"{word} 0171 555 2233", 1, 1)]
+    got = {r.doc_id: r.spans for r in pii.find_personal_data(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got[99] == f"phone:{len(word) + 1}:{len(rows[-1][1])}"
