@@ -7,8 +7,10 @@ once; the ids go back to the chunks and are put in place by position. Between ta
 is one row of positions and one row for each bucket, all compressed, so the shuffles carry
 far less than the texts. The frequent words of a chunk have small numbers.
 
-Decoding looks every id up in the table of token bytes (bounded by the vocabulary, so it is
-broadcast) and joins the bytes by position.
+Decoding explodes the ids with their positions, joins the table of token bytes (one row for
+each id of the vocabulary, so it is broadcast) and puts the bytes together by position. The
+join leaves the rows of a task where they are, so nothing is shuffled; a row out of place
+fails the task.
 
 Chunks must be whole: the positions' row tells how many bucket rows belong to it, and a
 chunk that lacks some (a lost task that was run again over other rows) fails the task
@@ -132,7 +134,7 @@ def _encoded(pattern: str, ranks):
 
 
 def _assembled(buckets: int):
-    """Per chunk: the documents' ids in order, as (doc_id, binary of 32-bit ids)."""
+    """Per chunk: the documents' ids in order, as one binary and as an array."""
 
     def run(table: pa.Table) -> pa.Table:
         places = table.column("place").to_pylist()
@@ -156,22 +158,25 @@ def _assembled(buckets: int):
         sizes = lengths.reshape(-1)[codes]
         ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
         bounds = np.concatenate([[0], np.cumsum(counts)])
-        texts = []
+        texts, tokens = [], []
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-            took = runs(starts.reshape(-1)[codes[a:b]], sizes[a:b])
-            texts.append(flat[took].astype("<u4").tobytes())
+            took = flat[runs(starts.reshape(-1)[codes[a:b]], sizes[a:b])].astype("<u4")
+            texts.append(took.tobytes())
+            tokens.append(took.astype("<i4"))
         n_tokens = np.diff(ends[bounds])
         doc_ids = table.column("doc_ids")[at[0]].values
         return pa.table({
             "doc_id": doc_ids, "n_tokens": pa.array(n_tokens, pa.int64()),
-            "ids": pa.array(texts, pa.binary()),
+            "ids": pa.array(texts, pa.binary()), "tokens": pa.array(tokens, pa.list_(pa.int32())),
         })
 
     return run
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, buckets: int | None = None) -> DataFrame:
-    """``doc_id, n_tokens, ids``: the token ids of every text as little-endian 32-bit numbers.
+    """``doc_id, n_tokens, ids, tokens``: the token ids of every text.
+
+    ``ids`` has them as little-endian 32-bit numbers, ``tokens`` as an array.
 
     ``docs`` needs ``doc_id`` (any type) and ``text``; other columns are ignored. ``path`` is
     a ``.tiktoken`` file that the driver reads; each match of ``pattern`` is encoded on its
@@ -193,7 +198,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, buckets: int | No
         .repartition(n, "place")
         .mapInArrow(_encoded(pattern, ranks), schema)
         .groupBy("chunk")
-        .applyInArrow(_assembled(buckets), f"doc_id {kind}, n_tokens long, ids binary")
+        .applyInArrow(_assembled(buckets), f"doc_id {kind}, n_tokens long, ids binary, tokens array<int>")
     )
 
 
@@ -203,37 +208,72 @@ def token_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(rows, "id int, bytes binary")
 
 
-def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
-    """Add ``decoded``, the bytes of all ``ids`` in order, and drop nothing.
+def _put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows ``head, pos, bytes`` in order: the head of every document and its bytes in one value.
 
-    The token-byte table is bounded by the vocabulary and goes to every task. An unknown id
-    fails the task. Null ids decode to empty bytes.
+    The first row of a document has its head and position 0, or null if it has no token.
     """
-    spark = encoded.sparkSession
-    ranks = read_ranks(path)
-    by_id = [b""] * (max(ranks.values(), default=-1) + 1)
-    for word, i in ranks.items():
-        by_id[i] = word
-    table = spark.sparkContext.broadcast(by_id)
+    head, parts, last = None, [], -1
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = table.value.__getitem__
-        for batch in batches:
-            column = batch.column(batch.schema.names.index("ids"))
-            out = [
-                b"".join(map(at, np.frombuffer(v.as_py() or b"", dtype="<u4").tolist())) for v in column
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, "decoded"]
-            )
+    def rows(heads: pa.StructArray, decoded: list[bytes]) -> pa.RecordBatch:
+        names = [heads.type.field(i).name for i in range(heads.type.num_fields)]
+        return pa.RecordBatch.from_arrays(
+            [*heads.flatten(), pa.array(decoded, pa.binary())], [*names, "decoded"]
+        )
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
-    return encoded.mapInArrow(run, f"{schema}, decoded binary")
+    for batch in batches:
+        if not len(batch):
+            continue
+        heads, places, found = batch.columns
+        if found.null_count != places.null_count:
+            raise ValueError("an id that the token table does not hold")
+        at = places.fill_null(0).to_numpy()
+        before = np.r_[last, at[:-1]]
+        if ((at != 0) & (at != before + 1)).any():
+            raise RuntimeError("the tokens of a document are not in order")
+        last = int(at[-1])
+        _, offsets, data = found.buffers()
+        edges = np.frombuffer(offsets, dtype="<i4")[found.offset : found.offset + len(found) + 1]
+        data = memoryview(data or b"")
+        starts = np.flatnonzero(at == 0)
+        cuts = [*edges[starts].tolist(), int(edges[-1])]
+        parts.append(bytes(data[int(edges[0]) : cuts[0]]))
+        if len(starts):
+            if head is not None:
+                yield rows(head, [b"".join(parts)])
+            # The last document of a batch may go on in the next.
+            whole = [bytes(data[a:b]) for a, b in zip(cuts[:-2], cuts[1:-1])]
+            if whole:
+                yield rows(heads.take(pa.array(starts[:-1])), whole)
+            head, parts = heads.take(pa.array(starts[-1:])), [bytes(data[cuts[-2] : cuts[-1]])]
+    if head is not None:
+        yield rows(head, [b"".join(parts)])
+
+
+def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
+    """The columns of ``encoded``, with ``decoded``, the bytes of all ``tokens`` in order, for ``tokens``.
+
+    ``tokens`` is an array of ids. The token table has a row for each id of the vocabulary
+    and is broadcast. An id that it lacks, or a null inside the array, fails the task. Null
+    and empty arrays decode to empty bytes; every row comes back, repeated ones too.
+    """
+    names = [c for c in encoded.columns if c != "tokens"]
+    table = token_table(encoded.sparkSession, path).withColumnRenamed("id", "_id")
+    first = F.coalesce(F.col("_pos"), F.lit(0)) == 0
+    rows = (
+        encoded.select(F.struct(*names).alias("_head"), F.posexplode_outer("tokens").alias("_pos", "_token"))
+        .join(F.broadcast(table), F.col("_token") == F.col("_id"), "left")
+        .select(F.when(first, F.col("_head")).alias("head"), F.col("_pos").alias("pos"), "bytes")
+    )
+    schema = ", ".join(f"`{c}` {encoded.schema[c].dataType.simpleString()}" for c in names)
+    return rows.mapInArrow(_put_together, f"{schema}, decoded binary")
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every text, encoded and decoded again."""
-    return decode_documents(encode_documents(docs, path, pattern), path).select(
-        "doc_id", "n_tokens",
-        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+    encoded = encode_documents(docs, path, pattern).select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), "tokens"
+    )
+    return decode_documents(encoded, path).select(
+        "doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256")
     )

@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pytest
 import tiktoken
 
 from gradeloom.llm import bpe, packed
@@ -35,6 +36,28 @@ def test_round_trip_and_ids(spark, monkeypatch):
     assert bpe.token_table(spark, PATH).count() == 50_256
 
 
+def test_decoding_joins_the_token_table(spark):
+    words = {i: w for w, i in bpe.read_ranks(PATH).items()}
+    rng = random.Random(3)
+    rows = [(i, [rng.randrange(50_256) for _ in range(rng.choice([0, 1, 7, 900]))], "x") for i in range(60)]
+    rows += [(None, None, None), (61, [], "y"), (7, rows[7][1], "x"), (62, [5] * 45_000, None)]
+    docs = spark.createDataFrame(rows, "head long, tokens array<int>, pos string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    try:
+        out = bpe.decode_documents(docs, PATH)
+        assert out.columns == ["head", "pos", "decoded"]
+        got = sorted(((r[0], r[1], bytes(r[2])) for r in out.collect()), key=repr)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = [(i, p, b"".join(words[t] for t in ids or [])) for i, ids, p in rows]
+    assert got == sorted(want, key=repr)
+    assert bpe.decode_documents(docs.limit(0), PATH).count() == 0
+    for bad in ([1, 60_000], [1, None]):
+        unknown = spark.createDataFrame([(1, bad)], "doc_id long, tokens array<int>")
+        with pytest.raises(Exception, match="token table"):
+            bpe.decode_documents(unknown, PATH).collect()
+
+
 def test_packed_codes_and_words():
     codes = np.array([0, 127, 128, 16_511, 16_512, 4_145_279, 4_145_280, 2**31, 5])
     streams = packed.expand(packed.squeeze(*packed.code_streams(codes)), *packed.CODE_TYPES)
