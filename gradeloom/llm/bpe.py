@@ -7,10 +7,10 @@ once; the ids go back to the chunks and are put in place by position. Between ta
 is one row of positions and one row for each bucket, all compressed, so the shuffles carry
 far less than the texts. The frequent words of a chunk have small numbers.
 
-Decoding explodes the ids with their positions, joins the table of token bytes (one row for
-each id of the vocabulary, so it is broadcast) and puts the bytes together by position. The
-join leaves the rows of a task where they are, so nothing is shuffled; a row out of place
-fails the task.
+Decoding sends the distinct ids of a batch of documents ahead of them, joins the table of
+token bytes (one row for each id of the vocabulary, so it is broadcast) and puts the bytes
+together by position. The join leaves the rows of a task where they are, so nothing is
+shuffled; a document whose ids have not come before it fails the task.
 
 Chunks must be whole: the positions' row tells how many bucket rows belong to it, and a
 chunk that lacks some (a lost task that was run again over other rows) fails the task
@@ -134,7 +134,7 @@ def _encoded(pattern: str, ranks):
 
 
 def _assembled(buckets: int):
-    """Per chunk: the documents' ids in order, as one binary and as an array."""
+    """Per chunk: the documents' ids in order, as (doc_id, binary of 32-bit ids)."""
 
     def run(table: pa.Table) -> pa.Table:
         places = table.column("place").to_pylist()
@@ -158,25 +158,40 @@ def _assembled(buckets: int):
         sizes = lengths.reshape(-1)[codes]
         ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
         bounds = np.concatenate([[0], np.cumsum(counts)])
-        texts, tokens = [], []
+        texts = []
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-            took = flat[runs(starts.reshape(-1)[codes[a:b]], sizes[a:b])].astype("<u4")
-            texts.append(took.tobytes())
-            tokens.append(took.astype("<i4"))
+            took = runs(starts.reshape(-1)[codes[a:b]], sizes[a:b])
+            texts.append(flat[took].astype("<u4").tobytes())
         n_tokens = np.diff(ends[bounds])
         doc_ids = table.column("doc_ids")[at[0]].values
         return pa.table({
             "doc_id": doc_ids, "n_tokens": pa.array(n_tokens, pa.int64()),
-            "ids": pa.array(texts, pa.binary()), "tokens": pa.array(tokens, pa.list_(pa.int32())),
+            "ids": pa.array(texts, pa.binary()),
         })
 
     return run
 
 
-def encode_documents(docs: DataFrame, path: str, pattern: str, buckets: int | None = None) -> DataFrame:
-    """``doc_id, n_tokens, ids, tokens``: the token ids of every text.
+def _encoded_chunks(docs: DataFrame, path: str, pattern: str, buckets: int) -> DataFrame:
+    """Rows of chunks, by bucket: the ids of their distinct pre-tokens, and the positions."""
+    spark = docs.sparkSession
+    ranks = spark.sparkContext.broadcast(read_ranks(path))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    schema = f"chunk long, place int, rows int, data binary, doc_ids array<{kind}>"
+    return (
+        docs.select("doc_id", F.col("text").cast("string").alias("text"))
+        .mapInArrow(_chunked(pattern, buckets), schema)
+        .repartition(partitions(spark), "place")
+        .mapInArrow(_encoded(pattern, ranks), schema)
+    )
+
+
+def _buckets(docs: DataFrame) -> int:
+    return max(LEAST_BUCKETS, partitions(docs.sparkSession))
 
-    ``ids`` has them as little-endian 32-bit numbers, ``tokens`` as an array.
+
+def encode_documents(docs: DataFrame, path: str, pattern: str, buckets: int | None = None) -> DataFrame:
+    """``doc_id, n_tokens, ids``: the token ids of every text as little-endian 32-bit numbers.
 
     ``docs`` needs ``doc_id`` (any type) and ``text``; other columns are ignored. ``path`` is
     a ``.tiktoken`` file that the driver reads; each match of ``pattern`` is encoded on its
@@ -186,19 +201,10 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, buckets: int | No
     row each. An empty table gives an empty result. Very long texts are cut into matches
     piece by piece; a document's ids must fit in one value (2 GB).
     """
-    spark = docs.sparkSession
-    buckets = buckets or max(LEAST_BUCKETS, partitions(spark))
-    ranks = spark.sparkContext.broadcast(read_ranks(path))
+    buckets = buckets or _buckets(docs)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"chunk long, place int, rows int, data binary, doc_ids array<{kind}>"
-    n = partitions(spark)
-    return (
-        docs.select("doc_id", F.col("text").cast("string").alias("text"))
-        .mapInArrow(_chunked(pattern, buckets), schema)
-        .repartition(n, "place")
-        .mapInArrow(_encoded(pattern, ranks), schema)
-        .groupBy("chunk")
-        .applyInArrow(_assembled(buckets), f"doc_id {kind}, n_tokens long, ids binary, tokens array<int>")
+    return _encoded_chunks(docs, path, pattern, buckets).groupBy("chunk").applyInArrow(
+        _assembled(buckets), f"doc_id {kind}, n_tokens long, ids binary"
     )
 
 
@@ -208,72 +214,93 @@ def token_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(rows, "id int, bytes binary")
 
 
+def _asking(heads: pa.StructArray) -> tuple[pa.Array, pa.Array]:
+    """Columns ``head, token``: a row for each distinct id of the documents, then the documents."""
+    ids = heads.field("ids")
+    found = set()
+    for value in ids:
+        found.update(np.unique(np.frombuffer(value.as_py() or b"", dtype="<u4")).tolist())
+    tokens = pa.array(sorted(found), pa.int64())
+    return (
+        pa.concat_arrays([pa.nulls(len(tokens), heads.type), heads]),
+        pa.concat_arrays([tokens, pa.nulls(len(heads), pa.int64())]),
+    )
+
+
+def _asked_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([*_asking(batch.column(0))], ["head", "token"])
+
+
+def _assembled_asking(buckets: int):
+    assemble = _assembled(buckets)
+
+    def run(table: pa.Table) -> pa.Table:
+        heads = assemble(table).to_struct_array().combine_chunks()
+        return pa.table(dict(zip(("head", "token"), _asking(heads))))
+
+    return run
+
+
 def _put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows ``head, pos, bytes`` in order: the head of every document and its bytes in one value.
+    """From rows ``head, token, bytes``: the documents, with the bytes of their ids in one value.
 
-    The first row of a document has its head and position 0, or null if it has no token.
+    The bytes of an id are the same wherever it occurs, so they are kept; there are no more
+    than the vocabulary has.
     """
-    head, parts, last = None, [], -1
-
-    def rows(heads: pa.StructArray, decoded: list[bytes]) -> pa.RecordBatch:
+    known: dict[int, bytes] = {}
+    for batch in batches:
+        heads, tokens, found = batch.columns
+        asked = np.flatnonzero(tokens.is_valid().to_numpy(zero_copy_only=False))
+        at = pa.array(asked)
+        if (words := found.take(at)).null_count:
+            raise ValueError("an id that the token table does not hold")
+        known.update(zip(tokens.take(at).to_pylist(), words.to_pylist()))
+        heads = heads.take(pa.array(np.setdiff1d(np.arange(len(batch)), asked)))
+        if not len(heads):
+            continue
+        decoded = [
+            b"".join(map(known.__getitem__, np.frombuffer(v.as_py() or b"", dtype="<u4").tolist()))
+            for v in heads.field("ids")
+        ]
         names = [heads.type.field(i).name for i in range(heads.type.num_fields)]
-        return pa.RecordBatch.from_arrays(
+        yield pa.RecordBatch.from_arrays(
             [*heads.flatten(), pa.array(decoded, pa.binary())], [*names, "decoded"]
         )
 
-    for batch in batches:
-        if not len(batch):
-            continue
-        heads, places, found = batch.columns
-        if found.null_count != places.null_count:
-            raise ValueError("an id that the token table does not hold")
-        at = places.fill_null(0).to_numpy()
-        before = np.r_[last, at[:-1]]
-        if ((at != 0) & (at != before + 1)).any():
-            raise RuntimeError("the tokens of a document are not in order")
-        last = int(at[-1])
-        _, offsets, data = found.buffers()
-        edges = np.frombuffer(offsets, dtype="<i4")[found.offset : found.offset + len(found) + 1]
-        data = memoryview(data or b"")
-        starts = np.flatnonzero(at == 0)
-        cuts = [*edges[starts].tolist(), int(edges[-1])]
-        parts.append(bytes(data[int(edges[0]) : cuts[0]]))
-        if len(starts):
-            if head is not None:
-                yield rows(head, [b"".join(parts)])
-            # The last document of a batch may go on in the next.
-            whole = [bytes(data[a:b]) for a, b in zip(cuts[:-2], cuts[1:-1])]
-            if whole:
-                yield rows(heads.take(pa.array(starts[:-1])), whole)
-            head, parts = heads.take(pa.array(starts[-1:])), [bytes(data[cuts[-2] : cuts[-1]])]
-    if head is not None:
-        yield rows(head, [b"".join(parts)])
+
+def _with_bytes(asking: DataFrame, path: str) -> DataFrame:
+    """From ``head, token``: the columns of ``head`` and ``decoded``."""
+    table = token_table(asking.sparkSession, path)
+    names = asking.schema["head"].dataType
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in names)
+    return (
+        asking.join(F.broadcast(table), F.col("token") == F.col("id"), "left")
+        .select("head", "token", "bytes").mapInArrow(_put_together, f"{schema}, decoded binary")
+    )
 
 
 def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
-    """The columns of ``encoded``, with ``decoded``, the bytes of all ``tokens`` in order, for ``tokens``.
+    """Add ``decoded``, the bytes of all ``ids`` in order, and drop nothing.
 
-    ``tokens`` is an array of ids. The token table has a row for each id of the vocabulary
-    and is broadcast. An id that it lacks, or a null inside the array, fails the task. Null
-    and empty arrays decode to empty bytes; every row comes back, repeated ones too.
+    The token table has a row for each id of the vocabulary and is broadcast. An unknown id
+    fails the task. Null ids decode to empty bytes; repeated rows all come back.
     """
-    names = [c for c in encoded.columns if c != "tokens"]
-    table = token_table(encoded.sparkSession, path).withColumnRenamed("id", "_id")
-    first = F.coalesce(F.col("_pos"), F.lit(0)) == 0
-    rows = (
-        encoded.select(F.struct(*names).alias("_head"), F.posexplode_outer("tokens").alias("_pos", "_token"))
-        .join(F.broadcast(table), F.col("_token") == F.col("_id"), "left")
-        .select(F.when(first, F.col("_head")).alias("head"), F.col("_pos").alias("pos"), "bytes")
-    )
-    schema = ", ".join(f"`{c}` {encoded.schema[c].dataType.simpleString()}" for c in names)
-    return rows.mapInArrow(_put_together, f"{schema}, decoded binary")
+    boxed = encoded.select(F.struct("*").alias("head"))
+    kind = boxed.schema["head"].dataType.simpleString()
+    return _with_bytes(boxed.mapInArrow(_asked_batches, f"head {kind}, token long"), path)
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every text, encoded and decoded again."""
-    encoded = encode_documents(docs, path, pattern).select(
-        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), "tokens"
+    buckets = _buckets(docs)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    # The chunk that puts a document's ids in place asks for their bytes as well.
+    asking = _encoded_chunks(docs, path, pattern, buckets).groupBy("chunk").applyInArrow(
+        _assembled_asking(buckets),
+        f"head struct<doc_id: {kind}, n_tokens: bigint, ids: binary>, token long",
     )
-    return decode_documents(encoded, path).select(
-        "doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256")
+    return _with_bytes(asking, path).select(
+        "doc_id", "n_tokens",
+        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
     )

@@ -41,21 +41,23 @@ def test_decoding_joins_the_token_table(spark):
     rng = random.Random(3)
     rows = [(i, [rng.randrange(50_256) for _ in range(rng.choice([0, 1, 7, 900]))], "x") for i in range(60)]
     rows += [(None, None, None), (61, [], "y"), (7, rows[7][1], "x"), (62, [5] * 45_000, None)]
-    docs = spark.createDataFrame(rows, "head long, tokens array<int>, pos string")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+
+    def table(rows):
+        packed = [(i, None if t is None else np.array(t, dtype="<u4").tobytes(), p) for i, t, p in rows]
+        return spark.createDataFrame(packed, "head long, ids binary, token string")
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
     try:
-        out = bpe.decode_documents(docs, PATH)
-        assert out.columns == ["head", "pos", "decoded"]
-        got = sorted(((r[0], r[1], bytes(r[2])) for r in out.collect()), key=repr)
+        out = bpe.decode_documents(table(rows), PATH)
+        assert out.columns == ["head", "ids", "token", "decoded"]
+        got = sorted(((r[0], r[2], bytes(r[3])) for r in out.collect()), key=repr)
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     want = [(i, p, b"".join(words[t] for t in ids or [])) for i, ids, p in rows]
     assert got == sorted(want, key=repr)
-    assert bpe.decode_documents(docs.limit(0), PATH).count() == 0
-    for bad in ([1, 60_000], [1, None]):
-        unknown = spark.createDataFrame([(1, bad)], "doc_id long, tokens array<int>")
-        with pytest.raises(Exception, match="token table"):
-            bpe.decode_documents(unknown, PATH).collect()
+    assert bpe.decode_documents(table(rows).limit(0), PATH).count() == 0
+    with pytest.raises(Exception, match="token table"):
+        bpe.decode_documents(table([(1, [1, 60_000], "")]), PATH).collect()
 
 
 def test_packed_codes_and_words():
