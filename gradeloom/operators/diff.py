@@ -45,3 +45,19 @@ def compare_sheets(left: DataFrame, right: DataFrame) -> DataFrame:
         (same_width & (F.coalesce("_head_diffs", F.lit(0)) == 0)).alias("same_headers"),
         F.coalesce("n_diffs", F.lit(0)).alias("n_diffs"),
     )
+
+
+def compare_titled(
+    left: DataFrame, right: DataFrame, left_titles: DataFrame, right_titles: DataFrame
+) -> DataFrame:
+    """:func:`compare_sheets` with ``left_title``, ``right_title`` and whether they are the same.
+
+    Titles are ``(sheet_id, title)``, one row for each sheet; a sheet may have a title and no cells.
+    """
+    titles = left_titles.withColumnRenamed("title", "left_title").join(
+        right_titles.withColumnRenamed("title", "right_title"), ["sheet_id"], "full_outer"
+    )
+    # A sheet without a cell on either side has nothing that could differ.
+    return titles.join(compare_sheets(left, right), ["sheet_id"], "full_outer").withColumn(
+        "same_sheet_title", F.col("left_title").eqNullSafe(F.col("right_title"))
+    ).na.fill(True, ["same_dimensions", "same_headers"]).na.fill(0, ["n_diffs"])

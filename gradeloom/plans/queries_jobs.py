@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 from ..operators import diff, jobs as J, naming, outcomes, retention, timing
 from ..session import shared_folder
 from ..sources import derived as D, derived_jobs as S
-from ..sources.files import append_rows, bundle_manifest, read_generations, read_table
+from ..sources.files import (
+    append_rows, bundle_manifest, list_reports, read_generations, read_table, write_lookup,
+)
+from ..sources.json_pages import bad_reports, read_page_lines
 from ..streaming.ingest import ingest_reports, read_ingested
 from ..streaming.job_state import read_job_state, update_job_state
 from . import operations, reports
@@ -163,6 +166,14 @@ def job_lookup(spark: SparkSession, folder: str) -> DataFrame:
     return J.find_job(jobs, 77).withColumnRenamed("job_id", "id")
 
 
+@query(f"{_JOBS} SELECT job_id, status, created_at FROM jobs WHERE job_id = 'job-77'")
+def job_lookup_pushed(spark: SparkSession, folder: str) -> DataFrame:
+    """One job by its id, from a table written for lookups: the scan skips files and row groups."""
+    path = f"{_run_folder(spark, 'lookup')}/jobs"
+    write_lookup(S.jobs(spark, folder).select("job_id", "status", "created_at"), "job_id", path)
+    return J.find_job(spark.read.parquet(path), "job-77")
+
+
 @query(f"""{_JOBS}, p AS (SELECT *, greatest(coalesce(nullif(progress_total, 0), 1), 1) AS t FROM jobs),
 q AS (SELECT *, least(coalesce(progress_current, 0), t) AS c FROM p)
 SELECT job_id, status, coalesce(stage, '') AS stage, coalesce(progress_message, '') AS message,
@@ -439,6 +450,59 @@ def unique_names(spark: SparkSession, folder: str) -> DataFrame:
     return naming.unique_names(rows, "archive_id", "pos", "name")
 
 
+@query("""SELECT 'report-' || CAST(c_nationkey AS VARCHAR) AS report, count(*) AS n_lines,
+ CAST(sum(strlen(c_name) + 1) AS BIGINT) AS size_bytes FROM customer GROUP BY c_nationkey""")
+def report_listing(spark: SparkSession, folder: str) -> DataFrame:
+    """Manifest of a folder of report files, and the lines the listed files hold."""
+    run = f"{_run_folder(spark, 'listing')}/reports"
+    key = F.concat(F.lit("report-"), F.col("c_nationkey").cast("string"))
+    D.table(spark, folder, "customer").select(key.alias("report"), "c_name").repartition("report").write.partitionBy(
+        "report"
+    ).text(run)
+    report = F.regexp_extract("path", "report=([^/]+)/", 1).alias("report")
+    sizes = list_reports(spark, run, "*.txt").groupBy(report).agg(F.sum("size_bytes").alias("size_bytes"))
+    lines = spark.read.text(run).groupBy(F.col("report").alias("_report")).agg(F.count(F.lit(1)).alias("n_lines"))
+    return sizes.join(lines, F.col("report") == F.col("_report")).select("report", "n_lines", "size_bytes")
+
+
+def _page_lines(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Orders as pages, written as JSON lines of which some are broken, and read back."""
+    k = F.col("o_orderkey")
+    cells = F.array(
+        F.array(F.lit("estat"), F.lit("prioritat")), F.array("o_orderstatus", F.when(k % 13 != 0, F.col("o_orderpriority")))
+    )
+    page = F.to_json(F.struct(
+        F.when(k % 31 != 5, F.col("o_custkey").cast("string")).alias("file_id"),
+        F.when(k % 37 != 5, k.cast("int")).alias("page_no"),
+        F.when(k % 41 != 5, cells).alias("rows"), F.col("o_totalprice").alias("extra"),
+    ))
+    path = f"{_run_folder(spark, 'pages')}/lines"
+    broken = F.when(k % 29 == 5, F.substring(page, 1, 12)).otherwise(page)
+    D.table(spark, folder, "orders").select(broken.alias("value")).write.text(path)
+    return read_page_lines(spark, path)
+
+
+_PAGES_SQL = """WITH p AS (SELECT o_orderkey AS k, CAST(o_custkey AS VARCHAR) AS c, o_orderstatus AS s,
+ CASE WHEN o_orderkey % 13 <> 0 THEN o_orderpriority END AS p,
+ CASE WHEN o_orderkey % 29 = 5 THEN 'malformed' WHEN o_orderkey % 31 = 5 THEN 'no_file_id'
+  WHEN o_orderkey % 37 = 5 THEN 'no_page_no' WHEN o_orderkey % 41 = 5 THEN 'no_rows' END AS reason FROM orders)"""
+
+
+@query(f"""{_PAGES_SQL} SELECT c AS file_id, CAST(k AS INTEGER) AS page_no, unnest([0, 0, 1, 1])::BIGINT AS row_no,
+ unnest([0, 1, 0, 1]) AS col_no, unnest(['estat', 'prioritat', s, p]) AS cell FROM p WHERE reason IS NULL""")
+def json_cells(spark: SparkSession, folder: str) -> DataFrame:
+    """Cells of the page tables that arrive as JSON lines."""
+    return _page_lines(spark, folder)[0]
+
+
+@query(f"""{_PAGES_SQL}, b AS (SELECT CASE WHEN reason IN ('no_page_no', 'no_rows') THEN c END AS file_id, reason
+ FROM p WHERE reason IS NOT NULL)
+SELECT file_id, count(*) AS n_pages, string_agg(DISTINCT reason, ',' ORDER BY reason) AS reasons FROM b GROUP BY 1""")
+def json_quarantine(spark: SparkSession, folder: str) -> DataFrame:
+    """Reports with lines that are no page, and why."""
+    return bad_reports(_page_lines(spark, folder)[1])
+
+
 # --- retention -------------------------------------------------------------------------
 
 _NOW, _DAYS = dt.datetime(1998, 1, 1), 700
@@ -536,6 +600,49 @@ def diff_rollup(spark: SparkSession, folder: str) -> DataFrame:
     return diff.compare_sheets(*_versions(spark, folder))
 
 
+def _titled(spark: SparkSession, folder: str) -> list[DataFrame]:
+    """Both versions with a header row and a title; some headers and titles are changed."""
+    left, right = _versions(spark, folder)
+    n = F.col("sheet_id")
+    sheets = left.select("sheet_id").distinct()
+
+    def heads(last) -> DataFrame:
+        names = F.array(F.lit("acta"), F.lit("estat"), last)
+        rows = sheets.select("sheet_id", F.lit(1).cast("long").alias("row_no"), F.posexplode(names).alias("c", "value"))
+        return rows.select("sheet_id", "row_no", (F.col("c") + 1).alias("col_no"), "value")
+
+    title = F.concat(F.lit("full "), n.cast("string"))
+    changed = F.when(n % 7 == 0, "prior").otherwise("prioritat")
+    return [
+        left.unionByName(heads(F.lit("prioritat"))), right.unionByName(heads(changed)),
+        sheets.select("sheet_id", title.alias("title")),
+        sheets.filter(n % 11 != 0).select("sheet_id", F.when(n % 5 == 0, "nou").otherwise(title).alias("title")),
+    ]
+
+
+_HEADS = """SELECT DISTINCT o_custkey AS sheet_id, CAST(1 AS BIGINT) AS row_no, unnest([1, 2, 3]) AS col_no,
+ unnest(['acta', 'estat', {last}]) AS value FROM orders"""
+
+
+@query(f"""{_DIFF_SQL}, lh AS (SELECT * FROM l UNION ALL {_HEADS.format(last="'prioritat'")}),
+rh AS (SELECT * FROM r UNION ALL {_HEADS.format(last="CASE WHEN o_custkey % 7 = 0 THEN 'prior' ELSE 'prioritat' END")}),
+a AS (SELECT sheet_id, max(row_no) AS rows, max(col_no) AS cols,
+ list(value ORDER BY col_no) FILTER (WHERE row_no = 1) AS heads FROM lh GROUP BY 1),
+b AS (SELECT sheet_id, max(row_no) AS rows, max(col_no) AS cols,
+ list(value ORDER BY col_no) FILTER (WHERE row_no = 1) AS heads FROM rh GROUP BY 1),
+n AS (SELECT sheet_id, count(*) AS n FROM d GROUP BY 1),
+t AS (SELECT sheet_id, 'full ' || CAST(sheet_id AS VARCHAR) AS left_title, CASE WHEN sheet_id % 11 = 0 THEN NULL
+ WHEN sheet_id % 5 = 0 THEN 'nou' ELSE 'full ' || CAST(sheet_id AS VARCHAR) END AS right_title FROM a)
+SELECT t.*, a.rows AS left_rows, a.cols AS left_cols, b.rows AS right_rows, b.cols AS right_cols,
+ a.rows = b.rows AND a.cols = b.cols AS same_dimensions, a.heads = b.heads AS same_headers,
+ left_title IS NOT DISTINCT FROM right_title AS same_sheet_title,
+ coalesce(n.n, 0) + CASE WHEN a.heads = b.heads THEN 0 ELSE 1 END AS n_diffs
+FROM t JOIN a ON a.sheet_id = t.sheet_id JOIN b ON b.sheet_id = t.sheet_id LEFT JOIN n ON n.sheet_id = t.sheet_id""")
+def diff_titled(spark: SparkSession, folder: str) -> DataFrame:
+    """Per sheet: same title, size and header row, number of differences."""
+    return diff.compare_titled(*_titled(spark, folder))
+
+
 def _timings(spark: SparkSession, folder: str) -> DataFrame:
     """Timing lines made of the events, read back; other log lines lie in between."""
     n = F.col("event_id")

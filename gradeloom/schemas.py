@@ -13,6 +13,9 @@ def _struct(**columns: T.DataType) -> T.StructType:
 #: Cells as they come out of a page table: row 0 of each page holds the headers.
 RAW_CELLS = _struct(file_id=_S, page_no=_I, row_no=_L, col_no=_I, cell=_S)
 
+#: A page table as one JSON line: its rows of cells, the headers first.
+PAGE_LINES = _struct(file_id=_S, page_no=_I, rows=T.ArrayType(T.ArrayType(_S)))
+
 #: Arrivals of reports: a report that comes again has a higher ``arrival``.
 MANIFEST = _struct(file_id=_S, arrival=_L, job_id=_S, source_name=_S)
 

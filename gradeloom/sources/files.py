@@ -19,6 +19,7 @@ def list_reports(spark: SparkSession, folder: str, pattern: str = "*.pdf") -> Da
     """Manifest of a folder, by path: ``(path, name, size_bytes, modified_at)``.
 
     The contents are never read. An empty folder is an error, as for the batch command.
+    Files of no bytes are not listed; Spark's reader leaves them out.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
     found = files.select(
@@ -71,6 +72,20 @@ def append_rows(df: DataFrame, name: str, path: str, batch: str) -> None:
     df.select(*columns).write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
 
+def write_lookup(df: DataFrame, key: str, path: str, files: int | None = None) -> None:
+    """Write a table for lookups of single keys.
+
+    The files are ranges of ``key``, so their statistics tell a reader which of them to open,
+    and a Parquet bloom filter rules out the row groups that lack a key inside their range.
+    Rows of one key may span files.
+    """
+    ranges = df.repartitionByRange(files, key) if files else df.repartitionByRange(key)
+    (
+        ranges.sortWithinPartitions(key).write.mode("overwrite")
+        .option(f"parquet.bloom.filter.enabled#{key}", "true").parquet(path)
+    )
+
+
 def new_jobs(requests: DataFrame, now: Column) -> DataFrame:
     """Audit rows of accepted requests; the rest of the columns stays null."""
     return requests.select(
