@@ -41,4 +41,6 @@ def lookup(
         return join_on(left, F.broadcast(right), keys, how)
     shares = right.withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
     spread_left = left.withColumn("_share", F.pmod(F.xxhash64(spread), F.lit(SPREAD)).cast("int"))
-    return join_on(spread_left, shares, [*keys, "_share"], how).drop("_share")
+    # Estimates come from compressed files and know nothing of the shares: without the hint
+    # a table found too big for a broadcast could still get one.
+    return join_on(spread_left, shares.hint("merge"), [*keys, "_share"], how).drop("_share")

@@ -180,7 +180,7 @@ def batch_outcomes(files: DataFrame, order: str = "id", jobs: DataFrame | None =
             "job_id", F.coalesce(F.col("request_type") == "pdf", F.lit(False)).alias("_single"),
             F.col("error_message").alias("_own"),
         )
-        joined = told.join(joined, ["job_id"], "left").filter(
+        joined = told.join(joined.hint("merge"), ["job_id"], "left").filter(
             F.col("n_success").isNotNull() | F.col("_own").isNotNull()
         ).na.fill(0, ["n_success", "n_failed"])
     none = F.col("n_success") == 0
@@ -221,8 +221,9 @@ def incident_texts(
     ))
     blocks = ordered_text(lines, ["job_id"], order, "_line", "_blocks", separator="\n\n")
     done = batch_outcomes(files, order, jobs).filter(F.col("outcome") != "success")
-    told = jobs.join(done.drop("status", "error_message"), ["job_id"])
-    told = told.join(blocks, ["job_id"], "left")
+    # One row per job on each side: neither is small because its files are.
+    told = jobs.join(done.drop("status", "error_message").hint("merge"), ["job_id"])
+    told = told.join(blocks.hint("merge"), ["job_id"], "left")
     head = F.concat(
         F.lit(f"\n\n{JOB_LINE}"), "job_id", F.lit(f"\n{TYPE_LINE}"), "request_type", F.lit("\n")
     )
