@@ -81,6 +81,8 @@ def content_type(name):
 
 # A numbered stem: what stands before the number, and the number; and all numbers at the end.
 _NUMBERED, _NUMBERS = r"^(?s)(.*)-([1-9][0-9]*)$", r"(?s)(-[1-9][0-9]*)+$"
+#: Literals decided together, more where one root name of a key has more.
+DECIDED_TOGETHER = 20_000
 
 
 def unique_names(df: DataFrame, key: str, pos: str, name: str, out: str = "unique_name") -> DataFrame:
@@ -94,7 +96,8 @@ def unique_names(df: DataFrame, key: str, pos: str, name: str, out: str = "uniqu
     before it, parent names first. Names end in a suffix or at least not in a dot.
 
     The literals below one name (``a-1``, ``a-2``, ``a-1-1``, ... next to ``a``) of one key are
-    decided in one task, a few bytes each; rows of a name may be any number.
+    decided in one task, a few bytes each; small such families share a task group. Rows of a
+    name may be any number.
     """
     # In a struct a null key is a value like any other.
     rows = df.select("*", F.struct(F.col(key)).alias("_key"), F.col(name).alias("_name"))
@@ -129,7 +132,7 @@ def unique_names(df: DataFrame, key: str, pos: str, name: str, out: str = "uniqu
 
 
 def _decide():
-    """Decides the literals below one root name: which keep their names, what their parents skip.
+    """Decides the literals of whole root names: which keep their names, what their parents skip.
 
     In the order of their numbers, a literal is kept while fewer repeats of its parent came
     before it than it takes to reach its number. A parent whose own first row is a repeat
@@ -138,20 +141,22 @@ def _decide():
 
     def run(table: pa.Table) -> pa.Table:
         columns = (table.column(c).to_pylist() for c in ("_depth", "_name", "_k", "_seen", "_literal"))
-        kept: dict[str, bool] = {}
-        counts: dict[str, int] = {}
+        keys = [repr(k) for k in table.column("_key").to_pylist()]
+        kept: dict[tuple[str, str], bool] = {}
+        counts: dict[tuple[str, str], int] = {}
         out = []
-        for _, parent, number, seen, literal in sorted(zip(*columns)):
-            before = max(seen - kept.get(parent, True), 0)
-            done = counts.get(parent, 0)
-            kept[literal] = before <= number - 1 - done
-            out.append((literal, kept[literal], None))
-            if kept[literal]:
-                counts[parent] = done + 1
-                out.append((parent, None, number - done))
-        names, flags, skips = zip(*out)
+        for _, parent, number, seen, literal, at in sorted(zip(*columns, range(len(keys)))):
+            key = keys[at]
+            before = max(seen - kept.get((key, parent), True), 0)
+            done = counts.get((key, parent), 0)
+            keeps = kept[key, literal] = before <= number - 1 - done
+            out.append((at, literal, keeps, None))
+            if keeps:
+                counts[key, parent] = done + 1
+                out.append((at, parent, None, number - done))
+        rows, names, flags, skips = zip(*out)
         return pa.table({
-            "_key": table.column("_key").combine_chunks().take(pa.array([0] * len(out))),
+            "_key": table.column("_key").combine_chunks().take(pa.array(rows)),
             "_name": pa.array(names, pa.string()),
             "_kept": pa.array(flags, pa.bool_()), "_skip": pa.array(skips, pa.int64()),
         })
@@ -190,4 +195,7 @@ def _decided_literals(numbered: DataFrame, pos: str) -> DataFrame:
         numbered.schema["_key"], T.StructField("_name", T.StringType()),
         T.StructField("_kept", T.BooleanType()), T.StructField("_skip", T.LongType()),
     ])
-    return cut(counted.groupBy("_key", "_root").applyInArrow(_decide(), schema))
+    # Small families share a group: one for each costs more than deciding it.
+    groups = literals.count() // DECIDED_TOGETHER + 1
+    together = F.pmod(F.xxhash64("_key", "_root"), F.lit(groups)).alias("_group")
+    return cut(counted.groupBy(together).applyInArrow(_decide(), schema))

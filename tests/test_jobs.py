@@ -358,3 +358,17 @@ def test_timing_lines_survive_the_round_trip(spark, rows):
     back = timing.parse_timings(lines)
     assert rows(timing.run_statistics(back)) == [("export", 2, 2.117284, 1.234568, 3.0)]
     assert rows(timing.stage_totals(back)) == [("export", "write", 2, 2.0)]
+
+
+def test_families_of_many_keys_are_decided_together(spark):
+    import pyarrow as pa
+
+    # Two repeats of a.pdf came before a-1.pdf under the first key, none under the second.
+    table = pa.table({
+        "_key": pa.array([{"k": 1}, {"k": 2}]), "_depth": [3, 3], "_name": ["a.pdf"] * 2, "_k": [1, 1],
+        "_seen": [3, 1], "_literal": ["a-1.pdf"] * 2,
+    })
+    got = naming._decide()(table).to_pylist()
+    assert [(r["_key"]["k"], r["_name"], r["_kept"], r["_skip"]) for r in got] == [
+        (2, "a-1.pdf", True, None), (2, "a.pdf", None, 1), (1, "a-1.pdf", False, None),
+    ]
