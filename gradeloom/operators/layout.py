@@ -98,26 +98,33 @@ def sheet_rows(records: DataFrame, layout: DataFrame, order: DataFrame) -> DataF
     rows = lookup(
         by_student.join(order, ["file_id", "student"]), columns, ["file_id"], "student"
     )
-    cells = F.transform(
+    # Looked up once per cell: a lambda works out an expression as often as it is written.
+    found = F.transform(
         "_columns",
-        lambda c: F.struct(
-            c["col_pos"].alias("col_pos"), c["mp"].alias("mp"), c["slot"].alias("slot"),
-            c["header"].alias("header"),
-            F.try_element_at("_grades", c["source_code"])["grade_num"].alias("grade_num"),
-            F.try_element_at("_grades", c["source_code"])["grade_text"].alias("grade_text"),
+        lambda c: F.struct(c.alias("c"), F.try_element_at("_grades", c["source_code"]).alias("g")),
+    )
+    cells = F.transform(
+        found,
+        lambda x: F.struct(
+            *[x["c"][n].alias(n) for n in ("col_pos", "mp", "slot", "header")],
+            *[x["g"][n].alias(n) for n in ("grade_num", "grade_text")],
         ),
     )
     return rows.withColumn("cells", cells).drop("_grades", "_columns")
 
 
 def sheet_cells(rows: DataFrame) -> DataFrame:
-    """The sheet in long form: numbers stay numbers, ``NA`` and missing grades are blank."""
+    """The sheet in long form: numbers stay numbers, ``NA`` and missing grades are blank.
+
+    An inner ``explode`` would have Spark test the size of ``cells`` first, below the
+    projections that make it, and so build the cells of each row a second time.
+    """
     ids = [c for c in rows.columns if c != "cells"]
     num, text = F.col("_c.grade_num"), F.col("_c.grade_text")
     return rows.select(
         *[blank_literal_na(F.col(c)).alias(c) if c == "student" else c for c in ids],
-        F.explode("cells").alias("_c"),
-    ).select(
+        F.explode_outer("cells").alias("_c"),
+    ).filter("_c is not null").select(
         *ids, "_c.col_pos", "_c.mp", "_c.slot", "_c.header", num.alias("grade_num"),
         F.when(num.isNull(), G.sheet_text(num, text)).alias("grade_text"),
         G.sheet_text(num, text).alias("value"),

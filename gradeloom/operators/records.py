@@ -193,17 +193,13 @@ def split_duplicates(records: DataFrame, keys: list[str]) -> tuple[DataFrame, Da
 def files_without_duplicates(records: DataFrame) -> DataFrame:
     """Records of the files in which every ``(student, code)`` is unique.
 
-    The records are grouped once and written, since every step of a sheet reads them.
+    The records are written once, since every step of a sheet reads them; only their keys
+    are grouped, so that no row is sorted.
     """
     key = ["file_id", "student", "code"]
-    rest = [c for c in records.columns if c not in key]
-    grouped = cut(records.groupBy(*key).agg(
-        F.count(F.lit(1)).alias("_copies"), F.first(F.struct(*rest)).alias("_row")
-    ))
-    bad = grouped.filter(F.col("_copies") > 1).select("file_id").distinct()
-    return lookup(grouped, bad, ["file_id"], "student", "left_anti", written=True).select(
-        *key, "_row.*"
-    )
+    written = cut(records.select(*key, *[c for c in records.columns if c not in key]))
+    bad = split_duplicates(written.select(*key), key)[1].select("file_id").distinct()
+    return lookup(written, bad, ["file_id"], "student", "left_anti")
 
 
 def wide_grades(records: DataFrame, codes: list[str], ids: list[str]) -> DataFrame:

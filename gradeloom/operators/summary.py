@@ -41,11 +41,15 @@ def final_summary_of_rows(rows: DataFrame) -> DataFrame:
 
     A row holds every column of its sheet, so its final columns are picked in place.
     """
-    def is_final(cell: Column) -> Column:
-        has_centre = F.exists("cells", lambda c: (c["slot"] == CENTRE) & (c["mp"] == cell["mp"]))
-        return (cell["slot"] == CENTRE) | ((cell["slot"] == MODULE) & ~has_centre)
-
-    finals = sheet_cells(rows.withColumn("cells", F.filter("cells", is_final)))
+    placed = F.transform(
+        F.filter("cells", lambda c: c["slot"] == CENTRE), lambda c: c["mp"]
+    )
+    ids = [c for c in rows.columns if c != "cells"]
+    listed = sheet_cells(rows.select(*ids, F.filter(
+        "cells", lambda c: c["slot"].isin(CENTRE, MODULE)
+    ).alias("cells")).withColumn("_placed", placed))
+    has_centre = F.array_contains("_placed", F.col("mp"))
+    finals = listed.filter((F.col("slot") == CENTRE) | ((F.col("slot") == MODULE) & ~has_centre))
     return _checked(finals.withColumn("type_a", F.col("slot") == CENTRE))
 
 

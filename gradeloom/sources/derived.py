@@ -37,6 +37,10 @@ def _graded(spark: SparkSession, folder: str) -> DataFrame:
 def grades(spark: SparkSession, folder: str) -> DataFrame:
     """Known grades: ``(file_id, student_id, student, kind, code, grade_raw)``."""
     graded = _graded(spark, folder)
+    # Students meet the numbers before texts are made of them, so narrow rows are sorted.
+    outcomes = _with_student(spark, folder, graded)
+    sums = graded.groupBy("o_custkey", "mp").agg(F.sum("q").alias("s"))
+    modules = _with_student(spark, folder, sums)
     module = F.concat(
         F.lpad((F.lit(647) + F.col("mp")).cast("string"), 4, "0"),
         F.lit("_CF0"),
@@ -44,9 +48,8 @@ def grades(spark: SparkSession, folder: str) -> DataFrame:
     )
     kind = F.when((F.col("ra") == 7) & (F.col("mp") % 2 == 0), "EM").otherwise("RA")
     low = F.when(F.col("ra") == 1, F.col("q") % 10 - 1).otherwise(F.col("q") % 10 + 1)
-    outcomes = graded.select(
-        "o_custkey",
-        kind.alias("kind"),
+    outcomes = outcomes.select(
+        "file_id", "student_id", "student", kind.alias("kind"),
         F.concat(module, F.lit("_0"), F.col("ra").cast("string"), kind).alias("code"),
         F.when(F.col("q") % 10 == 0, "PDT")
         .when(F.col("q") % 10 == 1, "EP")
@@ -56,23 +59,15 @@ def grades(spark: SparkSession, folder: str) -> DataFrame:
         .alias("grade_raw"),
     )
     mark = F.col("s") % 13
-    modules = (
-        graded.groupBy("o_custkey", "mp")
-        .agg(F.sum("q").alias("s"))
-        .select(
-            "o_custkey",
-            F.lit("MP").alias("kind"),
-            module.alias("code"),
-            F.when(mark == 0, "PQ")
-            .when(mark == 1, "PDT")
-            .when(mark == 2, "")
-            .otherwise((mark - 2).cast("string"))
-            .alias("grade_raw"),
-        )
-    )
-    return _with_student(spark, folder, outcomes.unionByName(modules)).select(
-        "file_id", "student_id", "student", "kind", "code", "grade_raw"
+    modules = modules.select(
+        "file_id", "student_id", "student", F.lit("MP").alias("kind"), module.alias("code"),
+        F.when(mark == 0, "PQ")
+        .when(mark == 1, "PDT")
+        .when(mark == 2, "")
+        .otherwise((mark - 2).cast("string"))
+        .alias("grade_raw"),
     )
+    return outcomes.unionByName(modules)
 
 
 def _with_student(spark: SparkSession, folder: str, rows: DataFrame) -> DataFrame:

@@ -170,3 +170,16 @@ def test_literal_na_is_blank_in_the_sheet_but_pending(spark, rows):
     assert (cell.student, cell.value) == ("", "")
     assert pending.pending_outcomes(records).count() == 1
     assert rec.student_order(records).first().student == "NA"
+
+
+def test_cells_of_a_row_are_built_once(spark):
+    rows = spark.range(2).select(
+        F.lit(1).alias("file_id"), F.col("id").alias("row_no"), F.lit("Ann").alias("student"),
+        F.transform(F.sequence(F.lit(1), F.col("id") + 1), lambda n: F.struct(
+            n.cast("int").alias("col_pos"), F.lit("0647").alias("mp"), F.lit(layout.MODULE).alias("slot"),
+            F.lit("0647").alias("header"), n.cast("double").alias("grade_num"), F.lit(None).cast("string").alias("grade_text"),
+        )).alias("cells"),
+    )
+    cells = layout.sheet_cells(rows)
+    assert cells._jdf.queryExecution().optimizedPlan().toString().count("sequence(") == 1
+    assert sorted((r.row_no, r.col_pos) for r in cells.collect()) == [(0, 1), (1, 1), (1, 2)]
