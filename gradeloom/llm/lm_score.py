@@ -10,8 +10,9 @@ scored by a model that has seen it.
     p(w)     = (c(w) + 1) / (N + V)                 with V words, the unknown one included
     p(w | v) = (c(v, w) + M * p(w)) / (c(v) + M)    with c(v) = times v has a successor
 
-All documents are read once and kept as chunks (distinct words by hash and the number of
-the word at every position). Word counts, and then bigram counts, go from the chunks to
+All documents are read once, where they are, and kept as chunks (distinct words by hash and
+the number of the word at every position). Only their ids meet the labels; each chunk gets
+the places of its target documents. Word counts, and then bigram counts, go from the chunks to
 hash buckets, one packed row for each pair of chunk and bucket, where the counts of the
 whole corpus meet. The word buckets number the words of the vocabulary and send each chunk
 number and corpus counts of the words it asked for; the bigram buckets do the same for its
@@ -44,54 +45,57 @@ M = 50.0
 LEAST_BUCKETS = 64
 #: Positions of a row of packed counts: target and background.
 TARGET, BACKGROUND = 0, 1
+#: In place of a bucket: a chunk itself, and the places of its target documents.
+CHUNK, FLAGS = -1, -2
 
 
 def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents ``doc_id, text, good`` as chunks."""
+    """Documents ``doc_id, text`` as chunks."""
     chunk = TaskContext.get().partitionId() << 32
 
-    def close(numbers: Numbered, codes: array, counts: list, good: list, ids: list) -> pa.RecordBatch:
+    def close(numbers: Numbered, codes: array, counts: list, ids: list) -> pa.RecordBatch:
         raw = np.frombuffer(codes, dtype="<u4")
         times = np.bincount(raw, minlength=len(numbers))
         order = np.argsort(-times, kind="stable")
         rank = np.empty(len(order), dtype=np.int64)
         rank[order] = np.arange(len(order))
         hashes = np.fromiter(map(xxhash.xxh64_intdigest, numbers), dtype="<u8", count=len(numbers))
-        data = squeeze(
-            np.array(counts, dtype="<i8"), np.array(good, dtype="u1"), hashes[order], *code_streams(rank[raw])
-        )
+        data = squeeze(np.array(counts, dtype="<i8"), hashes[order], *code_streams(rank[raw]))
         doc_ids = pa.ListArray.from_arrays([0, len(ids)], pa.concat_arrays(ids))
         return pa.RecordBatch.from_arrays(
             [pa.array([chunk], pa.int64()), pa.array([data], pa.binary()), doc_ids],
             ["chunk", "data", "doc_ids"],
         )
 
-    numbers, codes, counts, good, ids, chars = Numbered(), array("I"), [], [], [], 0
+    numbers, codes, counts, ids, chars = Numbered(), array("I"), [], [], 0
     for batch in batches:
-        for at, (text, flag) in enumerate(zip(batch.column(1), batch.column(2).to_pylist())):
+        for at, text in enumerate(batch.column(1)):
             text = text.as_py() or ""
             before = len(codes)
             codes.extend(map(numbers.__getitem__, text.lower().encode("utf-8", "surrogatepass").split()))
             counts.append(len(codes) - before)
-            good.append(bool(flag))
             ids.append(batch.column(0).slice(at, 1))
             chars += len(text)
             if chars >= CHUNK_CHARS:
-                yield close(numbers, codes, counts, good, ids)
+                yield close(numbers, codes, counts, ids)
                 chunk += 1
-                numbers, codes, counts, good, ids, chars = Numbered(), array("I"), [], [], [], 0
+                numbers, codes, counts, ids, chars = Numbered(), array("I"), [], [], 0
     if counts:
-        yield close(numbers, codes, counts, good, ids)
+        yield close(numbers, codes, counts, ids)
+
 
+CHUNK_TYPES = ("<i8", "<u8", *CODE_TYPES)
 
-CHUNK_TYPES = ("<i8", "u1", "<u8", *CODE_TYPES)
 
+def _opened(data: bytes, places: list[int] | None):
+    """Document lengths, flags, word hashes, words by position, and the document of each position.
 
-def _opened(data: bytes):
-    """Document lengths, flags, word hashes, words by position, and the document of each position."""
-    counts, good, hashes, *streams = expand(data, *CHUNK_TYPES)
-    codes = codes_of(*streams)
-    return counts, good.astype(bool), hashes, codes, np.repeat(np.arange(len(counts)), counts)
+    ``places`` are those of the target documents in the chunk.
+    """
+    counts, hashes, *streams = expand(data, *CHUNK_TYPES)
+    codes, good = codes_of(*streams), np.zeros(len(counts), dtype=bool)
+    good[places or []] = True
+    return counts, good, hashes, codes, np.repeat(np.arange(len(counts)), counts)
 
 
 def _per_bucket(chunk: int, bucket: np.ndarray, buckets: int, *columns: np.ndarray):
@@ -123,23 +127,26 @@ def _joined(planes: np.ndarray, kind: str) -> np.ndarray:
 
 
 def _own_words(counts: np.ndarray, good: np.ndarray, codes: np.ndarray, doc: np.ndarray, n: int) -> list[np.ndarray]:
-    """A chunk's occurrences and occurrences with a successor of its ``n`` words, in both corpora."""
+    """A chunk's occurrences and occurrences without a successor of its ``n`` words, in both corpora.
+
+    The latter are nearly all 0, so they take hardly any bytes.
+    """
     last = np.cumsum(counts)[counts > 0] - 1
     columns = []
     for corpus in (good, ~good):
         times = np.bincount(codes[corpus[doc]], minlength=n)
         ends = np.bincount(codes[last[corpus[counts > 0]]], minlength=n)
-        columns += [times.astype("<u4"), (times - ends).astype("<u4")]
+        columns += [times.astype("<u4"), ends.astype("<u4")]
     return columns
 
 
 def _word_counts(buckets: int):
-    """Per chunk and bucket: word hash, occurrences and occurrences with a successor, in both corpora."""
+    """Per chunk and bucket: word hash, occurrences and occurrences without a successor, in both corpora."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-                counts, good, hashes, codes, doc = _opened(data.as_py())
+            for chunk, data, places in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                counts, good, hashes, codes, doc = _opened(data.as_py(), places.as_py())
                 columns = _own_words(counts, good, codes, doc, len(hashes))
                 yield _batch(list(_per_bucket(chunk, hashes % np.uint64(buckets), buckets, hashes, *columns)))
 
@@ -171,6 +178,11 @@ def _top_words(limit: int):
     return run
 
 
+def _with_next(sums: list[int]) -> list[int]:
+    """Occurrences and occurrences with a successor, from :func:`_own_words`' sums."""
+    return [sums[0], sums[0] - sums[1], sums[2], sums[2] - sums[3]]
+
+
 def _numbers(buckets: int, least: int, last: int):
     """Per chunk, in the order it asked: each word's number and its counts in all other chunks.
 
@@ -194,7 +206,8 @@ def _numbers(buckets: int, least: int, last: int):
                 _planes(np.where(ids[at] > 0, s[at] - own, 0).astype("<i8")) for s, own in zip(sums, owns)
             ]) for at, owns in rows
         ]
-        totals = [len(known), *[int(s[known].sum()) for s in sums], *[int(s.sum()) for s in sums]]
+        inside, totals = ([int(s[some].sum()) for s in sums] for some in (known, slice(None)))
+        totals = [len(known), *_with_next(inside), *_with_next(totals)]
         return pa.table({
             "chunk": pa.array([*table.column("chunk").to_pylist(), -1 - bucket], pa.int64()),
             "bucket": pa.array([bucket] * (len(rows) + 1), pa.int32()),
@@ -212,8 +225,10 @@ def _numbered(buckets: int):
         places, data = table.column("bucket").to_pylist(), table.column("data")
         if table.column("chunk")[0].as_py() < 0:
             return table.select(["chunk", "data", "doc_ids", "sums"])
-        at = next(i for i, p in enumerate(places) if p < 0)
-        counts, good, hashes, codes, doc = _opened(data[at].as_py())
+        at = places.index(CHUNK)
+        flags = [i for i, p in enumerate(places) if p == FLAGS]
+        good = table.column("sums")[flags[0]].as_py() if flags else None
+        counts, good, hashes, codes, doc = _opened(data[at].as_py(), good)
         ids, sums = np.zeros(len(hashes), dtype="<u4"), np.zeros((4, len(hashes)), dtype="<i8")
         bucket = hashes % np.uint64(buckets)
         for i, p in enumerate(places):
@@ -224,7 +239,6 @@ def _numbered(buckets: int):
                 sums[:, words] = [_joined(o, "<i8") for o in others]
         sums += np.array(_own_words(counts, good, codes, doc, len(hashes)), dtype="<i8").reshape(4, -1)
         known = ids > 0
-        sums[1::2] = sums[::2] - sums[1::2]
         packed = squeeze(
             counts, good.astype("u1"), _planes(ids[known]), *[_planes(s[known]) for s in sums],
             *code_streams((np.cumsum(known) * known)[codes]),
@@ -380,16 +394,19 @@ def score_documents(
     n = partitions(spark)
     buckets = buckets or max(LEAST_BUCKETS, n)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    good = labels.groupBy(F.col("doc_id").alias("_id")).agg(F.max(F.col("quality") == 1).alias("good"))
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    chunks = cut(rows.mapInArrow(_chunked, f"chunk long, data binary, doc_ids array<{kind}>"))
     # Labels grow with the documents, so they are never broadcast: one plan at every size.
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(
-        good.hint("merge"), F.col("doc_id") == F.col("_id"), "left"
+    # The texts stay where they are; only ids move.
+    good = labels.filter("quality = 1").select(F.col("doc_id").alias("_id")).distinct()
+    flags = cut(
+        chunks.select("chunk", F.posexplode("doc_ids").alias("place", "doc_id"))
+        .join(good.hint("merge"), F.col("doc_id") == F.col("_id"))
+        .groupBy(F.col("chunk").alias("_chunk")).agg(F.collect_list(F.col("place").cast("long")).alias("places"))
     )
-    chunks = cut(rows.select("doc_id", "text", F.coalesce("good", F.lit(False)).alias("good")).mapInArrow(
-        _chunked, f"chunk long, data binary, doc_ids array<{kind}>"
-    ))
     packed = "chunk long, bucket int, data binary"
-    asked = chunks.select("chunk", "data").mapInArrow(_word_counts(buckets), packed).groupBy("bucket")
+    flagged = chunks.join(flags.hint("shuffle_hash"), F.col("chunk") == F.col("_chunk"), "left")
+    asked = flagged.select("chunk", "data", "places").mapInArrow(_word_counts(buckets), packed).groupBy("bucket")
     least, last = LEAST_SEEN, LONGS.max
     if vocabulary is not None:
         top = asked.applyInArrow(_top_words(vocabulary), "word long, n long")
@@ -397,12 +414,17 @@ def score_documents(
         end = top.orderBy("n", F.col("word").desc()).first()
         least, last = (end["n"], end["word"]) if end else (LONGS.max, LONGS.min)
     answers = asked.applyInArrow(_numbers(buckets, least, last), f"{packed}, sums array<long>")
+    no_ids = F.lit(None).cast(f"array<{kind}>").alias("doc_ids")
     every = chunks.select(
-        "chunk", F.lit(-1).alias("bucket"), "data", "doc_ids", F.lit(None).cast("array<long>").alias("sums")
-    ).unionByName(answers.withColumn("doc_ids", F.lit(None).cast(f"array<{kind}>")))
+        "chunk", F.lit(CHUNK).alias("bucket"), "data", "doc_ids", F.lit(None).cast("array<long>").alias("sums")
+    ).unionByName(flags.select(
+        F.col("_chunk").alias("chunk"), F.lit(FLAGS).alias("bucket"), F.lit(None).cast("binary").alias("data"),
+        no_ids, F.col("places").alias("sums"),
+    )).unionByName(answers.select("*", no_ids))
     numbered = cut(every.groupBy("chunk").applyInArrow(
         _numbered(buckets), f"chunk long, data binary, doc_ids array<{kind}>, sums array<long>"
     ))
+    # In every pair of totals the second one counts words with a successor.
     known, *totals = numbered.filter("chunk < 0").agg(
         *[F.coalesce(F.sum(F.col("sums")[i]), F.lit(0)) for i in range(9)]
     ).first()

@@ -76,3 +76,15 @@ def test_the_vocabulary_grows_with_the_documents(spark, monkeypatch):
         assert got[d].n_tokens == n == 501
         assert math.isclose(got[d].loss_target, target, rel_tol=1e-9)
         assert math.isclose(got[d].loss_background, background, rel_tol=1e-9)
+
+
+def test_texts_stay_where_they_are(spark, monkeypatch):
+    plans, cut = [], lm.cut
+    monkeypatch.setattr(
+        lm, "cut", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), cut(df))[1]
+    )
+    docs = spark.createDataFrame([(i, f"a{i % 3} b") for i in range(30)], "doc_id int, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id int, quality int")
+    assert lm.score_documents(docs, labels).count() == 30
+    assert "Exchange" not in plans[0]  # the chunks
+    assert all("text" not in p for p in plans[1:])
