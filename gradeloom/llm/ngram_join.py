@@ -19,6 +19,9 @@ block is searched in parts of bounded size; the parts' components are joined thr
 set each, and only parts that then still are in different components are searched against
 each other. A pair that is connected already is not verified again: the result is which
 documents are connected, and no link that would connect two components is left out.
+
+What moves is small: points first, and then the words, compressed, of the sets that may link
+with another by their points. Shingles are hashed again where they are compared.
 """
 
 from __future__ import annotations
@@ -29,10 +32,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.joins import lookup
 from ..session import cut
 from .common import WORD, partitions, row_key
 from .graph import components
@@ -46,6 +49,8 @@ CELL_BITS = 22
 PART_SETS, PART_SHINGLES = 128, 2_000_000
 #: Size of the bitmap of wanted documents: 8 MB.
 BITS = 1 << 26
+#: Bits of hash of a prefix shingle besides its bucket.
+SKETCH_MASK = (1 << 40) - 1
 #: Words a task remembers the hashes of.
 REMEMBERED = 200_000
 #: Points of a leaf and children of an inner node.
@@ -98,11 +103,11 @@ def _document_counts(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def close() -> pa.RecordBatch:
             times = np.bincount(np.frombuffer(codes, dtype="<u4"), minlength=len(numbers))
-            totals = np.bincount(_cells(_hashes(numbers)), weights=times, minlength=1 << CELL_BITS)
-            cells = np.flatnonzero(totals)
+            cells, at = np.unique(_cells(_hashes(numbers)), return_inverse=True)
+            totals = np.bincount(at, weights=times).astype("<u4")
             edges = np.searchsorted(cells, _edges(buckets)).tolist()
             data = [
-                squeeze(np.diff(cells[a:b], prepend=0).astype("<u4"), totals[cells[a:b]].astype("<u4"))
+                squeeze(np.diff(cells[a:b], prepend=0).astype("<u4"), totals[a:b])
                 for a, b in zip(edges[:-1], edges[1:])
             ]
             return pa.RecordBatch.from_arrays(
@@ -186,11 +191,10 @@ class _Sets:
         self.numbers = _Listed()
         self.hashes, self.times = np.zeros(1 << 16, dtype=np.uint64), np.zeros(1 << 16, dtype=np.int64)
 
-    def of(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Sorted distinct shingle hashes and, with ranks, the rank of their rarest word."""
         if len(self.numbers) > REMEMBERED:
             self._forget()
-        words = _word_bytes(text or "")
         codes = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
         if new := self.numbers.new:
             known = len(self.numbers) - len(new)
@@ -217,6 +221,22 @@ def _set_id(items: np.ndarray) -> int:
     return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(items.tobytes()))))
 
 
+def _entries(h: np.ndarray, owner: np.ndarray, size: np.ndarray) -> bytes:
+    """Prefix shingles in order of their sets: each set once, how many shingles, and their hashes."""
+    first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+    times = np.diff(np.r_[first, len(owner)])
+    return squeeze(
+        (h & np.uint64(0xFFFFFFFF)).astype("<u4"), (h >> np.uint64(32)).astype("u1"),
+        owner[first], size[first], times.astype("<u4"),
+    )
+
+
+def _expanded(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    low, high, owner, size, times = expand(data, "<u4", "u1", "<i8", "<u4", "<u4")
+    h = low.astype(np.uint64) | (high.astype(np.uint64) << np.uint64(32))
+    return h, np.repeat(owner, times), np.repeat(size, times)
+
+
 SKETCHED = "doc_id {kind}, text_key long, n long, set_id long, bucket int, data binary"
 
 
@@ -233,14 +253,16 @@ def _sketched(buckets: int, shared, kind: pa.DataType | None = None):
             owner = np.repeat(np.array(owners, dtype="<i8"), lengths)
             size = np.repeat(np.array(sizes, dtype="<u4"), lengths)
             bucket = (h >> np.uint64(40)) % np.uint64(buckets)
-            order = np.argsort(bucket, kind="stable")
+            # Sorted, for values that compress; 40 bits of hash besides the bucket only make blocks.
+            h = h & np.uint64(SKETCH_MASK)
+            order = np.lexsort((h, owner, bucket))
             edges = np.searchsorted(bucket[order], np.arange(buckets + 1)).tolist()
             parts = [(b, order[edges[b] : edges[b + 1]]) for b in range(buckets) if edges[b] < edges[b + 1]]
             rows = len(parts)
             none = pa.nulls(rows, pa.int64())
             return pa.RecordBatch.from_arrays(
                 [pa.nulls(rows, kind), none, none, none, pa.array([b for b, _ in parts], pa.int32()),
-                 pa.array([squeeze(h[p], owner[p], size[p]) for _, p in parts], pa.binary())],
+                 pa.array([_entries(h[p], owner[p], size[p]) for _, p in parts], pa.binary())],
                 ["doc_id", "text_key", "n", "set_id", "bucket", "data"],
             )
 
@@ -248,14 +270,16 @@ def _sketched(buckets: int, shared, kind: pa.DataType | None = None):
             ns, ids, points = [], [], []
             for text in batch.column(1):
                 text = text.as_py() or ""
-                items, rarest = sets.of(text)
+                items, rarest = sets.of(_word_bytes(text))
                 ns.append(len(items))
                 ids.append(_set_id(items) if len(items) else None)
                 points.append(squeeze(_count_vector(items).astype("<u4")) if len(items) else None)
                 if len(items) and ids[-1] not in seen:
-                    # Copies inside a task are left out; the set is there already.
+                    # Copies inside a task are left out; the set is there already. So is a shingle
+                    # with a word of one document only: no other set has it.
                     seen.add(ids[-1])
-                    hashes.append(items[np.lexsort((items, rarest))[: prefix_length(len(items))]])
+                    prefix = np.lexsort((items, rarest))[: prefix_length(len(items))]
+                    hashes.append(items[prefix[rarest[prefix] > 0]])
                     owners.append(ids[-1])
                     sizes.append(len(items))
                     chars += len(text)
@@ -277,7 +301,7 @@ def _sketched(buckets: int, shared, kind: pa.DataType | None = None):
 
 def _blocks(table: pa.Table) -> pa.Table:
     """``block, set_id, n``: sets of one bucket that share a prefix shingle, and sizes that allow a link."""
-    parts = [expand(d.as_py(), "<u8", "<i8", "<u4") for d in table.column("data")]
+    parts = [_expanded(d.as_py()) for d in table.column("data")]
     h, owner, size = (np.concatenate([p[i] for p in parts]) for i in range(3))
     size = size.astype(np.int64)
     order = np.lexsort((owner, size, h))
@@ -376,41 +400,52 @@ def linked(sets: list[np.ndarray], groups: list[int], sides: list[int]) -> list[
     return out
 
 
+ASKED = "block long, part int, other int, side int, set_id long, root long"
+
+
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows ``block, set_id, n, parts, part, point`` in order of block: those that may link with another.
+    """Rows ``block, part, other, side, set_id, root, n, point`` in order of the first three: those
+    that may link with a set of another root and, with sides, of the other side.
 
-    The trees of whole blocks, on points alone: most sets that only share a passage go here,
-    before any set is moved.
+    The trees on points alone: most sets that only share a passage go here, before any set is
+    moved.
     """
-    held: list[tuple] = []
+    key, held = None, []
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
 
     def kept() -> pa.RecordBatch:
-        sizes = np.array([r[2] for r in held], dtype=np.int64)
-        tree = RTree(np.array([expand(r[5], "<u4")[0] for r in held]).astype(np.int64), sizes)
+        sides, roots = (np.array([r[i] for r in held], dtype=np.int64) for i in (3, 5))
+        sizes = np.array([r[6] for r in held], dtype=np.int64)
         found = set()
-        for i in range(len(held)):
-            if len(near := tree.search(tree.points[i], int(sizes[i]))) > 1:
-                found.update(near.tolist())
-        rows = [held[i] for i in sorted(found)]
+        if (roots != roots[0]).any():
+            tree = RTree(np.array([expand(r[7], "<u4")[0] for r in held]).astype(np.int64), sizes)
+            for i in range(len(held)):
+                near = tree.search(tree.points[i], int(sizes[i]))
+                near = near[(roots[near] != roots[i]) & ((sides[near] != sides[i]) | (sides[i] < 0))]
+                if len(near):
+                    found.add(i)
+                    found.update(near.tolist())
+        rows = [held[i][:6] for i in sorted(found)]
         columns = list(zip(*rows)) if rows else [()] * 6
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
         return pa.RecordBatch.from_arrays(
-            [pa.array(c, k) for c, k in zip(columns, kinds)], ["block", "set_id", "n", "parts", "part"]
+            [pa.array(c, k) for c, k in zip(columns, kinds)], ["block", "part", "other", "side", "set_id", "root"]
         )
 
     for batch in batches:
-        for row in zip(*(batch.column(i).to_pylist() for i in range(6))):
-            if held and row[0] != held[0][0]:
-                yield kept()
-                held = []
+        for row in zip(*(batch.column(i).to_pylist() for i in range(8))):
+            if row[:3] != key:
+                if len(held) > 1:
+                    yield kept()
+                key, held = row[:3], []
             held.append(row)
-    if held:
+    if len(held) > 1:
         yield kept()
 
 
 def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows ``block, part, other, side, set_id, root, items`` in order of the first three: links."""
+    """Rows ``block, part, other, side, set_id, root, words`` in order of the first three: links."""
     key, ids, roots, sides, sets = None, [], [], [], []
+    hashed, unpack = _Sets(), zstandard.ZstdDecompressor().decompress
 
     def links() -> pa.RecordBatch:
         pairs = linked(sets, roots, sides) if len(ids) > 1 else []
@@ -421,7 +456,7 @@ def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         columns = [batch.column(i).to_pylist() for i in range(7)]
-        for block, part, other, side, set_id, root, items in zip(*columns):
+        for block, part, other, side, set_id, root, words in zip(*columns):
             if (block, part, other) != key:
                 if len(ids) > 1:
                     yield links()
@@ -431,21 +466,56 @@ def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids.append(set_id)
             roots.append(root)
             sides.append(side)
-            sets.append(np.frombuffer(items, dtype="<u8"))
+            sets.append(hashed.of(unpack(words).split())[0])
     if len(ids) > 1:
         yield links()
 
 
-def _links(rows: DataFrame, sets: DataFrame, few: bool = False) -> DataFrame:
-    """Links inside each ``(block, part, other)`` of ``rows``; ``few`` rows may not move the sets."""
-    joined = lookup(sets, rows, ["set_id"], "set_id") if few else rows.join(sets, "set_id")
-    return (
-        joined
-        .select("block", "part", "other", "side", "set_id", "root", "items")
-        .repartition(partitions(rows.sparkSession), "block", "part", "other")
-        .sortWithinPartitions("block", "part", "other", "set_id")
-        .mapInArrow(_searched, "a long, b long")
+def _grouped(rows: DataFrame) -> DataFrame:
+    order = ["block", "part", "other"]
+    return rows.repartition(partitions(rows.sparkSession), *order).sortWithinPartitions(*order, "set_id")
+
+
+def _asked(rows: DataFrame, points: DataFrame) -> DataFrame:
+    """Those of ``rows`` (as in :data:`ASKED`) that may link by their points; written."""
+    joined = rows.join(points, F.col("set_id") == F.col("_set")).select(
+        "block", "part", "other", "side", "set_id", "root", "size", "point"
     )
+    return cut(_grouped(joined).mapInArrow(_near, ASKED))
+
+
+def _bitmap(keys: DataFrame, bit: Column) -> np.ndarray:
+    """A bitmap, of fixed size, of the ``bit`` of all rows."""
+    maps = keys.select((bit + 1).alias("bit")).groupBy(F.call_function("bitmap_bucket_number", "bit").alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")
+    ).collect()  # at most BITS / 32,768 rows of 4 kB
+    bitmap = np.zeros(BITS // 8, dtype=np.uint8)
+    for r in maps:
+        at = (r["bucket"] - 1) * 4096
+        bitmap[at : at + len(r["bits"])] = np.frombuffer(bytes(r["bits"]), dtype=np.uint8)
+    return bitmap
+
+
+def _marked(bits: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """Which of the ``bits`` are set."""
+    return (marks[bits >> 3] >> (bits & 7).astype("u1") & 1).astype(bool)
+
+
+def _links(rows: DataFrame, sets: DataFrame, few: bool = False) -> DataFrame:
+    """Links inside each ``(block, part, other)`` of ``rows``; ``few`` rows do not move all sets."""
+    if few:
+        # A set that passes without being asked for meets no row.
+        bit = F.pmod(F.xxhash64("set_id"), F.lit(BITS))
+        listed = rows.sparkSession.sparkContext.broadcast(_bitmap(rows, bit))
+
+        def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                wanted = pa.array(_marked(batch.column(2).to_numpy(), listed.value))
+                yield batch.select(["set_id", "words"]).filter(wanted)
+
+        sets = sets.withColumn("bit", bit).mapInArrow(asked, "set_id long, words binary")
+    joined = rows.join(sets, "set_id").select("block", "part", "other", "side", "set_id", "root", "words")
+    return cut(_grouped(joined).mapInArrow(_searched, "a long, b long"))
 
 
 def _in_parts(members: DataFrame) -> DataFrame:
@@ -482,54 +552,40 @@ def _labelled(docs: DataFrame, buckets: int | None) -> DataFrame:
         .groupBy("block", "set_id").agg(F.max("n").alias("n"))
     )
     sized = cut(_in_parts(members))
-    points = documents.filter("set_id is not null").groupBy(F.col("set_id").alias("_set")).agg(
-        F.min(F.struct("text_key", "doc_id")).alias("one"), F.any_value("data").alias("point")
-    )
-    # Blocks of one part are searched on points first; the others are searched part by part.
-    order = ["block", "set_id", "n", "parts", "part"]
-    near = (
-        sized.filter("parts = 1").join(points, F.col("set_id") == F.col("_set")).select(*order, "point")
-        .repartition(partitions(spark), "block").sortWithinPartitions("block", "set_id")
-        .mapInArrow(_near, "block long, set_id long, n long, parts int, part int")
-    )
-    placed = cut(near.unionByName(sized.filter("parts > 1").select(*order)))
+    points = cut(documents.filter("set_id is not null").groupBy(F.col("set_id").alias("_set")).agg(
+        F.min(F.struct("text_key", "doc_id")).alias("one"), F.any_value("n").alias("size"), F.any_value("data").alias("point")
+    ))
+    whole = [F.lit(-1).alias("other"), F.lit(-1).alias("side"), F.col("set_id").alias("root")]
+    asked = _asked(sized.select("block", "part", "set_id", *whole), points)
+    large = sized.filter("parts > 1")
     # The sets themselves, of one document each, for those that are left. A bitmap of those
     # documents' hashes, of fixed size, keeps the texts where they are: a document that
     # passes without being wanted only adds a set that nothing asks for.
-    wanted = placed.select("set_id").distinct()
+    wanted = asked.select("set_id").union(large.select("set_id")).distinct()
     one = points.join(wanted, F.col("set_id") == F.col("_set"), "left_semi").select("one.*")
-    bit = F.pmod(row_key("doc_id", "text_key"), F.lit(BITS)) + 1
-    maps = one.select(bit.alias("bit")).groupBy(F.call_function("bitmap_bucket_number", "bit").alias("bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")
-    ).collect()  # at most BITS / 32,768 rows of 4 kB
-    bitmap = np.zeros(BITS // 8, dtype=np.uint8)
-    for r in maps:
-        at = (r["bucket"] - 1) * 4096
-        bitmap[at : at + len(r["bits"])] = np.frombuffer(bytes(r["bits"]), dtype=np.uint8)
-    listed = spark.sparkContext.broadcast(bitmap)
+    bit = F.pmod(row_key("doc_id", "text_key"), F.lit(BITS))
+    listed = spark.sparkContext.broadcast(_bitmap(one, bit))
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets, marks = _Sets(), listed.value
+        sets, pack = _Sets(), zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
-            bits = batch.column(1).to_numpy() - 1
-            at = np.flatnonzero(marks[bits >> 3] >> (bits & 7).astype("u1") & 1).tolist()
-            items = [sets.of(batch.column(0)[i].as_py())[0] for i in at]
-            items = [i for i in items if len(i)]
+            at = np.flatnonzero(_marked(batch.column(1).to_numpy(), listed.value)).tolist()
+            words = [w for w in (_word_bytes(batch.column(0)[i].as_py() or "") for i in at) if w]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([_set_id(i) for i in items], pa.int64()), pa.array([i.tobytes() for i in items], pa.binary())],
-                ["set_id", "items"],
+                [pa.array([_set_id(sets.of(w)[0]) for w in words], pa.int64()),
+                 pa.array([pack(b" ".join(w)) for w in words], pa.binary())],
+                ["set_id", "words"],
             )
 
-    sets = cut(rows.select("text", bit.alias("bit")).mapInArrow(sets_of, "set_id long, items binary"))
-    whole = [F.lit(-1).alias("other"), F.lit(-1).alias("side"), F.col("set_id").alias("root")]
-    links = cut(_links(placed.select("block", "part", "set_id", *whole), sets))
+    sets = cut(rows.select("text", bit.alias("bit")).mapInArrow(sets_of, "set_id long, words binary"))
+    links = _links(asked, sets)
     roots = components(links)
-    large = placed.filter("parts > 1")
     if large.limit(1).count():
         # One set of each component of a block, and then parts that still are apart.
         some = _with_root(large, roots).groupBy("block", "root").agg(F.min(F.struct("set_id", "n")).alias("m"))
         some = _in_parts(some.select("block", "m.set_id", "m.n"))
-        links = links.unionByName(cut(_links(some.select("block", "part", "set_id", *whole), sets, few=True)))
+        some = _asked(some.select("block", "part", "set_id", *whole), points)
+        links = links.unionByName(_links(some, sets, few=True))
         roots = components(links)
         apart = cut(_with_root(large, roots))
         several = apart.groupBy(F.col("block").alias("_block")).agg(
@@ -541,7 +597,7 @@ def _labelled(docs: DataFrame, buckets: int | None) -> DataFrame:
             .select("block", F.least("part", "with").alias("_low"), F.greatest("part", "with").alias("other"),
                     F.col("part").alias("side"), "set_id", "root").withColumnRenamed("_low", "part")
         )
-        links = links.unionByName(cut(_links(pairs, sets, few=True)))
+        links = links.unionByName(_links(_asked(pairs, points), sets, few=True))
         roots = components(links)
 
     return _with_root(documents.drop("data"), roots)

@@ -106,3 +106,18 @@ def test_components_of_a_long_chain_and_a_star(spark):
     links = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 180)] + [(7, 7), (3, 2)]
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(61)} | {i: 100 for i in range(100, 180)}
+
+
+def test_sets_move_as_compressed_words(spark, monkeypatch):
+    moved, links = [], nj._links
+
+    def noted(rows, sets, *rest, **more):
+        moved.append(sets.agg({sets.columns[1]: "max"}).first()[0])
+        return links(rows, sets, *rest, **more)
+
+    monkeypatch.setattr(nj, "_links", noted)
+    base = [f"word{i}" for i in range(1_000)]
+    rows = [(i, " ".join([*base, f"end{i}"]), 1, 2) for i in range(5)]
+    found = nj.link_documents(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted(map(tuple, found), key=repr) == brute(rows)
+    assert 0 < len(moved[0]) < 998 * 8 / 2  # half the hashes of the shingles
