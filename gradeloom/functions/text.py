@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 # White space as Python's ``\s`` understands it. Java's ``(?U)\s`` lacks the
 # four information separators.
 BLANK = r"[\s\x1c-\x1f]"
+_BLANKS = "".join(c for c in map(chr, range(0x10000)) if c.isspace())
 
 
 def strip(value: Column) -> Column:
     """Remove all Unicode white space on both sides (``trim`` removes U+0020 only)."""
-    return F.regexp_replace(value, rf"(?U)^{BLANK}+|{BLANK}+$", "")
+    return F.trim(value, F.lit(_BLANKS))
 
 
 def is_blank(value: Column) -> Column:
@@ -26,12 +27,13 @@ def is_blank(value: Column) -> Column:
 
 def single_line(value: Column) -> Column:
     """Each line break becomes one space, with the blanks around it; ends are trimmed."""
-    return strip(F.regexp_replace(value, rf"(?U){BLANK}*\n{BLANK}*", " "))
+    spaced = F.regexp_replace(value, rf"(?U){BLANK}*\n{BLANK}*", " ")
+    return strip(F.when(F.contains(value, F.lit("\n")), spaced).otherwise(value))
 
 
 def clean_entry(value: Column) -> Column:
     """Collapse white space, then glue a lone RA/EM to the code before it."""
-    flat = strip(F.regexp_replace(value, rf"(?U){BLANK}+", " "))
+    flat = F.trim(F.regexp_replace(value, rf"(?U){BLANK}+", " "))
     glued = F.regexp_replace(
         flat, rf"(?U)([A-Za-z0-9_]+){BLANK}+(RA|EM)(?={BLANK}*\(\d+\))", "$1$2"
     )

@@ -12,9 +12,10 @@ from .joins import lookup
 from .ordered import block_of, with_row_number
 
 # A line break inside an entry where no code/grade pair and no detached RA/EM suffix can
-# reach across: the text before it ends in ``- <token without _>``. A pair holds one dash
+# reach across: the text before it ends in ``- <token without _>`` (the look behind comes
+# after the break, so it is tried at breaks only). A pair holds one dash
 # with nothing but the grade after it, and a code needs its ``_`` next to its first token.
-_BOUNDARY = r"(?U)(?<=-\s{0,8}[^\s_-]{1,8})\n(?!(?:RA|EM)(?:\s|\(|$))"
+_BOUNDARY = r"(?U)\n(?<=-\s{0,8}[^\s_-]{1,8}\n)(?!(?:RA|EM)(?:\s|\(|$))"
 
 
 def entry_pieces(fragments: DataFrame, block: int | None = None) -> DataFrame:
@@ -34,7 +35,8 @@ def entry_pieces(fragments: DataFrame, block: int | None = None) -> DataFrame:
             F.expr("listagg(text, '\\n') WITHIN GROUP (ORDER BY row_idx)").alias("_text"),
         )
     )
-    split = blocks.withColumn("_pieces", F.split("_text", _BOUNDARY))
+    # Read twice, for the edges and for what lies between them.
+    split = cut(blocks.withColumn("_pieces", F.split("_text", _BOUNDARY)).drop("_text"))
     pieces = split.select(
         *keys, "first_row", "_block",
         F.size("_pieces").alias("_n"),

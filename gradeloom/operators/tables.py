@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions import grades as G
 from ..functions.text import is_blank, single_line, strip
+from ..session import cut
 from .joins import join_on
 from .ordered import scan, with_row_number
 
 
-_COLUMN = ["file_id", "page_no", "col_no"]
+# Rows are sorted by these keys; the page tells more of them apart than the file.
+_COLUMN = ["page_no", "col_no", "file_id"]
 
 
 def _split_headers(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -109,18 +111,19 @@ def table_rows(
     trimmed; with ``pattern``, those of the columns whose header matches it.
     """
     heads, body = _split_headers(raw)
-    cells = body.join(column_roles(heads, keyword), _COLUMN)
-    filled = ~is_blank(F.col("cell"))
     wanted = F.lit(True) if pattern is None else F.col("header").rlike(pattern)
+    cells = body.join(column_roles(heads, keyword).withColumn("is_wanted", wanted), _COLUMN)
+    filled = ~is_blank(F.col("cell"))
     part = F.struct(F.col("col_index").alias("col_no"), "header", strip(F.col("cell")).alias("text"))
-    rows = cells.groupBy("file_id", "page_no", "row_no").agg(
+    rows = cells.groupBy("row_no", "page_no", "file_id").agg(
         F.max(F.when(F.col("is_name"), F.col("cell"))).alias("printed_name"),
         F.when(
             F.bool_or("has_leading"), ~F.bool_or(F.col("is_leading") & filled)
         ).alias("leading_blank"),
-        F.collect_list(F.when(~F.col("is_name") & filled & wanted, part)).alias("parts"),
+        F.collect_list(F.when(~F.col("is_name") & F.col("is_wanted") & filled, part)).alias("parts"),
     )
-    numbered = with_row_number(rows, ["file_id"], [F.col("page_no"), F.col("row_no")], "row_idx")
+    # A sort reads its input twice: for a sample of the keys, and for the rows.
+    numbered = with_row_number(cut(rows), ["file_id"], [F.col("page_no"), F.col("row_no")], "row_idx")
     return numbered.select(
         "file_id", (F.col("row_idx") - 1).alias("row_idx"),
         "printed_name", "leading_blank", "parts",

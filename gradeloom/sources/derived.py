@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from ..session import cut
+
 STUDENTS_PER_PAGE = 32
 ROWS_PER_STUDENT = 64
 
@@ -152,7 +154,8 @@ def raw_cells(spark: SparkSession, folder: str) -> DataFrame:
     page repeats the headers, with the line breaks and the irrelevant columns reports have;
     two columns have the same code header, each with grades of its own.
     """
-    lines = grade_lines(spark, folder)
+    # Header cells and the cells below them are read apart, some more than once.
+    lines = cut(grade_lines(spark, folder))
     slips = F.col("student_id") % 5 == 0
     first = F.col("line_no") == 1
     name = (

@@ -4,9 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from gradeloom.functions.text import clean_entry
-from gradeloom.operators import ordered, tables
+from gradeloom.operators import ordered, records, tables
 from gradeloom.plans import reports
 from gradeloom.schemas import RAW_CELLS
+from gradeloom.sources import derived
 
 HEADS = ["Núm.", "Identificador", "Nom\ni cognoms ", " Codi (Conv)\n- Qual "]
 
@@ -152,3 +153,23 @@ def test_records_come_from_code_columns_of_all_reports(spark, rows):
     })
     got = rows(reports.extract_records(cells), "file_id", "student", "code", "grade_num")
     assert got == [("f", "Ana", "0647_CF01_01RA", 7.0), ("g", "Ana", "0647_CF01", 8.0)]
+
+
+def test_the_lines_of_report_pages_are_numbered_once(spark, tmp_path):
+    spark.createDataFrame([(1, 7, "Ann", "B")], "c_custkey long, c_nationkey long, c_name string, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(5, 1)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(5, 3, 1, 16.0), (5, 4, 2, 17.0)], "l_orderkey long, l_suppkey long, l_linenumber int, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    cells = derived.raw_cells(spark, str(tmp_path))
+    assert cells.count() == 6 + 4 * 6  # two outcomes and their modules below the headers
+    # Header cells and the others are read apart: neither may number the lines again.
+    plan = cells.filter("row_no = 0")._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Join" not in plan
+
+
+def test_entries_are_cut_at_breaks_that_follow_a_grade(spark):
+    df = spark.createDataFrame(
+        [("a - A7\nb - x_y\nc -  PDT\nRA (1)\nd - 12345678\ne - 123456789\n f",)], "t string"
+    )
+    pieces = df.select(F.split("t", records._BOUNDARY)).first()[0]
+    assert pieces == ["a - A7", "b - x_y\nc -  PDT\nRA (1)\nd - 12345678", "e - 123456789\n f"]
+    assert records._BOUNDARY.startswith(r"(?U)\n")  # the look behind is not tried at every character
