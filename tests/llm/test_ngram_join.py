@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from gradeloom.llm import ngram_join as nj
+from gradeloom.llm import graph, ngram_join as nj
 from gradeloom.llm.graph import components
 
 SCHEMA = "doc_id long, text string, n int, set_id int"
@@ -108,6 +108,27 @@ def test_components_of_a_long_chain_and_a_star(spark):
     assert got == {i: 0 for i in range(61)} | {i: 100 for i in range(100, 180)}
 
 
+def test_few_edges_are_written_in_few_parts(spark, monkeypatch):
+    parts = []
+
+    def cut(df):
+        done = df.checkpoint()
+        parts.append(done.rdd.getNumPartitions())
+        return done
+
+    monkeypatch.setattr(graph, "cut", cut)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = components(spark.createDataFrame([(i, i + 1) for i in range(20)], "a long, b long"))
+        assert {r.root for r in found.collect()} == {0}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert len(parts) > 2 and set(parts[1:]) == {1}
+
+
 def test_sets_move_as_compressed_words(spark, monkeypatch):
     moved, links = [], nj._links
 
