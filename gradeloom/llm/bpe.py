@@ -32,6 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import small_batches
 from .common import partitions
 from .packed import (
     CODE_TYPES, Numbered, code_streams, codes_of, expand, expand_words, in_slices,
@@ -175,6 +176,7 @@ def _assembled(buckets: int):
 def _encoded_chunks(docs: DataFrame, path: str, pattern: str, buckets: int) -> DataFrame:
     """Rows of chunks, by bucket: the ids of their distinct pre-tokens, and the positions."""
     spark = docs.sparkSession
+    small_batches(spark)
     ranks = spark.sparkContext.broadcast(read_ranks(path))
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"chunk long, place int, rows int, data binary, doc_ids array<{kind}>"
@@ -271,6 +273,7 @@ def _put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def _with_bytes(asking: DataFrame, path: str) -> DataFrame:
     """From ``head, token``: the columns of ``head`` and ``decoded``."""
+    small_batches(asking.sparkSession)
     table = token_table(asking.sparkSession, path)
     names = asking.schema["head"].dataType
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in names)

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from ..session import small_batches
 from .common import fresh
 from .packed import expand, squeeze
 
@@ -165,6 +166,7 @@ def train(labelled: DataFrame, sample: int = SAMPLE, together: int = TOGETHER) -
     Document frequencies cover all rows. ``None`` if there is nothing to learn from.
     """
     spark = labelled.sparkSession
+    small_batches(spark)
     rows = labelled.select(F.col("text").cast("string").alias("text"), "lang").filter("text is not null and lang is not null")
     # One row for each language, as the model has.
     sizes = rows.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text"), 0.02).alias("n")).collect()
@@ -230,6 +232,7 @@ def with_language(docs: DataFrame, model: Model | None, lang: str, score: str) -
     """
     # Plain values: a broadcast class would need this package on every executor.
     plain = model and (model.languages, model.idf, model.weights, model.bias, model.temperature)
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(plain)
     place = docs.columns.index("text")
 

@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, small_batches
 from .common import WORD, partitions, row_key
 from .graph import components
 from .packed import CHUNK_CHARS, Numbered, expand, squeeze
@@ -540,6 +540,7 @@ def _with_root(members: DataFrame, roots: DataFrame) -> DataFrame:
 def _labelled(docs: DataFrame, buckets: int | None) -> DataFrame:
     """``doc_id, text_key, n, set_id, root``; sets with one root are connected."""
     spark = docs.sparkSession
+    small_batches(spark)
     buckets = buckets or max(LEAST_BUCKETS, partitions(spark))
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("text_key", F.xxhash64("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()

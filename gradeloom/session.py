@@ -6,6 +6,9 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of rows that go to Python, or come from there, at a time; a longer row goes alone.
+BATCH_BYTES = 1 << 20
+
 
 def build_session(app: str = "gradeloom", **conf: str) -> SparkSession:
     """A session with the settings the operators assume; ``conf`` overrides them."""
@@ -43,6 +46,15 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on rows go to Python workers in batches of about ``BATCH_BYTES``.
+
+    Spark's own limits are rows and 64 MB; a batch of texts then takes that much several
+    times over, in the executor outside its heap and in each worker.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and go on from there."""
     shared_folder(df.sparkSession)
