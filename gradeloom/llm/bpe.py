@@ -36,7 +36,7 @@ from ..session import small_batches
 from .common import partitions
 from .packed import (
     CODE_TYPES, Numbered, code_streams, codes_of, expand, expand_words, in_slices,
-    runs, squeeze, squeeze_words,
+    release, releasing, runs, squeeze, squeeze_words,
 )
 
 #: Least number of hash buckets for words.
@@ -68,6 +68,7 @@ def _chunked(pattern: str, buckets: int):
         full = [b for b in range(buckets) if held[b]]
         rows = [(chunk, b, len(full), squeeze_words(held[b])) for b in full]
         positions = squeeze(np.array(counts, dtype="<i8"), *code_streams(place[raw]))
+        place = place.astype(np.min_scalar_type(int(place.max(initial=0))))
         # The row of positions only passes the encoding tasks, spread by chunk.
         rows.append((chunk, -1 - zlib.crc32(b"%d" % chunk) % buckets, len(full), positions))
         a, b, c, d = zip(*rows)
@@ -100,6 +101,7 @@ def _chunked(pattern: str, buckets: int):
                     yield close(numbers, codes, counts, ids, chunk)
                     chunk += 1
                     numbers, codes, counts, ids, chars = Numbered(), array("I"), [], [], 0
+                    release()
         if counts:
             yield close(numbers, codes, counts, ids, chunk)
 
@@ -156,14 +158,12 @@ def _assembled(buckets: int):
             starts[: len(n), bucket] = base + np.cumsum(n, dtype=np.int64) - n
             base += len(flat)
         flat = np.concatenate([f for _, f in parts.values()] or [np.zeros(0, dtype="<u4")])
-        sizes = lengths.reshape(-1)[codes]
-        ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+        lengths, starts = lengths.reshape(-1), starts.reshape(-1)
         bounds = np.concatenate([[0], np.cumsum(counts)])
         texts = []
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-            took = runs(starts.reshape(-1)[codes[a:b]], sizes[a:b])
-            texts.append(flat[took].astype("<u4").tobytes())
-        n_tokens = np.diff(ends[bounds])
+            texts.append(flat[runs(starts[codes[a:b]], lengths[codes[a:b]])].astype("<u4").tobytes())
+        n_tokens = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)) // 4
         doc_ids = table.column("doc_ids")[at[0]].values
         return pa.table({
             "doc_id": doc_ids, "n_tokens": pa.array(n_tokens, pa.int64()),
@@ -182,9 +182,9 @@ def _encoded_chunks(docs: DataFrame, path: str, pattern: str, buckets: int) -> D
     schema = f"chunk long, place int, rows int, data binary, doc_ids array<{kind}>"
     return (
         docs.select("doc_id", F.col("text").cast("string").alias("text"))
-        .mapInArrow(_chunked(pattern, buckets), schema)
+        .mapInArrow(releasing(_chunked(pattern, buckets)), schema)
         .repartition(partitions(spark), "place")
-        .mapInArrow(_encoded(pattern, ranks), schema)
+        .mapInArrow(releasing(_encoded(pattern, ranks)), schema)
     )
 
 
@@ -239,7 +239,10 @@ def _assembled_asking(buckets: int):
 
     def run(table: pa.Table) -> pa.Table:
         heads = assemble(table).to_struct_array().combine_chunks()
-        return pa.table(dict(zip(("head", "token"), _asking(heads))))
+        out = pa.table(dict(zip(("head", "token"), _asking(heads))))
+        del heads
+        release()
+        return out
 
     return run
 
@@ -279,7 +282,7 @@ def _with_bytes(asking: DataFrame, path: str) -> DataFrame:
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in names)
     return (
         asking.join(F.broadcast(table), F.col("token") == F.col("id"), "left")
-        .select("head", "token", "bytes").mapInArrow(_put_together, f"{schema}, decoded binary")
+        .select("head", "token", "bytes").mapInArrow(releasing(_put_together), f"{schema}, decoded binary")
     )
 
 

@@ -22,7 +22,7 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from ..session import small_batches
 from .common import fresh
-from .packed import expand, squeeze
+from .packed import expand, releasing, squeeze
 
 FEATURES = 1 << 15
 #: Different labelled texts per language in the sample, in all languages together, and per language at least.
@@ -175,7 +175,7 @@ def train(labelled: DataFrame, sample: int = SAMPLE, together: int = TOGETHER) -
     names = sorted(r["lang"] for r in sizes)
     sample = min(sample, max(LEAST_SAMPLE, together // len(names)))
     found = (
-        rows.select("text").mapInArrow(_document_frequencies, "feature int, n long")
+        rows.select("text").mapInArrow(releasing(_document_frequencies), "feature int, n long")
         .groupBy("feature").agg(F.sum("n").alias("n")).collect()  # at most FEATURES + 1 rows
     )
     df = np.zeros(FEATURES + 1)
@@ -213,7 +213,7 @@ def train(labelled: DataFrame, sample: int = SAMPLE, together: int = TOGETHER) -
 
     model = (
         drawn.select("text", "lang", "drawn")
-        .mapInArrow(_sample_counts, "lang string, drawn long, counts binary")
+        .mapInArrow(releasing(_sample_counts), "lang string, drawn long, counts binary")
         .groupBy().applyInArrow(fit, "model binary").first()
     )
     if model is None:
@@ -258,7 +258,7 @@ def with_language(docs: DataFrame, model: Model | None, lang: str, score: str) -
             )
 
     fields = [*docs.schema.fields, StructField(lang, StringType()), StructField(score, DoubleType())]
-    return docs.mapInArrow(run, StructType(fields))
+    return docs.mapInArrow(releasing(run), StructType(fields))
 
 
 def held_out() -> Column:

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from ..session import cut, small_batches
 from .common import WORD, partitions, row_key
 from .graph import components
-from .packed import CHUNK_CHARS, Numbered, expand, squeeze
+from .packed import CHUNK_CHARS, Numbered, expand, releasing, squeeze
 
 WIDTH, PERCENT = 4, 85
 GROUPS = 64
@@ -157,7 +157,7 @@ def word_ranks(docs: DataFrame, buckets: int) -> np.ndarray:
     only the size of blocks does. The table has a fixed size.
     """
     parts = (
-        docs.select("text").mapInArrow(_document_counts(buckets), "bucket int, data binary")
+        docs.select("text").mapInArrow(releasing(_document_counts(buckets)), "bucket int, data binary")
         .groupBy("bucket").applyInArrow(_summed_cells(buckets), "low long, ranks binary")
     ).collect()
     table = np.zeros(1 << CELL_BITS, dtype="u1")
@@ -481,7 +481,7 @@ def _asked(rows: DataFrame, points: DataFrame) -> DataFrame:
     joined = rows.join(points, F.col("set_id") == F.col("_set")).select(
         "block", "part", "other", "side", "set_id", "root", "size", "point"
     )
-    return cut(_grouped(joined).mapInArrow(_near, ASKED))
+    return cut(_grouped(joined).mapInArrow(releasing(_near), ASKED))
 
 
 def _bitmap(keys: DataFrame, bit: Column) -> np.ndarray:
@@ -515,7 +515,7 @@ def _links(rows: DataFrame, sets: DataFrame, few: bool = False) -> DataFrame:
 
         sets = sets.withColumn("bit", bit).mapInArrow(asked, "set_id long, words binary")
     joined = rows.join(sets, "set_id").select("block", "part", "other", "side", "set_id", "root", "words")
-    return cut(_grouped(joined).mapInArrow(_searched, "a long, b long"))
+    return cut(_grouped(joined).mapInArrow(releasing(_searched), "a long, b long"))
 
 
 def _in_parts(members: DataFrame) -> DataFrame:
@@ -545,7 +545,7 @@ def _labelled(docs: DataFrame, buckets: int | None) -> DataFrame:
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("text_key", F.xxhash64("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     shared = spark.sparkContext.broadcast(word_ranks(rows, buckets))
-    sketched = cut(rows.mapInArrow(_sketched(buckets, shared), SKETCHED.format(kind=kind)))
+    sketched = cut(rows.mapInArrow(releasing(_sketched(buckets, shared)), SKETCHED.format(kind=kind)))
     documents = sketched.filter("bucket is null").select("doc_id", "text_key", "n", "set_id", "data")
 
     members = cut(
@@ -578,7 +578,7 @@ def _labelled(docs: DataFrame, buckets: int | None) -> DataFrame:
                 ["set_id", "words"],
             )
 
-    sets = cut(rows.select("text", bit.alias("bit")).mapInArrow(sets_of, "set_id long, words binary"))
+    sets = cut(rows.select("text", bit.alias("bit")).mapInArrow(releasing(sets_of), "set_id long, words binary"))
     links = _links(asked, sets)
     roots = components(links)
     if large.limit(1).count():

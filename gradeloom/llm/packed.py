@@ -7,15 +7,21 @@ or numbers inside; rows stay small because chunks are bounded and buckets many.
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Iterator
+from contextlib import suppress
 from itertools import islice
 
 import numpy as np
+import pyarrow as pa
 import zstandard
 
 #: Characters of text that one chunk gathers before it is sent; a longer text is a chunk of its own.
 CHUNK_CHARS = 16_000_000
 #: Matches of a text taken at a time.
 SLICE = 1_000_000
+#: Codes taken apart at a time.
+SLAB = 1 << 18
 
 
 class Numbered(dict):
@@ -62,7 +68,11 @@ def code_streams(codes: np.ndarray) -> list[np.ndarray]:
     First bytes: below 128 the code itself; 128 to 191, 192 to 254 and 255 announce one, two
     and four bytes more, which follow in streams of their own.
     """
-    codes = codes.astype(np.int64, copy=False)
+    slabs = [_streams(codes[at : at + SLAB].astype(np.int64)) for at in range(0, max(len(codes), 1), SLAB)]
+    return [np.concatenate(parts) for parts in zip(*slabs)]
+
+
+def _streams(codes: np.ndarray) -> list[np.ndarray]:
     two, three, four = 128, 128 + (64 << 8), 128 + (64 << 8) + (63 << 16)
     head = np.minimum(codes, 127).astype("u1")
     kind = np.digitize(codes, [two, three, four])
@@ -93,6 +103,23 @@ def runs(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(starts - (ends - lengths), lengths)
 
 
+def release() -> None:
+    """Give free memory back to the system; a worker that waits for its next task would keep it."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # other C libraries
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def releasing(run):
+    """``run`` over batches, with memory given back at the end of each task."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    return wrapped
+
+
 def in_slices(items, size: int = SLICE):
     """Lists of up to ``size`` items, so that a very long text is never split up whole."""
     items = iter(items)

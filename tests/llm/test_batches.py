@@ -1,11 +1,12 @@
 """What goes to Python workers at a time."""
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from gradeloom.llm import bpe, langid, ngram_join, token_files
+from gradeloom.llm import bpe, langid, ngram_join, packed, token_files
 from gradeloom.session import BATCH_BYTES
 
 SIZE = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -47,3 +48,27 @@ def test_long_texts_go_to_python_in_small_batches(spark, tmp_path, name):
         spark.conf.unset(SIZE)
     assert sum(found) > 8_000_000
     assert max(found) < 2 * BATCH_BYTES
+
+
+def test_workers_give_memory_back_at_the_end_of_a_task():
+    def held():
+        with open("/proc/self/smaps_rollup") as lines:
+            return sum(int(line.split()[1]) for line in lines if line.startswith("Anonymous")) / 1024
+
+    def run(batches):
+        some = [bytearray(b"x" * 60_000) for _ in range(4_000)]
+        keep = bytes(100)  # stands after the rest, so the heap cannot shrink by itself
+        yield keep
+        del some
+
+    before = held()
+    for _ in packed.releasing(run)([]):
+        during = held()
+    assert during - before > 150
+    assert held() - before < 60
+
+
+def test_codes_in_several_slabs_come_back(monkeypatch):
+    monkeypatch.setattr(packed, "SLAB", 7)
+    for codes in (np.zeros(0, dtype=np.int64), np.random.default_rng(1).integers(0, 1 << 24, 100), np.arange(50, dtype="u2")):
+        assert packed.codes_of(*packed.code_streams(codes)).tolist() == codes.tolist()
