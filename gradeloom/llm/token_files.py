@@ -16,6 +16,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import small_batches
 from .common import partitions
 from .dac import TokenFile, pack_file
 from .packed import Numbered, runs
@@ -32,11 +34,10 @@ from .packed import Numbered, runs
 FILE_IDS = 1 << 22
 #: Characters encoded at a time.
 SLICE_CHARS = 8_000_000
-#: Units a worker remembers the ids of, of those that came once and of those that came more
-#: often; beyond it that memory is emptied.
-REMEMBERED = 300_000
-#: Units encoded in one call.
-JOINED = 20_000
+#: Units a worker remembers the ids of; beyond it, at most half stay: those that came most often.
+REMEMBERED = 800_000
+#: Units encoded in one call, and those of them that are one text to the library.
+CALLED, JOINED = 20_000, 200
 #: Files up to which the table of their places (24 bytes each) is broadcast.
 BROADCAST_FILES = 100_000
 
@@ -44,7 +45,8 @@ BROADCAST_FILES = 100_000
 _SPACES = "\\t-\\r\\x1c-\\x1f\\x85\\xa0\\u1680\\u180e\\u2000-\\u200b\\u2028\\u2029\\u202f\\u205f\\u2060\\u3000\\ufeff"
 _SPACE_BEFORE_SPACE = "[ " + re.sub(r"\\u([0-9a-f]{4})", r"\\x{\1}", _SPACES) + "] "
 _CUT = re.compile(f"(?<=[^ {_SPACES}])(?= )")
-_PLAIN = re.compile(f" [^ {_SPACES}]+").fullmatch
+# Where units like this stand one after the other, each begins at a cut.
+_PLAIN = re.compile(f" [^ ]*[^ {_SPACES}]").fullmatch
 
 
 class Coder:
@@ -57,66 +59,78 @@ class Coder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self._tokenizer = Tokenizer.from_str(model)
         self._tokenizer.encode_special_tokens = special_as_text
-        self._known: dict[str, bytes] = {}
-        self._once: dict[str, bytes] = {}
-        # The id between two units in one call, where it is a token of its own.
-        between = self._ids(["a\n b"])[0]
-        line = self._ids(["\n"])[0]
-        self._line = line[0] if len(line) == 1 and between.count(line[0]) == 1 else None
-
-    def _ids(self, texts: list[str]) -> list[list[int]]:
+        self._numbers: dict[str, int] = {}
+        self._starts, self._sizes, self._uses = np.zeros((3, 0), dtype=np.int64)
+        self._flat = np.zeros(0, dtype="<u4")
+        self._spaced = self._with_space()
+
+    def _with_space(self) -> np.ndarray | None:
+        """Which ids hold a space, if a space always is the first byte of a pre-token."""
+        model = self._tokenizer
+        if model.normalizer or not model.pre_tokenizer:
+            return None
+        parts = [p for p, _ in model.pre_tokenizer.pre_tokenize_str(" a b")]
+        if parts != ["Ġa", "Ġb"]:
+            return None
+        vocabulary = model.get_vocab(with_added_tokens=True)
+        spaced = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        spaced[[i for token, i in model.get_vocab(with_added_tokens=False).items() if "Ġ" in token]] = True
+        return spaced
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
         found = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [e.ids for e in found]
-
-    def _joined(self, units: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
-        """Ids of many plain units from one call, and where each ends; an id stands between."""
-        ids = np.array(self._ids(["\n".join(units)])[0], dtype="<u4")
-        ends = np.append(np.flatnonzero(ids == self._line), len(ids))
-        return (ids, ends) if len(ends) == len(units) else None  # a unit may hold that id itself
+        return [np.array(e.ids, dtype="<u4") for e in found]
+
+    def _forget(self) -> None:
+        if len(self._sizes) <= REMEMBERED:
+            return
+        keep = self._uses > np.partition(self._uses, -REMEMBERED // 2)[-REMEMBERED // 2]
+        self._numbers = {unit: i for i, unit in enumerate(compress(self._numbers, keep.tolist()))}
+        self._flat = self._flat[runs(self._starts[keep], self._sizes[keep])]
+        self._sizes, self._uses = self._sizes[keep], self._uses[keep] // 2
+        self._starts = np.cumsum(self._sizes) - self._sizes
+
+    def _learn(self, units: list[str]) -> None:
+        """Encode new units and remember them."""
+        names, parts, sizes = [], [], []
+        plain, single = [], []
+        for unit in units:
+            (plain if self._spaced is not None and _PLAIN(unit) else single).append(unit)
+        for at in range(0, len(plain), CALLED):
+            texts = [plain[i : i + JOINED] for i in range(at, min(at + CALLED, len(plain)), JOINED)]
+            for some, ids in zip(texts, self._ids(["".join(t) for t in texts])):
+                # A unit has one space, and it is in its first id.
+                begins = np.flatnonzero(self._spaced[ids])
+                if len(begins) == len(some):
+                    names += some
+                    parts.append(ids)
+                    sizes.append(np.diff(begins, append=len(ids)))
+                else:
+                    single += some
+        for at in range(0, len(single), CALLED):
+            found = self._ids(single[at : at + CALLED])
+            names += single[at : at + CALLED]
+            parts += found
+            sizes.append(np.fromiter(map(len, found), dtype=np.int64, count=len(found)))
+        self._numbers.update(zip(names, range(len(self._sizes), len(self._sizes) + len(names))))
+        self._flat = np.concatenate([self._flat, *parts])
+        self._sizes = np.concatenate([self._sizes, *sizes])
+        self._starts = np.cumsum(self._sizes) - self._sizes
+        self._uses = np.append(self._uses, np.zeros(len(names), dtype=np.int64))
 
     def ids(self, units: list[str], times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids in which each unit has a start and a size; ``times`` tells how often each comes."""
-        if len(self._known) > REMEMBERED:
-            self._known = {}
-        if len(self._once) > REMEMBERED:
-            self._once = {}
-        known, once = self._known.get, self._once.get
-        found = [known(u) or once(u) for u in units]
-        starts, sizes = np.zeros((2, len(units)), dtype=np.int64)
-        parts, base = [], 0
-
-        def add(places: list[int], raw: np.ndarray, begin: np.ndarray, size: np.ndarray) -> None:
-            nonlocal base
-            starts[places], sizes[places] = base + begin, size
-            parts.append(raw)
-            base += len(raw)
-
-        def add_single(places: list[int], values: list[bytes]) -> None:
-            size = np.fromiter(map(len, values), dtype=np.int64, count=len(values)) // 4
-            add(places, np.frombuffer(b"".join(values), dtype="<u4"), np.cumsum(size) - size, size)
-
-        old = [i for i, value in enumerate(found) if value is not None]
-        add_single(old, [found[i] for i in old])
-        new = [i for i, value in enumerate(found) if value is None]
-        plain, single = [], []
-        for i in new:
-            (plain if self._line is not None and _PLAIN(units[i]) else single).append(i)
-        for at in range(0, len(plain), JOINED):
-            part = plain[at : at + JOINED]
-            joined = self._joined([units[i] for i in part])
-            if joined:
-                begin = np.append(0, joined[1][:-1] + 1)
-                add(part, joined[0], begin, joined[1] - begin)
-            else:
-                single += part
-        for at in range(0, len(single), JOINED):
-            part = single[at : at + JOINED]
-            add_single(part, [np.array(i, dtype="<u4").tobytes() for i in self._ids([units[i] for i in part])])
-        flat = np.concatenate(parts)
-        raw = flat.tobytes()
-        for i, n, start, end in zip(new, times[new].tolist(), starts[new].tolist(), (starts + sizes)[new].tolist()):
-            (self._known if n > 1 else self._once)[units[i]] = raw[4 * start : 4 * end]
-        return flat, starts, sizes
+        """Ids in which each unit has a start and a size; ``times`` tells how often each comes.
+
+        ``units`` are all different.
+        """
+        self._forget()
+        numbers = np.fromiter(map(self._numbers.get, units, repeat(-1)), dtype=np.int64, count=len(units))
+        new = np.flatnonzero(numbers < 0).tolist()
+        if new:
+            self._learn(some := [units[i] for i in new])
+            numbers[new] = [self._numbers[u] for u in some]
+        self._uses[numbers] += times
+        return self._flat, self._starts[numbers], self._sizes[numbers]
 
 
 def _units(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
@@ -179,6 +193,19 @@ def _slices(lengths: list[int], most: int) -> Iterator[tuple[int, int]]:
         yield start, len(lengths)
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
+    """Small batches of ``doc_id, text`` together, up to ``most`` bytes of text."""
+    held, size = [], 0
+    for batch in batches:
+        if held and size + batch.column(1).nbytes > most:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, size = [], 0
+        held.append(batch)
+        size += batch.column(1).nbytes
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def _packed(model, special_as_text: bool, end_id: int | None, file_ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # A worker holds one copy of a broadcast value, so what is kept there outlives the task.
@@ -198,8 +225,9 @@ def _packed(model, special_as_text: bool, end_id: int | None, file_ids: int):
                 ["data", "shard", "piece", "n_ids"],
             )
 
-        for batch in batches:
-            texts = pc.fill_null(batch.column(1), "")
+        for some in _gathered(batches, SLICE_CHARS):
+            doc_ids, texts = (c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in some.columns)
+            texts = pc.fill_null(texts, "")
             for a, b in _slices(pc.binary_length(texts).to_pylist(), SLICE_CHARS):
                 ids, n = _encode(coder, texts.slice(a, b - a))
                 if end_id is not None:
@@ -207,7 +235,7 @@ def _packed(model, special_as_text: bool, end_id: int | None, file_ids: int):
                     n = n + 1
                 held.append(ids)
                 counts.append(n)
-                names.append(batch.column(0).slice(a, b - a))
+                names.append(doc_ids.slice(a, b - a))
                 size += len(ids)
                 if size >= file_ids:
                     yield close()
@@ -239,6 +267,7 @@ def write_token_files(
     more. Ranges are bounds of (id, hash, row), so many rows of one id span shards too.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     with open(tokenizer, encoding="utf-8") as lines:
         model = spark.sparkContext.broadcast({"model": lines.read()})
     text = F.col("text").cast("string")

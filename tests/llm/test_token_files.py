@@ -97,6 +97,28 @@ def test_units_give_the_ids_of_the_text(special_as_text):
             assert ids[a:b].tolist() == library(text, special_as_text), text
 
 
+def test_units_meet_the_library_without_separators_and_frequent_ones_stay(monkeypatch):
+    monkeypatch.setattr(T, "REMEMBERED", 100)
+    with open(MODEL, encoding="utf-8") as lines:
+        coder = T.Coder(lines.read(), True)
+    given, encode = [], coder._ids
+
+    def counted(texts):
+        found = encode(texts)
+        given.extend(i for ids in found for i in ids)
+        return found
+
+    coder._ids = counted
+    often, wanted = [f" often{i}.\nNext" for i in range(20)], 0
+    for turn in range(6):
+        units = [*often, *[f" rare{turn}x{i}don't" for i in range(60)]]
+        flat, starts, sizes = coder.ids(units, np.array([3] * 20 + [1] * 60))
+        for unit, start, size in zip(units, starts.tolist(), sizes.tolist()):
+            assert flat[start : start + size].tolist() == library(unit), unit
+        wanted += sum(len(library(u)) for u in (units if not turn else units[20:]))
+    assert len(given) == wanted
+
+
 ID_LISTS = st.lists(st.lists(st.integers(0, 2**32 - 1) | st.integers(0, 300), max_size=300), max_size=8)
 
 
